@@ -8,11 +8,9 @@ import tempfile
 import uuid
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"\w+")
 MASK = (1 << 64) - 1
 
 
@@ -48,33 +46,6 @@ def same(left: DataFrame, right: DataFrame, *names: str):
     return functools.reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
 
 
-class Words:
-    """Word to 64-bit hash through a bounded cache that lives as long as the Python worker."""
-
-    def __init__(self, limit: int = 400_000):
-        self.limit, self.seen = limit, {}
-
-    def hashes(self, words: list[str]) -> np.ndarray:
-        seen = self.seen
-        try:
-            return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(seen) > self.limit:
-                seen.clear()
-            digest = xxhash.xxh3_64_intdigest
-            for w in set(words):
-                if w not in seen:
-                    seen[w] = digest(w)
-            return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-
-
-WORDS = Words()
-
-
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (xor-shift and multiply) over an array."""
     x = x ^ (x >> np.uint64(31))
@@ -84,6 +55,73 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: Words are runs of ASCII letters, digits and underscores and of any other than ASCII characters, in lower case.
+WORD = re.compile(r"[0-9A-Za-z_\x80-\U0010ffff]+")
+_IN_WORD = np.zeros(256, bool)
+_IN_WORD[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz") + list(range(128, 256))] = True
+_BASE = 0x5851F42D4C957F2D
+_PIECE = 1 << 20
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(n + _PIECE // 8, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps, dtype=np.uint64)
+    return _powers
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of these bytes: differences of one polynomial prefix sum, finalized."""
+    up, down = _power_tables(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+    return mix((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _hash_piece(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words of these bytes."""
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = _IN_WORD[data]
+    edge = np.diff(inside)
+    starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return starts, span_hashes(data, starts, stops)
+
+
+def hash_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts end to end, and where each text's begin (with the end, one more than texts)."""
+    parts = [t.lower().encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    data = np.frombuffer(b"\n".join(parts), np.uint8)
+    starts, hashes, at = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
+    while at < len(data):
+        stop = min(len(data), at + _PIECE)
+        while stop < len(data) and _IN_WORD[data[stop]]:
+            stop += 1
+        s, h = _hash_piece(data[at:stop])
+        starts.append(s + at)
+        hashes.append(h)
+        at = stop
+    offsets = np.cumsum([0] + [len(p) + 1 for p in parts])
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
+
+
+def text_slices(column, size: int = 1 << 20):
+    """Consecutive (first row, texts) of an Arrow string column, of about `size` characters each."""
+    held: list[str | None] = []
+    first = total = 0
+    for k, value in enumerate(column):
+        text = value.as_py()
+        held.append(text)
+        total += len(text or "")
+        if total >= size:
+            yield first, held
+            held, first, total = [], k + 1, 0
+    if held:
+        yield first, held
+
+
 def components(edges: DataFrame, name: str, rounds: int = 40) -> DataFrame:
     """Connected components of edges(a, b) as (node, root), root being the least node of the component.
 

@@ -9,7 +9,6 @@ and at which offset, so pieces find their place by joins over open bins alone.
 from __future__ import annotations
 
 import os
-import re
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
@@ -21,14 +20,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, span_hashes, text_slices
 
 #: Items that one cell packs at a time.
 CELL_ITEMS = 50_000
 #: Chunks whose ids a worker remembers.
-CACHE = 400_000
-#: A point or comma between a letter or digit and white space is a token group of its own.
-_TAIL = re.compile(r"(?<=[^\W_])([.,]+)(?=\s|$)")
+CACHE = 600_000
+SLICE = 1 << 20
+#: Classes of bytes: 0 blank, 1 ASCII letter or digit, 2 other visible ASCII, 3 what never parts from its neighbours.
+_CLASS = np.full(256, 3, np.int8)
+_CLASS[33:127] = 2
+_CLASS[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = 1
+_CLASS[list(b" \n\t\r")] = 0
+_CLASS[ord("'")] = 3
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -39,43 +43,69 @@ def _tokenizer(path: str) -> tuple:
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
-        _tokenizers[path] = (tok, {"": b""})
+        _tokenizers[path] = (tok, {})
     return _tokenizers[path]
 
 
-def token_bytes(text: str, path: str) -> bytes:
-    """The text's ids as little-endian unsigned 32-bit numbers.
+def _lowered(text: str) -> str:
+    """The text in lower case where that can't change its ids, since the tokenizer lowers too."""
+    if text.isascii() or not ("\u0130" in text or "\u03a3" in text) and unicodedata.is_normalized("NFC", text):
+        return text.lower()
+    return text
+
+
+def _chunks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops of chunks: parted by blanks, and where ASCII letters or digits meet other ASCII marks."""
+    kind = np.zeros(len(data) + 2, np.int8)
+    kind[1:-1] = _CLASS[data]
+    before, after = kind[:-1], kind[1:]
+    part = (before + after == 3) & (before * after == 2)  # 1 beside 2
+    return np.flatnonzero((after != 0) & ((before == 0) | part)), np.flatnonzero((before != 0) & ((after == 0) | part))
 
-    The tokenizer lowers letters and never joins characters across white space, so ids are those of the chunks between
-    blanks in turn, and chunks repeat: each is encoded once and remembered. Lowering first, and parting a final point
-    or comma, leaves fewer distinct chunks; both are skipped where they might change the ids.
+
+def encode(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all texts end to end (unsigned 32-bit), and where each text's begin (with the end).
+
+    The tokenizer lowers letters, never joins characters across white space, and parts letters from marks, so a text's
+    ids are those of its chunks in turn. Chunks repeat: each is encoded once and remembered by a 64-bit hash of it.
     """
     tok, seen = _tokenizer(path)
-    if text.isascii() or not ("\u0130" in text or "\u03a3" in text) and unicodedata.is_normalized("NFC", text):
-        text = _TAIL.sub(r" \1", text.lower())
-    chunks = text.replace("\n", " ").replace("\t", " ").split(" ")
-    try:
-        return b"".join(map(seen.__getitem__, chunks))
-    except KeyError:
-        new = list({c for c in chunks if c not in seen})
-        found = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(new, tok.encode_batch(new, add_special_tokens=False), strict=True)}
-        if len(seen) < CACHE:
-            seen.update(found)
-        return b"".join([seen[c] if c in seen else found[c] for c in chunks])
+    parts = [_lowered(t).encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b"\n".join(parts), np.uint8)
+    starts, stops = _chunks(data)
+    keys, first, inverse = np.unique(span_hashes(data, starts, stops), return_index=True, return_inverse=True)
+    names = keys.tolist()
+    new = [k for k, name in enumerate(names) if name not in seen]
+    at = first[new]
+    chunks = [data[a:b].tobytes().decode("utf-8", "surrogatepass") for a, b in zip(starts[at].tolist(), stops[at].tolist(), strict=True)]
+    found = dict(zip((names[k] for k in new), (np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(chunks, add_special_tokens=False)), strict=True))
+    if len(seen) < CACHE:
+        seen.update(found)
+    pool = [seen[n] if n in seen else found[n] for n in names]
+    sizes = np.fromiter(map(len, pool), np.int64, len(pool)) // 4
+    begins = np.cumsum(sizes) - sizes
+    counts = sizes[inverse]
+    ends = np.cumsum(counts)
+    ids = np.frombuffer(b"".join(pool), "<u4")[np.repeat(begins[inverse] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
+    offsets = np.cumsum([0] + [len(p) + 1 for p in parts])
+    return ids, np.concatenate([[0], ends])[np.searchsorted(starts, offsets)]
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
     for batch in batches:
         rows = []
-        for key, text in zip(batch.column(0), batch.column(1), strict=True):
-            ids = (token_bytes(text.as_py(), path) if text.is_valid else b"") + end
-            for k in range(0, len(ids), 4 * size):
-                part = ids[k : k + 4 * size]
-                rows.append((key.as_py(), k // (4 * size), k // 4, len(part) // 4, zlib.crc32(part)))
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
-        kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        for first, texts in text_slices(batch.column(1), SLICE):
+            ids, bounds = encode([t or "" for t in texts], path)
+            for k in range(len(texts)):
+                own = np.concatenate([ids[bounds[k] : bounds[k + 1]], end])
+                for j in range(0, len(own), size):
+                    part = own[j : j + size]
+                    rows.append((first + k, j // size, j, len(part), zlib.crc32(part)))
+        cols = np.array(rows, np.int64).reshape(-1, 5).T
+        keys = batch.column(0).take(pa.array(cols[0]))
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, t) for c, t in zip(cols[1:], kinds, strict=True))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

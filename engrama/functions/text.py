@@ -1,0 +1,83 @@
+"""Text rules as column functions: tokens, entities, cues, entity types."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Cue words of the text features.
+NEGATIONS = "not no never none neither nor without".split()
+TEMPORAL = "yesterday today tomorrow now then before after when during since until".split()
+MODALS = "may might could should would must can".split()
+#: Names that are taken for technologies.
+TECH = "python rust java spark sqlite linux docker kubernetes react postgres redis".split()
+IDENTITY = ["is_a", "works_at", "lives_in", "married_to", "born_in"]
+PREFERENCE = ["likes", "prefers", "favorite", "dislikes"]
+TEMPORAL_RELATIONS = ["scheduled_for", "due_on", "happens_at"]
+
+
+def tokens(text: Column) -> Column:
+    """Lower-case runs of letters, digits and apostrophes."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}']+"), lambda x: x != "")
+
+
+def alnum_tokens(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+
+
+def contains_sequence(text: Column, entity: Column) -> Column:
+    """Whether the entity's tokens occur in a row among the text's."""
+    pad = lambda t: F.concat(F.lit(" "), F.array_join(tokens(t), " "), F.lit(" "))
+    return (F.size(tokens(entity)) > 0) & F.contains(pad(text), pad(entity))
+
+
+def proper_nouns(text: Column) -> Column:
+    """Capitalised words in order of first appearance."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?:^|[ \n])([A-Z][a-z]+)")))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Of two arrays as sets; 0 where both are empty."""
+    both = F.size(F.array_union(a, b))
+    return F.when(both > 0, F.size(F.array_intersect(a, b)) / both).otherwise(0.0)
+
+
+def features(text: Column) -> Column:
+    """Length, sentences, cue counts, and whether a text is compound or an assertion."""
+    t = tokens(text)
+    count = lambda words: F.size(F.filter(t, lambda x: x.isin(*words)))
+    marks = F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[.!?]"))
+    return F.struct(
+        F.length(F.coalesce(text, F.lit(""))).alias("chars"), F.size(t).alias("words"), marks.alias("sentences"), count(NEGATIONS).alias("negations"), count(TEMPORAL).alias("temporal"), count(MODALS).alias("modal"),
+        (marks > 1).alias("compound"), ((count(MODALS) == 0) & ~F.endswith(F.coalesce(text, F.lit("")), F.lit("?"))).alias("assertion"),
+    )
+
+
+def entity_type(name: Column) -> Column:
+    """tech by list or by camel case and digits, person for two capitalised words, else unknown."""
+    return F.when(F.lower(name).isin(*TECH) | name.rlike(r"[a-z][A-Z]|[A-Za-z]\d"), "tech").when(name.rlike(r"^[A-Z][a-z]+ [A-Z][a-z]+$"), "person").otherwise("unknown")
+
+
+def conflict_type(relation: Column) -> Column:
+    return F.when(relation.isin(*IDENTITY), "identity_fact").when(relation.isin(*PREFERENCE), "preference").when(relation.isin(*TEMPORAL_RELATIONS), "temporal").otherwise("minor")
+
+
+def is_date_like(token: Column) -> Column:
+    return token.rlike(r"^\d{4}(-\d{1,2}){0,2}$|^\d{1,2}[/.]\d{1,2}([/.]\d{2,4})?$|^(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*$")
+
+
+def stem(word: Column) -> Column:
+    """Without one inflectional suffix, where at least three letters are left; for prefix search."""
+    out = F.when(F.lit(False), word)
+    for s in ("ing", "edly", "ed", "es", "ly", "s"):
+        out = out.when((F.length(word) >= len(s) + 3) & F.endswith(word, F.lit(s)), F.substring(word, F.lit(1), F.length(word) - len(s)))
+    return out.otherwise(word)
+
+
+def cooldown_key(kind: Column, rids: Column) -> Column:
+    return F.concat_ws(":", kind, F.array_join(F.array_sort(rids), ","))
+
+
+def content_hash(parts: Column) -> Column:
+    """Order-independent hash of an array of strings."""
+    return F.sha2(F.array_join(F.array_sort(F.array_distinct(parts)), "|"), 256)

@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from engrama.plans import (  # noqa: F401  each registers its queries
+    q_claims,
+    q_conflicts,
+    q_events,
+    q_graph,
+    q_learning,
+    q_memory,
+    q_oplog,
+    q_recall,
+    q_reasoning,
+    q_scoring,
+    q_text,
+    q_think,
+)
+from engrama.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

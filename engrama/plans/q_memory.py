@@ -77,8 +77,8 @@ def _(spark, sf_dir):
 
 @query(
     "reinforce_fold",
-    """SELECT rid, least(half_life * pow(1.2, coalesce(n, 0)), 31536000.0) AS half_life, greatest(last_access, coalesce(at, 0)) AS last_access, access_count + coalesce(n, 0) AS access_count
-    FROM memories LEFT JOIN (SELECT user_id AS rid, count(*) AS n, max(t) AS at FROM ev WHERE kind = 'view' GROUP BY user_id) USING (rid)""",
+    """SELECT rid, least(half_life * pow(1.2, coalesce(n, 0)), 31536000.0) AS half_life, greatest(last_access, coalesce(seen_at, 0)) AS last_access, access_count + coalesce(n, 0) AS access_count
+    FROM memories LEFT JOIN (SELECT user_id AS rid, count(*) AS n, max(t) AS seen_at FROM ev WHERE kind = 'view' GROUP BY user_id) USING (rid)""",
     ("memories", "ev"),
 )
 def _(spark, sf_dir):

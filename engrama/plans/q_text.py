@@ -1 +1,150 @@
-"""Queries."""
+"""Queries of the text rules."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from engrama.functions import scoring as S
+from engrama.functions import text as T
+from engrama.operators import retrieval as R
+from engrama.plans.registry import query
+from engrama.sources import adapters as A
+
+c = F.col
+TOK = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}'']+'), lambda x: x <> '')"
+ALNUM = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+
+
+def docs(spark, sf_dir):
+    return A.table(spark, sf_dir, "documents")
+
+
+@query("token_counts", f"SELECT doc_id, len({TOK}) AS tokens, len(list_distinct({TOK})) AS kinds FROM documents")
+def _(spark, sf_dir):
+    d = docs(spark, sf_dir).select("doc_id", T.tokens(c("text")).alias("t"))
+    return d.select("doc_id", F.size("t").cast("long").alias("tokens"), F.size(F.array_distinct("t")).cast("long").alias("kinds"))
+
+
+@query("vocabulary", f"SELECT token, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TOK}) AS token FROM documents) GROUP BY token")
+def _(spark, sf_dir):
+    d = docs(spark, sf_dir).select("doc_id", F.explode(T.tokens(c("text"))).alias("token")).groupBy("token", "doc_id").agg(F.count("*").alias("n"))
+    return d.groupBy("token").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
+
+
+@query("heuristic_entities", "SELECT rid, count(*) AS entities, string_agg(entity, ',' ORDER BY entity) AS names FROM links GROUP BY rid", ("links",))
+def _(spark, sf_dir):
+    d = docs(spark, sf_dir).select(c("doc_id").alias("rid"), T.proper_nouns(c("text")).alias("e")).where(F.size("e") > 0)
+    return d.select("rid", F.size("e").cast("long").alias("entities"), F.array_join(F.array_sort("e"), ",").alias("names"))
+
+
+@query(
+    "entity_in_text",
+    r"""SELECT doc_id, rel.entity FROM documents, (SELECT unnest(['of the', 'in a', 'and the', 'de la']) AS entity) rel
+    WHERE contains(' ' || array_to_string(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}'']+'), lambda x: x <> ''), ' ') || ' ', ' ' || rel.entity || ' ')""",
+)
+def _(spark, sf_dir):
+    # a handful of literal entities per document: an array, not a join
+    hits = F.filter(F.array(*map(F.lit, ("of the", "in a", "and the", "de la"))), lambda e: F.contains(c("p"), F.concat(F.lit(" "), e, F.lit(" "))))
+    d = docs(spark, sf_dir).select("doc_id", F.concat(F.lit(" "), F.array_join(T.tokens(c("text")), " "), F.lit(" ")).alias("p"))
+    return d.select("doc_id", F.explode(hits).alias("entity"))
+
+
+@query(
+    "text_features",
+    f"""SELECT doc_id, length(text) AS chars, len(t) AS words, len(regexp_extract_all(text, '[.!?]')) AS sentences,
+    len(list_filter(t, lambda x: x IN ('not', 'no', 'never', 'none', 'neither', 'nor', 'without'))) AS negations, len(list_filter(t, lambda x: x IN ('yesterday', 'today', 'tomorrow', 'now', 'then', 'before', 'after', 'when', 'during', 'since', 'until'))) AS temporal,
+    len(list_filter(t, lambda x: x IN ('may', 'might', 'could', 'should', 'would', 'must', 'can'))) AS modal FROM (SELECT doc_id, text, {TOK} AS t FROM documents)""",
+)
+def _(spark, sf_dir):
+    d = docs(spark, sf_dir).select("doc_id", T.features(c("text")).alias("f"))
+    return d.select("doc_id", *[c(f"f.{k}").cast("long").alias(k) for k in ("chars", "words", "sentences", "negations", "temporal", "modal")])
+
+
+def _stem_sql(x: str) -> str:
+    return "CASE " + " ".join(f"WHEN length({x}) > {len(s) + 2} AND ends_with({x}, '{s}') THEN substr({x}, 1, length({x}) - {len(s)})" for s in S.SUFFIXES) + f" ELSE {x} END"
+
+
+def _hit_sql(words: list[str]) -> str:
+    names = ", ".join(f"'{w}'" for w in words)
+    return f"(tok IN ({names}) OR stm IN ({names})" + "".join(f" OR (length(tok) >= 4 AND starts_with(tok, '{w}')) OR (length(stm) >= 4 AND starts_with('{w}', stm))" for w in words) + ")"
+
+
+@query(
+    "text_sentiment",
+    f"""WITH w AS (SELECT conv_id, turn, unnest({ALNUM}) AS tok FROM conversations), s AS (SELECT *, {_stem_sql("tok")} AS stm FROM w),
+    n AS (SELECT conv_id, turn, sum(CASE WHEN {_hit_sql(S.NEGATIVE)} THEN 1 ELSE 0 END) AS bad, sum(CASE WHEN {_hit_sql(S.POSITIVE)} THEN 1 ELSE 0 END) AS good FROM s GROUP BY 1, 2)
+    SELECT conv_id, turn, CASE WHEN coalesce(bad, 0) > coalesce(good, 0) THEN -1.0::DOUBLE WHEN coalesce(good, 0) > coalesce(bad, 0) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS sentiment FROM conversations LEFT JOIN n USING (conv_id, turn)""",
+)
+def _(spark, sf_dir):
+    return A.table(spark, sf_dir, "conversations").select("conv_id", "turn", S.text_sentiment(c("text")).alias("sentiment"))
+
+
+@query("stem_vocabulary", f"WITH w AS (SELECT DISTINCT unnest({ALNUM}) AS tok FROM conversations) SELECT tok AS word, {_stem_sql('tok')} AS stem FROM w")
+def _(spark, sf_dir):
+    w = A.table(spark, sf_dir, "conversations").select(F.explode(T.alnum_tokens(c("text"))).alias("word")).distinct()
+    return w.select("word", S.sentiment_stem(c("word")).alias("stem"))
+
+
+@query(
+    "entity_types",
+    r"""SELECT name, CASE WHEN lower(name) IN ('python', 'rust', 'java', 'spark', 'sqlite', 'linux', 'docker', 'kubernetes', 'react', 'postgres', 'redis') OR regexp_matches(name, '[a-z][A-Z]|[A-Za-z]\d') THEN 'tech' WHEN regexp_matches(name, '^[A-Z][a-z]+ [A-Z][a-z]+$') THEN 'person' ELSE 'unknown' END AS kind
+    FROM (SELECT s_name AS name FROM supplier UNION ALL SELECT p_name FROM part UNION ALL SELECT p_brand FROM part UNION ALL SELECT n_name FROM nation)""",
+)
+def _(spark, sf_dir):
+    t = lambda n, k: A.table(spark, sf_dir, n).select(c(k).alias("name"))
+    names = t("supplier", "s_name").union(t("part", "p_name")).union(t("part", "p_brand")).union(t("nation", "n_name"))
+    return names.select("name", T.entity_type(c("name")).alias("kind"))
+
+
+@query("conflict_types", "SELECT dst, CASE WHEN r IN ('is_a', 'works_at', 'lives_in', 'married_to', 'born_in') THEN 'identity_fact' WHEN r IN ('likes', 'prefers', 'favorite', 'dislikes') THEN 'preference' WHEN r IN ('scheduled_for', 'due_on', 'happens_at') THEN 'temporal' ELSE 'minor' END AS kind FROM (SELECT DISTINCT dst, ['is_a', 'likes', 'due_on', 'knows'][1 + CAST(substr(dst, 2) AS BIGINT) % 4] AS r FROM edges)", ("edges",))
+def _(spark, sf_dir):
+    r = F.element_at(F.array(*map(F.lit, ("is_a", "likes", "due_on", "knows"))), (F.substring("dst", 2, 20).cast("long") % 4 + 1).cast("int"))
+    return A.edges(spark, sf_dir).select("dst").distinct().select("dst", T.conflict_type(r).alias("kind"))
+
+
+@query("date_like_tokens", r"SELECT p_name AS token, regexp_matches(p_name, '^\d{4}(-\d{1,2}){0,2}$') AS is_date FROM part UNION ALL SELECT strftime(o_orderdate, '%Y-%m-%d'), true FROM orders")
+def _(spark, sf_dir):
+    names = A.table(spark, sf_dir, "part").select(c("p_name").alias("token")).union(A.table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd")))
+    return names.select("token", T.is_date_like(c("token")).alias("is_date"))
+
+
+@query(
+    "token_jaccard",
+    f"""WITH t AS (SELECT conv_id, turn, list_distinct({TOK}) AS t FROM conversations) SELECT a.conv_id, a.turn, round(CASE WHEN len(list_distinct(list_concat(a.t, b.t))) > 0 THEN len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE ELSE 0 END, 6) AS jaccard
+    FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""",
+)
+def _(spark, sf_dir):
+    t = A.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_distinct(T.tokens(c("text"))).alias("t"))
+    after = t.withColumn("next", F.lead("t").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return after.where("next is not null").select("conv_id", "turn", F.round(T.jaccard(c("t"), c("next")), 6).alias("jaccard"))
+
+
+@query("normalize_lineage", "SELECT src, dst, extractor, polarity, array_to_string(lineage, ',') AS lineage, len(lineage) AS n FROM claims", ("claims",))
+def _(spark, sf_dir):
+    return A.claims(spark, sf_dir).select("src", "dst", "extractor", "polarity", F.array_join("lineage", ",").alias("lineage"), F.size("lineage").cast("long").alias("n"))
+
+
+@query("content_hashes", "SELECT src, sha256(string_agg(DISTINCT dst, '|' ORDER BY dst)) AS hash FROM claims GROUP BY src", ("claims",))
+def _(spark, sf_dir):
+    return A.claims(spark, sf_dir).groupBy("src").agg(T.content_hash(F.collect_set("dst")).alias("hash"))
+
+
+@query("cooldown_keys", "SELECT session_id, 'redundancy:' || string_agg(rid::VARCHAR, ',' ORDER BY rid::VARCHAR) AS key FROM memories GROUP BY session_id", ("memories",))
+def _(spark, sf_dir):
+    return A.memories(spark, sf_dir).groupBy("session_id").agg(T.cooldown_key(F.lit("redundancy"), F.collect_list(c("rid").cast("string"))).alias("key"))
+
+
+@query(
+    "bm25_topk",
+    f"""WITH p AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({TOK}) AS token FROM documents) GROUP BY 1, 2), l AS (SELECT doc_id, sum(tf) AS len FROM p GROUP BY 1), g AS (SELECT count(*) AS n, avg(len) AS al FROM l),
+    q AS (SELECT DISTINCT item_id, unnest({TOK}) AS token FROM benchmark), d AS (SELECT token, count(*) AS df FROM p GROUP BY 1),
+    s AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al))) AS score FROM q JOIN p USING (token) JOIN d USING (token) JOIN l USING (doc_id), g GROUP BY 1, 2)
+    SELECT item_id, doc_id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS k FROM s) WHERE k <= 10""",
+)
+def _(spark, sf_dir):
+    index = R.Postings(docs(spark, sf_dir), "doc_id")
+    terms = A.table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(T.tokens(c("text")))).alias("token"))
+    s = index.bm25(terms, "item_id")
+    top = R.top_per(s, "item_id", F.round("score", 9), "doc_id", 10)
+    return top.select("item_id", "doc_id", F.round("score", 5).alias("score"))

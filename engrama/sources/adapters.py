@@ -102,8 +102,8 @@ CTES = {
         CASE WHEN doc_id % 23 = 0 THEN 'cold' ELSE 'hot' END AS storage_tier, doc_id * 13 % 100 AS session_id,
         CASE WHEN doc_id % 4 = 0 THEN ['joy', 'calm', 'fear'][1 + doc_id % 3] END AS emotion FROM documents)""",
     "vectors": "vectors AS (SELECT vec_id AS rid, embedding::DOUBLE[] AS v, label FROM embeddings)",
-    "edges": """edges AS (SELECT src, rel, dst, least(1.0::DOUBLE, count(*) / 10.0::DOUBLE) AS weight, epoch(max(at))::DOUBLE AS created_at FROM (
-        SELECT 's' || l_suppkey AS src, 'supplies' AS rel, 'p' || l_partkey AS dst, l_shipdate AS at FROM lineitem
+    "edges": """edges AS (SELECT src, rel, dst, least(1.0::DOUBLE, count(*) / 10.0::DOUBLE) AS weight, epoch(max(seen_at))::DOUBLE AS created_at FROM (
+        SELECT 's' || l_suppkey AS src, 'supplies' AS rel, 'p' || l_partkey AS dst, l_shipdate AS seen_at FROM lineitem
         UNION ALL SELECT 'c' || o_custkey, 'buys', 'p' || l_partkey, l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY src, rel, dst)""",
     "claims": """claims AS (SELECT 's' || l_suppkey AS src, 'supplies' AS rel, 'p' || l_partkey AS dst, extractor, polarity, 'ns' || (l_partkey % 3) AS namespace,
         epoch(f)::DOUBLE AS valid_from, CASE WHEN t > f THEN epoch(t)::DOUBLE END AS valid_to, lineage, line % 6 AS modality, q < 10 AS self_generated, source_rid, 0.5::DOUBLE + 5 * d AS weight, epoch(f)::DOUBLE AS created_at

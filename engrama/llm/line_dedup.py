@@ -14,6 +14,8 @@ from .common import materialize, without
 
 #: First hex digits of the rolling hash that end a chunk: 5 in 16, so chunks have about three lines.
 ENDS = "01234"
+#: A hot group's chunks are compared in so many parts first.
+SALTS = 32
 
 
 def _with_chunks(df: DataFrame, text: Column, window: int) -> DataFrame:
@@ -40,19 +42,31 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     A text whose chunks all go becomes empty. An input column named lines_removed is replaced.
     """
     df = without(df, "lines_removed")
-    keyed = df.withColumn("_ld_t", F.md5(F.coalesce(F.col(text_col), F.lit("")))).withColumn("_ld_i", F.col(id_col))
+    keyed = df.withColumn("_ld_t", F.xxhash64(text_col)).withColumn("_ld_i", F.col(id_col))
     rows = _with_chunks(keyed.select("_ld_i", "_ld_t", F.col(text_col).alias("_ld_x")), F.col("_ld_x"), window)
-    rows = rows.select("_ld_i", "_ld_t", F.posexplode("_ld_c").alias("_ld_p", "_ld_c")).where(F.size("_ld_c") >= min_lines)
+    # the outer form has Spark infer no filter that would repeat the whole expression below
+    rows = rows.select("_ld_i", "_ld_t", F.posexplode_outer("_ld_c").alias("_ld_p", "_ld_c")).where(F.size("_ld_c") >= min_lines)
     rows = rows.select("_ld_i", "_ld_t", "_ld_p", F.array_join("_ld_c", "\n").alias("_ld_b")).where(F.trim(F.regexp_replace("_ld_b", "\n", "")) != "")
-    rows = rows.withColumn("_ld_h", F.md5("_ld_b"))
+    rows = rows.withColumn("_ld_h", F.unhex(F.md5("_ld_b")))
     place = F.struct("_ld_i", "_ld_t", "_ld_p")
-    groups = rows.groupBy("_ld_h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last")))
+    hashes = materialize(rows.drop("_ld_b"), "line-chunks")
+    groups = hashes.groupBy("_ld_h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last")))
     groups = materialize(groups.select("_ld_h", "first"), "line-groups")
-    found = rows.join(groups, "_ld_h").withColumn("_ld_f", place.eqNullSafe(F.col("first")))
-    firsts = found.where("_ld_f").select("_ld_h", F.col("_ld_b").alias("_ld_b1")).dropDuplicates(["_ld_h"])
-    gone = found.where("not _ld_f").join(firsts, "_ld_h").where("_ld_b = _ld_b1")
+
+    # the bytes of a group's chunks are equal exactly if its least and its greatest are; hot groups go in parts first
+    salted = rows.withColumn("_ld_r", F.pmod(F.xxhash64("_ld_i"), F.lit(SALTS)).cast("int"))
+    parts = groups.select("_ld_h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_ld_r"))
+    ends = salted.join(parts.hint("merge"), ["_ld_h", "_ld_r"]).groupBy("_ld_h", "_ld_r").agg(F.min("_ld_b").alias("low"), F.max("_ld_b").alias("high"))
+    ends = ends.groupBy("_ld_h").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    differ = materialize(ends.where("low <> high").select("_ld_h"), "line-differ")
+    gone = hashes.join(groups, "_ld_h").where(~place.eqNullSafe(F.col("first")))
+    if not differ.isEmpty():  # other bytes under one hash: there the bytes make the groups
+        mixed = rows.join(differ, "_ld_h", "left_semi")
+        firsts = mixed.groupBy("_ld_b").agg(F.min(place).alias("first"))
+        gone = gone.join(differ, "_ld_h", "left_anti").unionByName(mixed.join(firsts, "_ld_b").where(~place.eqNullSafe(F.col("first"))).select(*gone.columns))
     gone = materialize(gone.groupBy("_ld_i", "_ld_t").agg(F.collect_set("_ld_p").alias("_ld_gone")), "line-gone")
-    out = keyed.join(gone.withColumnsRenamed({"_ld_i": "_ld_gi", "_ld_t": "_ld_gt"}), F.col("_ld_i").eqNullSafe(F.col("_ld_gi")) & (F.col("_ld_t") == F.col("_ld_gt")), "left")
+    gone = gone.withColumnsRenamed({"_ld_i": "_ld_gi", "_ld_t": "_ld_gt"}).hint("merge")
+    out = keyed.join(gone, F.col("_ld_i").eqNullSafe(F.col("_ld_gi")) & (F.col("_ld_t") == F.col("_ld_gt")), "left")
     hit = F.col("_ld_gone").isNotNull()
     out = _with_chunks(out, F.when(hit, F.col(text_col)), window)
     kept = F.filter("_ld_c", lambda c, k: ~F.array_contains("_ld_gone", k))

@@ -1 +1,190 @@
-"""Queries."""
+"""Queries of claims, propositions, evidence mass and contests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from engrama.functions import timing as T
+from engrama.operators import claims as C
+from engrama.plans.registry import query
+from engrama.sources import adapters as A
+
+c = F.col
+PROP = "src, rel, dst, namespace"
+KEY = ["src", "rel", "dst", "namespace"]
+
+
+def claims(spark, sf_dir):
+    return A.claims(spark, sf_dir)
+
+
+@query("get_claims", "SELECT src, dst, polarity, extractor, valid_from FROM claims WHERE src = 's1' OR dst = 'p5' ORDER BY valid_from DESC, src, dst, extractor, polarity", ("claims",))
+def _(spark, sf_dir):
+    return claims(spark, sf_dir).where("src = 's1' or dst = 'p5'").orderBy(F.desc("valid_from"), "src", "dst", "extractor", "polarity").select("src", "dst", "polarity", "extractor", "valid_from")
+
+
+@query("claim_status", "SELECT src, dst, extractor, polarity, CASE WHEN polarity < 0 THEN 'negative' WHEN valid_to IS NOT NULL AND valid_to < 1000000000.0 THEN 'historical' WHEN valid_to IS NOT NULL THEN 'superseded' ELSE 'current' END AS status FROM claims", ("claims",))
+def _(spark, sf_dir):
+    s = F.when(c("polarity") < 0, "negative").when(c("valid_to") < 1e9, "historical").when(c("valid_to").isNotNull(), "superseded").otherwise("current")
+    return claims(spark, sf_dir).select("src", "dst", "extractor", "polarity", s.alias("status"))
+
+
+@query("polarity_conflicts", f"SELECT DISTINCT {PROP} FROM claims a WHERE polarity = 1 AND EXISTS (SELECT 1 FROM claims b WHERE b.src = a.src AND b.rel = a.rel AND b.dst = a.dst AND b.namespace = a.namespace AND b.polarity = -1)", ("claims",))
+def _(spark, sf_dir):
+    # one aggregation instead of a self-join
+    return claims(spark, sf_dir).groupBy(*KEY).agg(F.min("polarity").alias("a"), F.max("polarity").alias("b")).where("a = -1 and b = 1").select(*KEY)
+
+
+@query(
+    "claim_object_conflicts",
+    """WITH k AS (SELECT DISTINCT src, rel, namespace, dst FROM claims WHERE polarity = 1 AND extractor = 'O') SELECT src, rel, namespace, count(*) AS objects, count(*) * (count(*) - 1) // 2 AS pairs, min(dst) AS first_dst, max(dst) AS last_dst FROM k GROUP BY 1, 2, 3 HAVING count(*) > 1""",
+    ("claims",),
+)
+def _(spark, sf_dir):
+    # the number of conflicting pairs follows from the number of objects: no pair is made
+    k = claims(spark, sf_dir).where("polarity = 1 and extractor = 'O'").select("src", "rel", "namespace", "dst").distinct()
+    g = k.groupBy("src", "rel", "namespace").agg(F.count("*").alias("objects"), F.min("dst").alias("first_dst"), F.max("dst").alias("last_dst")).where("objects > 1")
+    return g.select("src", "rel", "namespace", "objects", F.expr("objects * (objects - 1) div 2").alias("pairs"), "first_dst", "last_dst")
+
+
+OMEGA = f"""n AS (SELECT *, count(*) OVER (PARTITION BY {PROP}, polarity) AS same, count(*) OVER (PARTITION BY {PROP}, polarity, array_to_string(lineage, ',')) AS twin, avg(self_generated::INT) OVER (PARTITION BY {PROP}, polarity) AS sg FROM claims),
+    o AS (SELECT *, 1 / (1 + 0.5 * (twin - 1) / same::DOUBLE + 0.3 * (same - 1) / (same + 1)::DOUBLE + 0.7 * CASE WHEN self_generated THEN 1 ELSE 0 END) AS omega FROM n)"""
+
+
+@query("claim_omegas", f"WITH {OMEGA} SELECT src, dst, extractor, polarity, round(omega, 6) AS omega FROM o", ("claims",))
+def _(spark, sf_dir):
+    return C.omegas(claims(spark, sf_dir)).select("src", "dst", "extractor", "polarity", F.round("omega", 6).alias("omega"))
+
+
+@query("lineage_mass", f"WITH {OMEGA} SELECT {PROP}, round(sum(CASE WHEN polarity = 1 THEN weight * omega ELSE 0 END), 6) AS support, round(sum(CASE WHEN polarity = -1 THEN weight * omega ELSE 0 END), 6) AS attack, count(*) AS claims FROM o GROUP BY {PROP}", ("claims",))
+def _(spark, sf_dir):
+    return C.mass(claims(spark, sf_dir)).select(*KEY, F.round("support", 6).alias("support"), F.round("attack", 6).alias("attack"), "claims")
+
+
+@query("modality_consilience", f"SELECT {PROP}, round(count(DISTINCT modality) / 6.0::DOUBLE, 6) AS consilience, round(avg(self_generated::INT), 6) AS self_generated FROM claims GROUP BY {PROP}", ("claims",))
+def _(spark, sf_dir):
+    return claims(spark, sf_dir).groupBy(*KEY).agg(F.round(F.countDistinct("modality") / 6.0, 6).alias("consilience"), F.round(F.avg(c("self_generated").cast("int")), 6).alias("self_generated"))
+
+
+@query(
+    "temporal_coherence",
+    f"""WITH l AS (SELECT {PROP}, polarity, lag(polarity) OVER (PARTITION BY {PROP} ORDER BY created_at, extractor, polarity) AS before FROM claims)
+    SELECT {PROP}, round(CASE WHEN count(*) > 1 THEN 1 - sum(CASE WHEN before <> polarity THEN 1 ELSE 0 END) / (count(*) - 1)::DOUBLE ELSE 1 END, 6) AS coherence FROM l GROUP BY {PROP}""",
+    ("claims",),
+)
+def _(spark, sf_dir):
+    return C.temporal_coherence(claims(spark, sf_dir)).select(*KEY, F.round("coherence", 6).alias("coherence"))
+
+
+@query(
+    "leave_one_out_jaccard",
+    f"""WITH e AS (SELECT {PROP}, extractor, polarity, unnest(lineage) AS x FROM claims), k AS (SELECT {PROP}, x, count(*) AS n FROM e GROUP BY {PROP}, x), w AS (SELECT {PROP}, count(*) AS every FROM k GROUP BY {PROP}),
+    s AS (SELECT {PROP}, extractor, polarity, sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS shared FROM e JOIN k USING ({PROP}, x) GROUP BY {PROP}, extractor, polarity), m AS (SELECT {PROP}, count(*) AS c FROM claims GROUP BY {PROP})
+    SELECT {PROP}, extractor, polarity, round(CASE WHEN c > 1 THEN shared / every::DOUBLE ELSE 0 END, 6) AS jaccard FROM s JOIN w USING ({PROP}) JOIN m USING ({PROP})""",
+    ("claims",),
+)
+def _(spark, sf_dir):
+    return C.leave_one_out(claims(spark, sf_dir)).select(*KEY, "extractor", "polarity", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query(
+    "contest_flags",
+    f"""WITH g AS (SELECT {PROP}, count(*) AS n, count(DISTINCT array_to_string(lineage, ',')) AS lineages, count(DISTINCT source_rid) AS sources, count(DISTINCT extractor) AS extractors, min(polarity) AS lo, max(polarity) AS hi,
+    count(*) FILTER (valid_to IS NULL AND polarity = 1) AS now_pos, count(*) FILTER (valid_to IS NULL AND polarity = -1) AS now_neg, count(DISTINCT modality) AS mods FROM claims GROUP BY {PROP})
+    SELECT {PROP}, (CASE WHEN lineages < n THEN 1 ELSE 0 END + CASE WHEN sources < n THEN 2 ELSE 0 END + CASE WHEN mods > 2 THEN 4 ELSE 0 END + CASE WHEN sources < extractors THEN 8 ELSE 0 END + CASE WHEN now_pos > 0 AND now_neg > 0 THEN 16 ELSE 0 END)::BIGINT AS flags FROM g""",
+    ("claims",),
+)
+def _(spark, sf_dir):
+    return C.contest_flags(claims(spark, sf_dir)).select(*KEY, "flags")
+
+
+@query("flagged_propositions", f"WITH g AS (SELECT {PROP}, count(*) FILTER (valid_to IS NULL AND polarity = 1) AS a, count(*) FILTER (valid_to IS NULL AND polarity = -1) AS b FROM claims GROUP BY {PROP}) SELECT {PROP} FROM g WHERE a > 0 AND b > 0", ("claims",))
+def _(spark, sf_dir):
+    return C.contest_flags(claims(spark, sf_dir)).where(c("flags").bitwiseAND(F.lit(16)) != 0).select(*KEY)
+
+
+@query("same_lineage_opposites", f"SELECT {PROP}, count(*) AS pairs FROM claims a JOIN claims b USING ({PROP}) WHERE a.polarity = 1 AND b.polarity = -1 AND a.lineage = b.lineage GROUP BY {PROP}", ("claims",))
+def _(spark, sf_dir):
+    g = claims(spark, sf_dir).groupBy(*KEY, "lineage").agg(F.count_if(c("polarity") == 1).alias("a"), F.count_if(c("polarity") == -1).alias("b"))
+    return g.groupBy(*KEY).agg(F.sum(c("a") * c("b")).alias("pairs")).where("pairs > 0")
+
+
+@query("same_artifact_extractors", "SELECT source_rid, count(DISTINCT extractor) AS extractors, count(*) AS claims FROM claims GROUP BY source_rid HAVING count(DISTINCT extractor) > 1", ("claims",))
+def _(spark, sf_dir):
+    return claims(spark, sf_dir).groupBy("source_rid").agg(F.countDistinct("extractor").alias("extractors"), F.count("*").alias("claims")).where("extractors > 1")
+
+
+@query(
+    "temporal_conflict_counts",
+    f"""SELECT {PROP}, count(*) FILTER (WHERE NOT (coalesce(a.valid_to, 1e18) < b.valid_from OR coalesce(b.valid_to, 1e18) < a.valid_from)) AS overlapping, count(*) FILTER (WHERE coalesce(a.valid_to, 1e18) < b.valid_from OR coalesce(b.valid_to, 1e18) < a.valid_from) AS separable
+    FROM claims a JOIN claims b USING ({PROP}) WHERE a.polarity = 1 AND b.polarity = -1 GROUP BY {PROP}""",
+    ("claims",),
+)
+def _(spark, sf_dir):
+    # a proposition has one claim per extractor and polarity, so its pairs are few
+    a = claims(spark, sf_dir).where("polarity = 1").select(*KEY, c("valid_from").alias("a0"), c("valid_to").alias("a1"))
+    b = claims(spark, sf_dir).where("polarity = -1").select(*KEY, c("valid_from").alias("b0"), c("valid_to").alias("b1"))
+    apart = T.disjoint(c("a0"), c("a1"), c("b0"), c("b1"))
+    return a.join(b, KEY).groupBy(*KEY).agg(F.count_if(~apart).alias("overlapping"), F.count_if(apart).alias("separable"))
+
+
+@query(
+    "interval_relations",
+    f"""SELECT {PROP}, a.extractor AS ea, b.extractor AS eb, CASE WHEN a.valid_from = b.valid_from AND a.valid_to = b.valid_to THEN 'equals' WHEN abs(a.valid_to - b.valid_from) <= 0.5 THEN 'meets' WHEN abs(b.valid_to - a.valid_from) <= 0.5 THEN 'met_by' WHEN a.valid_to < b.valid_from THEN 'before' WHEN b.valid_to < a.valid_from THEN 'after'
+    WHEN a.valid_from = b.valid_from AND a.valid_to < b.valid_to THEN 'starts' WHEN a.valid_from = b.valid_from AND a.valid_to > b.valid_to THEN 'started_by' WHEN a.valid_to = b.valid_to AND a.valid_from > b.valid_from THEN 'finishes' WHEN a.valid_to = b.valid_to AND a.valid_from < b.valid_from THEN 'finished_by'
+    WHEN a.valid_from > b.valid_from AND a.valid_to < b.valid_to THEN 'during' WHEN a.valid_from < b.valid_from AND a.valid_to > b.valid_to THEN 'contains' WHEN a.valid_from < b.valid_from THEN 'overlaps' ELSE 'overlapped_by' END AS relation
+    FROM claims a JOIN claims b USING ({PROP}, polarity) WHERE a.extractor < b.extractor AND a.valid_to IS NOT NULL AND b.valid_to IS NOT NULL""",
+    ("claims",),
+)
+def _(spark, sf_dir):
+    rows = claims(spark, sf_dir).where("valid_to is not null")
+    a = rows.select(*KEY, "polarity", c("extractor").alias("ea"), c("valid_from").alias("a0"), c("valid_to").alias("a1"))
+    b = rows.select(*KEY, "polarity", c("extractor").alias("eb"), c("valid_from").alias("b0"), c("valid_to").alias("b1"))
+    return a.join(b, [*KEY, "polarity"]).where("ea < eb").select(*KEY, "ea", "eb", T.allen(c("a0"), c("a1"), c("b0"), c("b1")).alias("relation"))
+
+
+@query("interval_overlap_unknown", f"SELECT {PROP}, polarity, CASE WHEN valid_to < 9.5e8 THEN false WHEN valid_from IS NULL OR valid_to IS NULL THEN NULL ELSE valid_to >= 9.5e8 END AS overlaps FROM claims WHERE extractor = 'O'".replace("WHEN valid_to < 9.5e8 THEN false", "WHEN valid_to < 9.5e8 OR 1e9 < valid_from THEN false").replace("ELSE valid_to >= 9.5e8", "ELSE valid_to >= 9.5e8 AND 1e9 >= valid_from").replace("WHEN valid_from IS NULL OR valid_to IS NULL THEN NULL", "WHEN valid_from IS NULL THEN NULL WHEN valid_to IS NULL THEN 1e9 >= valid_from"), ("claims",))
+def _(spark, sf_dir):
+    return claims(spark, sf_dir).where("extractor = 'O'").select(*KEY, "polarity", T.overlap(c("valid_from"), c("valid_to"), F.lit(9.5e8), F.lit(1e9)).alias("overlaps"))
+
+
+@query("move_type_profiles", "SELECT o_orderpriority AS move_type, o_orderstatus AS outcome, count(*) AS moves, round(avg(CASE WHEN o_totalprice > 100000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS contradiction_rate FROM orders GROUP BY 1, 2")
+def _(spark, sf_dir):
+    o = A.table(spark, sf_dir, "orders")
+    return o.groupBy(c("o_orderpriority").alias("move_type"), c("o_orderstatus").alias("outcome")).agg(F.count("*").alias("moves"), F.round(F.avg(F.when(c("o_totalprice") > 100000, 1.0).otherwise(0.0)), 6).alias("contradiction_rate"))
+
+
+@query("moves_consuming_claims", "SELECT l_partkey AS claim, count(DISTINCT l_orderkey) AS moves FROM lineitem GROUP BY 1")
+def _(spark, sf_dir):
+    return A.table(spark, sf_dir, "lineitem").groupBy(c("l_partkey").alias("claim")).agg(F.countDistinct("l_orderkey").alias("moves"))
+
+
+@query(
+    "move_canonical",
+    "SELECT l_orderkey AS move, max_by(l_returnflag, struct_pack(a := l_shipdate, b := l_linenumber, c := l_partkey)) FILTER (WHERE l_returnflag <> 'N') AS outcome, max_by(l_quantity, struct_pack(a := l_shipdate, b := l_linenumber, c := l_partkey)) AS effort FROM lineitem GROUP BY 1",
+)
+def _(spark, sf_dir):
+    li = A.table(spark, sf_dir, "lineitem")
+    newest = F.struct("l_shipdate", "l_linenumber", "l_partkey")
+    return li.groupBy(c("l_orderkey").alias("move")).agg(F.max_by("l_returnflag", F.when(c("l_returnflag") != "N", newest)).alias("outcome"), F.max_by("l_quantity", newest).alias("effort"))
+
+
+@query(
+    "self_gen_ancestry",
+    """WITH p AS (SELECT src, dst, self_generated FROM claims), a AS (SELECT DISTINCT x.src AS claim, y.src AS parent FROM p x JOIN p y ON x.dst = y.dst AND x.src <> y.src), s AS (SELECT src, avg(self_generated::INT) AS share FROM p GROUP BY src)
+    SELECT claim, round(avg(share), 6) AS ancestral FROM a JOIN s ON s.src = a.parent GROUP BY claim""",
+    ("claims",),
+)
+def _(spark, sf_dir):
+    p = claims(spark, sf_dir).select("src", "dst").distinct()
+    up = p.withColumnRenamed("src", "claim").join(p.withColumnRenamed("src", "parent"), "dst").where("claim <> parent").select("claim", "parent").distinct()
+    share = claims(spark, sf_dir).groupBy(c("src").alias("parent")).agg(F.avg(c("self_generated").cast("int")).alias("share"))
+    return up.join(share, "parent").groupBy("claim").agg(F.round(F.avg("share"), 6).alias("ancestral"))
+
+
+@query("policy_fallback", "SELECT DISTINCT namespace, CASE namespace WHEN 'ns0' THEN 'strict' ELSE 'lenient' END AS policy FROM claims", ("claims",))
+def _(spark, sf_dir):
+    policies = spark.createDataFrame([("ns0", "strict"), ("*", "lenient")], "pns string, policy string")
+    rows = claims(spark, sf_dir).select("namespace").distinct()
+    own, common = policies.where("pns <> '*'").select(c("pns").alias("namespace"), c("policy").alias("own")), policies.where("pns = '*'").select(c("policy").alias("common"))
+    return rows.join(own, "namespace", "left").crossJoin(common).select("namespace", F.coalesce("own", "common").alias("policy"))  # common is one row

@@ -1 +1,198 @@
-"""Queries."""
+"""Queries of event and temporal analytics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from engrama.operators import events as E
+from engrama.plans.registry import query
+from engrama.sources import adapters as A
+
+c = F.col
+
+
+def ev(spark, sf_dir):
+    return A.events(spark, sf_dir)
+
+
+@query("event_predicates", "SELECT event_id, user_id, kind FROM ev WHERE kind IN ('error', 'purchase') AND t BETWEEN 1704500000 AND 1705500000 AND k < 50", ("ev",))
+def _(spark, sf_dir):
+    return ev(spark, sf_dir).where(c("kind").isin("error", "purchase") & c("t").between(1704500000, 1705500000) & (c("k") < 50)).select("event_id", "user_id", "kind")
+
+
+@query("events_in_window", "SELECT event_id, t FROM ev WHERE t BETWEEN 1704500000 AND 1704600000 ORDER BY t DESC, event_id", ("ev",))
+def _(spark, sf_dir):
+    return ev(spark, sf_dir).where(c("t").between(1704500000, 1704600000)).orderBy(F.desc("t"), "event_id").select("event_id", "t")
+
+
+@query("event_counters", "SELECT kind, count(*) AS n, count(DISTINCT user_id) AS users, round(avg(value), 6) AS mean, min(t) AS first_t, max(t) AS last_t FROM ev GROUP BY kind", ("ev",))
+def _(spark, sf_dir):
+    return ev(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.avg("value"), 6).alias("mean"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+
+
+@query("hour_histogram", "SELECT kind, CAST(floor((t % 86400) / 3600) AS BIGINT) AS hour, count(*) AS n FROM ev GROUP BY 1, 2", ("ev",))
+def _(spark, sf_dir):
+    return ev(spark, sf_dir).groupBy("kind", F.floor(F.pmod(c("t"), F.lit(86400.0)) / 3600).alias("hour")).agg(F.count("*").alias("n"))
+
+
+@query("peak_hour", "SELECT kind, max_by(hour, struct_pack(a := n, b := hour)) AS peak FROM (SELECT kind, CAST(floor((t % 86400) / 3600) AS BIGINT) AS hour, count(*) AS n FROM ev GROUP BY 1, 2) GROUP BY kind", ("ev",))
+def _(spark, sf_dir):
+    h = ev(spark, sf_dir).groupBy("kind", F.floor(F.pmod(c("t"), F.lit(86400.0)) / 3600).alias("hour")).agg(F.count("*").alias("n"))
+    return h.groupBy("kind").agg(F.max_by("hour", F.struct("n", "hour")).alias("peak"))
+
+
+@query("sliding_rates", "SELECT w, kind, count(*) AS n FROM (SELECT kind, unnest(range(CAST(floor(t / 300) AS BIGINT) - 11, CAST(floor(t / 300) AS BIGINT) + 1)) * 300 AS w FROM ev) GROUP BY 1, 2", ("ev",))
+def _(spark, sf_dir):
+    r = ev(spark, sf_dir).groupBy(F.window("ts", "1 hour", "5 minutes"), "kind").agg(F.count("*").alias("n"))
+    return r.select(F.unix_seconds("window.start").alias("w"), "kind", "n")
+
+
+@query("session_windows", "WITH g AS (SELECT user_id, t, CASE WHEN lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) IS NULL OR t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) >= 1800 THEN 1 ELSE 0 END AS fresh, event_id FROM ev), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t, event_id) AS s FROM g) SELECT user_id, CAST(count(*) AS BIGINT) AS n, round(min(t), 3) AS start FROM s GROUP BY user_id, s", ("ev",))
+def _(spark, sf_dir):
+    s = ev(spark, sf_dir).groupBy(F.session_window("ts", "30 minutes"), "user_id").agg(F.count("*").alias("n"), F.min("t").alias("start"))
+    return s.select("user_id", "n", F.round("start", 3).alias("start"))
+
+
+@query(
+    "lag_pairs",
+    """SELECT a.kind AS cause, b.kind AS effect, count(*) AS n, round(avg(lag), 4) AS lag_mean FROM (SELECT a.event_id, a.kind, b.kind AS k2, min(epoch_us(b.ts) - epoch_us(a.ts)) / 1e6 AS lag FROM ev a JOIN ev b ON a.user_id = b.user_id AND a.kind <> b.kind
+    AND epoch_us(b.ts) - epoch_us(a.ts) BETWEEN 500000 AND 3600000000 GROUP BY 1, 2, 3) a, (SELECT 1) x, LATERAL (SELECT a.k2 AS kind) b GROUP BY 1, 2""".replace(", (SELECT 1) x, LATERAL (SELECT a.k2 AS kind) b", "").replace("b.kind AS effect", "k2 AS effect").replace("SELECT a.kind AS cause", "SELECT a.kind AS cause"),
+    ("ev",),
+)
+def _(spark, sf_dir):
+    p = E.lag_pairs(ev(spark, sf_dir), 0.5, 3600.0)
+    return p.groupBy("cause", "effect").agg(F.count("*").alias("n"), F.round(F.avg("lag"), 4).alias("lag_mean"))
+
+
+@query("kind_sequences", "WITH g AS (SELECT kind, lag(kind) OVER w AS before, t - lag(t) OVER w AS gap FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)) SELECT before, kind, count(*) AS n, round(avg(gap), 4) AS gap FROM g WHERE before <> kind AND gap <= 21600 GROUP BY 1, 2", ("ev",))
+def _(spark, sf_dir):
+    w = E.in_order("user_id")
+    g = ev(spark, sf_dir).select("kind", F.lag("kind").over(w).alias("before"), (c("t") - F.lag("t").over(w)).alias("gap"))
+    return g.where("before <> kind and gap <= 21600").groupBy("before", "kind").agg(F.count("*").alias("n"), F.round(F.avg("gap"), 4).alias("gap"))
+
+
+def _motif_sql(n):
+    leads = ", ".join(f"lead(kind, {k}) OVER w AS k{k}, lead(t, {k}) OVER w AS t{k}" for k in range(1, n))
+    ts = ["t"] + [f"t{k}" for k in range(1, n)]
+    fits = " AND ".join(f"{b} - {a} <= 43200" for a, b in zip(ts, ts[1:]))
+    names = " || '>' || ".join(["kind"] + [f"k{k}" for k in range(1, n)])
+    return f"WITH l AS (SELECT kind, t, {leads} FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)) SELECT {names} AS motif, count(*) AS n, round(avg(({ts[-1]} - t) / {n - 1}), 3) AS gap_mean, round(stddev_pop(({ts[-1]} - t) / {n - 1}) / avg(({ts[-1]} - t) / {n - 1}), 5) AS gap_cv FROM l WHERE {fits} GROUP BY 1"
+
+
+def _motif(n):
+    @query(f"motifs_{n}", _motif_sql(n), ("ev",))
+    def _(spark, sf_dir):
+        return E.motifs(ev(spark, sf_dir), n, 43200.0).select("motif", "n", F.round("gap_mean", 3).alias("gap_mean"), F.round("gap_cv", 5).alias("gap_cv"))
+
+
+for _n in (2, 3, 4, 5):
+    _motif(_n)
+
+
+@query("event_chains", "WITH g AS (SELECT *, CASE WHEN coalesce(t - lag(t) OVER w, 1e18) > 7200 THEN 1 ELSE 0 END AS fresh FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t, event_id) AS chain FROM g) SELECT user_id, CAST(chain AS BIGINT) AS chain, count(*) AS n, round(max(t) - min(t), 3) AS span FROM s GROUP BY 1, 2", ("ev",))
+def _(spark, sf_dir):
+    return E.chains(ev(spark, sf_dir), 7200.0).select("user_id", "chain", "n", F.round(c("stop") - c("start"), 3).alias("span"))
+
+
+_PER = " UNION ALL ".join(f"SELECT kind, count(*) AS n, '{k}' AS period, {p} AS seconds, sqrt(pow(sum(cos(t * (2 * pi() / {p}))), 2) + pow(sum(sin(t * (2 * pi() / {p}))), 2)) / count(*) AS strength, max(t) - min(t) AS span FROM ev GROUP BY kind" for k, p in E.PERIODS.items())
+
+
+@query("periodicity", f"WITH p AS ({_PER}) SELECT kind, n, period, round(strength, 4) AS strength FROM p WHERE span >= 1.5 * seconds", ("ev",))
+def _(spark, sf_dir):
+    return E.periodicity(ev(spark, sf_dir), "kind").select("kind", "n", "period", F.round("strength", 4).alias("strength"))
+
+
+@query(
+    "burst_windows",
+    """WITH r AS (SELECT user_id, CAST(floor((t - min(t) OVER (PARTITION BY user_id)) / 86400) AS BIGINT) AS bin FROM ev WHERE kind = 'click'), n AS (SELECT user_id, bin, count(*) AS n FROM r GROUP BY 1, 2), e AS (SELECT user_id, unnest(range(max(bin) + 1)) AS bin FROM n GROUP BY user_id)
+    SELECT user_id, bin, coalesce(n, 0) AS n FROM e LEFT JOIN n USING (user_id, bin)""",
+    ("ev",),
+)
+def _(spark, sf_dir):
+    return E.bins(ev(spark, sf_dir).where("kind = 'click'"), 86400.0, "user_id")
+
+
+@query("burst_scores")
+def _(spark, sf_dir):
+    b = E.bins(ev(spark, sf_dir).where("kind = 'click'"), 86400.0, "user_id")
+    rows = b.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "n"))), lambda x: x["n"].cast("double")).alias("x"))
+    return rows.select("user_id", E.ewma(c("x")).alias("s")).select("user_id", F.round("s.mean", 6).alias("mean"), F.round("s.z", 6).alias("z"), (F.abs("s.z") > 2.5).alias("anomaly"))
+
+
+@query(
+    "hawkes_fit",
+    """WITH g AS (SELECT user_id, event_id, t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS gap FROM ev), h AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY gap, event_id) - 1 AS r, count(*) OVER (PARTITION BY user_id) AS n FROM g WHERE gap IS NOT NULL),
+    s AS (SELECT user_id, max(n) AS n, avg(gap) AS m, var_pop(gap) AS v, max(CASE WHEN r = n // 2 THEN gap END) AS med FROM h GROUP BY user_id HAVING max(n) >= 3)
+    SELECT user_id, n, round(1 / m, 9) AS mu, round(greatest(0.05, least(0.85, v / (m * m) / (1 + v / (m * m)))), 6) AS branching, round(1 / med, 9) AS beta FROM s""",
+    ("ev",),
+)
+def _(spark, sf_dir):
+    return E.hawkes_fit(ev(spark, sf_dir), "user_id").select("user_id", "n", F.round("mu", 9).alias("mu"), F.round("branching", 6).alias("branching"), F.round("beta", 9).alias("beta"))
+
+
+@query("circadian_profile", "WITH h AS (SELECT kind, CAST(floor((t % 86400) / 3600) AS BIGINT) AS hour, count(*) AS n FROM ev GROUP BY 1, 2), k AS (SELECT kind, sum(n) AS total, unnest(range(24)) AS hour FROM h GROUP BY kind) SELECT kind, hour, round(24 * (coalesce(n, 0) + 1) / (total + 24)::DOUBLE, 6) AS weight FROM k LEFT JOIN h USING (kind, hour)", ("ev",))
+def _(spark, sf_dir):
+    return E.circadian(ev(spark, sf_dir), "kind").select("kind", "hour", F.round("weight", 6).alias("weight"))
+
+
+@query("hawkes_intensity", "SELECT user_id, round(0.00001 + sum(0.0001 * exp(-0.0001 * (1706745600.0 - t))), 9) AS intensity FROM ev WHERE t < 1706745600.0 GROUP BY user_id", ("ev",))
+def _(spark, sf_dir):
+    e = ev(spark, sf_dir).where(c("t") < A.NOW)
+    return e.groupBy("user_id").agg(F.round(0.00001 + F.sum(0.0001 * F.exp(-0.0001 * (A.NOW - c("t")))), 9).alias("intensity"))
+
+
+@query(
+    "intensity_curve",
+    "SELECT user_id, h, round(0.00001 + sum(0.0001 * exp(-0.0001 * (1706745600.0 + 3600.0 * h - t))), 9) AS intensity FROM ev, (SELECT unnest(range(0, 24)) AS h) WHERE t < 1706745600.0 GROUP BY 1, 2",
+    ("ev",),
+)
+def _(spark, sf_dir):
+    # exp(-b (now + h - t)) factors, so each user's events are summed once
+    base = ev(spark, sf_dir).where(c("t") < A.NOW).groupBy("user_id").agg(F.sum(0.0001 * F.exp(-0.0001 * (A.NOW - c("t")))).alias("s"))
+    grid = base.withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long"))))
+    return grid.select("user_id", "h", F.round(0.00001 + c("s") * F.exp(-0.36 * c("h")), 9).alias("intensity"))
+
+
+@query("predict_next", "SELECT user_id, kind, round(max(t) + (max(t) - min(t)) / (count(*) - 1), 3) AS expected FROM ev GROUP BY 1, 2 HAVING count(*) > 1", ("ev",))
+def _(spark, sf_dir):
+    g = ev(spark, sf_dir).groupBy("user_id", "kind").agg(F.max("t").alias("z"), F.min("t").alias("a"), F.count("*").alias("n")).where("n > 1")
+    return g.select("user_id", "kind", F.round(c("z") + (c("z") - c("a")) / (c("n") - 1), 3).alias("expected"))
+
+
+@query(
+    "granger_lift",
+    """WITH b AS (SELECT user_id, CAST(floor(t / 86400) AS BIGINT) AS w, max(CASE WHEN kind = 'view' THEN 1 ELSE 0 END) AS c, max(CASE WHEN kind = 'purchase' THEN 1 ELSE 0 END) AS e FROM ev GROUP BY 1, 2), y AS (SELECT user_id, unnest(range(min(w), max(w) + 1)) AS w FROM b GROUP BY user_id),
+    f AS (SELECT user_id, w, coalesce(c, 0) AS c, coalesce(e, 0) AS e FROM y LEFT JOIN b USING (user_id, w)), l AS (SELECT *, lead(e) OVER (PARTITION BY user_id ORDER BY w) AS after FROM f), s AS (SELECT user_id, count(*) AS n, avg(after) AS rate, avg(CASE WHEN c = after THEN 1.0 ELSE 0.0 END) AS acc FROM l WHERE after IS NOT NULL GROUP BY user_id HAVING count(*) >= 3)
+    SELECT user_id, n, round(acc, 6) AS accuracy, round(acc - greatest(rate, 1 - rate), 6) + 0.0 AS lift FROM s""",
+    ("ev",),
+)
+def _(spark, sf_dir):
+    return E.granger(ev(spark, sf_dir), 86400.0, "view", "purchase").select("user_id", "n", F.round("accuracy", 6).alias("accuracy"), (F.round("lift", 6) + 0.0).alias("lift"))
+
+
+@query(
+    "derived_signals",
+    """SELECT user_id, count(*) AS events, round(avg(CASE WHEN kind = 'error' THEN 1.0 ELSE 0.0 END), 6) AS error_rate, round(avg(CASE WHEN kind = 'purchase' THEN 1.0 ELSE 0.0 END), 6) AS buy_rate, count(DISTINCT kind) AS kinds, round(count(*) / ((max(t) - min(t)) / 86400), 6) AS per_day,
+    round(avg(CASE WHEN (t % 86400) < 21600 THEN 1.0 ELSE 0.0 END), 6) AS night_share, round(avg(k), 6) AS k_mean FROM ev GROUP BY user_id HAVING count(*) > 1""",
+    ("ev",),
+)
+def _(spark, sf_dir):
+    share = lambda cond: F.round(F.avg(F.when(cond, 1.0).otherwise(0.0)), 6)
+    g = ev(spark, sf_dir).groupBy("user_id").agg(
+        F.count("*").alias("events"), share(c("kind") == "error").alias("error_rate"), share(c("kind") == "purchase").alias("buy_rate"), F.countDistinct("kind").alias("kinds"),
+        F.round(F.count("*") / ((F.max("t") - F.min("t")) / 86400), 6).alias("per_day"), share(F.pmod(c("t"), F.lit(86400.0)) < 21600).alias("night_share"), F.round(F.avg("k"), 6).alias("k_mean"),
+    )
+    return g.where("events > 1")
+
+
+@query("normalized_hours", "WITH h AS (SELECT CAST(floor((t % 86400) / 3600) AS BIGINT) AS hour, count(*) AS n FROM ev GROUP BY 1) SELECT hour, round(n / avg(n) OVER (), 6) AS weight FROM h", ("ev",))
+def _(spark, sf_dir):
+    h = ev(spark, sf_dir).groupBy(F.floor(F.pmod(c("t"), F.lit(86400.0)) / 3600).alias("hour")).agg(F.count("*").alias("n"))  # 24 rows
+    return h.select("hour", F.round(c("n") / F.avg("n").over(Window.partitionBy(F.lit(1))), 6).alias("weight"))
+
+
+@query("open_loops", "SELECT user_id, count(*) AS open_loops FROM (SELECT user_id, k, max(CASE WHEN kind = 'signup' THEN t END) AS a, max(CASE WHEN kind = 'purchase' THEN t END) AS b FROM ev GROUP BY 1, 2) WHERE a IS NOT NULL AND (b IS NULL OR b < a) GROUP BY user_id", ("ev",))
+def _(spark, sf_dir):
+    g = ev(spark, sf_dir).groupBy("user_id", "k").agg(F.max(F.when(c("kind") == "signup", c("t"))).alias("a"), F.max(F.when(c("kind") == "purchase", c("t"))).alias("b"))
+    return g.where("a is not null and (b is null or b < a)").groupBy("user_id").agg(F.count("*").alias("open_loops"))

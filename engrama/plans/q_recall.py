@@ -1 +1,146 @@
-"""Queries."""
+"""The recall queries: vector top-k, fused ranking, diversity, refinement."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from engrama.functions import scoring as S
+from engrama.functions import vectors as V
+from engrama.operators import memory as M
+from engrama.operators import retrieval as R
+from engrama.plans.registry import query
+from engrama.sources import adapters as A
+
+c = F.col
+NOW = A.NOW
+COS = "list_dot_product(a.v, q.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(q.v, q.v))"
+FUSED = f"""c AS (SELECT q.rid AS query_id, m.rid, greatest(0, {COS}) AS sim, importance * pow(2, -(1706745600.0 - last_access) / half_life) AS decay, exp(-(1706745600.0 - created_at) / 604800.0) AS rec, importance, valence
+    FROM vectors a JOIN memories m USING (rid), vectors q WHERE q.rid % 20 = 0 AND m.status = 'active'),
+    s AS (SELECT *, (0.5 * sim + 0.2 * decay + 0.3 * rec) * (1 + 1 / (1 + exp(-12 * (sim - 0.25))) * 0.8 * least(importance, 1)) * (1 + 0.3 * abs(valence)) AS score FROM c)"""
+
+
+def query_set(spark, sf_dir):
+    """The stated query set of searches: every row whose id is divisible by 20."""
+    return A.vectors(spark, sf_dir).where("rid % 20 = 0").select(c("rid").alias("query_id"), "v")
+
+
+def scored(spark, sf_dir, pool: int = 500):
+    """Recall candidates: the nearest `pool` active memories per query with their fused score."""
+    m = M.with_decay(M.active(A.memories(spark, sf_dir)).drop("text"), NOW)
+    rows = A.vectors(spark, sf_dir).join(m, "rid")
+    near = R.nearest(rows.select("rid", "v"), query_set(spark, sf_dir), pool)
+    out = near.join(m, "rid").withColumn("sim", F.greatest(F.lit(0.0), c("similarity")))
+    return out.withColumn("score", S.composite_score(c("sim"), c("decay"), c("recency"), c("importance"), c("valence")))
+
+
+@query("vector_topk", f"SELECT query_id, rid, round(sim, 5) AS similarity FROM (SELECT q.rid AS query_id, a.rid, {COS} AS sim, row_number() OVER (PARTITION BY q.rid ORDER BY round({COS}, 9) DESC, a.rid) AS k FROM vectors a, vectors q WHERE q.rid % 20 = 0) WHERE k <= 10", ("vectors",))
+def _(spark, sf_dir):
+    return R.nearest(A.vectors(spark, sf_dir), query_set(spark, sf_dir), 10).select("query_id", "rid", F.round("similarity", 5).alias("similarity"))
+
+
+@query("recall_flagship", f"WITH {FUSED} SELECT query_id, rid, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, rid) AS k FROM s) WHERE k <= 10", ("memories", "vectors"))
+def _(spark, sf_dir):
+    # the fused score of every active memory, best ten per query: similarity to the query set is one bounded broadcast
+    m = M.with_decay(M.active(A.memories(spark, sf_dir)).drop("text"), NOW)
+    rows = A.vectors(spark, sf_dir).join(m.select("rid", "decay", "recency", "importance", "valence"), "rid")
+    q = query_set(spark, sf_dir).withColumnRenamed("v", "q")
+    s = _blocks(rows, q).withColumn("score", S.composite_score(c("sim"), c("decay"), c("recency"), c("importance"), c("valence")))
+    return R.top_per(s, "query_id", F.round("score", 9), "rid", 10).select("query_id", "rid", F.round("score", 5).alias("score"))
+
+
+def _blocks(rows, queries, block: int = 256):
+    """Similarity of each row to a stated query set, a bounded block of queries at a time, in whole Arrow batches."""
+    import numpy as np
+
+    blocks = max(1, -(-queries.count() // block))
+    numbered = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    keep = [k for k in rows.columns if k != "v"]
+    shape = "query_id long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema) + ", sim double"
+    out = None
+    for b in range(blocks):
+        part = numbered.where(c("_b") == b).toPandas()
+        if not len(part):
+            continue
+        q = np.array(part["q"].tolist(), np.float64)
+        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        ids = part["query_id"].to_numpy()
+
+        def compare(frames, q=q, ids=ids):
+            for pdf in frames:
+                x = np.array(pdf["v"].tolist(), np.float64).reshape(len(pdf), -1)
+                if not len(x):
+                    continue
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                sim = np.maximum(0.0, x @ q.T)
+                rest = pdf.drop(columns="v")
+                for j, i in enumerate(ids):
+                    one = rest.assign(sim=sim[:, j])
+                    one.insert(0, "query_id", i)
+                    yield one
+
+        found = rows.mapInPandas(compare, shape)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else rows.where("false").selectExpr("0L as query_id", *keep, "0d as sim")
+
+
+@query("recall_pool")
+def _(spark, sf_dir):
+    s = scored(spark, sf_dir, 50)
+    return R.top_per(s, "query_id", F.round("score", 9), "rid", 10).select("query_id", "rid", F.round("score", 5).alias("score"))
+
+
+@query("recall_diverse")
+def _(spark, sf_dir):
+    pool = R.top_per(scored(spark, sf_dir, 100), "query_id", F.round("score", 9), "rid", 60)
+    pool = pool.select("query_id", "rid", "score").join(A.vectors(spark, sf_dir).select("rid", "v"), "rid")
+    return R.diversify(pool, 10)
+
+
+@query("recall_refine")
+def _(spark, sf_dir):
+    v = A.vectors(spark, sf_dir).select("rid", "v")
+    q = query_set(spark, sf_dir)
+    refine = v.where("rid % 20 = 1").select((c("rid") - 1).alias("query_id"), c("v").alias("r"))
+    mixed = q.join(refine, "query_id").select("query_id", V.blend(c("v"), c("r"), 0.6).alias("v"))
+    seen = R.nearest(v, q, 5).select("query_id", "rid")
+    return R.nearest(v, mixed, 10).join(seen, ["query_id", "rid"], "left_anti").select("query_id", "rid", F.round("similarity", 5).alias("similarity"))
+
+
+@query("recall_confidence")
+def _(spark, sf_dir):
+    s = R.top_per(scored(spark, sf_dir, 50), "query_id", F.round("score", 9), "rid", 10)
+    g = s.groupBy("query_id").agg(F.max("sim").alias("top"), (F.max("score") - F.min("score")).alias("gap"), F.countDistinct("domain").alias("sources"), F.count("*").alias("n"))
+    conf = 0.35 * c("top") + 0.25 * F.least(c("gap"), F.lit(1.0)) + 0.2 * F.least(c("sources") / 4, F.lit(1.0)) + 0.2 * c("n") / 10
+    return g.select("query_id", F.round(conf, 5).alias("confidence"), (conf < 0.6).alias("hint"))
+
+
+@query(
+    "importance_fallback",
+    f"WITH {FUSED}, p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, rid) AS k FROM c) SELECT query_id, rid, round(sim, 5) AS similarity FROM p WHERE k > 50 AND importance >= 0.7 AND sim >= 0.2",
+    ("memories", "vectors"),
+)
+def _(spark, sf_dir):
+    m = M.active(A.memories(spark, sf_dir)).select("rid", "importance")
+    rows = _blocks(A.vectors(spark, sf_dir).select("rid", "v").join(m, "rid"), query_set(spark, sf_dir).withColumnRenamed("v", "q"))
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 9)), "rid")
+    return rows.withColumn("k", F.row_number().over(w)).where("k > 50 and importance >= 0.7 and sim >= 0.2").select("query_id", "rid", F.round("sim", 5).alias("similarity"))
+
+
+@query("valence_scan", "SELECT rid, round(0.2 * abs(valence) * importance, 6) AS boost FROM memories WHERE status = 'active' AND valence <= -0.4 AND importance >= 0.5 ORDER BY round(abs(valence) * importance, 9) DESC, rid LIMIT 30", ("memories",))
+def _(spark, sf_dir):
+    m = M.active(A.memories(spark, sf_dir)).where("valence <= -0.4 and importance >= 0.5")
+    return m.orderBy(F.desc(F.round(F.abs("valence") * c("importance"), 9)), "rid").limit(30).select("rid", F.round(0.2 * F.abs("valence") * c("importance"), 6).alias("boost"))
+
+
+@query("cold_fallback", "SELECT rid, round(0.15 * importance, 6) AS boost FROM memories WHERE status = 'active' AND access_count = 0 AND contains(lower(text), 'the') ORDER BY importance DESC, rid LIMIT 30", ("memories",))
+def _(spark, sf_dir):
+    m = M.active(A.memories(spark, sf_dir)).where((c("access_count") == 0) & F.contains(F.lower("text"), F.lit("the")))
+    return m.orderBy(F.desc("importance"), "rid").limit(30).select("rid", F.round(0.15 * c("importance"), 6).alias("boost"))
+
+
+@query("candidate_union", "SELECT rid, min(phase) AS phase FROM (SELECT rid, 1 AS phase FROM memories WHERE importance >= 0.9 UNION ALL SELECT rid, 2 FROM memories WHERE access_count = 0 UNION ALL SELECT rid, 3 FROM memories WHERE abs(valence) >= 0.8) GROUP BY rid", ("memories",))
+def _(spark, sf_dir):
+    m = A.memories(spark, sf_dir)
+    part = lambda cond, k: m.where(cond).select("rid", F.lit(k).alias("phase"))
+    return part("importance >= 0.9", 1).unionByName(part("access_count = 0", 2)).unionByName(part("abs(valence) >= 0.8", 3)).groupBy("rid").agg(F.min("phase").alias("phase"))

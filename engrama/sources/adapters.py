@@ -115,7 +115,7 @@ CTES = {
         CASE WHEN session_id % 6 <> 0 THEN 1706745600.0::DOUBLE - 7200.0::DOUBLE * (session_id % 360) + 60.0::DOUBLE * turns END AS ended_at, turns, CASE WHEN session_id % 6 = 0 THEN 'active' ELSE 'ended' END AS status
         FROM (SELECT conv_id AS session_id, count(*) AS turns FROM conversations GROUP BY conv_id))""",
     "oplog": """oplog AS (SELECT event_id AS op_id, CASE event_type WHEN 'click' THEN 'relate' WHEN 'error' THEN 'forget' WHEN 'purchase' THEN 'record' WHEN 'signup' THEN 'consolidate' WHEN 'view' THEN 'pattern' END AS op_type,
-        user_id AS target, epoch_ms(ts) AS ms, event_id % 4 AS counter, user_id % 3 AS node, value AS payload FROM events)""",
+        user_id AS target, epoch_us(ts) // 1000 AS ms, event_id % 4 AS counter, user_id % 3 AS node, value AS payload FROM events)""",
     "feedback": "feedback AS (SELECT doc_id AS rid, doc_id % 20 AS query_id, quality = 1 AS relevant, (doc_id * 29 % 1000) / 1000.0::DOUBLE AS score FROM labels)",
 }
 

@@ -18,7 +18,9 @@ from pyspark.sql.window import Window
 
 from .common import without
 
-CELLS = 8192
+#: Blocks at most, and cells of a shard at most: what keeps the matrix small however many rows there are.
+BLOCKS, SLICES = 2048, 50
+HASHES = 65_536
 
 
 def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
@@ -49,7 +51,7 @@ def communication_matrix(blocks: list[int], cells: list[int], seed: int) -> np.n
     return out
 
 
-def shard(df: DataFrame, n_shards: int = 40, seed: int = 17, block_rows: int = 100_000) -> DataFrame:
+def shard(df: DataFrame, n_shards: int = 40, seed: int = 17, block_rows: int = 20_000) -> DataFrame:
     """df with `shard` (int, 0 to n_shards - 1) and `slot` (long, gapless from 0 in each shard).
 
     Shard sizes differ by one row at most; every arrangement is equally likely. Nulls in any column and empty texts are
@@ -58,15 +60,15 @@ def shard(df: DataFrame, n_shards: int = 40, seed: int = 17, block_rows: int = 1
     """
     df = without(df, "shard", "slot")
     spark, names = df.sparkSession, [c for c, t in df.dtypes if "map<" not in t and t != "variant"]
-    cell = F.pmod(F.xxhash64(F.lit(seed), *names), F.lit(CELLS)).cast("int")
+    cell = F.pmod(F.xxhash64(F.lit(seed), *names), F.lit(HASHES)).cast("int")
     counts = {r[0]: r[1] for r in df.groupBy(cell.alias("c")).count().collect()}
     total = sum(counts.values())
-    n_blocks = max(1, min(CELLS, -(-total // block_rows)))
+    n_blocks = max(1, min(BLOCKS, -(-total // block_rows)))
     blocks = [0] * n_blocks
     for c, n in counts.items():
         blocks[c % n_blocks] += n
     base, extra = divmod(total, n_shards)
-    parts = max(1, -(-base // block_rows))
+    parts = max(1, min(SLICES, -(-base // block_rows)))
     sizes = [base + (s < extra) for s in range(n_shards)]
     cells = [m * (k + 1) // parts - m * k // parts for m in sizes for k in range(parts)]
     ends = communication_matrix(blocks, cells, seed).cumsum(axis=1).reshape(n_blocks, n_shards, parts)

@@ -10,7 +10,11 @@ from engrama.sources import adapters as A
 
 c = F.col
 CLOCK = "struct_pack(a := ms, b := counter, c := node, d := op_id)"
-HLC = F.struct("ms", "counter", "node", "op_id")
+
+
+def hlc():
+    return F.struct("ms", "counter", "node", "op_id")
+
 
 
 def log(spark, sf_dir):
@@ -46,7 +50,7 @@ def _(spark, sf_dir):
 
 @query("addwins_records", f"SELECT target, min_by(payload, {CLOCK}) AS payload, min(ms) AS ms FROM oplog WHERE op_type = 'record' GROUP BY target", ("oplog",))
 def _(spark, sf_dir):
-    return log(spark, sf_dir).where("op_type = 'record'").groupBy("target").agg(F.min_by("payload", HLC).alias("payload"), F.min("ms").alias("ms"))
+    return log(spark, sf_dir).where("op_type = 'record'").groupBy("target").agg(F.min_by("payload", hlc()).alias("payload"), F.min("ms").alias("ms"))
 
 
 @query("lww_relate", f"SELECT target, max_by(payload, {CLOCK}) AS payload, max(ms) AS ms FROM oplog WHERE op_type = 'relate' GROUP BY target", ("oplog",))
@@ -77,12 +81,12 @@ def _(spark, sf_dir):
 
 @query("first_resolution", f"SELECT target, min_by(node, {CLOCK}) AS winner FROM oplog WHERE op_type IN ('relate', 'consolidate') GROUP BY target", ("oplog",))
 def _(spark, sf_dir):
-    return log(spark, sf_dir).where("op_type in ('relate', 'consolidate')").groupBy("target").agg(F.min_by("node", HLC).alias("winner"))
+    return log(spark, sf_dir).where("op_type in ('relate', 'consolidate')").groupBy("target").agg(F.min_by("node", hlc()).alias("winner"))
 
 
 @query("peer_watermarks", f"SELECT node AS peer, max_by(op_id, {CLOCK}) AS op_id, max(ms) AS ms FROM oplog GROUP BY node", ("oplog",))
 def _(spark, sf_dir):
-    return log(spark, sf_dir).groupBy(c("node").alias("peer")).agg(F.max_by("op_id", HLC).alias("op_id"), F.max("ms").alias("ms"))
+    return log(spark, sf_dir).groupBy(c("node").alias("peer")).agg(F.max_by("op_id", hlc()).alias("op_id"), F.max("ms").alias("ms"))
 
 
 @query("sync_missing", "SELECT a.op_id, 'b' AS peer FROM oplog a WHERE a.node = 0 AND NOT EXISTS (SELECT 1 FROM oplog b WHERE b.node = 1 AND b.ms // 60000 = a.ms // 60000)", ("oplog",))
@@ -96,4 +100,4 @@ def _(spark, sf_dir):
 @query("state_after_fold", f"SELECT target, CASE WHEN bool_or(op_type = 'forget') THEN 'tombstoned' WHEN bool_or(op_type = 'consolidate') THEN 'consolidated' WHEN bool_or(op_type = 'record') THEN 'active' ELSE 'unknown' END AS status, max_by(op_type, {CLOCK}) AS last_op FROM oplog GROUP BY target", ("oplog",))
 def _(spark, sf_dir):
     has = lambda k: F.bool_or(c("op_type") == k)
-    return log(spark, sf_dir).groupBy("target").agg(F.when(has("forget"), "tombstoned").when(has("consolidate"), "consolidated").when(has("record"), "active").otherwise("unknown").alias("status"), F.max_by("op_type", HLC).alias("last_op"))
+    return log(spark, sf_dir).groupBy("target").agg(F.when(has("forget"), "tombstoned").when(has("consolidate"), "consolidated").when(has("record"), "active").otherwise("unknown").alias("status"), F.max_by("op_type", hlc()).alias("last_op"))

@@ -24,7 +24,11 @@ def signals(spark, sf_dir):
 
 
 c = F.col
-ARGS = [c("sim"), c("decay"), c("recency"), c("importance")]
+
+
+def args():
+    return [c("sim"), c("decay"), c("recency"), c("importance")]
+
 
 
 @query("score_decay_recency", f"WITH {SIGNALS} SELECT rid, round(decay, 6) AS decay, round(recency, 6) AS recency, round(1 + 0.3 * abs(valence), 6) AS boost FROM s", ("memories",))
@@ -34,12 +38,12 @@ def _(spark, sf_dir):
 
 @query("score_composite", f"WITH {SIGNALS} SELECT rid, round((0.5 * sim + 0.2 * decay + 0.3 * recency) * (1 + {GATE} * 0.8 * least(importance, 1)) * (1 + 0.3 * abs(valence)), 6) AS score, round({GATE}, 6) AS gate FROM s", ("memories",))
 def _(spark, sf_dir):
-    return signals(spark, sf_dir).select("rid", F.round(S.composite_score(*ARGS, c("valence")), 6).alias("score"), F.round(S.importance_gate(c("sim")), 6).alias("gate"))
+    return signals(spark, sf_dir).select("rid", F.round(S.composite_score(*args(), c("valence")), 6).alias("score"), F.round(S.importance_gate(c("sim")), 6).alias("gate"))
 
 
 @query("score_composite_sentiment", f"WITH {SIGNALS} SELECT rid, round((0.5 * sim + 0.2 * decay + 0.3 * recency) * (1 + {GATE} * 0.8 * least(importance, 1)) * (1 + 0.3 * abs(valence)) * (1 + 0.2 * CASE WHEN abs(valence) < 1e-10 THEN 0 ELSE -sign(valence) END), 6) AS score FROM s", ("memories",))
 def _(spark, sf_dir):
-    return signals(spark, sf_dir).select("rid", F.round(S.composite_score(*ARGS, c("valence"), S.query_sentiment("the worst day")), 6).alias("score"))
+    return signals(spark, sf_dir).select("rid", F.round(S.composite_score(*args(), c("valence"), S.query_sentiment("the worst day")), 6).alias("score"))
 
 
 @query(
@@ -49,7 +53,7 @@ def _(spark, sf_dir):
     ("memories",),
 )
 def _(spark, sf_dir):
-    return signals(spark, sf_dir).select("rid", F.round(S.graph_composite_score(*ARGS, c("valence"), c("prox")), 6).alias("score"))
+    return signals(spark, sf_dir).select("rid", F.round(S.graph_composite_score(*args(), c("valence"), c("prox")), 6).alias("score"))
 
 
 LEARNED = S.Weights(sim=0.45, decay=0.25, recency=0.30, tau=0.3, alpha=0.7)
@@ -58,7 +62,7 @@ LGATE = "(1 / (1 + exp(-12 * (sim - 0.3))))"
 
 @query("score_adaptive", f"WITH {SIGNALS} SELECT rid, round((0.45 * sim + 0.25 * decay + 0.3 * recency) * (1 + {LGATE} * 0.7 * least(importance, 1)) * (1 + 0.3 * abs(valence)), 6) AS score FROM s", ("memories",))
 def _(spark, sf_dir):
-    return signals(spark, sf_dir).select("rid", F.round(S.composite_score(*ARGS, c("valence"), w=LEARNED), 6).alias("score"))
+    return signals(spark, sf_dir).select("rid", F.round(S.composite_score(*args(), c("valence"), w=LEARNED), 6).alias("score"))
 
 
 @query(
@@ -68,7 +72,7 @@ def _(spark, sf_dir):
     ("memories",),
 )
 def _(spark, sf_dir):
-    return signals(spark, sf_dir).select("rid", F.round(S.graph_composite_score(*ARGS, c("valence"), c("prox"), w=LEARNED), 6).alias("score"))
+    return signals(spark, sf_dir).select("rid", F.round(S.graph_composite_score(*args(), c("valence"), c("prox"), w=LEARNED), 6).alias("score"))
 
 
 def _parts(df, struct):
@@ -77,7 +81,7 @@ def _parts(df, struct):
 
 @query("score_contributions", f"WITH {SIGNALS} SELECT rid, round(0.5 * sim, 6) AS c_similarity, round(0.2 * decay, 6) AS c_decay, round(0.3 * recency, 6) AS c_recency, round({GATE} * 0.8 * least(importance, 1), 6) AS c_importance, 0.0::DOUBLE AS c_graph FROM s", ("memories",))
 def _(spark, sf_dir):
-    return _parts(signals(spark, sf_dir), S.contributions(*ARGS))
+    return _parts(signals(spark, sf_dir), S.contributions(*args()))
 
 
 @query(
@@ -87,12 +91,12 @@ def _(spark, sf_dir):
     ("memories",),
 )
 def _(spark, sf_dir):
-    return _parts(signals(spark, sf_dir), S.contributions(*ARGS, c("prox")))
+    return _parts(signals(spark, sf_dir), S.contributions(*args(), c("prox")))
 
 
 @query("score_adaptive_contributions", f"WITH {SIGNALS} SELECT rid, round(0.45 * sim, 6) AS c_similarity, round(0.25 * decay, 6) AS c_decay, round(0.3 * recency, 6) AS c_recency, round({LGATE} * 0.7 * least(importance, 1), 6) AS c_importance, 0.0::DOUBLE AS c_graph FROM s", ("memories",))
 def _(spark, sf_dir):
-    return _parts(signals(spark, sf_dir), S.contributions(*ARGS, w=LEARNED))
+    return _parts(signals(spark, sf_dir), S.contributions(*args(), w=LEARNED))
 
 
 @query(
@@ -102,7 +106,7 @@ def _(spark, sf_dir):
     ("memories",),
 )
 def _(spark, sf_dir):
-    return _parts(signals(spark, sf_dir), S.contributions(*ARGS, c("prox"), LEARNED))
+    return _parts(signals(spark, sf_dir), S.contributions(*args(), c("prox"), LEARNED))
 
 
 @query(

@@ -202,7 +202,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = materialize(members, "members")
 
     cells = max(1, -(-members.count() // block))
-    texts = rows.join(members, F.col("_nd_i").eqNullSafe(F.col("rep"))).select("_nd_x", "dig", "root", "blocks", "n")
+    texts = rows.join(members.hint("merge"), F.col("_nd_i").eqNullSafe(F.col("rep"))).select("_nd_x", "dig", "root", "blocks", "n")
     texts = texts.mapInArrow(lambda it: _sets(it, size), "dig binary, root binary, blocks int, n long, found binary, trees binary")
     texts = texts.withColumn("block", F.pmod(F.xxhash64("dig"), F.col("blocks")).cast("int"))
     texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -1,7 +1,8 @@
 """Substring dedup by sliding spans of sentences.
 
 From every sentence of a text runs a span: the least number of consecutive sentences, two at least, that together have
-`min_words` words. Span hashes of 128 bits are joined globally; of equal spans the first by (doc id, text hash,
+`min_words` words; where no such span ends at a sentence, the least one that does is added, so that a repeated passage
+is covered to its last sentence. Span hashes of 96 bits are joined globally; of equal spans the first by (doc id, text hash,
 position) stays, and every sentence that any other of them covers is removed. Spans move without their text.
 """
 
@@ -36,17 +37,19 @@ def sentences(text: str) -> list[tuple[int, int, int]]:
 
 
 def spans(text: str, min_sentences: int, min_words: int) -> Iterator[tuple[int, int, bytes]]:
-    """(first sentence, number of sentences, hash) of the span that starts at each sentence, as far as one ends."""
+    """(first sentence, number of sentences, hash) of the least span from each sentence, and of that to each other one."""
     found = sentences(text)
     words = [text[a:b].lower().split() for a, b, _ in found]
     sums = [xxhash.xxh3_128_digest(" ".join(w)) for w in words]
     total = np.cumsum([0] + [len(w) for w in words])
-    stops = np.searchsorted(total, total[:-1] + min_words)
-    for i, j in enumerate(stops.tolist()):
-        j = max(j, i + min_sentences)
-        if j > len(found):
-            return
-        yield i, j - i, xxhash.xxh3_128_digest(b"".join(sums[i:j]))
+    count = len(found)
+    stops = np.maximum(np.searchsorted(total, total[:-1] + min_words), np.arange(count) + min_sentences)
+    starts = np.minimum(np.searchsorted(total, total[1:] - min_words, "right") - 1, np.arange(count) + 1 - min_sentences)
+    pairs = [(i, j) for i, j in enumerate(stops.tolist()) if j <= count]
+    ends = {j for _, j in pairs}
+    pairs += [(i, j) for j, i in enumerate(starts.tolist(), 1) if i >= 0 and j not in ends]
+    for i, j in pairs:
+        yield i, j - i, xxhash.xxh3_128_digest(b"".join(sums[i:j]))[:12]
 
 
 def _span_rows(batches: Iterator[pa.RecordBatch], min_sentences: int, min_words: int) -> Iterator[pa.RecordBatch]:
@@ -61,8 +64,8 @@ def _span_rows(batches: Iterator[pa.RecordBatch], min_sentences: int, min_words:
                     sums.append(h)
             if len(at) > 50_000 or k == batch.num_rows - 1:
                 take = pa.array(at, pa.int64())
-                pairs = np.frombuffer(b"".join(sums), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([batch.column("_sp_i").take(take), batch.column("_sp_t").take(take), pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["_sp_i", "_sp_t", "_sp_p", "_sp_n", "h1", "h2"])
+                parts = np.frombuffer(b"".join(sums), np.dtype([("h1", "<i8"), ("h2", "<i4")]))
+                yield pa.RecordBatch.from_arrays([batch.column("_sp_i").take(take), batch.column("_sp_t").take(take), pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(parts["h1"].copy()), pa.array(parts["h2"].copy())], ["_sp_i", "_sp_t", "_sp_p", "_sp_n", "h1", "h2"])
                 at, pos, size, sums = [], [], [], []
 
 
@@ -107,16 +110,19 @@ def dedup_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     """
     df = without(df, "sentences_removed", "removed_spans")
     kind = df.schema[id_col].dataType.simpleString()
-    keyed = df.withColumn("_sp_i", F.col(id_col)).withColumn("_sp_t", F.xxhash64(text_col))
+    rows, ids, kinds = df.agg(F.count("*"), F.count(id_col), F.countDistinct(id_col)).first()
+    # the text's hash tells rows apart only where ids don't
+    keyed = df.withColumn("_sp_i", F.col(id_col)).withColumn("_sp_t", F.lit(0).cast("long") if rows == ids == kinds else F.xxhash64(text_col))
     rows = keyed.select("_sp_i", "_sp_t", F.col(text_col).alias("_sp_x"))
-    rows = rows.mapInArrow(lambda it: _span_rows(it, min_sentences, min_words), f"_sp_i {kind}, _sp_t long, _sp_p int, _sp_n int, h1 long, h2 long")
+    rows = rows.mapInArrow(lambda it: _span_rows(it, min_sentences, min_words), f"_sp_i {kind}, _sp_t long, _sp_p int, _sp_n int, h1 long, h2 int")
     rows = materialize(rows, "spans")
     place = F.struct("_sp_i", "_sp_t", "_sp_p")
     groups = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rest = rows.join(groups, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+    groups = materialize(groups, "span-groups")  # so that the join below has two plain shuffles and hot spans can be split
+    rest = rows.join(groups.hint("merge"), ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
     hits = rest.groupBy("_sp_i", "_sp_t").agg(F.collect_set(F.struct(F.col("_sp_p").alias("p"), F.col("_sp_n").alias("n"))).alias("_sp_h"))
     hits = materialize(hits.withColumnsRenamed({"_sp_i": "_sp_hi", "_sp_t": "_sp_ht"}), "span-hits")
-    out = keyed.join(hits, F.col("_sp_i").eqNullSafe(F.col("_sp_hi")) & (F.col("_sp_t") == F.col("_sp_ht")), "left")
+    out = keyed.join(hits.hint("merge"), F.col("_sp_i").eqNullSafe(F.col("_sp_hi")) & (F.col("_sp_t") == F.col("_sp_ht")), "left")
     rebuild = F.pandas_udf(_rebuild, "struct<text:string,removed:int,spans:array<struct<start:int,stop:int>>>")
     out = out.withColumn("_sp_r", rebuild(F.col(text_col), F.col("_sp_h")))
     out = out.withColumn(text_col, F.col("_sp_r.text"))

@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Cue words of the text features.
-NEGATIONS = "not no never none neither nor without".split()
-TEMPORAL = "yesterday today tomorrow now then before after when during since until".split()
-MODALS = "may might could should would must can".split()
+NEGATIONS = "not no never denied refuted isn't wasn't aren't weren't doesn't didn't disputes denies".split()
+TEMPORAL = "was were until before after since during former current currently previously recently now then later earlier ago yesterday tomorrow".split()
+MODALS = "may might allegedly reportedly rumor rumored said claims according stated announced".split()
 #: Names that are taken for technologies.
 TECH = "python rust java spark sqlite linux docker kubernetes react postgres redis".split()
 IDENTITY = ["is_a", "works_at", "lives_in", "married_to", "born_in"]

@@ -1,0 +1,77 @@
+"""The whole recall: vector pool, fallbacks, keyword and graph boosts, slots, diversity; as frames for a set of queries.
+
+Queries are (query_id, text, v): a stated set, answered against all memories. The stages follow one another as unions
+of candidates tagged by where they come from, and one aggregation adds their boosts.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from engrama.functions import scoring as S
+from engrama.functions import text as T
+from engrama.functions import vectors as V
+from engrama.operators import graph as G
+from engrama.operators import memory as M
+from engrama.operators import retrieval as R
+
+#: Query words that say nothing of the topic.
+STOP = "a an and are as at be but by do does for from had has have how i in is it its me my of on or our she so that the their them they this to was we were what when where which who why will with you your".split()
+KEYWORD_BOOST, GRAPH_CAP = 0.31, 0.25
+#: Graph boost by hops.
+HOP_BOOST = [0.20, 0.15, 0.12, 0.05]
+
+
+def recall(memories: DataFrame, vectors: DataFrame, links: DataFrame, edges: DataFrame, queries: DataFrame, now: float, k: int = 10, w: S.Weights = S.Weights(), diverse: bool = True) -> DataFrame:
+    """(query_id, rid, score, similarity, sources, rank); k rows a query at most, ties by rid.
+
+    A query without any candidate vector gives nothing, even if words match. Nothing is written: access counts are
+    folded in separately by memory.reinforced.
+    """
+    act = M.with_decay(M.active(memories), now)
+    rows = vectors.join(act.select("rid"), "rid").select("rid", "v")
+    pool = R.nearest(rows, queries.select("query_id", "v"), min(20 * k, 500)).select("query_id", "rid", F.lit("vector").alias("via"), F.lit(0.0).alias("boost"))
+
+    # keywords: BM25 over the queries' telling words, weighted by importance
+    words = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token")).where(~F.col("token").isin(*STOP) & (F.length("token") > 2))
+    hits = R.Postings(act, "rid").bm25(words, "query_id").join(act.select("rid", "importance"), "rid")
+    hits = R.top_per(hits, "query_id", F.round(F.col("score") * (0.5 + F.col("importance")), 9), "rid", 200).select("query_id", "rid", F.lit("keyword").alias("via"), F.lit(KEYWORD_BOOST).alias("boost"))
+
+    # important, and emotional in the query's direction
+    moods = queries.select("query_id", S.text_sentiment(F.col("text")).alias("mood")).where("mood <> 0")
+    strong = act.where("abs(valence) >= 0.4 and importance >= 0.5").select("rid", "valence", "importance")
+    mood = moods.join(strong, F.signum("valence") == F.col("mood"))
+    mood = R.top_per(mood, "query_id", F.round(F.abs("valence") * F.col("importance"), 9), "rid", 30).select("query_id", "rid", F.lit("valence").alias("via"), (0.2 * F.abs("valence") * F.col("importance")).alias("boost"))
+
+    # graph: entities named in the query, two hops out, and the memories linked to them
+    named = links.select("entity", F.lower("entity").alias("token")).distinct().join(words, "token").select("query_id", "entity").distinct()
+    reached = G.expand(edges, named.select("entity").distinct(), 2)
+    near = named.withColumnRenamed("entity", "seed").join(reached, "seed").join(links, "entity")
+    lift = F.element_at(F.array(*map(F.lit, HOP_BOOST)), F.col("hops") + 1) * F.col("weight")
+    via_graph = near.groupBy("query_id", "rid").agg(F.least(F.max(lift), F.lit(GRAPH_CAP)).alias("boost")).select("query_id", "rid", F.lit("graph").alias("via"), "boost")
+
+    every = pool.unionByName(hits).unionByName(mood).unionByName(via_graph)
+    every = every.join(pool.select("query_id").distinct(), "query_id", "left_semi")
+    some = every.groupBy("query_id", "rid").agg(F.collect_set("via").alias("sources"), F.sum(F.when(F.col("via") == "keyword", 0.0).otherwise(F.col("boost"))).alias("boost"), F.max(F.when(F.col("via") == "keyword", F.col("boost"))).alias("kw"))
+    scored = some.join(act.select("rid", "decay", "recency", "importance", "valence"), "rid").join(vectors.select("rid", "v"), "rid").join(queries.select("query_id", F.col("v").alias("q"), S.text_sentiment(F.col("text")).alias("mood")), "query_id")
+    sim = F.greatest(F.lit(0.0), 1.0 - V.cosine_distance(F.col("v"), F.col("q")))
+    scored = scored.withColumn("similarity", sim).where("array_contains(sources, 'vector') or similarity >= 0.05")
+    base = S.composite_score(F.col("similarity"), F.col("decay"), F.col("recency"), F.col("importance"), F.col("valence"), F.col("mood"), w)
+    keyword = F.coalesce(F.col("kw") * F.greatest(1 - F.col("similarity"), F.lit(0.2)), F.lit(0.0))
+    scored = scored.withColumn("score", F.round(base + F.col("boost") + keyword, 9))
+    best = R.top_per(scored, "query_id", F.col("score"), "rid", 5 * k if diverse else k)
+    if diverse:
+        picked = R.diversify(best.select("query_id", "rid", "score", "v"), k)
+        return best.join(picked, ["query_id", "rid"]).select("query_id", "rid", "score", "similarity", F.array_sort("sources").alias("sources"), (F.col("pick") + 1).alias("rank"))
+    from pyspark.sql.window import Window
+
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "rid")).cast("long")
+    return best.select("query_id", "rid", "score", "similarity", F.array_sort("sources").alias("sources"), rank.alias("rank"))
+
+
+def respond(hits: DataFrame) -> DataFrame:
+    """Per query: confidence of the answer and whether a hint is due."""
+    g = hits.groupBy("query_id").agg(F.max("similarity").alias("top"), (F.max("score") - F.min("score")).alias("gap"), F.size(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("kinds"), F.count("*").alias("n"), F.max("rank").alias("k"))
+    value = 0.35 * F.col("top") + 0.25 * F.least("gap", F.lit(1.0)) + 0.2 * F.least(F.col("kinds") / 4, F.lit(1.0)) + 0.2 * F.col("n") / F.greatest("k", F.lit(10))
+    return g.select("query_id", value.alias("confidence"), F.when(value < 0.6, "name a person, place or time").alias("hint"))

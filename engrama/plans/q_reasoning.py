@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from engrama.operators import beliefs as B
 from engrama.operators import events as E
+from engrama.operators import network as N
 from engrama.plans.registry import query
 from engrama.sources import adapters as A
 
@@ -218,3 +219,41 @@ def _(spark, sf_dir):
     w = E.in_order("user_id")
     l_ = A.events(spark, sf_dir).select("user_id", F.concat_ws(">", "kind", F.lead("kind", 1).over(w), F.lead("kind", 2).over(w)).alias("skill"), (F.lead("t", 2).over(w) - c("t")).alias("span")).where("span <= 86400")
     return l_.groupBy("skill").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.least(F.lit(1.0), F.count("*") / 10.0), 6).alias("confidence")).where("n >= 3")
+
+
+@query("belief_network")
+def _(spark, sf_dir):
+    e = A.events(spark, sf_dir)
+    v = e.groupBy(c("user_id").cast("string").alias("grp"), c("kind").alias("node")).agg(F.avg(F.when(c("value") > 40, 0.9).otherwise(0.2)).alias("prior"), F.lit(2.0).alias("weight"))
+    k = causes(spark, sf_dir).select("src", "dst", "strength")
+    users = e.select(c("user_id").cast("string").alias("grp")).distinct()
+    f = users.crossJoin(F.broadcast(k)).select("grp", c("src").alias("a"), c("dst").alias("b"), F.when(c("src") == "error", "oppose").otherwise("agree").alias("kind"), "strength", F.lit(0.8).alias("confidence"))  # k has a row per pair of kinds
+    return N.belief_propagation(v, f).select("grp", "node", F.round("mean", 5).alias("mean"))
+
+
+@query("plan_search")
+def _(spark, sf_dir):
+    e = A.events(spark, sf_dir)
+    a = e.groupBy(c("user_id").cast("string").alias("grp"), c("kind").alias("action")).agg(F.avg(F.when(c("value") > 30, 0.9).otherwise(0.5)).alias("chance"), (F.avg("value") / 100).alias("utility"))
+    needs = F.when(c("action") == "purchase", F.array(F.lit("seen"))).when(c("action") == "view", F.array(F.lit("member"))).otherwise(F.array().cast("array<string>"))
+    gives = F.when(c("action") == "purchase", F.array(F.lit("owned"))).when(c("action") == "view", F.array(F.lit("seen"))).when(c("action") == "signup", F.array(F.lit("member"))).otherwise(F.array(F.lit("noise")))
+    g = a.select("grp").distinct().select("grp", F.lit("owned").alias("goal"), F.array().cast("array<string>").alias("have"))
+    return N.plans(a.select("grp", "action", needs.alias("needs"), gives.alias("gives"), "chance", "utility"), g).select("grp", "goal", F.array_join("plan", ">").alias("plan"), F.round("score", 6).alias("score"))
+
+
+@query("induce_schemas", "SELECT kind AS action, array_to_string(list_sort(list_filter(['high', 'odd', 'any'], lambda x: (x = 'high' AND lo > 20) OR x = 'any' OR (x = 'odd' AND od = 1))), ',') AS conditions, support, round(support / n::DOUBLE, 6) AS confidence FROM (SELECT kind, min(CASE WHEN value > 50 THEN value END) AS lo, min(CASE WHEN value > 50 THEN k % 2 END) AS od, count(*) FILTER (value > 50) AS support, count(*) AS n FROM ev GROUP BY kind) WHERE support >= 3", ("ev",))
+def _(spark, sf_dir):
+    e = A.events(spark, sf_dir)
+    cond = F.array_compact(F.array(F.when(c("value") > 20, "high"), F.when(c("k") % 2 == 1, "odd"), F.lit("any")))
+    s = N.schemas(e.select(c("kind").alias("action"), cond.alias("conditions"), (c("value") > 50).alias("success")))
+    return s.select("action", F.array_join("conditions", ",").alias("conditions"), "support", F.round("confidence", 6).alias("confidence"))
+
+
+@query("analogies")
+def _(spark, sf_dir):
+    o = A.edges(spark, sf_dir).where("rel = 'supplies'").select("src", "rel", "dst")
+    number = F.substring("src", 2, 20).cast("long")
+    pairs = o.withColumn("pair", F.concat(F.lit("q"), F.floor(number / 2))).withColumn("side", (number % 2).cast("int"))
+    rank = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
+    small = pairs.withColumn("r", rank).where("r <= 8").drop("r")  # the feature: the first eight relations of each
+    return N.analogies(small.select("pair", "side", "src", "rel", "dst")).select("pair", F.size("mapping").alias("mapped"), F.round("similarity", 6).alias("similarity"))

@@ -144,3 +144,36 @@ def _(spark, sf_dir):
     m = A.memories(spark, sf_dir)
     part = lambda cond, k: m.where(cond).select("rid", F.lit(k).alias("phase"))
     return part("importance >= 0.9", 1).unionByName(part("access_count = 0", 2)).unionByName(part("abs(valence) >= 0.8", 3)).groupBy("rid").agg(F.min("phase").alias("phase"))
+
+
+def texts(spark, sf_dir):
+    """Queries with words: the stated query set, asking with the start of its own memory's text."""
+    d = A.table(spark, sf_dir, "documents").select(c("doc_id").alias("query_id"), F.array_join(F.slice(F.split("text", "[ \\n]+"), 1, 12), " ").alias("text"))
+    return query_set(spark, sf_dir).join(d, "query_id").select("query_id", "text", "v")
+
+
+@query("recall_full")
+def _(spark, sf_dir):
+    from engrama.operators.recall import recall
+
+    hits = recall(A.memories(spark, sf_dir), A.vectors(spark, sf_dir), A.links(spark, sf_dir), A.edges(spark, sf_dir), texts(spark, sf_dir), NOW)
+    return hits.select("query_id", "rid", F.round("score", 5).alias("score"), F.array_join("sources", ",").alias("sources"), "rank")
+
+
+@query("recall_response")
+def _(spark, sf_dir):
+    from engrama.operators.recall import recall, respond
+
+    hits = recall(A.memories(spark, sf_dir), A.vectors(spark, sf_dir), A.links(spark, sf_dir), A.edges(spark, sf_dir), texts(spark, sf_dir), NOW, diverse=False)
+    return respond(hits).select("query_id", F.round("confidence", 5).alias("confidence"), "hint")
+
+
+@query("reason_pipeline")
+def _(spark, sf_dir):
+    from engrama.plans.reason import Reason
+
+    seeds = spark.createDataFrame([("The", 1.0), ("Les", 0.5)], "entity string, activation double")
+    words = A.links(spark, sf_dir)
+    edges = words.where("entity in ('The', 'Les')").select(c("entity").alias("src"), F.lit("in").alias("rel"), F.concat(F.lit("m"), "rid").alias("dst"), F.lit(1.0).alias("weight"))
+    r = Reason(NOW, A.memories(spark, sf_dir).drop("text"), edges=edges, links=words, events=A.events(spark, sf_dir))
+    return r.attend(seeds).constrain("certainty >= 0.2").recall(50).assess().compare("0.1 * valence").execute().select("rid", "namespace", F.round("score", 6).alias("score"), "rank", F.round("assessed", 6).alias("assessed"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from engrama.functions import extraction as X
 from engrama.functions import scoring as S
+from engrama.functions import security as K
 from engrama.functions import text as T
 from engrama.operators import retrieval as R
 from engrama.plans.registry import query
@@ -16,6 +18,10 @@ TOK = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}'']+'), lambda
 ALNUM = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
 
+def _quoted(words):
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
 def docs(spark, sf_dir):
     return A.table(spark, sf_dir, "documents")
 
@@ -53,8 +59,7 @@ def _(spark, sf_dir):
 @query(
     "text_features",
     f"""SELECT doc_id, length(text) AS chars, len(t) AS words, len(regexp_extract_all(text, '[.!?]')) AS sentences,
-    len(list_filter(t, lambda x: x IN ('not', 'no', 'never', 'none', 'neither', 'nor', 'without'))) AS negations, len(list_filter(t, lambda x: x IN ('yesterday', 'today', 'tomorrow', 'now', 'then', 'before', 'after', 'when', 'during', 'since', 'until'))) AS temporal,
-    len(list_filter(t, lambda x: x IN ('may', 'might', 'could', 'should', 'would', 'must', 'can'))) AS modal FROM (SELECT doc_id, text, {TOK} AS t FROM documents)""",
+    {", ".join(f"len(list_filter(t, lambda x: x IN ({_quoted(w)}))) AS {n}" for n, w in (("negations", T.NEGATIONS), ("temporal", T.TEMPORAL), ("modal", T.MODALS)))} FROM (SELECT doc_id, text, {TOK} AS t FROM documents)""",
 )
 def _(spark, sf_dir):
     d = docs(spark, sf_dir).select("doc_id", T.features(c("text")).alias("f"))
@@ -148,3 +153,32 @@ def _(spark, sf_dir):
     s = index.bm25(terms, "item_id")
     top = R.top_per(s, "item_id", F.round("score", 9), "doc_id", 10)
     return top.select("item_id", "doc_id", F.round("score", 5).alias("score"))
+
+
+@query("heuristic_relations")
+def _(spark, sf_dir):
+    # nations and regions as sentences, to have names and phrases
+    n, r = A.table(spark, sf_dir, "nation"), A.table(spark, sf_dir, "region")
+    t = n.join(r, c("n_regionkey") == c("r_regionkey")).select("n_nationkey", F.concat(F.lit("Bureau "), F.initcap(F.translate("n_name", "_0123456789", " abcdefghij")), F.when(c("n_nationkey") % 3 == 0, " is not").otherwise(" is"), F.lit(" based in "), F.initcap("r_name")).alias("text"))
+    return t.select("n_nationkey", F.explode(X.relations(c("text"))).alias("x")).select("n_nationkey", "x.*")
+
+
+@query("relation_end_types", "SELECT rel, CASE rel WHEN 'lives_in' THEN 'person' WHEN 'uses' THEN 'project' WHEN 'acquired' THEN 'organization' ELSE 'unknown' END AS src_kind, CASE rel WHEN 'lives_in' THEN 'place' WHEN 'uses' THEN 'tech' WHEN 'acquired' THEN 'organization' ELSE 'unknown' END AS dst_kind, count(*) AS n FROM (SELECT ['lives_in', 'uses', 'acquired', 'hums'][1 + p_partkey % 4] AS rel FROM part) GROUP BY 1, 2, 3")
+def _(spark, sf_dir):
+    rel = F.element_at(F.array(*map(F.lit, ("lives_in", "uses", "acquired", "hums"))), (c("p_partkey") % 4 + 1).cast("int"))
+    p = A.table(spark, sf_dir, "part").select(rel.alias("rel")).withColumn("e", X.end_types(c("rel")))
+    return p.groupBy("rel", c("e.src").alias("src_kind"), c("e.dst").alias("dst_kind")).agg(F.count("*").alias("n"))
+
+
+@query("encrypt_round_trip", "SELECT item_id, text AS plain, true AS hidden FROM benchmark")
+def _(spark, sf_dir):
+    key = F.lit("0123456789abcdef")
+    b = A.table(spark, sf_dir, "benchmark").withColumn("secret", K.encrypt(c("text"), key))
+    return b.select("item_id", K.decrypt(c("secret"), key).alias("plain"), (c("secret") != c("text")).alias("hidden"))
+
+
+@query("clock_order", "SELECT event_id, row_number() OVER (ORDER BY epoch_us(ts) // 1000, event_id % 4, user_id % 3, event_id) AS place FROM events QUALIFY place <= 100")
+def _(spark, sf_dir):
+    o = A.oplog(spark, sf_dir).withColumn("h", K.clock_column(c("ms"), c("counter"), c("node")))
+    top = o.orderBy("h", "op_id").limit(100)  # the first hundred, a report
+    return top.select(c("op_id").alias("event_id"), F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("h", "op_id")).cast("long").alias("place"))

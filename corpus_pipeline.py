@@ -17,16 +17,14 @@ from engrama.llm.decontaminate import decontaminate
 from engrama.llm.line_dedup import dedup_lines
 from engrama.llm.near_dup import near_duplicates
 from engrama.llm.packing import pack
-from engrama.llm.quality import score_quality
+from engrama.llm.quality import filter_quality
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be of quality; rows that repeat an id go by the best of their scores."""
-    kept = score_quality(docs, read_table(spark, sf_dir, "labels")).where("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    kept = materialize(kept, "quality-kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    """Documents that the classifier predicts to be of quality."""
+    return filter_quality(docs, read_table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +37,7 @@ def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each class of near duplicates; documents without an id stay."""
     found = near_duplicates(docs)
     kept = materialize(found.where("doc_id is null or doc_id = class_id").select(F.col("doc_id").alias("_id")), "unique-kept")
-    out = docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    out = docs.join(kept.distinct().hint("merge"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
     if kept.where("_id is not null").count() > kept.where("_id is not null").distinct().count():  # one row of those that repeat an id
         out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
     return out

@@ -142,14 +142,8 @@ def fit(rows: DataFrame, seed: int = 11) -> Model | None:
     return model
 
 
-def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, threshold: float = 0.3, max_train: int = MAX_TRAIN) -> DataFrame:
-    """One row per row of df: the id, held_out (boolean), score (double in 0 to 1) and predicted (int).
-
-    labels has the id and quality (0 or 1; rows with another or no value don't count). crc32 of the id as text modulo
-    `folds` gives a row's fold; fold 0 is held out of everything learned and fold 4 calibrates. Only the text enters a
-    score; null and empty texts get the score of an empty text. Rows with a null id are scored and count as fold 0 of
-    crc32('') . Without any usable label every score is 0.5. Extra columns are left out.
-    """
+def _learn(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, folds: int, max_train: int) -> tuple[DataFrame, Model | None]:
+    """The statistics of all rows with their fold, and the model of the labelled rows outside fold 0."""
     kind = df.schema[id_col].dataType.simpleString()
     stats = df.select(F.col(id_col).alias("_q_i"), F.col(text_col).alias("_q_x")).mapInArrow(_measure, f"_q_i {kind}, _q_s array<double>")
     fold = F.pmod(F.crc32(F.coalesce(F.col("_q_i").cast("string"), F.lit(""))), F.lit(folds))
@@ -159,7 +153,18 @@ def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     train = materialize(train.select("_q_i", "_q_s", "_q_y", (F.col("_q_f") == folds - 1).alias("_q_c")), "labelled")
     if (n := train.count()) > max_train:
         train = train.where(F.pmod(F.xxhash64("_q_i"), F.lit(1_000_003)) < int(max_train / n * 1_000_003))
-    model = fit(train)
+    return stats, fit(train)
+
+
+def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, threshold: float = 0.3, max_train: int = MAX_TRAIN) -> DataFrame:
+    """One row per row of df: the id, held_out (boolean), score (double in 0 to 1) and predicted (int).
+
+    labels has the id and quality (0 or 1; rows with another or no value don't count). crc32 of the id as text modulo
+    `folds` gives a row's fold; fold 0 is held out of everything learned and fold 4 calibrates. Only the text enters a
+    score; null and empty texts get the score of an empty text. Rows with a null id are scored and fall into fold 0, as
+    crc32 of an empty text does. Without any usable label every score is 0.5. Extra columns are left out.
+    """
+    stats, model = _learn(df, labels, id_col, text_col, folds, max_train)
 
     @F.pandas_udf("double")
     def score(column: pd.Series) -> pd.Series:
@@ -168,3 +173,19 @@ def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     value = score("_q_s") if model else F.lit(0.5)
     out = stats.select(F.col("_q_i").alias(id_col), (F.col("_q_f") == 0).alias("held_out"), value.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def filter_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, threshold: float = 0.3, max_train: int = MAX_TRAIN) -> DataFrame:
+    """The rows of df that score_quality would give predicted = 1, with all their columns.
+
+    Each text is scored where it lies, so no row is shuffled; the price is that its statistics are taken twice.
+    """
+    _, model = _learn(df, labels, id_col, text_col, folds, max_train)
+    if model is None:
+        return df if threshold <= 0.5 else df.where("false")
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.scores(np.array([statistics(t) for t in texts])) if len(texts) else [], dtype=float)
+
+    return df.where(score(text_col) >= threshold)

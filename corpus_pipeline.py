@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from engrama.llm.common import materialize, read_table
 from engrama.llm.decontaminate import decontaminate
-from engrama.llm.line_dedup import dedup_lines
+from engrama.llm.line_dedup import dedup_passages
 from engrama.llm.near_dup import near_duplicates
 from engrama.llm.packing import pack
 from engrama.llm.quality import filter_quality
@@ -28,8 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without repeated multi-line chunks; n_chars follows the text."""
-    out = dedup_lines(docs)
+    """All documents, without repeated runs of two lines or more; n_chars follows the text."""
+    out = dedup_passages(docs)
     return out.withColumn("n_chars", F.when(F.col("lines_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

@@ -78,9 +78,9 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .line_dedup import dedup_lines
+    from .line_dedup import dedup_passages
 
-    out = dedup_lines(read_table(spark, sf_dir, "documents"))
+    out = dedup_passages(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "lines_removed", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 

@@ -396,6 +396,46 @@ def test_line_dedup_of_odd_rows(spark):
     assert line_dedup.dedup_lines(docs_of(spark, [])).count() == 0
 
 
+def brute_passages(rows):
+    first, gone = {}, defaultdict(set)
+    for i, t in sorted(rows):
+        ls = (t or "").split("\n")
+        for p in range(len(ls) - 1):
+            if (ls[p] + ls[p + 1]).strip(" ") and first.setdefault((ls[p], ls[p + 1]), (i, p)) != (i, p):
+                gone[i] |= {p, p + 1}
+    return {i: ("\n".join(x for p, x in enumerate((t or "").split("\n")) if p not in gone[i]), len(gone[i])) for i, t in rows}
+
+
+@pytest.mark.parametrize("digest", [16, 1])
+def test_passages_match_brute_force_even_with_colliding_digests(docs, local, digest):
+    rows = list(zip(local.doc_id.tolist(), local.text.tolist(), strict=True))
+    got = {r["doc_id"]: (r["text"] or "", r["lines_removed"]) for r in line_dedup.dedup_passages(docs, digest=digest).collect()}
+    assert got == brute_passages(rows)
+
+
+@pytest.mark.parametrize("n", [2, 3, 5])
+def test_short_passages_go_whole_whatever_surrounds_them(spark, n):
+    rng = random.Random(n)
+    line = lambda: " ".join("".join(rng.choice("abcdef") for _ in range(6)) for _ in range(4))
+    block = [line() for _ in range(n)]
+    hosts = [([line() for _ in range(rng.randint(1, 6))], [line() for _ in range(rng.randint(1, 6))]) for _ in range(30)]
+    rows = [(k, "\n".join(a + block + b)) for k, (a, b) in enumerate(hosts)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_passages(docs_of(spark, rows)).collect()}
+    assert got == {k: "\n".join(a + (block if k == 0 else []) + b) for k, (a, b) in enumerate(hosts)}
+
+
+def test_passages_of_odd_rows(spark):
+    got = line_dedup.dedup_passages(docs_of(spark, ODD).withColumn("lines_removed", F.lit("x")))
+    assert Counter((r["doc_id"], r["text"], r["lines_removed"]) for r in got.collect()) == Counter((i, t, 0) for i, t in ODD)
+    assert line_dedup.dedup_passages(docs_of(spark, [])).count() == 0
+
+
+def test_line_dedup_query_removes_repeated_runs_whole(spark, sf, local):
+    want = brute_passages(list(zip(local.doc_id.tolist(), local.text.tolist(), strict=True)))
+    got = {r["doc_id"]: r["lines_removed"] for r in queries.op10_line_dedup(spark, sf).collect()}
+    assert got == {i: n for i, (_, n) in want.items()} and sum(got.values()) > 0
+
+
 # html
 
 

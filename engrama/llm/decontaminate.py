@@ -1,12 +1,19 @@
-"""Benchmark decontamination: CGK embedding of word windows, repeated bit-sampling LSH, exact edit verification.
-
-Over words as symbols, the CGK random walk copies the symbol under its pointer and steps on by a random bit of that
-symbol and step, so that sequences a few edits apart have embeddings that agree in many places. Items are cut into a
-length class each; windows of that size run over every document at a stride of a quarter of it, and over the items at
-every offset, so an occurrence always has windows aligned with an item's. A repetition samples a few embedding places;
-windows that agree in all of them are candidates. Repetitions are added until simulated occurrences with as many edits
-as the threshold allows are found with the target recall. Each candidate is verified by word edit distance against the
-whole item. Items travel to the documents in blocks of fixed size; documents never move.
+"""Benchmark decontamination: exact search by intact pieces, or CGK embedding with repeated LSH; exact edit verification.
+
+An item cut into one piece more than the edits it is allowed has a piece left intact in every occurrence. Where pieces
+have PIECE words or more, all places of the documents are looked up for them, and no occurrence is missed.
+
+Shorter pieces stand in too many places. Those items are searched through windows: over words as symbols, the CGK random
+walk copies the symbol under its pointer and steps on by a random bit of that symbol and step, so that sequences a few
+edits apart have embeddings that agree in many places. Items are cut into a length class each; windows of that size run
+over every document at a stride of a quarter of it, and over the items at every offset, so an occurrence always has
+windows aligned with an item's. A repetition samples a few embedding places; windows that agree in all of them are
+candidates. Items of about one length form a band, and a band's repetitions are added until simulated occurrences with
+as many edits as the threshold allows are found with the target recall. A band that the most repetitions don't bring
+there is searched by its pieces after all.
+
+Each candidate is verified by word edit distance against the whole item. Items travel to the documents in blocks of
+fixed size; documents never move.
 """
 
 from __future__ import annotations
@@ -23,6 +30,10 @@ from .common import MASK, WORD, hash_words, materialize, mix, text_slices
 #: Items that one pass over the documents looks for, and the bound on their characters.
 BLOCK_ITEMS = 1000
 SAMPLE, WALKS, LEAST_REPEATS, MOST_REPEATS = 5, 2, 8, 24
+#: Items whose pieces have at least so many words are searched by them.
+PIECE = 3
+#: Simulated occurrences that a band's recall is measured on.
+TRIALS = 200
 MIN_WORDS = 5
 
 
@@ -38,6 +49,12 @@ def stride_of(c: int) -> int:
     return max(1, c // 4)
 
 
+def band_of(n: int) -> tuple[int, int]:
+    """(length class, part of it): recall falls towards a class's least length, so a class is measured in four parts."""
+    c = window_size(n)
+    return c, max(0, 4 * (4 * n - 5 * c) // (5 * c))  # a class holds the lengths from 1.25 c to under 2.5 c
+
+
 def embed(words: np.ndarray, starts: np.ndarray, c: int, walk: int) -> np.ndarray:
     """CGK embeddings (one column a window) of the windows of c words at `starts`, as the places that 1.5 c steps copy.
 
@@ -76,8 +93,38 @@ def _padded(words: np.ndarray, classes: list[int]) -> np.ndarray:
     return np.concatenate([words, np.zeros(max(classes, default=0) + 1, np.uint64)])
 
 
+class Table:
+    """Keys of a block's windows or pieces, with their item and their offset in it."""
+
+    def __init__(self, keys: list[np.ndarray], item: list[np.ndarray], offset: list[np.ndarray]):
+        flat = np.concatenate(keys)
+        order = np.argsort(flat, kind="stable")
+        self.keys, self.item, self.offset = flat[order], np.concatenate(item)[order], np.concatenate(offset)[order]
+        self.shift = np.uint64(64 - max(12, min(26, int(len(flat) * 24).bit_length())))
+        self.bitmap = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.bitmap[(self.keys >> self.shift).astype(np.int64)] = True
+
+    def lookup(self, key: np.ndarray, text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Rows (text number, item number, place of the item's first word) for keys at these places."""
+        hit = np.flatnonzero(self.bitmap[(key >> self.shift).astype(np.int64)])
+        low = np.searchsorted(self.keys, key[hit])
+        n = np.searchsorted(self.keys, key[hit], "right") - low
+        w = np.repeat(hit, n)
+        e = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.stack([text[w], self.item[e], starts[w] - self.offset[e]], 1)
+
+
+def run_keys(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of `size` words."""
+    n = max(0, len(words) - size + 1)
+    key = np.full(n, np.uint64(size))
+    for k in range(size):
+        key = mix(key + words[k : k + n])
+    return key
+
+
 class Index:
-    """All windows of a block of items by repetition key."""
+    """All windows of a block of items by repetition key; the pieces of items that are searched by them."""
 
     def __init__(self, items: list[tuple], threshold: float, target: float):
         """Items as (id, word hashes)."""
@@ -85,71 +132,92 @@ class Index:
         self.words = [w for _, w in items]
         self.lists = [w.tolist() for w in self.words]
         self.threshold = threshold
-        self.classes = sorted({window_size(len(w)) for w in self.words})
-        self.flat = _padded(np.concatenate(self.words) if items else np.empty(0, np.uint64), self.classes)
+        self.flat = np.concatenate(self.words) if items else np.empty(0, np.uint64)
         self.first = np.cumsum([0] + [len(w) for w in self.words])[:-1]
-        self.repeats = LEAST_REPEATS
-        self._fill()
-        while self.repeats < MOST_REPEATS and self._recall() < target:
-            self.repeats += 4
-            self._fill()
-
-    def _fill(self) -> None:
-        keys, item, offset = [], [], []
-        for c in self.classes:
-            own = [i for i, w in enumerate(self.words) if window_size(len(w)) == c]
-            offs = [np.arange(len(self.words[i]) - c + 1) for i in own]
-            starts = np.concatenate([self.first[i] + o for i, o in zip(own, offs, strict=True)])
-            which = np.repeat(own, [len(o) for o in offs])
-            for walk in range(WALKS):
-                emb = embed(self.flat, starts, c, walk)
-                for k in range(self.repeats):
-                    keys.append(sample_key(self.flat, emb, c, walk, k))
-                    item.append(which)
-                    offset.append(np.concatenate(offs))
-        if not keys:
-            self.keys = np.empty(0, np.uint64)
-            return
-        keys = np.concatenate(keys)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.item, self.offset = keys[order], np.concatenate(item)[order], np.concatenate(offset)[order]
-        self.shift = np.uint64(64 - max(12, min(26, int(len(keys) * 24).bit_length())))
-        self.bitmap = np.zeros(1 << (64 - int(self.shift)), bool)
-        self.bitmap[(self.keys >> self.shift).astype(np.int64)] = True
+        bands: dict[tuple[int, int], list[int]] = {}
+        exact = []
+        for i, w in enumerate(self.words):
+            own = exact if len(w) // (self.most(i) + 1) >= PIECE else bands.setdefault(band_of(len(w)), [])
+            own.append(i)
+        #: Repetitions by band; bands not in it are searched exactly too.
+        self.repeats = {b: n for b, own in sorted(bands.items()) if (n := self._needed(b[0], own, target))}
+        exact += [i for b, own in bands.items() if b not in self.repeats for i in own]
+        self.windows: dict[int, dict[tuple[int, int], Table]] = {}
+        for c in {c for c, _ in self.repeats}:
+            self.windows[c] = self._tables(c, {i: n for b, n in self.repeats.items() if b[0] == c for i in bands[b]})
+        self.pieces = self._pieces(exact)
+
+    def most(self, i: int) -> int:
+        """Edits that an occurrence of item i may have."""
+        return int((1 - self.threshold) * len(self.words[i]) + 1e-9)
+
+    def _tables(self, c: int, own: dict[int, int]) -> dict[tuple[int, int], Table]:
+        """A table by walk and repetition of the windows of items `own`, each with as many repetitions as it says."""
+        flat, out = _padded(self.flat, [c]), {}
+        offs = [np.arange(len(self.words[i]) - c + 1) for i in own]
+        offset, which = np.concatenate(offs), np.repeat(list(own), [len(o) for o in offs])
+        upto = np.repeat(list(own.values()), [len(o) for o in offs])
+        for walk in range(WALKS):
+            emb = embed(flat, self.first[which] + offset, c, walk)
+            for k in range(max(own.values())):
+                on = upto > k
+                out[walk, k] = Table([sample_key(flat, emb, c, walk, k)[on]], [which[on]], [offset[on]])
+        return out
+
+    def _pieces(self, own: list[int]) -> dict[int, Table]:
+        """Tables by length of the pieces of items `own`, cut into one piece more than the edits each may have."""
+        parts: dict[int, list[tuple[np.ndarray, int, np.ndarray]]] = {}
+        for i in own:
+            n, count = len(self.words[i]), self.most(i) + 1
+            size = max(1, n // count)
+            at = np.arange(min(count, n // size)) * size
+            parts.setdefault(size, []).append((run_keys(self.words[i], size)[at], i, at))
+        return {size: Table([k for k, _, _ in p], [np.full(len(k), i) for k, i, _ in p], [at for _, _, at in p]) for size, p in parts.items()}
 
     def candidates(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Rows (text number, item number, place of the item's first word) for texts laid end to end at `bounds`."""
-        found, padded = [], _padded(words, self.classes)
-        for c in self.classes:
-            s = stride_of(c)
-            counts = np.maximum(0, (np.diff(bounds) - c) // s + 1)
-            text = np.repeat(np.arange(len(counts)), counts)
-            nth = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
-            all_starts = bounds[text] + nth * s
-            for at in range(0, len(all_starts), 16384):
-                starts = all_starts[at : at + 16384]
-                for walk in range(WALKS):
-                    emb = embed(padded, starts, c, walk)
-                    for k in range(self.repeats):
-                        key = sample_key(padded, emb, c, walk, k)
-                        hit = np.flatnonzero(self.bitmap[(key >> self.shift).astype(np.int64)])
-                        low = np.searchsorted(self.keys, key[hit])
-                        high = np.searchsorted(self.keys, key[hit], "right")
-                        n = high - low
-                        if n.any():
-                            w = np.repeat(hit, n)
-                            e = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-                            found.append(np.stack([text[at + w], self.item[e], starts[w] - self.offset[e]], 1))
+        found = [self._by_windows(c, tables, words, bounds) for c, tables in sorted(self.windows.items())]
+        for size, table in sorted(self.pieces.items()):
+            key = run_keys(words, size)
+            starts = np.arange(len(key))
+            text = np.searchsorted(bounds, starts, "right") - 1
+            inside = starts + size <= bounds[text + 1]
+            found.append(table.lookup(key[inside], text[inside], starts[inside]))
         return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
 
-    def _recall(self, trials: int = 200) -> float:
-        """Share of simulated occurrences with the most edits that are candidates: items of this block, edited at random."""
+    def _by_windows(self, c: int, tables: dict[tuple[int, int], Table], words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        found, padded, s = [np.empty((0, 3), np.int64)], _padded(words, [c]), stride_of(c)
+        counts = np.maximum(0, (np.diff(bounds) - c) // s + 1)
+        text = np.repeat(np.arange(len(counts)), counts)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+        all_starts = bounds[text] + nth * s
+        for at in range(0, len(all_starts), 16384):
+            starts = all_starts[at : at + 16384]
+            for walk in range(WALKS):
+                emb = embed(padded, starts, c, walk)
+                for k in range(1 + max(k for _, k in tables)):
+                    found.append(tables[walk, k].lookup(sample_key(padded, emb, c, walk, k), text[at:], starts))
+        return np.concatenate(found)
+
+    def _needed(self, c: int, own: list[int], target: float) -> int:
+        """The repetitions that find simulated occurrences of these items with the target recall; 0 if the most don't."""
+        some, words, bounds = self._simulated(own)
+        tables, left = self._tables(c, dict.fromkeys(set(some), MOST_REPEATS)), set(range(len(some)))
+        for repeats in range(LEAST_REPEATS, MOST_REPEATS + 1, 4):
+            upto = {x: t for x, t in tables.items() if x[1] < repeats}
+            left -= {t for t, i, _ in self._by_windows(c, upto, words, bounds).tolist() if i == some[t]}
+            if len(left) <= (1 - target) * len(some):
+                return repeats
+        return 0
+
+    def _simulated(self, own: list[int]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """TRIALS of these items, each repeated as need be, with the most edits at random: items, words, bounds."""
         rng = np.random.default_rng(7)
-        some = rng.choice(len(self.words), min(trials, len(self.words)), replace=False) if self.words else []
+        some = np.resize(rng.permutation(own), TRIALS).tolist()
         texts = []
         for i in some:
             w = list(self.words[i])
-            for _ in range(int((1 - self.threshold) * len(w) + 1e-9)):
+            for _ in range(self.most(i)):
                 p, kind = rng.integers(len(w)), rng.integers(3)
                 new = np.uint64(rng.integers(2**63))
                 if kind == 0:
@@ -160,12 +228,7 @@ class Index:
                     del w[p]
             lead = rng.integers(0, 2**63, rng.integers(0, 40), dtype=np.uint64)
             texts.append(np.concatenate([lead, np.array(w, np.uint64), rng.integers(0, 2**63, 40, dtype=np.uint64)]))
-        if not texts:
-            return 1.0
-        bounds = np.cumsum([0] + [len(t) for t in texts])
-        got = self.candidates(np.concatenate(texts), bounds)
-        found = {(t, i) for t, i, _ in got.tolist()}
-        return sum((t, i) in found for t, i in enumerate(some)) / len(texts)
+        return some, np.concatenate(texts), np.cumsum([0] + [len(t) for t in texts])
 
 
 def edit_rows(pattern: np.ndarray, text: np.ndarray, free_start: bool) -> np.ndarray:
@@ -197,7 +260,7 @@ def _matches(index: Index, words: np.ndarray, bounds: np.ndarray) -> Iterator[tu
     for t, i, p in found:
         item = index.lists[i]
         n = len(item)
-        most = int((1 - index.threshold) * n + 1e-9)
+        most = index.most(i)
         low, high = max(int(bounds[t]), p - 2 * most - 1), min(int(bounds[t + 1]), p + n + 2 * most + 1)
         span = set(as_list[low:high])
         if sum(map(span.__contains__, item)) < n - most:  # each missing word is an edit
@@ -232,7 +295,8 @@ def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     Words are those of common.WORD. An item of n words occurs in a text if some run of the text's words is within
     (1 - threshold) n word insertions, deletions and substitutions of it; each text and item give their best place
     once, the earliest of the nearest. Null texts, texts of under 4 words, and items of under 5 words never match. Null
-    and repeated ids are carried along. Extra columns are left out. Without items the result is empty.
+    and repeated ids are carried along. `target` is the recall at the most edits of items with pieces of under PIECE words;
+    of other items every occurrence is found. Extra columns are left out. Without items the result is empty.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -281,6 +281,29 @@ def test_leaks_of_odd_rows(spark):
     assert decontaminate.find_leaks(docs_of(spark, ODD), items.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("threshold, lengths", [(0.8, (80,)), (0.8, (90, 100)), (0.8, (160, 180)), (0.8, (20,) * 15 + (80,)), (0.8, (5, 6, 9)), (0.7, (25, 40, 80))])
+def test_edited_items_of_every_length_are_candidates(threshold, lengths):
+    rng = np.random.default_rng(3)
+    items = [(k, rng.integers(0, 2**63, lengths[k % len(lengths)], dtype=np.uint64)) for k in range(96)]
+    index = decontaminate.Index(items, threshold, 0.98)
+    texts = []
+    for _, w in items:
+        own = w.tolist()
+        for p in rng.choice(len(own), int((1 - threshold) * len(own) + 1e-9), replace=False):
+            own[p] = int(rng.integers(2**63))
+        texts.append(np.concatenate([rng.integers(0, 2**63, rng.integers(0, 40), dtype=np.uint64), np.array(own, np.uint64), rng.integers(0, 2**63, 40, dtype=np.uint64)]))
+    got = {(t, i) for t, i, _ in index.candidates(np.concatenate(texts), np.cumsum([0] + [len(t) for t in texts])).tolist()}
+    for n in set(lengths):
+        own = [k for k, w in items if len(w) == n]
+        every = threshold == 0.8 and n >= 10
+        assert sum((k, k) in got for k in own) >= (1 if every else 0.9) * len(own), n
+
+
+def test_bands_cover_all_lengths():
+    bands = [decontaminate.band_of(n) for n in range(5, 2000)]
+    assert bands == sorted(bands) and {b for _, b in bands} == {0, 1, 2, 3}
+
+
 # sentence spans
 
 

@@ -48,31 +48,64 @@ def co_occurrence(edges: DataFrame, least: int = 3, widest: int = 64) -> DataFra
     return a.join(b, "dst").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
-def greedy_clusters(rows: DataFrame, threshold: float, days: float, smallest: int, largest: int, group: str = "namespace") -> DataFrame:
-    """Greedy single-seed clusters in time order within a group and time slot: (group, cluster, rid).
+def greedy_clusters(rows: DataFrame, threshold: float, days: float, smallest: int, largest: int, group: str = "namespace", entities: DataFrame | None = None, block: int = 1024) -> DataFrame:
+    """Greedy single-seed clusters in time order within a group: (group, cluster, rid), cluster being the seed's rid.
 
-    Rows are (group, rid, created_at, v). Groups are cut into slots of `days`, so that a task holds one slot of a group.
+    Rows are (group, rid, created_at, v), rids unique. Any two of a group within `days` may meet. With `entities`
+    (rid, entity), two that both have some must share one. Rows are compared in blocks of about `block`, each with those of
+    its own and the next slot of `days`; one task then holds a group's neighbours, not its vectors.
     """
     kind = rows.schema["rid"].dataType.simpleString()
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
+    base = rows.select(F.col(group).alias("g"), "rid", "created_at", "v", F.floor(F.col("created_at") / (days * DAY)).alias("s"))
+    sizes = base.groupBy("g", "s").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    own = F.broadcast(sizes.toDF("og", "os", "n"))  # a row per group and slot
+    base = base.join(own, F.col("g").eqNullSafe(F.col("og")) & (F.col("s") == F.col("os"))).withColumn("b", F.pmod(F.xxhash64("rid"), F.col("n")).cast("int")).drop("og", "os", "n")
+    if entities is not None:
+        base = base.join(entities.groupBy("rid").agg(F.collect_set("entity").alias("e")), "rid", "left")
+    else:
+        base = base.withColumn("e", F.lit(None).cast("array<string>"))
+    other = F.broadcast(sizes.toDF("og", "os", "n"))
+    cells = base.withColumn("near", F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1))).join(other, F.col("g").eqNullSafe(F.col("og")) & (F.col("near") == F.col("os")))
+    cells = cells.withColumn("nb", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    mine, theirs = F.struct(F.col("s").alias("s"), F.col("b").alias("b")), F.struct(F.col("near").alias("s"), F.col("nb").alias("b"))
+    cells = cells.select("g", F.least(mine, theirs).alias("low"), F.greatest(mine, theirs).alias("high"), (mine > theirs).alias("upper"), (mine == theirs).alias("alone"), "rid", "created_at", "v", "e")
+
+    def neighbours(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["created_at", "rid"]).reset_index(drop=True)
         x = np.array(pdf["v"].tolist(), np.float64)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        t, free, out = pdf["created_at"].to_numpy(), np.ones(len(pdf), bool), []
-        for i in range(len(pdf)):
-            if not free[i]:
+        t, upper, alone = pdf["created_at"].to_numpy(), pdf["upper"].to_numpy(), bool(pdf["alone"].iloc[0])
+        ok = np.triu((x @ x.T >= threshold) & (np.abs(t[:, None] - t) <= days * DAY), 1)
+        if not alone:
+            ok &= upper[:, None] != upper
+        named = np.array([e is not None and len(e) > 0 for e in pdf["e"]])
+        some = np.flatnonzero((ok.any(0) | ok.any(1)) & named)
+        if len(some):
+            number: dict = {}
+            has = np.zeros((len(some), len({k for i in some for k in pdf["e"].iloc[i]})), np.float32)
+            for r, i in enumerate(some):
+                has[r, [number.setdefault(k, len(number)) for k in pdf["e"].iloc[i]]] = 1
+            ok[np.ix_(some, some)] &= has @ has.T > 0
+        seeds = np.arange(len(pdf)) if alone and smallest <= 1 else np.flatnonzero(ok.any(1))
+        out = [(pdf["g"].iloc[0], pdf["rid"].iloc[i], t[i], pdf["rid"][ok[i]].tolist(), t[ok[i]].tolist()) for i in seeds]
+        return pd.DataFrame(out, columns=["g", "seed", "at", "rids", "ats"])
+
+    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
+        near: dict = {}
+        for r in pdf.itertuples():
+            near.setdefault((r.at, r.seed), []).extend(zip(r.ats, r.rids, strict=True))
+        used, out = set(), []
+        for at, seed in sorted(near):
+            if seed in used:
                 continue
-            free[i] = False
-            ok = free & (np.abs(t - t[i]) <= days * DAY) & (x @ x[i] >= threshold)
-            own = np.flatnonzero(ok)[: largest - 1]
-            free[own] = False
+            own = [rid for _, rid in sorted(near[at, seed]) if rid not in used][: largest - 1]
+            used.update([seed, *own])
             if len(own) + 1 >= smallest:
-                out += [(pdf[group].iloc[0], pdf["rid"].iloc[i], pdf["rid"].iloc[k]) for k in [i, *own]]
+                out += [(pdf["g"].iloc[0], seed, rid) for rid in [seed, *own]]
         return pd.DataFrame(out, columns=[group, "cluster", "rid"])
 
-    slot = F.floor(F.col("created_at") / (days * DAY)).alias("slot")
-    return rows.select(group, "rid", "created_at", "v", slot).groupBy(group, "slot").applyInPandas(cluster, f"{group} string, cluster {kind}, rid {kind}")
+    found = cells.groupBy("g", "low", "high").applyInPandas(neighbours, f"g string, seed {kind}, at double, rids array<{kind}>, ats array<double>")
+    return found.groupBy("g").applyInPandas(cluster, f"{group} string, cluster {kind}, rid {kind}")
 
 
 def consolidated(clusters: DataFrame, memories: DataFrame) -> DataFrame:

@@ -175,7 +175,7 @@ def _(spark, sf_dir):
 @query("consolidate")
 def _(spark, sf_dir):
     m = M.active(mem(spark, sf_dir)).where("type in ('episodic', 'semantic') and storage_tier = 'hot'")
-    cl = P.greedy_clusters(m.select("rid", "namespace", "created_at").join(A.vectors(spark, sf_dir).select("rid", "v"), "rid"), 0.8, 30.0, 2, 20)
+    cl = P.greedy_clusters(m.select("rid", "namespace", "created_at").join(A.vectors(spark, sf_dir).select("rid", "v"), "rid"), 0.8, 30.0, 2, 20, entities=A.links(spark, sf_dir))
     out = P.consolidated(cl, m)
     return out.select("cluster", "members", F.round("importance", 6).alias("importance"), F.round("valence", 6).alias("valence"), "half_life", F.length("lead").alias("lead_chars"))
 

@@ -81,6 +81,36 @@ def test_greedy_clusters_respect_time_and_size(spark):
     assert sorted(got.groupby("cluster").rid.count()) == [2, 3] and 9 not in set(got.rid)
 
 
+def brute_clusters(rows, threshold, days, smallest, largest, entities=None):
+    rows, used, out = sorted(rows, key=lambda r: (r[2], r[1])), set(), {}
+    unit = {r[1]: np.array(r[3]) / np.linalg.norm(r[3]) for r in rows}
+    for g, i, t, _ in rows:
+        if i in used:
+            continue
+        used.add(i)
+        own = [i]
+        for h, j, u, _ in rows:
+            named = entities and entities.get(i) and entities.get(j)
+            if h == g and j not in used and u - t <= days * 86400 and unit[i] @ unit[j] >= threshold and not (named and entities[i].isdisjoint(entities[j])) and len(own) < largest:
+                own.append(j)
+                used.add(j)
+        if len(own) >= smallest:
+            out[i] = set(own)
+    return out
+
+
+@pytest.mark.parametrize("named", [False, True])
+def test_greedy_clusters_match_brute_force_across_slot_borders(spark, named):
+    rng = np.random.default_rng(4)
+    rows = [(f"n{i % 2}", i, float(86400 * rng.integers(20, 100) + rng.integers(86400)), rng.normal(size=3).tolist()) for i in range(300)]
+    rows += [("b", 1000, 86400.0 * 30 - 60, [1.0, 0.0]), ("b", 1001, 86400.0 * 30 + 60, [1.0, 0.0])]
+    entities = {i: {f"e{k}" for k in rng.integers(0, 4, rng.integers(0, 3))} for i in range(300)}
+    links = spark.createDataFrame([(i, e) for i, es in entities.items() for e in es], "rid long, entity string")
+    got = patterns.greedy_clusters(spark.createDataFrame(rows, "namespace string, rid long, created_at double, v array<double>"), 0.9, 30.0, 2, 5, entities=links if named else None, block=32).toPandas()
+    assert {k: set(g) for k, g in got.groupby("cluster").rid} == brute_clusters(rows, 0.9, 30.0, 2, 5, entities if named else None)
+    assert set(got[got.namespace == "b"].rid) == {1000, 1001}
+
+
 def test_ranking_loss_matches_pairs(spark):
     rng = random.Random(2)
     rows = [(q, rng.random() < 0.5, rng.random()) for q in range(5) for _ in range(30)]

@@ -48,7 +48,7 @@ def co_occurrence(edges: DataFrame, least: int = 3, widest: int = 64) -> DataFra
     return a.join(b, "dst").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
-def greedy_clusters(rows: DataFrame, threshold: float, days: float, smallest: int, largest: int, group: str = "namespace", entities: DataFrame | None = None, block: int = 1024) -> DataFrame:
+def greedy_clusters(rows: DataFrame, threshold: float, days: float, smallest: int, largest: int, group: str = "namespace", entities: DataFrame | None = None, block: int = 2048) -> DataFrame:
     """Greedy single-seed clusters in time order within a group: (group, cluster, rid), cluster being the seed's rid.
 
     Rows are (group, rid, created_at, v), rids unique. Any two of a group within `days` may meet. With `entities`
@@ -75,7 +75,9 @@ def greedy_clusters(rows: DataFrame, threshold: float, days: float, smallest: in
         x = np.array(pdf["v"].tolist(), np.float64)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
         t, upper, alone = pdf["created_at"].to_numpy(), pdf["upper"].to_numpy(), bool(pdf["alone"].iloc[0])
-        ok = np.triu((x @ x.T >= threshold) & (np.abs(t[:, None] - t) <= days * DAY), 1)
+        ok = np.zeros((len(t), len(t)), bool)
+        for k in range(0, len(t), 512):
+            ok[k : k + 512] = np.triu((x[k : k + 512] @ x.T >= threshold) & (np.abs(t[k : k + 512, None] - t) <= days * DAY), 1 + k)
         if not alone:
             ok &= upper[:, None] != upper
         named = np.array([e is not None and len(e) > 0 for e in pdf["e"]])

@@ -117,3 +117,16 @@ def consolidated(clusters: DataFrame, memories: DataFrame) -> DataFrame:
         F.max_by("text", F.struct("importance", -F.col("rid"))).alias("lead"),
     )
     return g
+
+
+def extractive_summary(memories: DataFrame, group: str) -> DataFrame:
+    """(group, summary, n): the most important memory's text as it is, then the other texts trimmed, in that order.
+
+    Texts that are empty once trimmed, or equal to the lead, are left out. A group's texts are one value.
+    """
+    rows = F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("i"), "rid", F.col("text").alias("t"))))
+    g = memories.groupBy(group).agg(F.transform(rows, lambda x: x["t"]).alias("r"), F.count("*").alias("n"))
+    g = g.withColumn("r", F.array_compact("r")).withColumn("lead", F.get("r", F.lit(0)))
+    rest = F.transform(F.slice("r", F.lit(2), F.greatest(F.size("r") - 1, F.lit(0))), lambda t: F.regexp_replace(t, r"(?U)^\s+|\s+$", ""))
+    rest = F.filter(rest, lambda t: (t != "") & (t != F.col("lead")))
+    return g.select(group, F.array_join(F.concat(F.array("lead"), rest), " | ").alias("summary"), "n")

@@ -187,9 +187,7 @@ def _(spark, sf_dir):
 
 @query("extractive_summary", "SELECT session_id, left(string_agg(left(text, 20), ' | ' ORDER BY importance DESC, rid), 200) AS summary, count(*) AS n FROM memories WHERE status = 'active' GROUP BY session_id", ("memories",))
 def _(spark, sf_dir):
-    rows = F.array_sort(F.collect_list(F.struct((-c("importance")).alias("i"), "rid", F.left("text", F.lit(20)).alias("t"))))
-    g = M.active(mem(spark, sf_dir)).groupBy("session_id").agg(rows.alias("r"), F.count("*").alias("n"))
-    return g.select("session_id", F.left(F.array_join(F.transform("r", lambda x: x["t"]), " | "), F.lit(200)).alias("summary"), "n")
+    return P.extractive_summary(M.active(mem(spark, sf_dir)), "session_id")
 
 
 @query("cross_domain_pairs")

@@ -111,6 +111,13 @@ def test_greedy_clusters_match_brute_force_across_slot_borders(spark, named):
     assert set(got[got.namespace == "b"].rid) == {1000, 1001}
 
 
+def test_extractive_summary_joins_whole_texts_without_repeats_of_the_lead(spark):
+    lead, long = "the lead text, longer than twenty characters", "x" * 300
+    rows = [(1, 1, 0.9, lead), (1, 2, 0.5, f" {lead} "), (1, 3, 0.7, f"  {long}\n"), (1, 4, 0.4, " \t"), (1, 5, 0.3, None), (1, 6, 0.7, "last"), (2, 7, 0.1, " alone ")]
+    got = patterns.extractive_summary(spark.createDataFrame(rows, "session_id long, rid long, importance double, text string"), "session_id").collect()
+    assert {r["session_id"]: (r["summary"], r["n"]) for r in got} == {1: (f"{lead} | {long} | last", 6), 2: (" alone ", 1)}
+
+
 def test_ranking_loss_matches_pairs(spark):
     rng = random.Random(2)
     rows = [(q, rng.random() < 0.5, rng.random()) for q in range(5) for _ in range(30)]

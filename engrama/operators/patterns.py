@@ -36,16 +36,14 @@ def bridges(links: DataFrame, memories: DataFrame, least: int = 2) -> DataFrame:
     return g.withColumn("score", F.log("domains") * F.col("entropy") * F.greatest(F.log(F.col("every") / (1 + F.col("total"))), F.lit(0.1))).withColumn("confidence", F.least(F.col("score") / 5, F.lit(1.0)))
 
 
-def co_occurrence(edges: DataFrame, least: int = 3, widest: int = 64) -> DataFrame:
-    """Pairs of sources by shared destinations; destinations of more than `widest` sources are counted by no pair.
-
-    The bound is part of the definition: it keeps a hub, whose sources have nothing particular in common, from pairing all.
-    """
+def co_occurrence(edges: DataFrame, least: int = 3, block: int = 1024) -> DataFrame:
+    """Pairs of sources by shared destinations; each destination's sources meet in blocks of about `block`."""
     e = edges.select("src", "dst").distinct()
-    ok = e.groupBy("dst").count().where(F.col("count").between(2, widest)).select("dst")
-    e = e.join(ok, "dst", "left_semi")
-    a, b = e.withColumnRenamed("src", "a"), e.withColumnRenamed("src", "b")
-    return a.join(b, "dst").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    n = e.groupBy("dst").agg(F.count("*").alias("n")).where("n >= 2").select("dst", F.ceil(F.col("n") / block).cast("int").alias("n"))
+    e = e.join(n, "dst").withColumn("own", F.pmod(F.xxhash64("src"), F.col("n")).cast("int"))
+    e = e.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    a, b = e.select("dst", F.col("src").alias("a"), F.col("own").alias("i"), F.col("other").alias("j")), e.select("dst", F.col("src").alias("b"), F.col("other").alias("i"), F.col("own").alias("j"))
+    return a.join(b, ["dst", "i", "j"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
 def greedy_clusters(rows: DataFrame, threshold: float, days: float, smallest: int, largest: int, group: str = "namespace", entities: DataFrame | None = None, block: int = 2048) -> DataFrame:

@@ -118,6 +118,14 @@ def test_extractive_summary_joins_whole_texts_without_repeats_of_the_lead(spark)
     assert {r["session_id"]: (r["summary"], r["n"]) for r in got} == {1: (f"{lead} | {long} | last", 6), 2: (" alone ", 1)}
 
 
+@pytest.mark.parametrize("block", [8, 1024])
+def test_co_occurrence_counts_hubs(spark, block):
+    rows = [(f"s{i}", f"hub{k}") for i in range(70) for k in range(3)] + [(f"s{i}", f"d{i % 9}") for i in range(70)] + [("s1", "hub0")]
+    got = patterns.co_occurrence(spark.createDataFrame(rows, "src string, dst string"), block=block).collect()
+    assert len(got) == 70 * 69 // 2
+    assert {(r["a"], r["b"]): r["shared"] for r in got} == {(a, b): 4 if int(a[1:]) % 9 == int(b[1:]) % 9 else 3 for a in {r[0] for r in rows} for b in {r[0] for r in rows} if a < b}
+
+
 def test_ranking_loss_matches_pairs(spark):
     rng = random.Random(2)
     rows = [(q, rng.random() < 0.5, rng.random()) for q in range(5) for _ in range(30)]

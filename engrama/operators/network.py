@@ -87,13 +87,23 @@ def analogies(pairs: DataFrame) -> DataFrame:
                 own.setdefault(r.dst, set()).add(("in", r.rel))
             sides.append((own, {(r.src, r.rel, r.dst) for r in rows.itertuples()}))
         (a, ea), (b, eb) = sides
-        scored = sorted(((-len(a[x] & b[y]) / len(a[x] | b[y]), x, y) for x in a for y in b))
-        mapping, used, quality = {}, set(), []
-        for q, x, y in scored:
-            if -q > 0.1 and x not in mapping and y not in used:
-                mapping[x] = y
-                used.add(y)
-                quality.append(-q)
+        # nodes with equal relations score alike, so levels of the score are gone through by sets of relations
+        free, levels = {}, {}
+        for side, own in ((0, a), (1, b)):
+            for x in sorted(own, reverse=True):
+                free.setdefault((side, frozenset(own[x])), []).append(x)
+        for x in [k for side, k in free if side == 0]:
+            for y in [k for side, k in free if side == 1]:
+                levels.setdefault(len(x & y) / len(x | y), {}).setdefault(x, []).append(y)
+        mapping, quality = {}, []
+        for q in sorted((q for q in levels if q > 0.1), reverse=True):
+            for x in sorted(n for k in levels[q] for n in free[0, k]):
+                least = min((free[1, k] for k in levels[q][frozenset(a[x])] if free[1, k]), key=lambda names: names[-1], default=None)
+                if least:
+                    mapping[x] = least.pop()
+                    quality.append(q)
+            for k in levels[q]:
+                free[0, k] = [n for n in free[0, k] if n not in mapping]
         kept = sum((mapping.get(x), r, mapping.get(y)) in eb for x, r, y in ea)
         cover, edge = len(mapping) / max(1, len(a), len(b)), kept / max(1, len(ea))
         sim = 0.25 * cover * (sum(quality) / max(1, len(quality))) + 0.45 * edge + 0.30 * kept / max(1, len(ea), len(eb))

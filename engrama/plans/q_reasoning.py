@@ -254,6 +254,4 @@ def _(spark, sf_dir):
     o = A.edges(spark, sf_dir).where("rel = 'supplies'").select("src", "rel", "dst")
     number = F.substring("src", 2, 20).cast("long")
     pairs = o.withColumn("pair", F.concat(F.lit("q"), F.floor(number / 2))).withColumn("side", (number % 2).cast("int"))
-    rank = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
-    small = pairs.withColumn("r", rank).where("r <= 8").drop("r")  # the feature: the first eight relations of each
-    return N.analogies(small.select("pair", "side", "src", "rel", "dst")).select("pair", F.size("mapping").alias("mapped"), F.round("similarity", 6).alias("similarity"))
+    return N.analogies(pairs.select("pair", "side", "src", "rel", "dst")).select("pair", F.size("mapping").alias("mapped"), F.round("similarity", 6).alias("similarity"))

@@ -1,5 +1,7 @@
 """The store, relation extraction, clocks, small-graph reasoning, the whole recall and the reasoning pipeline."""
 
+import random
+
 import pytest
 from engrama.functions import extraction as X
 from engrama.functions.security import Clock
@@ -107,3 +109,32 @@ def test_reasoning_pipeline(spark, sf):
     assert r.explain() == ["constrain", "recall", "coherence", "compare"] and out.count() == 30 and out.where("importance <= 0.5").count() == 0
     evidence = A.events(spark, sf).select(F.col("user_id").alias("rid"), (F.col("value") / 100).alias("weight"), F.col("t").alias("at"))
     assert Reason(A.NOW, A.memories(spark, sf), events=A.events(spark, sf)).believe(evidence).anticipate(1e9).plan(2).assess().execute().count() <= 2
+
+
+def test_analogies_of_whole_subgraphs_match_all_node_pairs(spark):
+    rng = random.Random(5)
+    rows = sorted({(f"q{p}", side, f"{side}n{rng.randrange(12)}", rng.choice("abc"), f"{side}n{rng.randrange(12)}") for p in range(5) for side in (0, 1) for _ in range(25)})
+    rows += [("wide", side, f"s{side}", "supplies", f"p{k}") for side in (0, 1) for k in range(600 + side)]
+    got = {r["pair"]: r["mapping"] for r in N.analogies(spark.createDataFrame(rows, "pair string, side int, src string, rel string, dst string")).collect()}
+    for p in {r[0] for r in rows}:
+        sets = ({}, {})
+        for _, side, src, rel, dst in (r for r in rows if r[0] == p):
+            sets[side].setdefault(src, set()).add(("out", rel))
+            sets[side].setdefault(dst, set()).add(("in", rel))
+        want, used = {}, set()
+        for q, x, y in sorted((-len(a & b) / len(a | b), x, y) for x, a in sets[0].items() for y, b in sets[1].items()):
+            if -q > 0.1 and x not in want and y not in used:
+                want[x] = y
+                used.add(y)
+        assert got[p] == [f"{x}>{y}" for x, y in sorted(want.items())], p
+
+
+def test_analogies_query_maps_every_relation(spark, sf):
+    from engrama.plans import catalog
+
+    nodes = {}
+    for r in A.edges(spark, sf).where("rel = 'supplies'").select("src", "dst").collect():
+        nodes.setdefault(int(r["src"][1:]), set()).add(r["dst"])
+    got = {r["pair"]: r["mapped"] for r in catalog.QUERIES["analogies"](spark, sf).collect()}
+    both = [k for k in nodes if k % 2 == 0 and k + 1 in nodes]
+    assert both and all(got[f"q{k // 2}"] == 1 + min(len(nodes[k]), len(nodes[k + 1])) for k in both)

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,13 +19,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_local_scratch: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a local one of our own only where that is unset."""
+    """This application's part of the shared folder that the cluster names in spark.checkpoint.dir.
+
+    Where that is unset a local folder serves, but only under a local master, as in tests.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='engrama-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not _local_scratch:
+            _local_scratch.append(f"file://{tempfile.mkdtemp(prefix='engrama-')}")
+        found = _local_scratch[0]
+    return f"{found.rstrip('/')}/engrama-{spark.conf.get('spark.app.id', 'app')}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's scratch tables, once no result that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -60,7 +76,7 @@ WORD = re.compile(r"[0-9A-Za-z_\x80-\U0010ffff]+")
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz") + list(range(128, 256))] = True
 _BASE = 0x5851F42D4C957F2D
-_PIECE = 1 << 20
+_PIECE, _LONG = 1 << 20, 256
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -74,11 +90,17 @@ def _power_tables(n: int) -> list[np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans of these bytes: differences of one polynomial prefix sum, finalized."""
+    """64-bit hashes of spans of these bytes: differences of one polynomial prefix sum, finalized.
+
+    Long spans can be made to collide modulo 2^64 whatever the base, so those are hashed one by one.
+    """
     up, down = _power_tables(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    out = mix((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for k in np.flatnonzero(stops - starts >= _LONG).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : stops[k]].tobytes())
+    return out
 
 
 def _hash_piece(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,15 +144,15 @@ def text_slices(column, size: int = 1 << 20):
         yield first, held
 
 
-def components(edges: DataFrame, name: str, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of edges(a, b) as (node, root), root being the least node of the component.
 
-    Alternating large-star and small-star steps, each one aggregation with map-side combine and one join; lineage is
+    Runs until a round changes nothing, after about as many as the logarithm of the longest path squared. Alternating large-star and small-star steps, each one aggregation with map-side combine and one join; lineage is
     cut with a written table after each pair of steps. Nodes may be of any orderable type. No neighbour list is built.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, before = materialize(now, name), None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # written, so that each join has two plain shuffles and those of hubs can be split
         low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{name}-low")

@@ -2,13 +2,16 @@
 
 Documents are tokenized where they lie; only piece lengths move on. In the first round cells of pieces are packed by
 best fit, longest first; full bins and bins that no open bin could still fill are emitted, the others go to the next
-round as items of their own, in fewer and fewer cells, until one cell packs what is left. A bin remembers where it went
-and at which offset, so pieces find their place by joins over open bins alone.
+round as items of their own, in fewer and fewer cells, until one cell packs what is left. Where cells find next to
+nothing that fits, the bins left are merged all at once: bins of one fill are alike, so best fit runs over counts by
+fill, a table no larger than the capacity, and each bin takes its place by its rank among those of its fill. A bin
+remembers where it went and at which offset, so pieces find their place by joins over open bins alone.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
@@ -17,15 +20,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, span_hashes, text_slices
 
 #: Items that one cell packs at a time.
 CELL_ITEMS = 50_000
-#: Chunks whose ids a worker remembers.
-CACHE = 600_000
+#: Chunks whose ids a worker remembers, and the longest of them.
+CACHE, CACHED_BYTES = 600_000, 64
 SLICE = 1 << 20
 #: Classes of bytes: 0 blank, 1 ASCII letter or digit, 2 other visible ASCII, 3 what never parts from its neighbours.
 _CLASS = np.full(256, 3, np.int8)
@@ -42,11 +45,19 @@ def _tokenizer(path: str) -> tuple:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
-        _tokenizers[path] = (tok, {})
+        added = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
+        _tokenizers[path] = (tok, {}, added, re.compile("|".join(f"({re.escape(t)})" for t in sorted(added, key=len, reverse=True)) or "(?!)"))
     return _tokenizers[path]
 
 
+def _match_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> bool:
+    """Whether the spans of these sizes at a hold the same bytes as those at b."""
+    k = np.flatnonzero(a != b)
+    n = sizes[k]
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return bool((data[np.repeat(a[k], n) + at] == data[np.repeat(b[k], n) + at]).all())
+
+
 def _lowered(text: str) -> str:
     """The text in lower case where that can't change its ids, since the tokenizer lowers too."""
     if text.isascii() or not ("\u0130" in text or "\u03a3" in text) and unicodedata.is_normalized("NFC", text):
@@ -63,24 +74,48 @@ def _chunks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero((after != 0) & ((before == 0) | part)), np.flatnonzero((before != 0) & ((after == 0) | part))
 
 
+def _distinct(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct chunks, and the number of each chunk among them: grouped by hash, then held against their bytes."""
+    sizes = stops - starts
+    _, first, inverse = np.unique(span_hashes(data, starts, stops), return_index=True, return_inverse=True)
+    if not (sizes == sizes[first][inverse]).all() or not _match_bytes(data, starts, starts[first][inverse], sizes):
+        known: dict[bytes, int] = {}  # other bytes under one hash
+        inverse = np.array([known.setdefault(data[a:b].tobytes(), len(known)) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)], np.int64)
+        return list(known), inverse
+    whole = data.tobytes()
+    return [whole[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)], inverse
+
+
 def encode(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all texts end to end (unsigned 32-bit), and where each text's begin (with the end).
 
     The tokenizer lowers letters, never joins characters across white space, and parts letters from marks, so a text's
-    ids are those of its chunks in turn. Chunks repeat: each is encoded once and remembered by a 64-bit hash of it.
+    ids are those of its chunks in turn. Chunks repeat: each is encoded once and remembered by its bytes. A text that
+    holds an added token's string, which the tokenizer cuts out first, is encoded as the parts around it.
     """
-    tok, seen = _tokenizer(path)
+    tok, seen, added, marks = _tokenizer(path)
+    if any(marks.search(t) for t in texts):
+        split = [[p for p in marks.split(t) if p] if marks.search(t) else [t] for t in texts]
+        ids, bounds = _encode_plain(["" if p in added else p for own in split for p in own], tok, seen)
+        out, sizes, k = [], [], 0
+        for own in split:
+            parts = [np.array([added[p]], "<u4") if p in added else ids[bounds[k + n] : bounds[k + n + 1]] for n, p in enumerate(own)]
+            out += parts
+            sizes.append(sum(map(len, parts)))
+            k += len(own)
+        return np.concatenate(out) if out else np.empty(0, "<u4"), np.cumsum([0, *sizes])
+    return _encode_plain(texts, tok, seen)
+
+
+def _encode_plain(texts: list[str], tok, seen: dict) -> tuple[np.ndarray, np.ndarray]:
     parts = [_lowered(t).encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join(parts), np.uint8)
     starts, stops = _chunks(data)
-    keys, first, inverse = np.unique(span_hashes(data, starts, stops), return_index=True, return_inverse=True)
-    names = keys.tolist()
-    new = [k for k, name in enumerate(names) if name not in seen]
-    at = first[new]
-    chunks = [data[a:b].tobytes().decode("utf-8", "surrogatepass") for a, b in zip(starts[at].tolist(), stops[at].tolist(), strict=True)]
-    found = dict(zip((names[k] for k in new), (np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(chunks, add_special_tokens=False)), strict=True))
+    names, inverse = _distinct(data, starts, stops)
+    new = [n for n in names if n not in seen]
+    found = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast([n.decode("utf-8", "surrogatepass") for n in new], add_special_tokens=False)), strict=True))
     if len(seen) < CACHE:
-        seen.update(found)
+        seen.update((n, e) for n, e in found.items() if len(n) <= CACHED_BYTES)
     pool = [seen[n] if n in seen else found[n] for n in names]
     sizes = np.fromiter(map(len, pool), np.int64, len(pool)) // 4
     begins = np.cumsum(sizes) - sizes
@@ -136,6 +171,53 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, np.array(fills, np.int64)
 
 
+def best_fit_counts(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Best fit, longest first, over counts of items by size, as rows (size, rank, stop, bin, per, shift): the items of
+    that size with ranks from `rank` to before `stop` go to the bins from `bin` on, `per` to each, from offset `shift`.
+
+    A step takes whole runs of like bins and leaves each at most half of its room, so there are at most some tens of rows
+    per distinct size, whatever the counts.
+    """
+    rooms: dict[int, list[tuple[int, int]]] = {}  # room: runs of bins (first, number)
+    rows, bins = [], 0
+    for size in sorted(counts, reverse=True):
+        rank, left = 0, counts[size]
+        while left:
+            room = min((r for r in rooms if r >= size), default=None)
+            if room is None:
+                room, per = capacity, capacity // size
+                first, n = bins, -(-left // per)
+                bins += n
+            else:
+                first, n = rooms[room].pop()
+                if not rooms[room]:
+                    del rooms[room]
+                per = room // size
+            full = min(n, left // per)
+            rest = min(left - full * per, per - 1) if full < n else 0
+            for start, number, each in ((first, full, per), (first + full, min(rest, 1), rest)):
+                if number:
+                    rows.append((size, rank, rank + number * each, start, each, capacity - room))
+                    rank, left = rank + number * each, left - number * each
+                    rooms.setdefault(room - each * size, []).append((start, number))
+            if n > full + min(rest, 1):
+                rooms.setdefault(room, []).append((first + full + min(rest, 1), n - full - min(rest, 1)))
+    return rows
+
+
+def _merge_by_size(items: DataFrame, capacity: int, cells: int) -> DataFrame:
+    """All of items(item, size) packed by best_fit_counts: item, bin (below 0, so unlike any item), shift."""
+    items = materialize(items.withColumn("cell", F.pmod(F.xxhash64("item"), F.lit(cells)).cast("int")), "open-bins")
+    counts = materialize(items.groupBy("size", "cell").agg(F.count("*").alias("n")), "open-counts")
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("size").orderBy("cell")) - F.col("n")).drop("n")
+    plan = best_fit_counts({r[0]: r[1] for r in counts.groupBy("size").agg(F.sum("n")).collect()}, capacity)  # a row per size
+    table = F.broadcast(items.sparkSession.createDataFrame(plan, "size long, low long, stop long, first long, per long, base long"))
+    nth = F.row_number().over(Window.partitionBy("size", "cell").orderBy("item")) - 1
+    ranked = items.withColumn("nth", nth).join(before, ["size", "cell"]).withColumn("rank", F.col("nth") + F.col("before"))
+    ranked = ranked.join(table, "size").where("rank >= low and rank < stop")
+    return ranked.select("item", F.expr("-1 - (first + (rank - low) div per)").alias("bin"), F.expr("base + ((rank - low) % per) * size").alias("shift"))
+
+
 def _pack_cell(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     pdf = pdf.sort_values("item", kind="stable")  # the same bins when a lost task runs again
     bins, offsets, fills = best_fit(pdf["size"].to_numpy(np.int64), capacity)
@@ -159,17 +241,21 @@ def pack(df: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, id_co
     open_bins = pieces.where(F.col("length") < size).select("item", F.col("length").alias("size"))
     count = open_bins.count()
     moves: DataFrame | None = None  # where each open piece is after the rounds so far
+
+    def after(packed: DataFrame) -> DataFrame:
+        """The moves with those of one more round."""
+        if moves is None:
+            return packed
+        step = packed.select(F.col("item").alias("bin"), F.col("bin").alias("bin2"), F.col("shift").alias("shift2"))
+        out = moves.join(step, "bin", "left").select("item", F.coalesce("bin2", "bin").alias("bin"), (F.col("shift") + F.coalesce("shift2", F.lit(0))).alias("shift"))
+        return materialize(out, "moves")
+
     while count:
         cells = -(-count // cell_items)
         cell = F.pmod(F.xxhash64("item"), F.lit(cells)).alias("cell")
         packed = open_bins.select("item", "size", cell).groupBy("cell").applyInPandas(lambda pdf: _pack_cell(pdf, size), "item long, bin long, shift long, fill long")
         packed = materialize(packed, "packed")
-        if moves is None:
-            moves = packed
-        else:
-            step = packed.select(F.col("item").alias("bin"), F.col("bin").alias("bin2"), F.col("shift").alias("shift2"))
-            moves = moves.join(step, "bin", "left").select("item", F.coalesce("bin2", "bin").alias("bin"), (F.col("shift") + F.coalesce("shift2", F.lit(0))).alias("shift"))
-            moves = materialize(moves, "moves")
+        moves = after(packed)
         if cells == 1:
             break
         left = packed.where(F.col("fill") < size).groupBy("bin").agg(F.first("fill").alias("size")).withColumnRenamed("bin", "item")
@@ -179,6 +265,7 @@ def pack(df: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, id_co
         open_bins = left.where(F.col("size") + least <= size)  # nothing fits into the others any more
         before, count = count, open_bins.count()
         if count > 0.9 * before:  # cells of this many bins find next to nothing that fits
+            moves = after(materialize(_merge_by_size(open_bins, size, cells), "merged"))
             break
     if moves is None:
         return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

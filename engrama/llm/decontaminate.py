@@ -1,23 +1,24 @@
-"""Benchmark decontamination: exact search by intact pieces, or CGK embedding with repeated LSH; exact edit verification.
+"""Benchmark decontamination: CGK embedding with repeated LSH over windows, and exact edit verification.
 
-An item cut into one piece more than the edits it is allowed has a piece left intact in every occurrence. Where pieces
-have PIECE words or more, all places of the documents are looked up for them, and no occurrence is missed.
+Over words as symbols, the CGK random walk copies the symbol under its pointer and steps on by a random bit of that
+symbol and step, so that sequences a few edits apart have embeddings that agree in many places. Items are cut into a
+length class each; windows of that size run over every document at a stride of a quarter of it, and over the items at
+every offset, so an occurrence always has windows aligned with an item's. A repetition samples a few embedding places;
+windows that agree in all of them are candidates. Items of about one length form a band, whose repetitions are added
+until simulated occurrences with as many edits as the threshold allows are found with the target recall; a class takes
+the longest sample that brings all its bands there with few repetitions, as longer samples give fewer false candidates.
 
-Shorter pieces stand in too many places. Those items are searched through windows: over words as symbols, the CGK random
-walk copies the symbol under its pointer and steps on by a random bit of that symbol and step, so that sequences a few
-edits apart have embeddings that agree in many places. Items are cut into a length class each; windows of that size run
-over every document at a stride of a quarter of it, and over the items at every offset, so an occurrence always has
-windows aligned with an item's. A repetition samples a few embedding places; windows that agree in all of them are
-candidates. Items of about one length form a band, and a band's repetitions are added until simulated occurrences with
-as many edits as the threshold allows are found with the target recall. A band that the most repetitions don't bring
-there is searched by its pieces after all.
+A band that the most repetitions don't bring to the target is searched exactly instead: an item cut into one piece more
+than the edits it is allowed has a piece left intact in every occurrence, so all places of its pieces are looked up.
+Items too short for a window may have no edit, and are found as a whole in the same way.
 
 Each candidate is verified by word edit distance against the whole item. Items travel to the documents in blocks of
-fixed size; documents never move.
+bounded size; documents never move.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +28,14 @@ from pyspark.sql import functions as F
 
 from .common import MASK, WORD, hash_words, materialize, mix, text_slices
 
-#: Items that one pass over the documents looks for, and the bound on their characters.
-BLOCK_ITEMS = 1000
-SAMPLE, WALKS, LEAST_REPEATS, MOST_REPEATS = 5, 2, 8, 24
-#: Items whose pieces have at least so many words are searched by them.
-PIECE = 3
+#: Bound on the characters of items that one pass over the documents looks for (one longer item is a block of its own).
+BLOCK_CHARS = 1 << 20
+#: Embedding places in a sample, the longest first; repetitions of each walk that a longer sample may take, and the most.
+SAMPLES, FEW_REPEATS = (5, 4, 3), 12
+WALKS, LEAST_REPEATS, MOST_REPEATS = 2, 8, 24
 #: Simulated occurrences that a band's recall is measured on.
-TRIALS = 200
+TRIALS = 400
+#: Items of fewer words have no window.
 MIN_WORDS = 5
 
 
@@ -75,12 +77,12 @@ def embed(words: np.ndarray, starts: np.ndarray, c: int, walk: int) -> np.ndarra
     return out
 
 
-def sample_key(words: np.ndarray, emb: np.ndarray, c: int, walk: int, k: int) -> np.ndarray:
+def sample_key(words: np.ndarray, emb: np.ndarray, c: int, walk: int, k: int, sample: int) -> np.ndarray:
     """The k-th repetition's key: a hash of a few random places of the embedding."""
     rng = np.random.default_rng([c, walk, k])
     key = np.full(emb.shape[1], np.uint64(((c * 64 + walk) * 4096 + k + 1) * 0x9E3779B97F4A7C15 & MASK))
     symbol = np.empty(emb.shape[1], np.uint64)
-    for p in np.sort(rng.choice(emb.shape[0], min(SAMPLE, emb.shape[0]), replace=False)):
+    for p in np.sort(rng.choice(emb.shape[0], min(sample, emb.shape[0]), replace=False)):
         np.take(words, emb[p], out=symbol, mode="clip")
         symbol *= np.uint64(int(rng.integers(1, 2**62)) * 2 + 1)
         key += symbol
@@ -137,21 +139,34 @@ class Index:
         bands: dict[tuple[int, int], list[int]] = {}
         exact = []
         for i, w in enumerate(self.words):
-            own = exact if len(w) // (self.most(i) + 1) >= PIECE else bands.setdefault(band_of(len(w)), [])
-            own.append(i)
-        #: Repetitions by band; bands not in it are searched exactly too.
-        self.repeats = {b: n for b, own in sorted(bands.items()) if (n := self._needed(b[0], own, target))}
-        exact += [i for b, own in bands.items() if b not in self.repeats for i in own]
+            (bands.setdefault(band_of(len(w)), []) if len(w) >= MIN_WORDS else exact).append(i)
+        #: Places in a sample by class, and by band (repetitions, measured recall); 0 repetitions: searched exactly.
+        self.sample: dict[int, int] = {}
+        self.plan: dict[tuple[int, int], tuple[int, float]] = {}
+        for c in sorted({c for c, _ in bands}):
+            self._choose(c, {b: own for b, own in sorted(bands.items()) if b[0] == c}, target)
+        exact += [i for b, own in bands.items() if not self.plan[b][0] for i in own]
         self.windows: dict[int, dict[tuple[int, int], Table]] = {}
-        for c in {c for c, _ in self.repeats}:
-            self.windows[c] = self._tables(c, {i: n for b, n in self.repeats.items() if b[0] == c for i in bands[b]})
+        for c in self.sample:
+            if own := {i: n for b, (n, _) in self.plan.items() if b[0] == c and n for i in bands[b]}:
+                self.windows[c] = self._tables(c, own, self.sample[c])
         self.pieces = self._pieces(exact)
 
+    def _choose(self, c: int, bands: dict[tuple[int, int], list[int]], target: float) -> None:
+        """The sample of class c and the repetitions of its bands."""
+        for sample in SAMPLES:
+            most = MOST_REPEATS if sample == SAMPLES[-1] else FEW_REPEATS
+            found = {b: self._needed(c, own, sample, most, target) for b, own in bands.items()}
+            if all(n for n, _ in found.values()):
+                break
+        self.sample[c] = sample
+        self.plan |= found
+
     def most(self, i: int) -> int:
         """Edits that an occurrence of item i may have."""
         return int((1 - self.threshold) * len(self.words[i]) + 1e-9)
 
-    def _tables(self, c: int, own: dict[int, int]) -> dict[tuple[int, int], Table]:
+    def _tables(self, c: int, own: dict[int, int], sample: int) -> dict[tuple[int, int], Table]:
         """A table by walk and repetition of the windows of items `own`, each with as many repetitions as it says."""
         flat, out = _padded(self.flat, [c]), {}
         offs = [np.arange(len(self.words[i]) - c + 1) for i in own]
@@ -161,7 +176,7 @@ class Index:
             emb = embed(flat, self.first[which] + offset, c, walk)
             for k in range(max(own.values())):
                 on = upto > k
-                out[walk, k] = Table([sample_key(flat, emb, c, walk, k)[on]], [which[on]], [offset[on]])
+                out[walk, k] = Table([sample_key(flat, emb, c, walk, k, sample)[on]], [which[on]], [offset[on]])
         return out
 
     def _pieces(self, own: list[int]) -> dict[int, Table]:
@@ -176,7 +191,7 @@ class Index:
 
     def candidates(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Rows (text number, item number, place of the item's first word) for texts laid end to end at `bounds`."""
-        found = [self._by_windows(c, tables, words, bounds) for c, tables in sorted(self.windows.items())]
+        found = [self._by_windows(c, self.sample[c], tables, words, bounds) for c, tables in sorted(self.windows.items())]
         for size, table in sorted(self.pieces.items()):
             key = run_keys(words, size)
             starts = np.arange(len(key))
@@ -185,7 +200,7 @@ class Index:
             found.append(table.lookup(key[inside], text[inside], starts[inside]))
         return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
 
-    def _by_windows(self, c: int, tables: dict[tuple[int, int], Table], words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    def _by_windows(self, c: int, sample: int, tables: dict[tuple[int, int], Table], words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         found, padded, s = [np.empty((0, 3), np.int64)], _padded(words, [c]), stride_of(c)
         counts = np.maximum(0, (np.diff(bounds) - c) // s + 1)
         text = np.repeat(np.arange(len(counts)), counts)
@@ -195,20 +210,20 @@ class Index:
             starts = all_starts[at : at + 16384]
             for walk in range(WALKS):
                 emb = embed(padded, starts, c, walk)
-                for k in range(1 + max(k for _, k in tables)):
-                    found.append(tables[walk, k].lookup(sample_key(padded, emb, c, walk, k), text[at:], starts))
+                for k in sorted({k for _, k in tables}):
+                    found.append(tables[walk, k].lookup(sample_key(padded, emb, c, walk, k, sample), text[at:], starts))
         return np.concatenate(found)
 
-    def _needed(self, c: int, own: list[int], target: float) -> int:
-        """The repetitions that find simulated occurrences of these items with the target recall; 0 if the most don't."""
+    def _needed(self, c: int, own: list[int], sample: int, most: int, target: float) -> tuple[int, float]:
+        """The repetitions that find simulated occurrences of these items with the target recall, and the recall; 0 if the most don't."""
         some, words, bounds = self._simulated(own)
-        tables, left = self._tables(c, dict.fromkeys(set(some), MOST_REPEATS)), set(range(len(some)))
-        for repeats in range(LEAST_REPEATS, MOST_REPEATS + 1, 4):
-            upto = {x: t for x, t in tables.items() if x[1] < repeats}
-            left -= {t for t, i, _ in self._by_windows(c, upto, words, bounds).tolist() if i == some[t]}
-            if len(left) <= (1 - target) * len(some):
-                return repeats
-        return 0
+        tables, left = self._tables(c, dict.fromkeys(set(some), most), sample), set(range(len(some)))
+        for repeats in range(4, most + 1, 4):
+            upto = {x: t for x, t in tables.items() if repeats - 4 <= x[1] < repeats}
+            left -= {t for t, i, _ in self._by_windows(c, sample, upto, words, bounds).tolist() if i == some[t]}
+            if repeats >= LEAST_REPEATS and len(left) <= (1 - target) * len(some):
+                return repeats, 1 - len(left) / len(some)
+        return 0, 1 - len(left) / len(some)
 
     def _simulated(self, own: list[int]) -> tuple[list[int], np.ndarray, np.ndarray]:
         """TRIALS of these items, each repeated as need be, with the most edits at random: items, words, bounds."""
@@ -276,47 +291,74 @@ def _matches(index: Index, words: np.ndarray, bounds: np.ndarray) -> Iterator[tu
         yield t, i, d, a, b
 
 
+def _place(text: str, a: int, b: int) -> tuple[int, int]:
+    """Code points of the text from its a-th word to before its b-th."""
+    low = text.lower()
+    places = [m.span() for m in itertools.islice(WORD.finditer(low), b)]
+    start, stop = places[a][0], places[b - 1][1]
+    if len(low) == len(text):
+        return start, stop
+    ends = np.cumsum([len(ch.lower()) for ch in text])  # some letters are longer in lower case
+    return int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop - 1, "right")) + 1
+
+
 def _search(batches: Iterator[pa.RecordBatch], index: Index, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         for first, texts in text_slices(batch.column(1)):
             words, bounds = hash_words(texts)
             for t, i, d, a, b in _matches(index, words, bounds):
-                places = [m.span() for m in WORD.finditer(texts[t].lower())]
-                rows.append((batch.column(0)[first + t].as_py(), index.ids[i], places[a][0], places[b - 1][1], d, 1 - d / len(index.words[i])))
+                start, stop = _place(texts[t], a, b)
+                rows.append((batch.column(0)[first + t].as_py(), index.ids[i], start, stop, d, 1 - d / len(index.words[i])))
         cols = list(zip(*rows, strict=True)) or [[]] * 6
         kinds = [batch.schema.field(0).type, id_type, pa.int32(), pa.int32(), pa.int32(), pa.float64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "start", "stop", "distance", "similarity"])
 
 
+def _blocks(items: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple]]:
+    """The items that hold a word, as (id, word hashes), in blocks of about BLOCK_CHARS characters."""
+    usable = items.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).where("t is not null")
+    chars = usable.agg(F.sum(F.length("t").cast("long"))).first()[0] or 0
+    blocks = max(1, -(-chars // BLOCK_CHARS))
+    usable = usable.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
+    for b in range(blocks):
+        block = [(r["i"], w) for r in usable.where(F.col("b") == b).orderBy("i", "t").collect() if len(w := hash_words([r["t"]])[0])]
+        if block:
+            yield block
+
+
 def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", threshold: float = 0.8, target: float = 0.98) -> DataFrame:
-    """Verified occurrences: doc_id, item_id, start, stop (code points of the lowered text), distance, similarity.
+    """Verified occurrences: doc_id, item_id, start, stop (code points of the text), distance, similarity.
 
     Words are those of common.WORD. An item of n words occurs in a text if some run of the text's words is within
     (1 - threshold) n word insertions, deletions and substitutions of it; each text and item give their best place
-    once, the earliest of the nearest. Null texts, texts of under 4 words, and items of under 5 words never match. Null
-    and repeated ids are carried along. `target` is the recall at the most edits of items with pieces of under PIECE words;
-    of other items every occurrence is found. Extra columns are left out. Without items the result is empty.
+    once, the earliest of the nearest. Null texts, and items without a word, never match; items of under 5 words match
+    word by word. Null and repeated ids are carried along. `target` is the recall, measured for each band of lengths by
+    search_plan, of occurrences with the most edits; fewer edits are found more surely. Extra columns are left out.
+    Without items the result is empty.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_dc_x"))
     kind, item_kind = df.schema[id_col].dataType, items.schema[item_col].dataType
     schema = f"doc_id {kind.simpleString()}, item_id {item_kind.simpleString()}, start int, stop int, distance int, similarity double"
-    usable = items.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).where("t is not null")
-    blocks = max(1, -(-usable.count() // BLOCK_ITEMS))
-    usable = usable.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
     arrow, out = to_arrow_type(item_kind), None
-    for b in range(blocks):  # a fixed number of items at a time, whatever the documents
-        block = [(r["i"], w) for r in usable.where(F.col("b") == b).orderBy("i", "t").collect() if len(w := hash_words([r["t"]])[0]) >= MIN_WORDS]
-        if not block:
-            continue
+    for block in _blocks(items, item_col, text_col):  # a bounded part of the items at a time, whatever the documents
         index = Index(block, threshold, target)
         found = rows.mapInArrow(lambda it, index=index: _search(it, index, arrow), schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else rows.select("doc_id").where("false").selectExpr("doc_id", f"cast(null as {item_kind.simpleString()}) as item_id", "0 as start", "0 as stop", "0 as distance", "0d as similarity")
 
 
+def search_plan(items: DataFrame, text_col: str = "text", item_col: str = "item_id", threshold: float = 0.8, target: float = 0.98) -> list[dict]:
+    """How find_leaks looks for the items of each band of lengths: class, part, sample, repetitions and measured recall."""
+    out = []
+    for n, block in enumerate(_blocks(items, item_col, text_col)):
+        index = Index(block, threshold, target)
+        out += [{"block": n, "window": c, "part": p, "sample": index.sample[c], "repeats": k, "recall": recall if k else 1.0} for (c, p), (k, recall) in index.plan.items()]
+    return out
+
+
 def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of df whose text holds no item; rows with equal id and text share their fate, other columns stay."""
     keyed = df.withColumn("_dc_k", F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("t")))

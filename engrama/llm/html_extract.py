@@ -8,6 +8,7 @@ the leaves to the root and back, exactly, and give each text block's marginal pr
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import re
@@ -20,7 +21,11 @@ from pyspark.sql import functions as F
 from .common import without
 from .html_samples import labelled_pages
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<", re.S)
+#: A tag's name and attributes up to its end; a quote matters only after an equals sign, and only if it is closed.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+#: References to numbers that are far beyond any character.
+_BEYOND = re.compile(r"&#(?:[0-9]{300,}|[xX][0-9a-fA-F]{300,});?")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-label|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _PART = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
@@ -31,6 +36,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("html body article section main nav header footer aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot caption tr td th blockquote pre form fieldset legend figure figcaption address details summary dialog center menu hgroup search".split())
 #: What an opening tag closes first, and what that search doesn't leave.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+_MARKS = frozenset("| / > - · • » « : , –".split())
 #: Words in class, id and role, by what they say.
 HINTS = {
     "good": "article content post entry story main body text prose page copy",
@@ -69,6 +75,38 @@ def _hints(attrs: str) -> tuple[tuple, bool]:
     return tuple(sorted(kinds)), hidden
 
 
+class _Scanner:
+    """Splits a page into texts and tags, moving forward only: the work is in proportion to the page, broken or not."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.quotes = True  # whether a > within quotes doesn't end a tag
+        self.ends = {"-->": True, "]]>": True}  # whether there may be one more
+
+    def find(self, mark: str, at: int) -> int:
+        k = self.page.find(mark, at) if self.ends[mark] else -1
+        self.ends[mark] = k >= 0
+        return k
+
+    def skip(self, at: int) -> tuple[int, str, re.Match | None] | None:
+        """What begins at the < at this place: (where it ends, text it holds, tag); None where it is a mere sign."""
+        page = self.page
+        if page.startswith("<!--", at):
+            k = self.find("-->", at + 4)
+            return (k + 3 if k >= 0 else len(page)), "", None
+        if page.startswith("<![CDATA[", at) and (k := self.find("]]>", at)) >= 0:
+            return k + 3, page[at + 9 : k], None
+        if at > self.last:
+            return None
+        if page.startswith(("<!", "<?"), at):
+            return page.index(">", at) + 1, "", None
+        m = _TAG.match(page, at) if self.quotes else None
+        if not m and page[at + 1 : at + 3].lstrip("/")[:1].isascii() and page[at + 1 : at + 3].lstrip("/")[:1].isalpha():
+            self.quotes = False  # every > is in some quotes: from here on quotes don't count
+            m = _PLAIN_TAG.match(page, at, page.index(">", at) + 1)
+        return (m.end(), "", m) if m else None
+
+
 def parse(page: str) -> list[Node]:
     """The page's block elements and text blocks, parents first; text blocks have the tag #."""
     nodes = [Node(-1, "root", ())]
@@ -82,6 +120,8 @@ def parse(page: str) -> list[Node]:
         buffer.clear()
         if words:
             n = Node(stack[-1][1], "#", ())
+            if linked:  # marks between links go with them
+                linked += sum(w in _MARKS for w in words)
             n.text, n.words, n.linked = " ".join(words), len(words), min(linked, len(words))
             n.stops = sum(w[-1] in ".!?:;" for w in words)
             nodes.append(n)
@@ -90,36 +130,52 @@ def parse(page: str) -> list[Node]:
     def text(raw: str) -> None:
         nonlocal linked
         if raw and not stack[-1][2]:
-            raw = html.unescape(raw)
+            raw = html.unescape(_BEYOND.sub("\ufffd", raw))
             buffer.append(raw)
             if links:
                 linked += len(raw.split())
 
+    def cut(k: int) -> None:
+        """Close all elements from the k-th of the stack on."""
+        while len(stack) > k:
+            places[stack.pop()[0]].pop()
+
+    def push(tag: str, node: int, unseen: bool) -> None:
+        places[tag].append(len(stack))
+        stack.append((tag, node, unseen))
+
+    def top(tags: set) -> int:
+        """The place of the innermost open element with such a tag."""
+        return max((places[t][-1] for t in tags if places[t]), default=0)
+
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements of a tag
+    scanner = _Scanner(page)
     while at < end:
-        m = _TOKEN.search(page, at)
-        if not m:
+        begin = page.find("<", at)
+        if begin < 0:
             text(page[at:])
             break
-        text(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            if m[0] == "<":
-                text("<")
-            elif m[0].startswith("<![CDATA["):
-                text(m[0][9:-3])
+        text(page[at:begin])
+        found = scanner.skip(begin)
+        if not found:
+            text("<")
+            at = begin + 1
+            continue
+        at, plain, m = found
+        text(plain)
+        if not m:
             continue
+        tag = m[2].lower()
         if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
-            elif any(t == tag for t, _, _ in stack[1:]):
+            elif places[tag]:
                 flush()
-                while stack.pop()[0] != tag:
-                    pass
+                cut(places[tag][-1])
             elif tag in BLOCKS:
                 flush()
             continue
-        attrs = m[3] or ""
+        attrs = m[3]
         if tag in VOID:
             if tag == "hr":
                 flush()
@@ -134,28 +190,24 @@ def parse(page: str) -> list[Node]:
             at = page.find(">", stop) + 1 or end
             continue
         if tag == "a":
-            links += 0 if attrs.endswith("/") else 1
+            links += 0 if attrs.endswith("/") and "href" not in attrs.lower() else 1
             continue
         if tag in BLOCKS:
             flush()
             links = 0
             if stack[-1][0] == "p":
-                stack.pop()
+                cut(len(stack) - 1)
             if tag in CLOSES:
                 drop, keep = CLOSES[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in keep:
-                        break
-                    if stack[k][0] in drop:
-                        del stack[k:]
-                        break
+                if (k := top(drop)) > top(keep):
+                    cut(k)
             hints, hidden = _hints(attrs)
             nodes.append(Node(stack[-1][1], tag, hints))
-            stack.append((tag, len(nodes) - 1, stack[-1][2] or hidden))
+            push(tag, len(nodes) - 1, stack[-1][2] or hidden)
         elif tag in SKIPPED:
             if not attrs.endswith("/"):
                 flush()
-                stack.append((tag, stack[-1][1], True))
+                push(tag, stack[-1][1], True)
     flush()
     for n in nodes[1:]:
         n.under = nodes[n.parent].hints or nodes[n.parent].under
@@ -236,6 +288,7 @@ class TreeModel:
         return [1 / (1 + math.exp(max(-700.0, min(700.0, a - b)))) for a, b in belief]
 
 
+@functools.cache
 def train(pages: int = 600, seed: int = 3) -> TreeModel:
     """A model of so many generated pages with labelled blocks."""
     done = []

@@ -92,6 +92,9 @@ class Writer:
 
     def article(self, chance: float) -> str:
         r, parts = self.rng, []
+        if r.random() < 0.08:  # next to nothing but a title
+            tag = r.choice(["article", "article", "main"])
+            return f"<{tag}{self.hint(GOOD, chance * 0.5)}>" + self.block("h1", self.words(1, 4), True) + self.block("p", self.words(1, 5), True) + f"</{tag}>"
         if r.random() < 0.85:
             title = self.block(r.choice(["h1", "h1", "h2"]), self.words(3, 14, r.random() < 0.5), True)
             parts.append(f"<header>{title}</header>" if r.random() < 0.1 else title)
@@ -130,5 +133,11 @@ def labelled_pages(n: int, seed: int) -> Iterator[tuple[str, set[str]]]:
         core = w.article(chance)
         if rng.random() < 0.3:
             core = f"<main>{core}{after.pop(0) if after and rng.random() < 0.5 else ''}</main>"
+        if rng.random() < 0.2:  # a layout by table: links in one row, the article in another, and nothing marked as such
+            bar = w.links(rng.randint(2, 8), "a")
+            row = f"<tr><td>{core}</td></tr>"
+            core = f"<table width=100%><tr><td>{bar}</td></tr>{row}</table>" if rng.random() < 0.7 else f"<table>{row}<tr><td>{bar}</td></tr></table>"
+        if rng.random() < 0.1:
+            after.append(f"<form action=/search><input name=q><button>{w.words(1, 4, False)}</button></form>")
         head = f"<head><title>{w.words(2, 9, False)}</title><style>p{{margin:0}}</style></head>"
         yield f"<!DOCTYPE html><html>{head}<body><script>var a='</p>';</script>{''.join(before)}{core}{''.join(after)}</body></html>", w.wanted

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import without
+from .common import materialize, without
 
 #: Blocks at most, and cells of a shard at most: what keeps the matrix small however many rows there are.
 BLOCKS, SLICES = 2048, 50
@@ -24,15 +24,26 @@ HASHES = 65_536
 
 
 def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """How many of n rows drawn from good + bad are good; beyond 10^9 rows by the normal law, within its bounds."""
-    low, high = max(0, n - bad), min(n, good)
-    if low == high:
-        return low
+    """How many of n rows drawn from good + bad are good, by the hypergeometric law exactly, for any numbers of rows.
+
+    Where there are too many rows for one draw, each is taken by itself with the same chance, which takes about n; those
+    over or missing are then drawn from the rows taken or left, by the same law and of far smaller number.
+    """
+    if not (good and bad and n and n < good + bad):
+        return good if n and n == good + bad else 0 if bad else n
     if good + bad < 1_000_000_000:
         return int(rng.hypergeometric(good, bad, n))
-    share = good / (good + bad)
-    spread = (n * share * (1 - share) * (good + bad - n) / max(1, good + bad - 1)) ** 0.5
-    return int(min(high, max(low, round(rng.normal(n * share, spread)))))
+    if 2 * n > good + bad:
+        return good - _draw(rng, good, bad, good + bad - n)
+    if n < 64:
+        taken = 0
+        for k in range(n):
+            taken += int(rng.integers(good + bad - k)) < good - taken
+        return taken
+    x, y = int(rng.binomial(good, n / (good + bad))), int(rng.binomial(bad, n / (good + bad)))
+    if x + y >= n:
+        return x - _draw(rng, x, y, x + y - n)
+    return x + _draw(rng, good - x, bad - y, n - x - y)
 
 
 def communication_matrix(blocks: list[int], cells: list[int], seed: int) -> np.ndarray:
@@ -51,7 +62,7 @@ def communication_matrix(blocks: list[int], cells: list[int], seed: int) -> np.n
     return out
 
 
-def shard(df: DataFrame, n_shards: int = 40, seed: int = 17, block_rows: int = 20_000) -> DataFrame:
+def shard(df: DataFrame, n_shards: int = 40, seed: int = 17, block_rows: int = 4_000) -> DataFrame:
     """df with `shard` (int, 0 to n_shards - 1) and `slot` (long, gapless from 0 in each shard).
 
     Shard sizes differ by one row at most; every arrangement is equally likely. Nulls in any column and empty texts are
@@ -72,10 +83,15 @@ def shard(df: DataFrame, n_shards: int = 40, seed: int = 17, block_rows: int = 2
     sizes = [base + (s < extra) for s in range(n_shards)]
     cells = [m * (k + 1) // parts - m * k // parts for m in sizes for k in range(parts)]
     ends = communication_matrix(blocks, cells, seed).cumsum(axis=1).reshape(n_blocks, n_shards, parts)
-    table = json.dumps([{"_sh_b": b, "_sh_e": e.tolist()} for b, e in enumerate(ends)])
-    cuts = spark.range(1).select(F.inline(F.from_json(F.lit(table), "array<struct<_sh_b:int,_sh_e:array<array<bigint>>>>")))
     if ends.size <= 200_000:  # under 2 MB
-        cuts = F.broadcast(cuts)
+        table = json.dumps([{"_sh_b": b, "_sh_e": e.tolist()} for b, e in enumerate(ends)])
+        cuts = F.broadcast(spark.range(1).select(F.inline(F.from_json(F.lit(table), "array<struct<_sh_b:int,_sh_e:array<array<bigint>>>>"))))
+    else:
+        cuts = None
+        for at in range(0, n_blocks, max(1, 200_000 * n_blocks // ends.size)):  # written in parts, not carried by the plan
+            part = [(b, ends[b].tolist()) for b in range(at, min(n_blocks, at + max(1, 200_000 * n_blocks // ends.size)))]
+            part = materialize(spark.createDataFrame(part, "_sh_b int, _sh_e array<array<bigint>>"), "shard-matrix")
+            cuts = part if cuts is None else cuts.unionByName(part)
 
     rows = df.withColumn("_sh_b", F.pmod(cell, F.lit(n_blocks)).cast("int"))
     rows = rows.withColumn("_sh_p", F.row_number().over(Window.partitionBy("_sh_b").orderBy(F.xxhash64(F.lit(seed + 1), *names))))

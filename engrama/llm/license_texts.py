@@ -71,6 +71,7 @@ FAMILIES: dict[str, list[str]] = {
         "Released under the ISC License.",
     ],
     "all-rights-reserved": [
+        "All rights reserved.",
         "Copyright. All rights reserved.",
         "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form without prior written permission of the publisher.",
         "Copyright the authors, all rights reserved.",

@@ -2,15 +2,20 @@
 
 Texts with the same set of shingles form one class representative. Each representative has a label in every tree of
 the forest: its MinHash values, eight bits each, so that a label's leading bytes are its path in that tree's prefix
-trie. All prefixes are cut at one depth, computed from the threshold and the target alone, so the forest is in effect
-fixed banding: labels with that prefix in common are a node, and a pair meets if it shares one in some tree. Nodes link representatives to components, which
-are verified in blocks: each pair of blocks of a component meets once, pairs that share no node are skipped, and the
-exact Jaccard similarity of shingle sets decides. No task holds more than two blocks, and counts leave it, not pairs.
+trie. Matching starts at the tries' full depth: labels that agree as a whole are a node, and pairs of a node are
+verified by the exact Jaccard similarity of their shingle sets. Prefixes are then shortened by one value at a time, and
+only for labels whose shorter node holds others that it did not meet before; new pairs alone are verified. From the
+similarities verified so far follows how many pairs each depth is expected to have missed; shortening stops when the
+recall so estimated reaches the target, or at the depth where even pairs at the threshold reach it.
+
+Nodes link representatives to components. A large one is cut into blocks along the order of its labels, and only pairs
+of blocks that share a node meet. No task holds more than two blocks, and counts leave it, not pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import MASK, components, hash_words, materialize, mix, text_slices
 
 DEPTH, TREES = 8, 20
-#: Representatives in a block of a large component, and about as many in a cell of small ones.
-BLOCK = 1024
+#: Representatives and shingles in a block of a large component; a cell of small ones has about as many shingles.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 22
 
 
 def _coefficients(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,13 +70,14 @@ def forest_labels(found: np.ndarray) -> np.ndarray:
     return digits.view(">u8").ravel().astype(np.uint64)
 
 
-def prefix_depth(threshold: float, target: float) -> int:
-    """The greatest depth at which, by the formula, pairs at the threshold meet with the target recall; no data is read."""
-    match = threshold + (1 - threshold) / 256
-    for depth in range(DEPTH, 0, -1):
-        if 1 - (1 - match**depth) ** TREES >= target:
-            return depth
-    return 1
+def meets(similarity: float, depth: int) -> float:
+    """The chance that a pair shares a node at this depth in some tree."""
+    return 1 - (1 - (similarity + (1 - similarity) / 256) ** depth) ** TREES
+
+
+def least_depth(threshold: float, target: float) -> int:
+    """The greatest depth at which pairs at the threshold itself meet with the target recall."""
+    return next((d for d in range(DEPTH, 0, -1) if meets(threshold, d) >= target), 1)
 
 
 def _digest(text: str | None, found: np.ndarray) -> bytes:
@@ -80,32 +86,42 @@ def _digest(text: str | None, found: np.ndarray) -> bytes:
 
 def _sign(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sums, labels = [], []
-        for text, found in _text_shingles(batch.column(1), size):
+        sums, labels, sizes = [], [], []
+        for text, found in _text_shingles(batch.column("_nd_x"), size):
             sums.append(_digest(text, found))
+            sizes.append(len(found))
             labels.append(forest_labels(found).astype(np.int64, casting="unsafe").tolist() if len(found) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.binary()), pa.array(labels, pa.list_(pa.int64()))], ["_nd_i", "dig", "labels"])
+        yield pa.RecordBatch.from_arrays([batch.column("_nd_i"), batch.column("_nd_t"), pa.array(sums, pa.binary()), pa.array(sizes, pa.int64()), pa.array(labels, pa.list_(pa.int64()))], ["_nd_i", "_nd_t", "dig", "w", "labels"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Shingle sets and labels of the rows that are the representative they were looked up as."""
+    """Shingle sets and labels of the rows that are the representative they were looked up as, each once."""
+    done = set()
     for batch in batches:
         keep, sets, labels = [], [], []
-        digs = batch.column("dig")
+        digs = batch.column("dig").to_pylist()
         for k, (text, found) in enumerate(_text_shingles(batch.column("_nd_x"), size)):
-            if _digest(text, found) == digs[k].as_py():
-                keep.append(k)
+            if digs[k] not in done and _digest(text, found) == digs[k]:
+                done.add(digs[k])
+                keep.append(digs[k])
                 sets.append(found.tobytes())
                 labels.append(forest_labels(found).tobytes())
-        rest = batch.drop_columns(["_nd_x"]).take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(sets, pa.binary()), pa.array(labels, pa.binary())], [*rest.schema.names, "found", "trees"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (keep, sets, labels)], ["dig", "found", "trees"])
 
 
-def _similar(a: list[np.ndarray], b: list[np.ndarray] | None, la: np.ndarray, lb: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs with similarity at or over the threshold among those that share a node; within a where b is None."""
-    near = np.zeros((len(la), len(lb)), bool)
+def _near(la: np.ndarray, lb: np.ndarray, depth: int) -> np.ndarray:
+    """Which pairs of labels share a node at this depth and none below it."""
+    out = np.zeros((len(la), len(lb)), bool)
     for t in range(la.shape[1]):
-        near |= la[:, t, None] == lb[None, :, t]
+        out |= (la[:, t, None] ^ lb[None, :, t]) >> np.uint64(64 - 8 * depth) == 0 if depth < DEPTH else la[:, t, None] == lb[None, :, t]
+    if depth < DEPTH:
+        for t in range(la.shape[1]):
+            out &= (la[:, t, None] ^ lb[None, :, t]) >> np.uint64(56 - 8 * depth) != 0
+    return out
+
+
+def _similar(a: list[np.ndarray], b: list[np.ndarray] | None, near: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs with similarity at or over the threshold among those near, and the similarities; within a where b is None."""
     if b is None:
         near = np.triu(near, 1)
         b = a
@@ -117,8 +133,9 @@ def _similar(a: list[np.ndarray], b: list[np.ndarray] | None, la: np.ndarray, lb
         both = np.array([len(np.intersect1d(a[p], b[q], assume_unique=True)) for p, q in zip(i.tolist(), j.tolist(), strict=True)], np.float64)
     else:
         both = _common(a, b)[i, j]
-    hit = both >= threshold * (sa[i] + sb[j] - both) - 1e-9
-    return i[hit], j[hit]
+    either = sa[i] + sb[j] - both
+    hit = both >= threshold * either - 1e-9
+    return i[hit], j[hit], both[hit] / np.maximum(1, either[hit])
 
 
 def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -157,67 +174,112 @@ def _lowest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def _verify(pdf: pd.DataFrame, threshold: float, shift: int) -> pd.DataFrame:
-    """For each representative in each block pair: the documents it links to there, and the least node it reaches."""
-    out = []
+def _verify(pdf: pd.DataFrame, threshold: float, depth: int) -> pd.DataFrame:
+    """For each representative in each block pair: the documents it links to there, and the least node it reaches.
+
+    Rows without a digest say how many pairs have a similarity, in percent.
+    """
+    out, seen = [], Counter()
     for (_root, bi, bj), g in pdf.groupby(["root", "bi", "bj"], sort=False):
         g = g.drop_duplicates("dig").sort_values("dig")  # nodes in order, so the least index is the least digest
         sets = [np.frombuffer(x, np.uint64) for x in g["found"]]
-        labels = np.frombuffer(b"".join(g["trees"]), np.uint64).reshape(len(g), TREES) >> np.uint64(shift)
-        weight, block = g["n"].to_numpy(np.int64), g["block"].to_numpy()
+        labels = np.frombuffer(b"".join(g["trees"]), np.uint64).reshape(len(g), TREES)
+        weight, block = g["n"].to_numpy(np.int64), g["blk"].to_numpy()
         if bi == bj:
-            i, j = _similar(sets, None, labels, labels, threshold)
+            i, j, sim = _similar(sets, None, _near(labels, labels, depth), threshold)
         else:
             p, q = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
-            i, j = _similar([sets[k] for k in p], [sets[k] for k in q], labels[p], labels[q], threshold)
+            i, j, sim = _similar([sets[k] for k in p], [sets[k] for k in q], _near(labels[p], labels[q], depth), threshold)
             i, j = p[i], q[j]
+        seen.update((100 * sim + 1e-9).astype(int).tolist())
         links = np.bincount(i, weight[j], len(g)) + np.bincount(j, weight[i], len(g))
-        low = _lowest(len(g), i, j)
+        linked = np.flatnonzero(links)
         digs = g["dig"].to_numpy()
-        out.append(pd.DataFrame({"dig": digs, "links": links.astype(np.int64), "low": digs[low], "whole": g["blocks"].to_numpy() == 1}))
-    return pd.concat(out) if out else pd.DataFrame({"dig": [], "links": [], "low": [], "whole": []})
-
-
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, target: float = 0.995, block: int = BLOCK) -> DataFrame:
+        out.append(pd.DataFrame({"dig": digs[linked], "links": links[linked].astype(np.int64), "low": digs[_lowest(len(g), i, j)[linked]], "percent": None}))
+    out.append(pd.DataFrame({"dig": None, "links": list(seen.values()), "low": None, "percent": list(seen)}))
+    return pd.concat([x.astype(object) for x in out])
+
+
+def _verifier(threshold: float, depth: int):
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _verify(pdf, threshold, depth)
+
+    return verify
+
+
+def _blocks(members: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
+    """members(dig, root, w, label) with blk, its block, and meet, the block pairs (bi, bj) it goes to."""
+    size = lambda: F.ceil(F.greatest(F.count("*") / block, F.sum("w") / BLOCK_SHINGLES)).cast("long")
+    sizes = members.groupBy("root").agg(size().alias("parts"))
+    members = members.join(sizes, "root")
+    # the order of the first tree's labels, then by hash where too many labels are alike
+    span = F.when(F.col("parts") > 1, F.shiftright(F.shiftrightunsigned("label", 48) * F.col("parts"), 16)).otherwise(F.lit(0))
+    members = members.withColumn("span", span.cast("long"))
+    spans = members.where("parts > 1").groupBy("root", "span").agg(size().alias("subs"))
+    members = members.join(spans, ["root", "span"], "left")
+    blk = F.col("span") * (1 << 20) + F.pmod(F.xxhash64("dig"), F.coalesce("subs", F.lit(1)))
+    members = materialize(members.withColumn("blk", F.when(F.col("parts") > 1, blk).otherwise(F.lit(0)).cast("long")).drop("span", "subs", "label"), "members")
+    spread = nodes.join(members.where("parts > 1").select("dig", "root", "blk"), "dig").select("root", "tree", "p", "blk").distinct()
+    spread = materialize(spread, "node-blocks")
+    pairs = spread.withColumnRenamed("blk", "bi").join(spread.withColumnRenamed("blk", "bj"), ["root", "tree", "p"]).where("bi <= bj").select("root", "bi", "bj").distinct()
+    sides = pairs.select("root", "bi", "bj", F.explode(F.array_distinct(F.array("bi", "bj"))).alias("blk"))
+    sides = sides.groupBy("root", "blk").agg(F.collect_list(F.struct("bi", "bj")).alias("meet"))  # as many as the component's blocks
+    alone = F.array(F.struct(F.lit(0).cast("long").alias("bi"), F.lit(0).cast("long").alias("bj")))
+    return members.join(sides, ["root", "blk"], "left").withColumn("meet", F.when(F.col("parts") > 1, F.col("meet")).otherwise(alone))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, target: float = 0.9995, block: int = BLOCK, report: dict | None = None) -> DataFrame:
     """One row per row of df: the id, class_id, class_size (long), n_links (long) and set_digest (hex of the shingle set's).
 
     Two documents are linked if the Jaccard similarity of their sets of `size`-word shingles (words as in common.WORD) is
     at least `threshold`; a class is a connected component of links, named by its least id. n_links counts the linked
-    documents, copies included. Links are found with the recall that the formula of prefix_depth gives: by it about 0.2%
-    of pairs at exactly 0.8 never meet, fewer above it. A text of fewer than `size` words is one shingle; texts without any word (null as empty)
-    are linked to equal texts only. A null id takes part and is never a class id unless its class has no other. Rows
-    that repeat count as documents of their own. Extra columns are left out.
+    documents, copies included. Links between different texts are found with the recall `target`, estimated from those
+    found at each depth of the forest; `report` receives the depth reached, the estimate and the pairs found. A text of
+    fewer than `size` words is one shingle; texts without any word (null as empty) are linked to equal texts only. A
+    null id takes part and is never a class id unless its class has no other. Rows that repeat count as documents of
+    their own. Extra columns are left out.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("_nd_i"), F.col(text_col).alias("_nd_x"))
-    signed = materialize(rows.mapInArrow(lambda it: _sign(it, size), f"_nd_i {kind}, dig binary, labels array<long>"), "signed")
-    reps = materialize(signed.groupBy("dig").agg(F.min("_nd_i").alias("rep"), F.count("*").alias("n"), F.first("labels").alias("labels")), "reps")
-
-    shift = 64 - 8 * prefix_depth(threshold, target)
-    nodes = reps.select("dig", F.posexplode("labels").alias("tree", "label")).select("dig", "tree", F.shiftrightunsigned("label", shift).alias("prefix"))
-    heads = nodes.groupBy("tree", "prefix").agg(F.min("dig").alias("head"), F.max("dig").alias("tail")).where("head <> tail").drop("tail")
-    edges = nodes.join(heads, ["tree", "prefix"]).where("dig <> head").select(F.col("dig").alias("a"), F.col("head").alias("b"))
-    parts = components(edges, "forest")
-    sizes = parts.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = parts.join(sizes, "root").join(reps.select(F.col("dig").alias("node"), "rep", "n"), "node").withColumnRenamed("node", "dig")
-    members = materialize(members, "members")
-
-    cells = max(1, -(-members.count() // block))
-    texts = rows.join(members.hint("merge"), F.col("_nd_i").eqNullSafe(F.col("rep"))).select("_nd_x", "dig", "root", "blocks", "n")
-    texts = texts.mapInArrow(lambda it: _sets(it, size), "dig binary, root binary, blocks int, n long, found binary, trees binary")
-    texts = texts.withColumn("block", F.pmod(F.xxhash64("dig"), F.col("blocks")).cast("int"))
-    texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    texts = texts.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other")).drop("other")
-    cell = F.when(F.col("blocks") > 1, F.xxhash64("root", "bi", "bj")).otherwise(F.pmod(F.xxhash64("root"), F.lit(cells)))
-    found = texts.groupBy(cell.alias("cell")).applyInPandas(lambda pdf: _verify(pdf, threshold, shift), "dig binary, links long, low binary, whole boolean")
-    found = materialize(found, "verified")
-
-    links = found.groupBy("dig").agg(F.sum("links").alias("links"))
-    class_of = found.where("whole").select("dig", F.col("low").alias("top"))
-    large = found.where("not whole and dig <> low").select(F.col("dig").alias("a"), F.col("low").alias("b"))
-    if not large.isEmpty():
-        class_of = class_of.unionByName(components(large, "classes").select(F.col("node").alias("dig"), F.col("root").alias("top")))
-    whole = reps.select("dig", "rep", "n").join(links, "dig", "left").join(class_of, "dig", "left").withColumn("top", F.coalesce("top", "dig"))
-    tops = whole.groupBy("top").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))
+    rows = df.select(F.col(id_col).alias("_nd_i"), F.xxhash64(text_col).alias("_nd_t"), F.col(text_col).alias("_nd_x"))
+    signed = materialize(rows.mapInArrow(lambda it: _sign(it, size), f"_nd_i {kind}, _nd_t long, dig binary, w long, labels array<long>"), "signed")
+    every = [F.min(F.struct("_nd_i", "_nd_t")).alias("rep"), F.min("_nd_i").alias("id"), F.count("*").alias("n"), F.first("w").alias("w"), F.first("labels").alias("labels")]
+    reps = materialize(signed.groupBy("dig").agg(*every), "reps")
+
+    least = least_depth(threshold, target)
+    at = lambda d: F.shiftrightunsigned("label", 64 - 8 * d) if d < DEPTH else F.col("label")
+    tries = reps.select("dig", F.posexplode("labels").alias("tree", "label")).withColumn("p", at(least))
+    shared = tries.groupBy("tree", "p").agg(F.min("dig").alias("head"), F.max("dig").alias("tail")).where("head <> tail").select("tree", "p")
+    tries = materialize(tries.join(shared, ["tree", "p"], "left_semi").select("tree", "label", "dig"), "tries")  # labels with company
+    wanted = materialize(tries.select("dig").distinct().join(reps.select("dig", "rep"), "dig"), "wanted")
+    sets = rows.join(wanted.hint("merge"), rows["_nd_i"].eqNullSafe(F.col("rep._nd_i")) & (rows["_nd_t"] == F.col("rep._nd_t"))).select("_nd_x", "dig")
+    sets = materialize(sets.mapInArrow(lambda it: _sets(it, size), "dig binary, found binary, trees binary"), "sets")
+
+    found, pairs = None, Counter()
+    for depth in range(DEPTH, least - 1, -1):
+        nodes = tries.withColumn("p", at(depth))
+        new = nodes.groupBy("tree", "p").agg(F.min("dig").alias("head"), F.max("dig").alias("tail"), F.min("label").alias("a"), F.max("label").alias("b"))
+        met = F.shiftrightunsigned("a", 56 - 8 * depth) != F.shiftrightunsigned("b", 56 - 8 * depth) if depth < DEPTH else F.col("head") != F.col("tail")
+        nodes = materialize(nodes.join(new.where(met).select("tree", "p", "head"), ["tree", "p"]), "nodes")
+        parts = components(nodes.where("dig <> head").select(F.col("dig").alias("a"), F.col("head").alias("b")), "forest")
+        members = parts.withColumnRenamed("node", "dig").join(reps.select("dig", "n", "w", F.get("labels", F.lit(0)).alias("label")), "dig")
+        members = materialize(_blocks(members, nodes, block), "meetings")
+        cells = max(1, (members.agg(F.sum("w")).first()[0] or 0) // BLOCK_SHINGLES)
+        cell = F.when(F.col("parts") > 1, F.xxhash64("root", "bi", "bj")).otherwise(F.pmod(F.xxhash64("root"), F.lit(cells)))
+        both = sets.join(members, "dig").select("dig", "root", "parts", "blk", "n", "found", "trees", F.inline("meet"))
+        checked = both.groupBy(cell.alias("cell")).applyInPandas(_verifier(threshold, depth), "dig binary, links long, low binary, percent int")
+        checked = materialize(checked, "verified")
+        found = checked if found is None else found.unionByName(checked)
+        pairs.update({r[0]: r[1] for r in checked.where("dig is null").groupBy("percent").agg(F.sum("links")).collect()})  # a row per percent
+        recall = pairs.total() / sum(n / meets(s / 100, depth) for s, n in pairs.items()) if pairs else 1.0
+        if report is not None:
+            report |= {"depth": depth, "recall": recall, "pairs": pairs.total()}
+        if recall >= target:
+            break
+
+    links = found.where("dig is not null").groupBy("dig").agg(F.sum("links").alias("links"))
+    edges = found.where("dig <> low").select(F.col("dig").alias("a"), F.col("low").alias("b"))
+    class_of = components(edges, "classes").select(F.col("node").alias("dig"), F.col("root").alias("top"))
+    whole = reps.select("dig", "id", "n").join(links, "dig", "left").join(class_of, "dig", "left").withColumn("top", F.coalesce("top", "dig"))
+    tops = whole.groupBy("top").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size"))
     whole = whole.join(tops, "top").select("dig", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     return signed.select("_nd_i", "dig").join(materialize(whole, "classes"), "dig").select(F.col("_nd_i").alias(id_col), "class_id", "class_size", "n_links", F.lower(F.hex("dig")).alias("set_digest"))

@@ -60,7 +60,8 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .span_dedup import dedup_spans
 
-    out = dedup_spans(read_table(spark, sf_dir, "documents"))
+    # sentences of these documents may have one word; two such in a row are no passage
+    out = dedup_spans(read_table(spark, sf_dir, "documents"), min_words=20)
     text = F.coalesce("text", F.lit(""))
     return out.select("doc_id", "sentences_removed", "removed_spans", F.length(text).cast("long").alias("n_chars"), F.md5(text).alias("text_md5"))
 

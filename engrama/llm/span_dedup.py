@@ -1,7 +1,7 @@
 """Substring dedup by sliding spans of sentences.
 
 From every sentence of a text runs a span: the least number of consecutive sentences, two at least, that together have
-`min_words` words; where no such span ends at a sentence, the least one that does is added, so that a repeated passage
+`min_words` words (any number of words by default); where no such span ends at a sentence, the least one that does is added, so that a repeated passage
 is covered to its last sentence. Span hashes of 96 bits are joined globally; of equal spans the first by (doc id, text hash,
 position) stays, and every sentence that any other of them covers is removed. Spans move without their text.
 """
@@ -101,9 +101,10 @@ def _rebuild(texts: pd.Series, hits: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "removed", "spans"])
 
 
-def dedup_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 20) -> DataFrame:
+def dedup_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 0) -> DataFrame:
     """df with the text freed of repeated spans, `sentences_removed` (int) and `removed_spans` (code points of the old text).
 
+    A span is a run of `min_sentences` consecutive sentences, or of more where those have fewer than `min_words` words.
     Spans are compared without regard to case and to the white space between words. Every row stays; a null text stays
     null, a text that is all repeats becomes empty. Texts shorter than one span are left alone. Rows with equal id and
     text count as one and get equal results; null ids order first. Input columns named as the added ones are replaced.

@@ -18,6 +18,8 @@ from .common import materialize, without
 ENDS = "01234"
 #: A hot group's chunks are compared in so many parts first.
 SALTS = 32
+#: What a line of white space alone is made of.
+BLANKS = " \t\r\f\v\u00a0"
 
 
 def _with_chunks(df: DataFrame, text: Column, window: int) -> DataFrame:
@@ -48,7 +50,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     rows = _with_chunks(keyed.select("_ld_i", "_ld_t", F.col(text_col).alias("_ld_x")), F.col("_ld_x"), window)
     # the outer form has Spark infer no filter that would repeat the whole expression below
     rows = rows.select("_ld_i", "_ld_t", F.posexplode_outer("_ld_c").alias("_ld_p", "_ld_c")).where(F.size("_ld_c") >= min_lines)
-    rows = rows.select("_ld_i", "_ld_t", "_ld_p", F.array_join("_ld_c", "\n").alias("_ld_b")).where(F.trim(F.regexp_replace("_ld_b", "\n", "")) != "")
+    rows = rows.select("_ld_i", "_ld_t", "_ld_p", F.array_join("_ld_c", "\n").alias("_ld_b")).where(F.trim(F.col("_ld_b"), F.lit(BLANKS + "\n")) != "")
     rows = rows.withColumn("_ld_h", F.unhex(F.md5("_ld_b")))
     place = F.struct("_ld_i", "_ld_t", "_ld_p")
     hashes = materialize(rows.drop("_ld_b"), "line-chunks")
@@ -80,7 +82,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
 def _pairs(rows: DataFrame, digest: int, *more) -> DataFrame:
     """A row (_ld_i, _ld_t, _ld_p, _ld_h, ...) for each pair of neighbour lines but those of white space alone."""
-    marked = F.transform("_ld_l", lambda x: F.struct(_digest(x, digest).alias("h"), (F.trim(x) != "").alias("s"), *[f(x).alias(n) for n, f in more]))
+    marked = F.transform("_ld_l", lambda x: F.struct(_digest(x, digest).alias("h"), (F.trim(x, F.lit(BLANKS)) != "").alias("s"), *[f(x).alias(n) for n, f in more]))
     rows = rows.select("_ld_i", "_ld_t", marked.alias("_ld_m"))
     both = lambda x, y: F.when(x["s"] | y["s"], F.struct(F.concat(x["h"], y["h"]).alias("h"), *[F.concat(x[n], F.lit("\n"), y[n]).alias(n) for n, _ in more]))
     rest = F.size("_ld_m") - 1

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -114,7 +115,6 @@ def test_packing_round_trip(docs, local, tokenizer, cell):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer)
-    tok.encode_special_tokens = True
     got = packing.pack(docs, tokenizer, cell_items=cell).toPandas()
     check_packing(got, 2048)
     assert got.sequence_id.nunique() <= 1.03 * got.length.sum() / 2048 + 1
@@ -137,7 +137,6 @@ def test_chunked_ids_are_the_tokenizers(text, tokenizer):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer)
-    tok.encode_special_tokens = True
     ids, bounds = packing.encode([text, "x", text], tokenizer)
     want = tok.encode(text, add_special_tokens=False).ids
     assert ids[: bounds[1]].tolist() == want and ids[bounds[2] :].tolist() == want
@@ -274,7 +273,7 @@ def test_leak_distance_is_exact(spark, sf, docs, local):
 def test_leaks_of_odd_rows(spark):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "a b c d"), (4, "a b c d e f g")], "item_id long, text string")
     got = decontaminate.find_leaks(docs_of(spark, ODD), items).collect()
-    assert Counter((r["doc_id"], r["item_id"]) for r in got) == {(3, 4): 2, (6, 4): 1}
+    assert Counter((r["doc_id"], r["item_id"]) for r in got) == {(3, 3): 2, (6, 3): 1, (3, 4): 2, (6, 4): 1}
     left = decontaminate.decontaminate(docs_of(spark, ODD), items)
     assert left.count() == len(ODD) - 3 and left.columns == docs_of(spark, []).columns
     assert decontaminate.find_leaks(docs_of(spark, []), items).count() == 0
@@ -295,8 +294,8 @@ def test_edited_items_of_every_length_are_candidates(threshold, lengths):
     got = {(t, i) for t, i, _ in index.candidates(np.concatenate(texts), np.cumsum([0] + [len(t) for t in texts])).tolist()}
     for n in set(lengths):
         own = [k for k, w in items if len(w) == n]
-        every = threshold == 0.8 and n >= 10
-        assert sum((k, k) in got for k in own) >= (1 if every else 0.9) * len(own), n
+        assert sum((k, k) in got for k in own) >= 0.9 * len(own), n
+    assert all(recall >= 0.98 for n, recall in index.plan.values() if n)
 
 
 def test_bands_cover_all_lengths():
@@ -307,24 +306,41 @@ def test_bands_cover_all_lengths():
 # sentence spans
 
 
-def brute_spans(rows, n, w):
-    seen = {}
-    occurrences = []
+def brute_spans(rows, least):
+    """Which sentences go, by text alone: a run from each sentence to the first that ends it, and likewise backwards."""
+    seen, runs, gone = {}, [], defaultdict(set)
     for i, t in rows:
-        for p, k, h in span_dedup.spans(t or "", n, w):
-            occurrences.append((h, i, p, k))
-            seen[h] = min(seen.get(h, (i, p)), (i, p))
-    gone = defaultdict(set)
-    for h, i, p, k in occurrences:
-        if seen[h] != (i, p):
-            gone[i] |= set(range(p, p + k))
+        parts = [p for line in (t or "").split("\n") for p in re.split(r"(?<=[.!?])\s+", line) if p.strip()]
+        words = [p.lower().split() for p in parts]
+        own, ends = set(), set()
+        for a in range(len(words)):
+            b = a + 2
+            while b <= len(words) and sum(map(len, words[a:b])) < least:
+                b += 1
+            if b <= len(words):
+                own.add((a, b))
+                ends.add(b)
+        for b in range(1, len(words) + 1):
+            a = b - 2
+            while a >= 0 and sum(map(len, words[a:b])) < least:
+                a -= 1
+            if a >= 0 and b not in ends:
+                own.add((a, b))
+        for a, b in own:
+            key = tuple(map(tuple, words[a:b]))
+            runs.append((key, i, a, b))
+            seen[key] = min(seen.get(key, (i, a)), (i, a))
+    for key, i, a, b in runs:
+        if seen[key] != (i, a):
+            gone[i] |= set(range(a, b))
     return {i: len(gone[i]) for i, _ in rows}
 
 
-def test_spans_match_brute_force(docs, local):
-    got = {r["doc_id"]: r for r in span_dedup.dedup_spans(docs).collect()}
+@pytest.mark.parametrize("least", [0, 20])
+def test_spans_match_brute_force(docs, local, least):
+    got = {r["doc_id"]: r for r in span_dedup.dedup_spans(docs, min_words=least).collect()}
     rows = list(zip(local.doc_id.tolist(), local.text.tolist(), strict=True))
-    assert {i: r["sentences_removed"] for i, r in got.items()} == brute_spans(rows, 2, 20)
+    assert {i: r["sentences_removed"] for i, r in got.items()} == brute_spans(rows, least)
     for i, t in rows:
         r = got[i]
         cut = [(s["start"], s["stop"]) for s in r["removed_spans"]]
@@ -336,7 +352,7 @@ def test_repeated_passages_go_and_first_stays(spark):
     passage = "The first of these sentences has quite a few words in it, you see. The second one has rather more words than that, all told, I think. And a third ends it."
     rows = [(2, f"Own opening here. {passage} Own end."), (1, passage), (3, f"Else altogether.\n{passage}"), (4, None), (5, ""), (5, ""), (6, "Short. Short. Short.")]
     got = {r["doc_id"]: r["text"] for r in span_dedup.dedup_spans(docs_of(spark, rows).withColumn("removed_spans", F.lit(1))).collect()}
-    assert got == {1: passage, 2: "Own opening here. Own end.", 3: "Else altogether.", 4: None, 5: "", 6: "Short. Short. Short."}
+    assert got == {1: passage, 2: "Own opening here. Own end.", 3: "Else altogether.", 4: None, 5: "", 6: "Short."}
     assert span_dedup.dedup_spans(docs_of(spark, [])).count() == 0
 
 
@@ -518,7 +534,7 @@ def test_license_scores_match_the_model(spark):
     p = license_scan._softmax((x @ m.weights + m.bias) / m.temperature)[0]
     r = license_scan.scan_licenses(docs_of(spark, [(1, text)])).first()
     assert r["family"] == license_scan.CLASSES[int(p.argmax())] and r["probability"] == pytest.approx(p.max(), abs=1e-4)
-    assert m.held_accuracy > 0.9
+    assert m.held_accuracy > 0.6  # of whole notices never seen in training
 
 
 # queries

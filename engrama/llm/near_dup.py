@@ -2,20 +2,20 @@
 
 Texts with the same set of shingles form one class representative. Each representative has a label in every tree of
 the forest: its MinHash values, eight bits each, so that a label's leading bytes are its path in that tree's prefix
-trie. Matching starts at the tries' full depth: labels that agree as a whole are a node, and pairs of a node are
-verified by the exact Jaccard similarity of their shingle sets. Prefixes are then shortened by one value at a time, and
-only for labels whose shorter node holds others that it did not meet before; new pairs alone are verified. From the
-similarities verified so far follows how many pairs each depth is expected to have missed; shortening stops when the
-recall so estimated reaches the target, or at the depth where even pairs at the threshold reach it.
-
-Nodes link representatives to components. A large one is cut into blocks along the order of its labels, and only pairs
-of blocks that share a node meet. No task holds more than two blocks, and counts leave it, not pairs.
+trie. Representatives that share a node at the least depth which the threshold can ask for form components; one of them
+is cut into blocks along the order of its labels if it is large, and only pairs of blocks that share a node meet.
+
+Within them matching starts at the tries' full depth: pairs whose labels agree as a whole are verified by the exact
+Jaccard similarity of their shingle sets. Then prefixes are shortened by one value at a time, and pairs that a shorter
+prefix brings together for the first time are verified. From the similarities found so far follows how many pairs each
+depth is expected to have missed: where pairs are much alike the target recall is reached at once, where they are barely
+so the prefixes shrink to the least depth, at which even pairs at the threshold meet with the target recall. No task
+holds more than two blocks, and counts leave it, not pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,10 +103,11 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
         for k, (text, found) in enumerate(_text_shingles(batch.column("_nd_x"), size)):
             if digs[k] not in done and _digest(text, found) == digs[k]:
                 done.add(digs[k])
-                keep.append(digs[k])
+                keep.append(k)
                 sets.append(found.tobytes())
                 labels.append(forest_labels(found).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (keep, sets, labels)], ["dig", "found", "trees"])
+        rest = batch.drop_columns(["_nd_x"]).take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(sets, pa.binary()), pa.array(labels, pa.binary())], [*rest.schema.names, "found", "trees"])
 
 
 def _near(la: np.ndarray, lb: np.ndarray, depth: int) -> np.ndarray:
@@ -174,37 +175,42 @@ def _lowest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def _verify(pdf: pd.DataFrame, threshold: float, depth: int) -> pd.DataFrame:
+def _forest_pairs(a: list[np.ndarray], b: list[np.ndarray] | None, la: np.ndarray, lb: np.ndarray, threshold: float, least: int, target: float) -> tuple[np.ndarray, np.ndarray, int, float]:
+    """Similar index pairs (within a where b is None), the depth reached, and how many pairs there are expected to be."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for depth in range(DEPTH, least - 1, -1):
+        found.append(_similar(a, b, _near(la, lb, depth), threshold))
+        sim = np.concatenate([s for _, _, s in found])
+        expected = float((1 / (1 - (1 - (sim + (1 - sim) / 256) ** depth) ** TREES)).sum())
+        if len(sim) and len(sim) >= target * expected:
+            break
+    return np.concatenate([i for i, _, _ in found]), np.concatenate([j for _, j, _ in found]), depth, expected
+
+
+def _verify(pdf: pd.DataFrame, threshold: float, least: int, target: float) -> pd.DataFrame:
     """For each representative in each block pair: the documents it links to there, and the least node it reaches.
 
-    Rows without a digest say how many pairs have a similarity, in percent.
+    Rows without a digest say how many pairs were found (links) and expected, and the least depth, over the cell.
     """
-    out, seen = [], Counter()
+    out, pairs, wanted, lowest = [], 0, 0.0, DEPTH
     for (_root, bi, bj), g in pdf.groupby(["root", "bi", "bj"], sort=False):
         g = g.drop_duplicates("dig").sort_values("dig")  # nodes in order, so the least index is the least digest
         sets = [np.frombuffer(x, np.uint64) for x in g["found"]]
         labels = np.frombuffer(b"".join(g["trees"]), np.uint64).reshape(len(g), TREES)
         weight, block = g["n"].to_numpy(np.int64), g["blk"].to_numpy()
         if bi == bj:
-            i, j, sim = _similar(sets, None, _near(labels, labels, depth), threshold)
+            i, j, depth, expected = _forest_pairs(sets, None, labels, labels, threshold, least, target)
         else:
             p, q = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
-            i, j, sim = _similar([sets[k] for k in p], [sets[k] for k in q], _near(labels[p], labels[q], depth), threshold)
+            i, j, depth, expected = _forest_pairs([sets[k] for k in p], [sets[k] for k in q], labels[p], labels[q], threshold, least, target)
             i, j = p[i], q[j]
-        seen.update((100 * sim + 1e-9).astype(int).tolist())
+        pairs, wanted, lowest = pairs + len(i), wanted + expected, min(lowest, depth)
         links = np.bincount(i, weight[j], len(g)) + np.bincount(j, weight[i], len(g))
         linked = np.flatnonzero(links)
         digs = g["dig"].to_numpy()
-        out.append(pd.DataFrame({"dig": digs[linked], "links": links[linked].astype(np.int64), "low": digs[_lowest(len(g), i, j)[linked]], "percent": None}))
-    out.append(pd.DataFrame({"dig": None, "links": list(seen.values()), "low": None, "percent": list(seen)}))
-    return pd.concat([x.astype(object) for x in out])
-
-
-def _verifier(threshold: float, depth: int):
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _verify(pdf, threshold, depth)
-
-    return verify
+        out.append(pd.DataFrame({"dig": digs[linked], "links": links[linked].astype(np.int64), "low": digs[_lowest(len(g), i, j)[linked]], "whole": g["parts"].to_numpy()[linked] == 1}))
+    out.append(pd.DataFrame({"dig": [None], "links": [pairs], "expected": [wanted], "depth": [lowest]}))
+    return pd.concat(out)
 
 
 def _blocks(members: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
@@ -219,12 +225,14 @@ def _blocks(members: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
     members = members.join(spans, ["root", "span"], "left")
     blk = F.col("span") * (1 << 20) + F.pmod(F.xxhash64("dig"), F.coalesce("subs", F.lit(1)))
     members = materialize(members.withColumn("blk", F.when(F.col("parts") > 1, blk).otherwise(F.lit(0)).cast("long")).drop("span", "subs", "label"), "members")
+    alone = F.array(F.struct(F.lit(0).cast("long").alias("bi"), F.lit(0).cast("long").alias("bj")))
+    if members.where("parts > 1").isEmpty():
+        return members.withColumn("meet", alone)
     spread = nodes.join(members.where("parts > 1").select("dig", "root", "blk"), "dig").select("root", "tree", "p", "blk").distinct()
     spread = materialize(spread, "node-blocks")
     pairs = spread.withColumnRenamed("blk", "bi").join(spread.withColumnRenamed("blk", "bj"), ["root", "tree", "p"]).where("bi <= bj").select("root", "bi", "bj").distinct()
     sides = pairs.select("root", "bi", "bj", F.explode(F.array_distinct(F.array("bi", "bj"))).alias("blk"))
     sides = sides.groupBy("root", "blk").agg(F.collect_list(F.struct("bi", "bj")).alias("meet"))  # as many as the component's blocks
-    alone = F.array(F.struct(F.lit(0).cast("long").alias("bi"), F.lit(0).cast("long").alias("bj")))
     return members.join(sides, ["root", "blk"], "left").withColumn("meet", F.when(F.col("parts") > 1, F.col("meet")).otherwise(alone))
 
 
@@ -234,7 +242,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Two documents are linked if the Jaccard similarity of their sets of `size`-word shingles (words as in common.WORD) is
     at least `threshold`; a class is a connected component of links, named by its least id. n_links counts the linked
     documents, copies included. Links between different texts are found with the recall `target`, estimated from those
-    found at each depth of the forest; `report` receives the depth reached, the estimate and the pairs found. A text of
+    found at each depth of the forest; `report` receives the least depth reached, the estimate and the pairs found. A text of
     fewer than `size` words is one shingle; texts without any word (null as empty) are linked to equal texts only. A
     null id takes part and is never a class id unless its class has no other. Rows that repeat count as documents of
     their own. Extra columns are left out.
@@ -246,39 +254,32 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reps = materialize(signed.groupBy("dig").agg(*every), "reps")
 
     least = least_depth(threshold, target)
-    at = lambda d: F.shiftrightunsigned("label", 64 - 8 * d) if d < DEPTH else F.col("label")
-    tries = reps.select("dig", F.posexplode("labels").alias("tree", "label")).withColumn("p", at(least))
+    tries = reps.select("dig", F.posexplode("labels").alias("tree", "label")).withColumn("p", F.shiftrightunsigned("label", 64 - 8 * least) if least < DEPTH else F.col("label"))
     shared = tries.groupBy("tree", "p").agg(F.min("dig").alias("head"), F.max("dig").alias("tail")).where("head <> tail").select("tree", "p")
-    tries = materialize(tries.join(shared, ["tree", "p"], "left_semi").select("tree", "label", "dig"), "tries")  # labels with company
-    wanted = materialize(tries.select("dig").distinct().join(reps.select("dig", "rep"), "dig"), "wanted")
-    sets = rows.join(wanted.hint("merge"), rows["_nd_i"].eqNullSafe(F.col("rep._nd_i")) & (rows["_nd_t"] == F.col("rep._nd_t"))).select("_nd_x", "dig")
-    sets = materialize(sets.mapInArrow(lambda it: _sets(it, size), "dig binary, found binary, trees binary"), "sets")
-
-    found, pairs = None, Counter()
-    for depth in range(DEPTH, least - 1, -1):
-        nodes = tries.withColumn("p", at(depth))
-        new = nodes.groupBy("tree", "p").agg(F.min("dig").alias("head"), F.max("dig").alias("tail"), F.min("label").alias("a"), F.max("label").alias("b"))
-        met = F.shiftrightunsigned("a", 56 - 8 * depth) != F.shiftrightunsigned("b", 56 - 8 * depth) if depth < DEPTH else F.col("head") != F.col("tail")
-        nodes = materialize(nodes.join(new.where(met).select("tree", "p", "head"), ["tree", "p"]), "nodes")
-        parts = components(nodes.where("dig <> head").select(F.col("dig").alias("a"), F.col("head").alias("b")), "forest")
-        members = parts.withColumnRenamed("node", "dig").join(reps.select("dig", "n", "w", F.get("labels", F.lit(0)).alias("label")), "dig")
-        members = materialize(_blocks(members, nodes, block), "meetings")
-        cells = max(1, (members.agg(F.sum("w")).first()[0] or 0) // BLOCK_SHINGLES)
-        cell = F.when(F.col("parts") > 1, F.xxhash64("root", "bi", "bj")).otherwise(F.pmod(F.xxhash64("root"), F.lit(cells)))
-        both = sets.join(members, "dig").select("dig", "root", "parts", "blk", "n", "found", "trees", F.inline("meet"))
-        checked = both.groupBy(cell.alias("cell")).applyInPandas(_verifier(threshold, depth), "dig binary, links long, low binary, percent int")
-        checked = materialize(checked, "verified")
-        found = checked if found is None else found.unionByName(checked)
-        pairs.update({r[0]: r[1] for r in checked.where("dig is null").groupBy("percent").agg(F.sum("links")).collect()})  # a row per percent
-        recall = pairs.total() / sum(n / meets(s / 100, depth) for s, n in pairs.items()) if pairs else 1.0
-        if report is not None:
-            report |= {"depth": depth, "recall": recall, "pairs": pairs.total()}
-        if recall >= target:
-            break
-
-    links = found.where("dig is not null").groupBy("dig").agg(F.sum("links").alias("links"))
-    edges = found.where("dig <> low").select(F.col("dig").alias("a"), F.col("low").alias("b"))
-    class_of = components(edges, "classes").select(F.col("node").alias("dig"), F.col("root").alias("top"))
+    tries = materialize(tries.join(shared, ["tree", "p"], "left_semi").select("tree", "p", "dig"), "tries")  # labels with company
+    heads = tries.groupBy("tree", "p").agg(F.min("dig").alias("head"))
+    edges = tries.join(heads, ["tree", "p"]).where("dig <> head").select(F.col("dig").alias("a"), F.col("head").alias("b"))
+    parts = components(edges, "forest").withColumnRenamed("node", "dig")
+    members = parts.join(reps.select("dig", "rep", "n", "w", F.get("labels", F.lit(0)).alias("label")), "dig")
+    members = materialize(_blocks(members, tries, block), "meetings")
+
+    cells = max(1, (members.agg(F.sum("w")).first()[0] or 0) // BLOCK_SHINGLES, members.count() // block)
+    texts = rows.join(members.hint("merge"), rows["_nd_i"].eqNullSafe(F.col("rep._nd_i")) & (rows["_nd_t"] == F.col("rep._nd_t")))
+    texts = texts.select("_nd_x", "dig", "root", "parts", "blk", "n", "meet").mapInArrow(lambda it: _sets(it, size), "dig binary, root binary, parts long, blk long, n long, meet array<struct<bi:long,bj:long>>, found binary, trees binary")
+    texts = texts.select("dig", "root", "parts", "blk", "n", "found", "trees", F.inline("meet"))
+    cell = F.when(F.col("parts") > 1, F.xxhash64("root", "bi", "bj")).otherwise(F.pmod(F.xxhash64("root"), F.lit(cells)))
+    found = texts.groupBy(cell.alias("cell")).applyInPandas(lambda pdf: _verify(pdf, threshold, least, target), "dig binary, links long, low binary, whole boolean, expected double, depth int")
+    found = materialize(found, "verified")
+    if report is not None:
+        n, expected, depth = found.where("dig is null").agg(F.sum("links"), F.sum("expected"), F.min("depth")).first()
+        report |= {"depth": depth or DEPTH, "pairs": n or 0, "recall": n / expected if n else 1.0}
+
+    found = found.where("dig is not null")
+    links = found.groupBy("dig").agg(F.sum("links").alias("links"))
+    class_of = found.where("whole").select("dig", F.col("low").alias("top"))
+    large = found.where("not whole and dig <> low").select(F.col("dig").alias("a"), F.col("low").alias("b"))
+    if not large.isEmpty():
+        class_of = class_of.unionByName(components(large, "classes").select(F.col("node").alias("dig"), F.col("root").alias("top")))
     whole = reps.select("dig", "id", "n").join(links, "dig", "left").join(class_of, "dig", "left").withColumn("top", F.coalesce("top", "dig"))
     tops = whole.groupBy("top").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size"))
     whole = whole.join(tops, "top").select("dig", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))

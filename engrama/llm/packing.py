@@ -94,8 +94,8 @@ def encode(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     holds an added token's string, which the tokenizer cuts out first, is encoded as the parts around it.
     """
     tok, seen, added, marks = _tokenizer(path)
-    if any(marks.search(t) for t in texts):
-        split = [[p for p in marks.split(t) if p] if marks.search(t) else [t] for t in texts]
+    if any(a in t for t in texts for a in added):
+        split = [[p for p in marks.split(t) if p] if any(a in t for a in added) else [t] for t in texts]
         ids, bounds = _encode_plain(["" if p in added else p for own in split for p in own], tok, seen)
         out, sizes, k = [], [], 0
         for own in split:
@@ -112,11 +112,12 @@ def _encode_plain(texts: list[str], tok, seen: dict) -> tuple[np.ndarray, np.nda
     data = np.frombuffer(b"\n".join(parts), np.uint8)
     starts, stops = _chunks(data)
     names, inverse = _distinct(data, starts, stops)
-    new = [n for n in names if n not in seen]
-    found = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast([n.decode("utf-8", "surrogatepass") for n in new], add_special_tokens=False)), strict=True))
+    pool = list(map(seen.get, names))
+    new = [k for k, e in enumerate(pool) if e is None]
+    for k, e in zip(new, tok.encode_batch_fast([names[k].decode("utf-8", "surrogatepass") for k in new], add_special_tokens=False), strict=True):
+        pool[k] = np.array(e.ids, "<u4").tobytes()
     if len(seen) < CACHE:
-        seen.update((n, e) for n, e in found.items() if len(n) <= CACHED_BYTES)
-    pool = [seen[n] if n in seen else found[n] for n in names]
+        seen.update((names[k], pool[k]) for k in new if len(names[k]) <= CACHED_BYTES)
     sizes = np.fromiter(map(len, pool), np.int64, len(pool)) // 4
     begins = np.cumsum(sizes) - sizes
     counts = sizes[inverse]

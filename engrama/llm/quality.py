@@ -142,18 +142,29 @@ def fit(rows: DataFrame, seed: int = 11) -> Model | None:
     return model
 
 
-def _learn(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, folds: int, max_train: int) -> tuple[DataFrame, Model | None]:
-    """The statistics of all rows with their fold, and the model of the labelled rows outside fold 0."""
+def _fold(folds: int):
+    return F.pmod(F.crc32(F.coalesce(F.col("_q_i").cast("string"), F.lit(""))), F.lit(folds))
+
+
+def _measured(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The id and statistics of all rows, written once."""
     kind = df.schema[id_col].dataType.simpleString()
     stats = df.select(F.col(id_col).alias("_q_i"), F.col(text_col).alias("_q_x")).mapInArrow(_measure, f"_q_i {kind}, _q_s array<double>")
-    fold = F.pmod(F.crc32(F.coalesce(F.col("_q_i").cast("string"), F.lit(""))), F.lit(folds))
-    stats = materialize(stats, "statistics").withColumn("_q_f", fold)
-    known = labels.select(F.col(id_col).alias("_q_i"), F.col("quality").cast("int").alias("_q_y")).where("_q_y in (0, 1)").groupBy("_q_i").agg(F.max("_q_y").alias("_q_y"))
-    train = stats.where("_q_f <> 0").join(known, "_q_i")
-    train = materialize(train.select("_q_i", "_q_s", "_q_y", (F.col("_q_f") == folds - 1).alias("_q_c")), "labelled")
-    if (n := train.count()) > max_train:
-        train = train.where(F.pmod(F.xxhash64("_q_i"), F.lit(1_000_003)) < int(max_train / n * 1_000_003))
-    return stats, fit(train)
+    return materialize(stats, "statistics")
+
+
+def _chosen(labels: DataFrame, id_col: str, folds: int, max_train: int) -> DataFrame:
+    """(_q_i, _q_y) of the labelled ids outside fold 0 that a fit reads: about max_train, so small enough to broadcast."""
+    known = labels.select(F.col(id_col).alias("_q_i"), F.col("quality").cast("int").alias("_q_y")).where("_q_i is not null and _q_y in (0, 1)")
+    known = materialize(known.where(_fold(folds) != 0).groupBy("_q_i").agg(F.max("_q_y").alias("_q_y")), "labelled")
+    if (n := known.count()) > max_train:
+        known = known.where(F.pmod(F.xxhash64("_q_i"), F.lit(1_000_003)) < int(max_train / n * 1_000_003))
+    return F.broadcast(known)
+
+
+def _fit_on(stats: DataFrame, chosen: DataFrame, folds: int) -> Model | None:
+    train = stats.join(chosen, "_q_i").select("_q_i", "_q_s", "_q_y", (_fold(folds) == folds - 1).alias("_q_c"))
+    return fit(materialize(train, "training"))
 
 
 def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, threshold: float = 0.3, max_train: int = MAX_TRAIN) -> DataFrame:
@@ -162,25 +173,30 @@ def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     labels has the id and quality (0 or 1; rows with another or no value don't count). crc32 of the id as text modulo
     `folds` gives a row's fold; fold 0 is held out of everything learned and fold 4 calibrates. Only the text enters a
     score; null and empty texts get the score of an empty text. Rows with a null id are scored and fall into fold 0, as
-    crc32 of an empty text does. Without any usable label every score is 0.5. Extra columns are left out.
+    crc32 of an empty text does. Without any usable label every score is 0.5. Where fewer than 20 labelled rows fall into
+    fold 4, the rows of the fit calibrate too. Extra columns are left out.
     """
-    stats, model = _learn(df, labels, id_col, text_col, folds, max_train)
+    stats = _measured(df, id_col, text_col)
+    model = _fit_on(stats, _chosen(labels, id_col, folds, max_train), folds)
 
     @F.pandas_udf("double")
     def score(column: pd.Series) -> pd.Series:
         return pd.Series(model.scores(_stack(column)) if len(column) else [], dtype=float)
 
     value = score("_q_s") if model else F.lit(0.5)
-    out = stats.select(F.col("_q_i").alias(id_col), (F.col("_q_f") == 0).alias("held_out"), value.alias("score"))
+    out = stats.select(F.col("_q_i").alias(id_col), (_fold(folds) == 0).alias("held_out"), value.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def filter_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, threshold: float = 0.3, max_train: int = MAX_TRAIN) -> DataFrame:
     """The rows of df that score_quality would give predicted = 1, with all their columns.
 
-    Each text is scored where it lies, so no row is shuffled; the price is that its statistics are taken twice.
+    Each text is scored where it lies, so no row is shuffled; the statistics of at most about max_train labelled texts,
+    those of the fit, are taken once more.
     """
-    _, model = _learn(df, labels, id_col, text_col, folds, max_train)
+    chosen = _chosen(labels, id_col, folds, max_train)
+    picked = df.join(chosen.select(F.col("_q_i").alias(id_col)), id_col, "left_semi")
+    model = _fit_on(_measured(picked, id_col, text_col), chosen, folds)
     if model is None:
         return df if threshold <= 0.5 else df.where("false")
 

@@ -4,6 +4,7 @@ import html
 import random
 import re
 import time
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -245,9 +246,40 @@ def test_blank_lines_of_any_kind_stay(spark):
 def test_normal_equations_match_a_plain_solve(spark, sf):
     """The fitted weights against ridge regression over the same features in memory."""
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    stats, model = quality._learn(docs, labels, "doc_id", "text", 5, 10**6)
+    stats, chosen = quality._measured(docs, "doc_id", "text"), quality._chosen(labels, "doc_id", 5, 10**6)
+    model = quality._fit_on(stats, chosen, 5)
     known = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] in (0, 1)}
-    rows = [(r["_q_s"], known[r["_q_i"]]) for r in stats.collect() if r["_q_i"] in known and r["_q_f"] not in (0, 4)]
+    rows = [(r["_q_s"], known[r["_q_i"]]) for r in stats.collect() if r["_q_i"] in known and zlib.crc32(str(r["_q_i"]).encode()) % 5 not in (0, 4)]
     x, y = model.features(np.array([s for s, _ in rows])), np.array([v for _, v in rows], float)
     want = np.linalg.solve(x.T @ x + quality.RIDGE * len(x) * np.eye(x.shape[1]) / quality.FEATURES, x.T @ y)
     assert np.allclose(model.weights, want, atol=1e-6)
+
+
+# pipeline
+
+
+def test_pipeline_of_odd_rows(spark, sf):
+    """Nulls, repeated ids with different and with equal texts, empty and very long texts, clashing columns, no rows at all."""
+    import corpus_pipeline
+
+    base = spark.read.parquet(f"{sf}/documents.parquet").limit(40).collect()
+    odd = [(1, None), (2, ""), (None, "x y z"), (None, None), (77, "one text of a few words here"), (77, "quite another text with the same id"), (77, "quite another text with the same id"), (78, LONG)]
+    docs = docs_of(spark, [(r["doc_id"], r["text"]) for r in base] + odd)
+    docs = docs.withColumn("class_id", F.lit("x")).withColumn("lines_removed", F.lit(1)).withColumn("item_id", F.lit(2)).withColumn("score", F.lit(0.1))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = common.materialize(stage(spark, docs, sf), "odd")
+        assert after.columns == docs.columns and after.count() <= docs.count()
+        assert stage(spark, docs.where("false"), sf).count() == 0
+        docs = after
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() >= docs.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.where("false"), sf).count() == 0
+
+
+def test_one_row_of_each_class_stays(spark, sf):
+    import corpus_pipeline
+
+    rows = [(k, t) for k, (_, t) in enumerate(near_rows(seed=2, groups=4, noise=6))]
+    rows = [(None if k % 5 == 0 else k // 2, t) for k, t in rows] + [(3, "the very same words twice over")] * 2
+    groups = len({(c, s) for (_, c, s, _) in brute_near([(k, t) for k, (_, t) in enumerate(rows)])})
+    left = corpus_pipeline.near_dups(spark, docs_of(spark, rows), sf)
+    assert left.count() == groups

@@ -34,13 +34,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of near duplicates; documents without an id stay."""
-    found = near_duplicates(docs)
-    kept = materialize(found.where("doc_id is null or doc_id = class_id").select(F.col("doc_id").alias("_id")), "unique-kept")
-    out = docs.join(kept.distinct().hint("merge"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    if kept.where("_id is not null").count() > kept.where("_id is not null").distinct().count():  # one row of those that repeat an id
-        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
-    return out
+    """One document of each class of near duplicates: the least by (id, text hash), rows without an id last."""
+    key = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("t"))
+    keyed = docs.withColumn("_cp_k", key)
+    found = near_duplicates(keyed, id_col="_cp_k").where(F.col("_cp_k").eqNullSafe(F.col("class_id")))
+    kept = materialize(found.select(F.col("_cp_k").alias("_cp_n")).groupBy("_cp_n").agg(F.count("*").alias("n")), "unique-kept")
+    out = keyed.join(kept.hint("merge"), F.col("_cp_k.i").eqNullSafe(F.col("_cp_n.i")) & (F.col("_cp_k.t") == F.col("_cp_n.t")))
+    if kept.where("n > 1").isEmpty():
+        return out.select(*docs.columns)
+    once = out.where("n > 1").dropDuplicates(["_cp_n"])  # rows that repeat an id and its text
+    return out.where("n = 1").unionByName(once).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

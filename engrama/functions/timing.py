@@ -42,8 +42,9 @@ def urgency_curve(kind: Column, now: float, start: Column, deadline: Column, dis
 
 
 def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
-    """Whether two intervals overlap: unknown (null) if a missing bound decides it."""
-    return F.when((a1 < b0) | (b1 < a0), False).when(a0.isNull() | b0.isNull() | (a1.isNull() & b1.isNull()), F.lit(None).cast("boolean")).otherwise((F.coalesce(a1, b0) >= b0) & (F.coalesce(b1, a0) >= a0))
+    """Whether two intervals overlap: unknown (null) without either begin; a missing end is open."""
+    far = F.lit(1.7976931348623157e308)
+    return F.when(a0.isNotNull() & b0.isNotNull(), (a0 < F.coalesce(b1, far)) & (b0 < F.coalesce(a1, far)))
 
 
 def disjoint(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:

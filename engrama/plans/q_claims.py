@@ -37,38 +37,53 @@ def _(spark, sf_dir):
 
 @query(
     "claim_object_conflicts",
-    """WITH k AS (SELECT DISTINCT src, rel, namespace, dst FROM claims WHERE polarity = 1 AND extractor = 'O') SELECT src, rel, namespace, count(*) AS objects, count(*) * (count(*) - 1) // 2 AS pairs, min(dst) AS first_dst, max(dst) AS last_dst FROM k GROUP BY 1, 2, 3 HAVING count(*) > 1""",
+    """WITH k AS (SELECT DISTINCT src, rel, namespace, dst FROM claims WHERE polarity = 1) SELECT src, rel, namespace, count(*) AS objects, count(*) * (count(*) - 1) // 2 AS pairs, min(dst) AS first_dst, max(dst) AS last_dst FROM k GROUP BY 1, 2, 3 HAVING count(*) > 1""",
     ("claims",),
 )
 def _(spark, sf_dir):
     # the number of conflicting pairs follows from the number of objects: no pair is made
-    k = claims(spark, sf_dir).where("polarity = 1 and extractor = 'O'").select("src", "rel", "namespace", "dst").distinct()
+    k = claims(spark, sf_dir).where("polarity = 1").select("src", "rel", "namespace", "dst").distinct()
     g = k.groupBy("src", "rel", "namespace").agg(F.count("*").alias("objects"), F.min("dst").alias("first_dst"), F.max("dst").alias("last_dst")).where("objects > 1")
     return g.select("src", "rel", "namespace", "objects", F.expr("objects * (objects - 1) div 2").alias("pairs"), "first_dst", "last_dst")
 
 
-OMEGA = f"""n AS (SELECT *, count(*) OVER (PARTITION BY {PROP}, polarity) AS same, count(*) OVER (PARTITION BY {PROP}, polarity, array_to_string(lineage, ',')) AS twin, avg(self_generated::INT) OVER (PARTITION BY {PROP}, polarity) AS sg FROM claims),
-    o AS (SELECT *, 1 / (1 + 0.5 * (twin - 1) / same::DOUBLE + 0.3 * (same - 1) / (same + 1)::DOUBLE + 0.7 * CASE WHEN self_generated THEN 1 ELSE 0 END) AS omega FROM n)"""
+#: Written from the rules' text with pairs of claims, where the operators count without making any.
+OMEGA = f"""named AS (SELECT claim_id, {PROP}, polarity, unnest(lineage) AS x FROM claims),
+    every AS (SELECT {PROP}, polarity, count(DISTINCT x) AS u FROM named GROUP BY {PROP}, polarity),
+    hit AS (SELECT claim_id, count(*) AS i FROM named a WHERE EXISTS (SELECT 1 FROM named b WHERE b.src = a.src AND b.rel = a.rel AND b.dst = a.dst AND b.namespace = a.namespace AND b.polarity = a.polarity AND b.x = a.x AND b.claim_id <> a.claim_id) GROUP BY claim_id),
+    other AS (SELECT a.claim_id, count(b.claim_id) AS n, coalesce(sum((b.extractor = a.extractor)::INT), 0) AS same, coalesce(max(b.self_generated::INT), 0) AS gen FROM claims a LEFT JOIN claims b
+        ON b.src = a.src AND b.rel = a.rel AND b.dst = a.dst AND b.namespace = a.namespace AND b.polarity = a.polarity AND b.claim_id <> a.claim_id GROUP BY a.claim_id),
+    o AS (SELECT c.*, coalesce(i, 0) / u::DOUBLE AS jaccard, 1 / (1 + 0.5 * coalesce(i, 0) / u::DOUBLE + 0.3 * CASE WHEN n > 0 THEN same / n::DOUBLE ELSE 0 END + 0.7 * CASE WHEN self_generated AND gen = 1 THEN 1 ELSE 0 END) AS omega
+        FROM claims c JOIN every USING ({PROP}, polarity) JOIN other USING (claim_id) LEFT JOIN hit USING (claim_id))"""
+MASS = f"""m AS (SELECT {PROP}, coalesce(sum(weight * omega) FILTER (polarity = 1), 0) AS support, coalesce(sum(weight * omega) FILTER (polarity = -1), 0) AS attack, coalesce(sum(omega) FILTER (polarity = 1), 0) AS si, coalesce(sum(omega) FILTER (polarity = -1), 0) AS ai, count(*) AS claims FROM o GROUP BY {PROP})"""
+OPPOSITES = f"""p AS (SELECT a.src, a.rel, a.dst, a.namespace, a.lineage = b.lineage AND len(a.lineage) > 0 AS source, a.source_rid = b.source_rid AND a.extractor <> b.extractor AS artifact,
+    coalesce(a.valid_to, 'infinity'::DOUBLE) < coalesce(b.valid_from, '-infinity'::DOUBLE) OR coalesce(b.valid_to, 'infinity'::DOUBLE) < coalesce(a.valid_from, '-infinity'::DOUBLE) AS apart
+    FROM claims a JOIN claims b USING ({PROP}) WHERE a.polarity = 1 AND b.polarity = -1),
+    q AS (SELECT {PROP}, count(*) FILTER (source) AS same_source, count(*) FILTER (artifact) AS same_artifact, count(*) FILTER (NOT apart) AS overlapping, count(*) FILTER (apart) AS separable FROM p GROUP BY {PROP})"""
+CONTEST = f"""WITH {OMEGA}, {MASS}, {OPPOSITES}, h AS (SELECT src, rel, dst, count(DISTINCT namespace) AS spaces FROM claims GROUP BY 1, 2, 3),
+    f AS (SELECT m.*, coalesce(same_source, 0) AS same_source, coalesce(same_artifact, 0) AS same_artifact, coalesce(overlapping, 0) AS overlapping, coalesce(separable, 0) AS separable,
+    (CASE WHEN support > 2 AND si < 2 THEN 1 ELSE 0 END + CASE WHEN same_source > 0 THEN 2 ELSE 0 END + CASE WHEN spaces > 1 THEN 4 ELSE 0 END + CASE WHEN same_artifact > 0 THEN 8 ELSE 0 END + CASE WHEN overlapping > 0 THEN 16 ELSE 0 END)::BIGINT AS flags
+    FROM m JOIN h USING (src, rel, dst) LEFT JOIN q USING ({PROP}))"""
 
 
-@query("claim_omegas", f"WITH {OMEGA} SELECT src, dst, extractor, polarity, round(omega, 6) AS omega FROM o", ("claims",))
+@query("claim_omegas", f"WITH {OMEGA} SELECT claim_id, round(omega, 6) AS omega FROM o", ("claims",))
 def _(spark, sf_dir):
-    return C.omegas(claims(spark, sf_dir)).select("src", "dst", "extractor", "polarity", F.round("omega", 6).alias("omega"))
+    return C.omegas(claims(spark, sf_dir)).select("claim_id", F.round("omega", 6).alias("omega"))
 
 
-@query("lineage_mass", f"WITH {OMEGA} SELECT {PROP}, round(sum(CASE WHEN polarity = 1 THEN weight * omega ELSE 0 END), 6) AS support, round(sum(CASE WHEN polarity = -1 THEN weight * omega ELSE 0 END), 6) AS attack, count(*) AS claims FROM o GROUP BY {PROP}", ("claims",))
+@query("lineage_mass", f"WITH {OMEGA}, {MASS} SELECT {PROP}, round(support, 6) AS support, round(attack, 6) AS attack, round(si, 6) AS support_independence, round(ai, 6) AS attack_independence, claims FROM m", ("claims",))
 def _(spark, sf_dir):
-    return C.mass(claims(spark, sf_dir)).select(*KEY, F.round("support", 6).alias("support"), F.round("attack", 6).alias("attack"), "claims")
+    return C.mass(claims(spark, sf_dir)).select(*KEY, *[F.round(x, 6).alias(x) for x in ("support", "attack", "support_independence", "attack_independence")], "claims")
 
 
-@query("modality_consilience", f"SELECT {PROP}, round(count(DISTINCT modality) / 6.0::DOUBLE, 6) AS consilience, round(avg(self_generated::INT), 6) AS self_generated FROM claims GROUP BY {PROP}", ("claims",))
+@query("modality_consilience", f"SELECT {PROP}, round(least(1, count(DISTINCT modality) FILTER (polarity = 1) / 6.0::DOUBLE), 6) AS consilience, round(coalesce(avg(self_generated::INT) FILTER (polarity = 1), 0), 6) AS self_generated FROM claims GROUP BY {PROP}", ("claims",))
 def _(spark, sf_dir):
-    return claims(spark, sf_dir).groupBy(*KEY).agg(F.round(F.countDistinct("modality") / 6.0, 6).alias("consilience"), F.round(F.avg(c("self_generated").cast("int")), 6).alias("self_generated"))
+    return C.write_tier(claims(spark, sf_dir)).select(*KEY, F.round("consilience", 6).alias("consilience"), F.round("self_generated", 6).alias("self_generated"))
 
 
 @query(
     "temporal_coherence",
-    f"""WITH l AS (SELECT {PROP}, polarity, lag(polarity) OVER (PARTITION BY {PROP} ORDER BY created_at, extractor, polarity) AS before FROM claims)
+    f"""WITH l AS (SELECT {PROP}, polarity, lag(polarity) OVER (PARTITION BY {PROP} ORDER BY created_at, claim_id) AS before FROM claims)
     SELECT {PROP}, round(CASE WHEN count(*) > 1 THEN 1 - sum(CASE WHEN before <> polarity THEN 1 ELSE 0 END) / (count(*) - 1)::DOUBLE ELSE 1 END, 6) AS coherence FROM l GROUP BY {PROP}""",
     ("claims",),
 )
@@ -76,76 +91,73 @@ def _(spark, sf_dir):
     return C.temporal_coherence(claims(spark, sf_dir)).select(*KEY, F.round("coherence", 6).alias("coherence"))
 
 
-@query(
-    "leave_one_out_jaccard",
-    f"""WITH e AS (SELECT {PROP}, extractor, polarity, unnest(lineage) AS x FROM claims), k AS (SELECT {PROP}, x, count(*) AS n FROM e GROUP BY {PROP}, x), w AS (SELECT {PROP}, count(*) AS every FROM k GROUP BY {PROP}),
-    s AS (SELECT {PROP}, extractor, polarity, sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS shared FROM e JOIN k USING ({PROP}, x) GROUP BY {PROP}, extractor, polarity), m AS (SELECT {PROP}, count(*) AS c FROM claims GROUP BY {PROP})
-    SELECT {PROP}, extractor, polarity, round(CASE WHEN c > 1 THEN shared / every::DOUBLE ELSE 0 END, 6) AS jaccard FROM s JOIN w USING ({PROP}) JOIN m USING ({PROP})""",
-    ("claims",),
-)
+@query("leave_one_out_jaccard", f"WITH {OMEGA} SELECT claim_id, round(jaccard, 6) AS jaccard FROM o", ("claims",))
 def _(spark, sf_dir):
-    return C.leave_one_out(claims(spark, sf_dir)).select(*KEY, "extractor", "polarity", F.round("jaccard", 6).alias("jaccard"))
+    return C.leave_one_out(claims(spark, sf_dir)).select("claim_id", F.round("jaccard", 6).alias("jaccard"))
 
 
-@query(
-    "contest_flags",
-    f"""WITH g AS (SELECT {PROP}, count(*) AS n, count(DISTINCT array_to_string(lineage, ',')) AS lineages, count(DISTINCT source_rid) AS sources, count(DISTINCT extractor) AS extractors, min(polarity) AS lo, max(polarity) AS hi,
-    count(*) FILTER (valid_to IS NULL AND polarity = 1) AS now_pos, count(*) FILTER (valid_to IS NULL AND polarity = -1) AS now_neg, count(DISTINCT modality) AS mods FROM claims GROUP BY {PROP})
-    SELECT {PROP}, (CASE WHEN lineages < n THEN 1 ELSE 0 END + CASE WHEN sources < n THEN 2 ELSE 0 END + CASE WHEN mods > 2 THEN 4 ELSE 0 END + CASE WHEN sources < extractors THEN 8 ELSE 0 END + CASE WHEN now_pos > 0 AND now_neg > 0 THEN 16 ELSE 0 END)::BIGINT AS flags FROM g""",
-    ("claims",),
-)
+@query("contest_flags", f"{CONTEST} SELECT {PROP}, round(support, 6) AS support, round(attack, 6) AS attack, same_source, same_artifact, overlapping, separable, flags FROM f", ("claims",))
 def _(spark, sf_dir):
-    return C.contest_flags(claims(spark, sf_dir)).select(*KEY, "flags")
+    return C.contest_state(claims(spark, sf_dir)).select(*KEY, F.round("support", 6).alias("support"), F.round("attack", 6).alias("attack"), "same_source", "same_artifact", "overlapping", "separable", "flags")
 
 
-@query("flagged_propositions", f"WITH g AS (SELECT {PROP}, count(*) FILTER (valid_to IS NULL AND polarity = 1) AS a, count(*) FILTER (valid_to IS NULL AND polarity = -1) AS b FROM claims GROUP BY {PROP}) SELECT {PROP} FROM g WHERE a > 0 AND b > 0", ("claims",))
+@query("flagged_propositions", f"{CONTEST} SELECT {PROP}, flags FROM f WHERE flags & 11 <> 0", ("claims",))
 def _(spark, sf_dir):
-    return C.contest_flags(claims(spark, sf_dir)).where(c("flags").bitwiseAND(F.lit(16)) != 0).select(*KEY)
+    return C.flagged(claims(spark, sf_dir), C.DUPLICATION_RISK | C.SAME_SOURCE | C.SAME_ARTIFACT).select(*KEY, "flags")
 
 
-@query("same_lineage_opposites", f"SELECT {PROP}, count(*) AS pairs FROM claims a JOIN claims b USING ({PROP}) WHERE a.polarity = 1 AND b.polarity = -1 AND a.lineage = b.lineage GROUP BY {PROP}", ("claims",))
+@query("same_lineage_opposites", f"WITH {OPPOSITES} SELECT {PROP}, same_source FROM q WHERE same_source > 0", ("claims",))
 def _(spark, sf_dir):
-    g = claims(spark, sf_dir).groupBy(*KEY, "lineage").agg(F.count_if(c("polarity") == 1).alias("a"), F.count_if(c("polarity") == -1).alias("b"))
-    return g.groupBy(*KEY).agg(F.sum(c("a") * c("b")).alias("pairs")).where("pairs > 0")
+    return C.same_source_opposites(claims(spark, sf_dir)).where("same_source > 0")
 
 
-@query("same_artifact_extractors", "SELECT source_rid, count(DISTINCT extractor) AS extractors, count(*) AS claims FROM claims GROUP BY source_rid HAVING count(DISTINCT extractor) > 1", ("claims",))
+@query("same_artifact_extractors", f"WITH {OPPOSITES} SELECT {PROP}, same_artifact FROM q WHERE same_artifact > 0", ("claims",))
 def _(spark, sf_dir):
-    return claims(spark, sf_dir).groupBy("source_rid").agg(F.countDistinct("extractor").alias("extractors"), F.count("*").alias("claims")).where("extractors > 1")
+    return C.same_artifact_extractors(claims(spark, sf_dir)).where("same_artifact > 0")
+
+
+@query("temporal_conflict_counts", f"WITH {OPPOSITES} SELECT {PROP}, overlapping, separable FROM q", ("claims",))
+def _(spark, sf_dir):
+    return C.temporal_conflicts(claims(spark, sf_dir)).where("overlapping + separable > 0")
 
 
 @query(
-    "temporal_conflict_counts",
-    f"""SELECT {PROP}, count(*) FILTER (WHERE NOT (coalesce(a.valid_to, 1e18) < b.valid_from OR coalesce(b.valid_to, 1e18) < a.valid_from)) AS overlapping, count(*) FILTER (WHERE coalesce(a.valid_to, 1e18) < b.valid_from OR coalesce(b.valid_to, 1e18) < a.valid_from) AS separable
-    FROM claims a JOIN claims b USING ({PROP}) WHERE a.polarity = 1 AND b.polarity = -1 GROUP BY {PROP}""",
+    "inspect_contest_conflicts",
+    f"""SELECT a.claim_id AS support_claim, b.claim_id AS attack_claim, a.lineage = b.lineage AND len(a.lineage) > 0 AS same_source, a.source_rid = b.source_rid AND a.extractor <> b.extractor AS same_artifact,
+    NOT (coalesce(a.valid_to, 'infinity'::DOUBLE) < coalesce(b.valid_from, '-infinity'::DOUBLE) OR coalesce(b.valid_to, 'infinity'::DOUBLE) < coalesce(a.valid_from, '-infinity'::DOUBLE)) AS overlapping FROM claims a JOIN claims b USING ({PROP}) WHERE a.polarity = 1 AND b.polarity = -1 AND a.src = 's1' AND a.dst = 'p10'""",
     ("claims",),
 )
 def _(spark, sf_dir):
-    # a proposition has one claim per extractor and polarity, so its pairs are few
-    a = claims(spark, sf_dir).where("polarity = 1").select(*KEY, c("valid_from").alias("a0"), c("valid_to").alias("a1"))
-    b = claims(spark, sf_dir).where("polarity = -1").select(*KEY, c("valid_from").alias("b0"), c("valid_to").alias("b1"))
-    apart = T.disjoint(c("a0"), c("a1"), c("b0"), c("b1"))
-    return a.join(b, KEY).groupBy(*KEY).agg(F.count_if(~apart).alias("overlapping"), F.count_if(apart).alias("separable"))
+    # the three listings of one proposition: its own pairs are what is asked for
+    return C.contest_pairs(claims(spark, sf_dir).where("src = 's1' and dst = 'p10'"))
 
 
 @query(
     "interval_relations",
-    f"""SELECT {PROP}, a.extractor AS ea, b.extractor AS eb, CASE WHEN a.valid_from = b.valid_from AND a.valid_to = b.valid_to THEN 'equals' WHEN abs(a.valid_to - b.valid_from) <= 0.5 THEN 'meets' WHEN abs(b.valid_to - a.valid_from) <= 0.5 THEN 'met_by' WHEN a.valid_to < b.valid_from THEN 'before' WHEN b.valid_to < a.valid_from THEN 'after'
+    f"""SELECT {PROP}, a.claim_id AS ea, b.claim_id AS eb, CASE WHEN a.valid_from = b.valid_from AND a.valid_to = b.valid_to THEN 'equals' WHEN abs(a.valid_to - b.valid_from) <= 0.5 THEN 'meets' WHEN abs(b.valid_to - a.valid_from) <= 0.5 THEN 'met_by' WHEN a.valid_to < b.valid_from THEN 'before' WHEN b.valid_to < a.valid_from THEN 'after'
     WHEN a.valid_from = b.valid_from AND a.valid_to < b.valid_to THEN 'starts' WHEN a.valid_from = b.valid_from AND a.valid_to > b.valid_to THEN 'started_by' WHEN a.valid_to = b.valid_to AND a.valid_from > b.valid_from THEN 'finishes' WHEN a.valid_to = b.valid_to AND a.valid_from < b.valid_from THEN 'finished_by'
     WHEN a.valid_from > b.valid_from AND a.valid_to < b.valid_to THEN 'during' WHEN a.valid_from < b.valid_from AND a.valid_to > b.valid_to THEN 'contains' WHEN a.valid_from < b.valid_from THEN 'overlaps' ELSE 'overlapped_by' END AS relation
-    FROM claims a JOIN claims b USING ({PROP}, polarity) WHERE a.extractor < b.extractor AND a.valid_to IS NOT NULL AND b.valid_to IS NOT NULL""",
+    FROM claims a JOIN claims b USING ({PROP}, polarity) WHERE a.claim_id < b.claim_id AND a.valid_to IS NOT NULL AND b.valid_to IS NOT NULL""",
     ("claims",),
 )
 def _(spark, sf_dir):
     rows = claims(spark, sf_dir).where("valid_to is not null")
-    a = rows.select(*KEY, "polarity", c("extractor").alias("ea"), c("valid_from").alias("a0"), c("valid_to").alias("a1"))
-    b = rows.select(*KEY, "polarity", c("extractor").alias("eb"), c("valid_from").alias("b0"), c("valid_to").alias("b1"))
+    a = rows.select(*KEY, "polarity", c("claim_id").alias("ea"), c("valid_from").alias("a0"), c("valid_to").alias("a1"))
+    b = rows.select(*KEY, "polarity", c("claim_id").alias("eb"), c("valid_from").alias("b0"), c("valid_to").alias("b1"))
     return a.join(b, [*KEY, "polarity"]).where("ea < eb").select(*KEY, "ea", "eb", T.allen(c("a0"), c("a1"), c("b0"), c("b1")).alias("relation"))
 
 
-@query("interval_overlap_unknown", f"SELECT {PROP}, polarity, CASE WHEN valid_to < 9.5e8 THEN false WHEN valid_from IS NULL OR valid_to IS NULL THEN NULL ELSE valid_to >= 9.5e8 END AS overlaps FROM claims WHERE extractor = 'O'".replace("WHEN valid_to < 9.5e8 THEN false", "WHEN valid_to < 9.5e8 OR 1e9 < valid_from THEN false").replace("ELSE valid_to >= 9.5e8", "ELSE valid_to >= 9.5e8 AND 1e9 >= valid_from").replace("WHEN valid_from IS NULL OR valid_to IS NULL THEN NULL", "WHEN valid_from IS NULL THEN NULL WHEN valid_to IS NULL THEN 1e9 >= valid_from"), ("claims",))
+@query(
+    "interval_overlap_unknown",
+    """SELECT claim_id, CASE WHEN f IS NULL THEN 'unknown' ELSE (f < 1e9 AND 9.5e8 < coalesce(t, 1.7976931348623157e308))::VARCHAR END AS overlaps, CASE WHEN f IS NULL THEN 'unknown' ELSE (9.2e8 < coalesce(t, 1.7976931348623157e308))::VARCHAR END AS overlaps_open
+    FROM (SELECT claim_id, CASE WHEN modality <> 0 THEN valid_from END AS f, valid_to AS t FROM claims)""",
+    ("claims",),
+)
 def _(spark, sf_dir):
-    return claims(spark, sf_dir).where("extractor = 'O'").select(*KEY, "polarity", T.overlap(c("valid_from"), c("valid_to"), F.lit(9.5e8), F.lit(1e9)).alias("overlaps"))
+    rows = claims(spark, sf_dir).withColumn("valid_from", F.when(c("modality") != 0, c("valid_from")))  # some begins are not known
+    within = lambda a, b: T.overlap(c("valid_from"), c("valid_to"), F.lit(a), F.lit(b).cast("double"))
+    shown = lambda x: F.coalesce(x.cast("string"), F.lit("unknown"))
+    return rows.select("claim_id", shown(within(9.5e8, 1e9)).alias("overlaps"), shown(within(9.2e8, None)).alias("overlaps_open"))
 
 
 @query("move_type_profiles", "SELECT o_orderpriority AS move_type, o_orderstatus AS outcome, count(*) AS moves, round(avg(CASE WHEN o_totalprice > 100000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS contradiction_rate FROM orders GROUP BY 1, 2")

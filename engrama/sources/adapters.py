@@ -47,15 +47,17 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims 'supplier supplies part' by extractor and polarity, with validity, lineage and modality."""
+    """Claims 'supplier supplies part' by extractor, polarity and batch, with validity, lineage and modality."""
     li = table(spark, sf_dir, "lineitem")
-    rows = li.groupBy("l_suppkey", "l_partkey", F.col("l_linestatus").alias("extractor"), F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("polarity")).agg(
-        F.min("l_shipdate").alias("f"), F.max("l_shipdate").alias("t"), F.array_sort(F.collect_set((F.col("l_orderkey") % 7).cast("string"))).alias("lineage"), F.min("l_linenumber").alias("line"), F.min("l_quantity").alias("q"), F.min("l_orderkey").alias("source_rid"), F.max("l_discount").alias("d")
+    part, batch = (F.col("l_partkey") % 60).alias("part"), (F.col("l_orderkey") % 3).alias("batch")
+    rows = li.groupBy("l_suppkey", part, batch, F.col("l_linestatus").alias("extractor"), F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("polarity")).agg(
+        F.min("l_shipdate").alias("f"), F.max("l_shipdate").alias("t"), F.array_sort(F.collect_set((F.col("l_orderkey") % 7).cast("string"))).alias("lineage"), F.min("l_linenumber").alias("line"), F.min("l_quantity").alias("q"), F.min("l_orderkey").alias("source"), F.max("l_discount").alias("d")
     )
     return rows.select(
-        F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.lit("supplies").alias("rel"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst"), "extractor", "polarity", F.concat(F.lit("ns"), F.col("l_partkey") % 3).alias("namespace"),
+        F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.lit("supplies").alias("rel"), F.concat(F.lit("p"), F.col("part")).alias("dst"), "extractor", "polarity", F.concat(F.lit("ns"), F.col("part") % 3).alias("namespace"),
+        F.concat_ws("/", "l_suppkey", "part", "batch", "extractor", "polarity").alias("claim_id"),
         F.unix_seconds(F.col("f").cast("timestamp")).cast("double").alias("valid_from"), F.when(F.col("t") > F.col("f"), F.unix_seconds(F.col("t").cast("timestamp")).cast("double")).alias("valid_to"), "lineage", (F.col("line") % 6).alias("modality"), (F.col("q") < 10).alias("self_generated"),
-        "source_rid", (0.5 + 5 * F.col("d")).alias("weight"), F.unix_seconds(F.col("f").cast("timestamp")).cast("double").alias("created_at"),
+        (F.col("source") % 40 + 1).alias("source_rid"), (0.5 + 5 * F.col("d")).alias("weight"), F.unix_seconds(F.col("f").cast("timestamp")).cast("double").alias("created_at"),
     )
 
 
@@ -105,10 +107,11 @@ CTES = {
     "edges": """edges AS (SELECT src, rel, dst, least(1.0::DOUBLE, count(*) / 10.0::DOUBLE) AS weight, epoch(max(seen_at))::DOUBLE AS created_at FROM (
         SELECT 's' || l_suppkey AS src, 'supplies' AS rel, 'p' || l_partkey AS dst, l_shipdate AS seen_at FROM lineitem
         UNION ALL SELECT 'c' || o_custkey, 'buys', 'p' || l_partkey, l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY src, rel, dst)""",
-    "claims": """claims AS (SELECT 's' || l_suppkey AS src, 'supplies' AS rel, 'p' || l_partkey AS dst, extractor, polarity, 'ns' || (l_partkey % 3) AS namespace,
-        epoch(f)::DOUBLE AS valid_from, CASE WHEN t > f THEN epoch(t)::DOUBLE END AS valid_to, lineage, line % 6 AS modality, q < 10 AS self_generated, source_rid, 0.5::DOUBLE + 5 * d AS weight, epoch(f)::DOUBLE AS created_at
-        FROM (SELECT l_suppkey, l_partkey, l_linestatus AS extractor, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS polarity, min(l_shipdate) AS f, max(l_shipdate) AS t,
-        list_sort(list_distinct(list((l_orderkey % 7)::VARCHAR))) AS lineage, min(l_linenumber) AS line, min(l_quantity) AS q, min(l_orderkey) AS source_rid, max(l_discount) AS d FROM lineitem GROUP BY 1, 2, 3, 4))""",
+    "claims": """claims AS (SELECT 's' || l_suppkey AS src, 'supplies' AS rel, 'p' || part AS dst, extractor, polarity, 'ns' || (part % 3) AS namespace,
+        l_suppkey || '/' || part || '/' || batch || '/' || extractor || '/' || polarity AS claim_id,
+        epoch(f)::DOUBLE AS valid_from, CASE WHEN t > f THEN epoch(t)::DOUBLE END AS valid_to, lineage, line % 6 AS modality, q < 10 AS self_generated, source % 40 + 1 AS source_rid, 0.5::DOUBLE + 5 * d AS weight, epoch(f)::DOUBLE AS created_at
+        FROM (SELECT l_suppkey, l_partkey % 60 AS part, l_orderkey % 3 AS batch, l_linestatus AS extractor, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS polarity, min(l_shipdate) AS f, max(l_shipdate) AS t,
+        list_sort(list_distinct(list((l_orderkey % 7)::VARCHAR))) AS lineage, min(l_linenumber) AS line, min(l_quantity) AS q, min(l_orderkey) AS source, max(l_discount) AS d FROM lineitem GROUP BY 1, 2, 3, 4, 5))""",
     "links": """links AS (SELECT DISTINCT rid, entity FROM (SELECT doc_id AS rid, unnest(regexp_extract_all(text, '(?:^|[ \n])([A-Z][a-z]+)', 1)) AS entity FROM documents))""",
     "ev": "ev AS (SELECT event_id, ts, epoch_us(ts) / 1e6::DOUBLE AS t, user_id, event_type AS kind, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)",
     "sessions": """sessions AS (SELECT session_id, session_id % 4 AS client, 1706745600.0::DOUBLE - 7200.0::DOUBLE * (session_id % 360) AS started_at,

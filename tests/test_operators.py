@@ -9,6 +9,7 @@ from engrama.functions import scoring as S
 from engrama.functions import text as T
 from engrama.functions import timing as G
 from engrama.operators import beliefs as B
+from engrama.operators import claims as claims_op
 from engrama.operators import events as E
 from engrama.operators import graph, memory, patterns, retrieval
 from pyspark.sql import functions as F
@@ -207,3 +208,64 @@ def test_sliding_rates_stream(spark, sf, tmp_path):
     finally:
         q.stop()
     assert spark.table("rates").agg(F.sum("n")).first()[0] == 12 * e.count()
+
+
+# evidence
+
+CLAIM = "claim_id string, src string, rel string, dst string, namespace string, polarity int, extractor string, lineage array<string>, weight double, self_generated boolean, modality int, source_rid long, valid_from double, valid_to double, created_at double"
+
+
+def claims_of(spark, rows):
+    """Claims of one proposition, as (polarity, extractor, lineage) and what differs from the usual."""
+    full = []
+    for k, (polarity, extractor, lineage, *more) in enumerate(rows):
+        own = {"weight": 1.0, "self_generated": False, "modality": 0, "rid": None, "f": None, "t": None, "ns": "default"} | (more[0] if more else {})
+        full.append((f"c{k}", "s", "r", "d", own["ns"], polarity, extractor, lineage, own["weight"], own["self_generated"], own["modality"], own["rid"], own["f"], own["t"], float(k)))
+    return spark.createDataFrame(full, CLAIM)
+
+
+def test_independent_sources_count_in_full(spark):
+    r = claims_op.mass(claims_of(spark, [(1, "x", ["a"]), (1, "y", ["b"]), (1, "z", ["c"])])).first()
+    assert (r["support"], r["attack"], r["support_independence"]) == (3.0, 0.0, 3.0)
+
+
+def test_shared_lineage_is_discounted(spark):
+    rows = [(1, "w", ["w"]), (1, "e", ["w", "e"]), (-1, "f", ["f"]), (-1, "p", ["p"]), (-1, "o", ["o"]), (-1, "b", ["b", "p", "o"])]
+    r = claims_op.mass(claims_of(spark, rows)).first()
+    assert (round(r["support"], 3), round(r["attack"], 3)) == (1.6, 3.578)
+
+
+def test_discount_by_extractor_and_self_generation(spark):
+    rows = [(1, "x", [], {"self_generated": True}), (1, "x", [], {"self_generated": True}), (1, "y", [])]
+    got = sorted(r["omega"] for r in claims_op.omegas(claims_of(spark, rows)).collect())
+    assert got == pytest.approx([1 / (1 + 0.3 / 2 + 0.7)] * 2 + [1.0])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_contest_counts_match_pairs(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(14):
+        f = rng.choice([None, rng.randint(0, 9)])
+        own = {"rid": rng.choice([None, 1, 2]), "f": None if f is None else float(f), "t": rng.choice([None, float((f or 0) + rng.randint(0, 4))]), "weight": rng.random()}
+        rows.append((rng.choice([1, -1]), rng.choice("xy"), sorted(rng.sample("abc", rng.randint(0, 2))), own))
+    r = claims_op.contest_state(claims_of(spark, rows)).first()
+    inf = float("inf")
+    want = {"same_source": 0, "same_artifact": 0, "overlapping": 0, "separable": 0}
+    for _, xa, la, a in (x for x in rows if x[0] == 1):
+        for _, xb, lb, b in (x for x in rows if x[0] == -1):
+            want["same_source"] += bool(la) and la == lb
+            want["same_artifact"] += a["rid"] is not None and a["rid"] == b["rid"] and xa != xb
+            span = lambda o: (-inf if o["f"] is None else o["f"], inf if o["t"] is None else o["t"])
+            (a0, a1), (b0, b1) = span(a), span(b)
+            want["separable" if a1 < b0 or b1 < a0 else "overlapping"] += 1
+    assert {k: r[k] for k in want} == want
+    assert r["flags"] & 26 == 2 * (want["same_source"] > 0) + 8 * (want["same_artifact"] > 0) + 16 * (want["overlapping"] > 0)
+
+
+def test_duplicates_and_namespaces_are_flagged(spark):
+    many = [(1, "x", ["a"], {"weight": 3.0}), (1, "x", ["a"], {"weight": 3.0})]
+    assert claims_op.contest_state(claims_of(spark, many)).first()["flags"] == claims_op.DUPLICATION_RISK
+    apart = [(1, "x", ["a"]), (1, "y", ["b"], {"ns": "other"})]
+    assert {r["flags"] for r in claims_op.contest_state(claims_of(spark, apart)).collect()} == {claims_op.HETEROGENEOUS}
+    assert claims_op.flagged(claims_of(spark, apart), claims_op.SAME_SOURCE).count() == 0

@@ -10,10 +10,15 @@ NEGATIONS = "not no never denied refuted isn't wasn't aren't weren't doesn't did
 TEMPORAL = "was were until before after since during former current currently previously recently now then later earlier ago yesterday tomorrow".split()
 MODALS = "may might allegedly reportedly rumor rumored said claims according stated announced".split()
 #: Names that are taken for technologies.
-TECH = "python rust java spark sqlite linux docker kubernetes react postgres redis".split()
-IDENTITY = ["is_a", "works_at", "lives_in", "married_to", "born_in"]
-PREFERENCE = ["likes", "prefers", "favorite", "dislikes"]
-TEMPORAL_RELATIONS = ["scheduled_for", "due_on", "happens_at"]
+TECH = (
+    "faiss onnx scann redis kafka docker kubernetes react python rust java swift flutter pytorch tensorflow numpy pandas spark hadoop nginx postgres mysql sqlite graphql grpc oauth jwt html css "
+    "api sdk ml ai gpu cpu ram ssd aws gcp claude openai anthropic gemini llama ollama"
+).split()
+#: First words of names that are no person's.
+NOT_PERSONS = "project team company group department org the operation task plan system service app tool code server client api db database agent model version release build deploy config".split()
+#: Relations of which a person has one at a time, and relations of taste.
+IDENTITY = "birthday age lives_in works_at email phone full_name spouse hometown".split()
+PREFERENCE = "prefers favorite likes dislikes".split()
 
 
 def tokens(text: Column) -> Column:
@@ -54,12 +59,23 @@ def features(text: Column) -> Column:
 
 
 def entity_type(name: Column) -> Column:
-    """tech by list or by camel case and digits, person for two capitalised words, else unknown."""
-    return F.when(F.lower(name).isin(*TECH) | name.rlike(r"[a-z][A-Z]|[A-Za-z]\d"), "tech").when(name.rlike(r"^[A-Z][a-z]+ [A-Z][a-z]+$"), "person").otherwise("unknown")
+    """tech by list or by capitals alone, person for two capitalised words that are neither tech nor a thing, else unknown."""
+    whole = F.trim(name)
+    words = F.split(whole, r"\s+")
+    low = F.transform(words, F.lower)
+    capitals = (F.length(whole) > 1) & whole.rlike(r"^[^\p{L}\p{Lu}]*(?:\p{Lu}[^\p{L}\p{Lu}]*)*$") & ~whole.rlike(r"[\p{Ll}\p{Lt}\p{Lo}\p{Lm}]")
+    named = (F.size(words) == 2) & F.forall(words, lambda w: w.rlike(r"^\p{Lu}"))
+    return (
+        F.when(F.lower(whole).isin(*TECH) | capitals, "tech")
+        .when(named & F.get(low, F.lit(0)).isin(*NOT_PERSONS), "unknown")
+        .when(named & F.exists(low, lambda w: w.isin(*TECH)), "tech")
+        .when(named, "person")
+        .otherwise("unknown")
+    )
 
 
 def conflict_type(relation: Column) -> Column:
-    return F.when(relation.isin(*IDENTITY), "identity_fact").when(relation.isin(*PREFERENCE), "preference").when(relation.isin(*TEMPORAL_RELATIONS), "temporal").otherwise("minor")
+    return F.when(relation.isin(*IDENTITY), "identity_fact").when(relation.isin(*PREFERENCE), "preference").otherwise("minor")
 
 
 def is_date_like(token: Column) -> Column:

@@ -29,6 +29,15 @@ def deadline_urgency(now: float, deadline: Column, ramp: float = 7 * DAY, floor:
     return F.when(left < 0, overdue).when(left > ramp, floor).when(left.isNotNull(), floor + (at_deadline - floor) * (s(x) - low) / (high - low))
 
 
+def relevance(now: float, updated: Column, due_again: Column, deadline: Column, half_life: float = DAY, weights: tuple[float, float, float] = (0.4, 0.3, 0.3)) -> Column:
+    """Recency, nearness of the next occurrence and urgency of the deadline, weighed; what is missing counts as 0."""
+    recent = recency_relevance(F.lit(now) - updated, half_life)
+    again = F.when(due_again.isNotNull(), 1.0 / (1.0 + F.greatest(due_again - now, F.lit(0.0)) / HOUR)).otherwise(0.0)
+    due = F.coalesce(deadline_urgency(now, deadline), F.lit(0.0))
+    a, b, d = weights
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (a * recent + b * again + d * due) / (a + b + d)))
+
+
 def urgency_curve(kind: Column, now: float, start: Column, deadline: Column, dismissals: Column) -> Column:
     """linear, sigmoid, step, decaying when ignored, or constant urgency, in [0, 1]."""
     value = (

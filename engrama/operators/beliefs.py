@@ -31,13 +31,14 @@ def ordered(rows: DataFrame, key: list[str], order: list[str], value: Column) ->
 
 
 def reinforced_confidence(hits: Column, start: float = 0.5) -> Column:
-    """Fold booleans: up by 5 % of the room left when confirmed, down by 8 % when contradicted, less with each step."""
-    first = F.struct(F.lit(start).alias("c"), F.lit(0).alias("n"))
+    """Fold booleans: up by 5 % of the room left when confirmed, down by 8 % when contradicted, each less with its own count."""
+    first = F.struct(F.lit(start).alias("c"), F.lit(0).alias("up"), F.lit(0).alias("down"))
 
     def step(s: Column, ok: Column) -> Column:
-        k = 1 + 0.01 * s["n"]
-        up = F.least(F.lit(0.99), s["c"] + (1 - s["c"]) * 0.05 / k)
-        return F.struct(F.when(ok, up).otherwise(s["c"] - s["c"] * 0.08 / k).alias("c"), (s["n"] + 1).alias("n"))
+        up, down = s["up"] + ok.cast("int"), s["down"] + (~ok).cast("int")
+        higher = F.least(F.lit(0.99), s["c"] + (1 - s["c"]) * 0.05 / (1 + 0.01 * up))
+        lower = F.greatest(F.lit(0.0), s["c"] - s["c"] * 0.08 / (1 + 0.01 * down))
+        return F.struct(F.when(ok, higher).otherwise(lower).alias("c"), up.alias("up"), down.alias("down"))
 
     return F.aggregate(hits, first, step)["c"]
 
@@ -109,3 +110,17 @@ def ranking_loss(rows: DataFrame, margin: float = 0.05) -> DataFrame:
     part = F.when(F.col("relevant"), q - 2 * x * s + n * x * x).otherwise(0.0)
     g = r.withColumn("part", part).groupBy("query_id").agg(F.sum("part").alias("loss"), F.count_if("relevant").alias("good"), F.sum("b").alias("bad"))
     return g.where("good > 0 and bad > 0").select("query_id", (F.col("loss") / (F.col("good") * F.col("bad"))).alias("loss"))
+
+
+#: The least urgency of each way to bring something up, of a conflict's alert, and of a nudge in a pause.
+PREEMPT, ALERT, NUDGE, CONFLICT_ALERT, PAUSE_NUDGE = 0.95, 0.8, 0.5, 0.6, 0.4
+
+
+def surface_mode(urgency: Column, reason: Column, pausing: Column, preempt: bool = True) -> Column:
+    """How to bring something up: only an imminent deadline preempts; a pause lowers what it takes to nudge."""
+    return (
+        F.when(F.lit(preempt) & (urgency >= PREEMPT) & (reason == "deadline_imminent"), "preempt")
+        .when((urgency >= ALERT) | ((reason == "conflict_needs_resolution") & (urgency >= CONFLICT_ALERT)), "alert")
+        .when((urgency >= NUDGE) | (pausing & (urgency >= PAUSE_NUDGE)), "nudge")
+        .otherwise("whisper")
+    )

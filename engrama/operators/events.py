@@ -92,16 +92,73 @@ def bins(events: DataFrame, width: float, *by: str) -> DataFrame:
     return every.join(rows, [*by, "bin"], "left").select(*by, "bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+#: A point process of one event an hour with mild excitation, where no gap tells more; what is kept.
+DEFAULT_MU, DEFAULT_ALPHA, DEFAULT_BETA = 1 / 3600, 0.001, 1 / 300
+KEPT_EVENTS, KEPT_DECAYS = 500, 4.6
+
+
 def hawkes_fit(events: DataFrame, *by: str) -> DataFrame:
-    """Moment fit per key: mu from the mean gap, branching from its CV squared, beta from the upper median gap."""
-    g = gaps(events, *by).where("gap is not null")
+    """Moment fit per key over its gaps longer than 0: mu from their mean, branching from their CV squared, beta from the
+    upper median. A key without such a gap gets the default process; n counts its gaps, total its events."""
+    g = gaps(events, *by).where("gap > 0")
     s = g.groupBy(*by).agg(F.count("*").alias("n"), F.avg("gap").alias("m"), F.var_pop("gap").alias("v"))
     w = Window.partitionBy(*by).orderBy("gap", "event_id")
     mid = g.withColumn("_r", F.row_number().over(w) - 1).join(s.select(*by, "n"), list(by)).where(F.col("_r") == F.floor(F.col("n") / 2)).select(*by, F.col("gap").alias("median"))
-    out = s.where("n >= 3 and m > 0").join(mid.where("median > 0"), list(by))
+    every = events.groupBy(*by).agg(F.count("*").alias("total"), F.max("t").alias("last"))
+    out = every.join(s, list(by), "left").join(mid, list(by), "left")
     cv2 = F.col("v") / (F.col("m") * F.col("m"))
-    branching = F.greatest(F.lit(0.05), F.least(F.lit(0.85), cv2 / (1 + cv2)))
-    return out.select(*by, "n", (1 / F.col("m")).alias("mu"), branching.alias("branching"), (1 / F.col("median")).alias("beta"), (branching / F.col("median")).alias("alpha"))
+    branching = F.coalesce(F.greatest(F.lit(0.05), F.least(F.lit(0.85), cv2 / (1 + cv2))), F.lit(DEFAULT_ALPHA / DEFAULT_BETA))
+    beta = F.coalesce(1 / F.col("median"), F.lit(DEFAULT_BETA))
+    out = out.select(*by, F.coalesce("n", F.lit(0)).alias("n"), "total", "last", F.coalesce(1 / F.col("m"), F.lit(DEFAULT_MU)).alias("mu"), branching.alias("branching"), beta.alias("beta"))
+    return out.withColumn("alpha", F.col("branching") * F.col("beta"))
+
+
+def point_process(events: DataFrame, now: float, *by: str) -> DataFrame:
+    """hawkes_fit of the events before `now` with `excited`, the excitation at now that the kept ones leave, `hours`, the
+    24 circadian multipliers, and `stationary`, the long-run rate."""
+    before = events.where(F.col("t") < now)
+    fit = hawkes_fit(before, *by)
+    late = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("t"), F.desc("event_id")))
+    kept = before.select(*by, "t", late.alias("_r")).where(F.col("_r") <= KEPT_EVENTS).join(fit.select(*by, "last", "alpha", "beta"), list(by))
+    kept = kept.where(F.col("t") >= F.col("last") - KEPT_DECAYS / F.col("beta"))
+    excited = kept.groupBy(*by).agg(F.sum(F.col("alpha") * F.exp(-F.col("beta") * (now - F.col("t")))).alias("excited"))
+    hour = F.floor(F.pmod(F.col("t"), F.lit(86400.0)) / 3600)
+    hours = before.groupBy(*by).agg(F.array(*[24.0 * (F.count_if(hour == h) + 1) / (F.count("*") + 24) for h in range(24)]).alias("hours"))
+    return fit.join(excited, list(by)).join(hours, list(by)).withColumn("stationary", F.col("mu") / (1 - F.col("branching")))
+
+
+def intensity(now: float, ahead: Column) -> Column:
+    """The rate of a point_process row `ahead` seconds after its now: base rate by the hour, and what excitation is left."""
+    at = F.pmod(F.lit(now) + ahead, F.lit(86400.0)) / 3600
+    low = F.floor(at).cast("int") % 24
+    a, b = F.get("hours", low), F.get("hours", (low + 1) % 24)
+    base = F.col("mu") * (a + (at - F.floor(at)) * (b - a))
+    return F.greatest(F.lit(0.0), base + F.col("excited") * F.exp(-F.col("beta") * ahead))
+
+
+def predict_next(model: DataFrame, now: float, horizon: float = 14400.0, step: float = 60.0, least: int = 3) -> DataFrame:
+    """point_process rows of `least` events or more with `expected`: the first step at which the summed rate reaches one
+    event, else the step of the highest rate; `peak`, the highest rate so far; and `confidence`."""
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("peak"), F.lit(0).alias("top"), F.lit(None).cast("int").alias("hit"))
+
+    def one(s: Column, k: Column) -> Column:
+        rate = intensity(now, k * step)
+        total = s["sum"] + rate * step
+        higher = rate > s["peak"]
+        new = F.struct(total.alias("sum"), F.when(higher, rate).otherwise(s["peak"]).alias("peak"), F.when(higher, k).otherwise(s["top"]).alias("top"), F.when(total >= 1, k).alias("hit"))
+        return F.when(s["hit"].isNotNull(), s).otherwise(new)
+
+    steps = F.sequence(F.lit(0), F.lit(int(horizon // step)))
+    out = model.where(F.col("total") >= least).withColumn("_p", F.aggregate(steps, start, one)).where("_p.peak > 0")
+    share = F.col("_p.peak") / F.col("stationary")
+    sure = F.when(F.col("_p.hit").isNotNull(), F.least(share, F.lit(1.0))).otherwise(F.least(0.3 * share, F.lit(0.5)))
+    return out.withColumn("expected", now + step * F.coalesce("_p.hit", "_p.top")).withColumn("peak", F.col("_p.peak")).withColumn("confidence", sure).drop("_p")
+
+
+def anticipate(events: DataFrame, now: float, *by: str, least: int = 5, surge: float = 1.5) -> DataFrame:
+    """Predictions for the keys whose rate now is above `surge` times their long-run rate."""
+    model = point_process(events, now, *by).withColumn("rate", intensity(now, F.lit(0.0)))
+    return predict_next(model.where((F.col("total") >= least) & (F.col("rate") > surge * F.col("stationary"))), now)
 
 
 def circadian(events: DataFrame, *by: str) -> DataFrame:

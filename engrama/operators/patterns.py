@@ -27,13 +27,22 @@ def valence_shift(memories: DataFrame, now: float, recent: float, past: float, l
 
 
 def bridges(links: DataFrame, memories: DataFrame, least: int = 2) -> DataFrame:
-    """Entities of several domains: ln(domains) x entropy x IDF."""
-    cell = links.join(memories.select("rid", "domain"), "rid").groupBy("entity", "domain").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    """Entities of several domains of active memories, the general one apart: ln(domains) x entropy x IDF of all mentions."""
+    inside = memories.where("status = 'active' and domain <> 'general'").select("rid", "domain")
+    cell = links.join(inside, "rid").groupBy("entity", "domain").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     total = cell.groupBy("entity").agg(F.sum("n").alias("total"), F.count("*").alias("domains")).where("domains >= 2")
+    mentions = links.groupBy("entity").agg(F.count("*").alias("mentions"))
     every = links.agg(F.countDistinct("entity").alias("every"))  # one row
     p = F.col("n") / F.col("total")
-    g = cell.join(total, "entity").groupBy("entity").agg(F.first("domains").alias("domains"), F.first("total").alias("total"), F.sum(-p * F.log(p)).alias("entropy")).crossJoin(every)
-    return g.withColumn("score", F.log("domains") * F.col("entropy") * F.greatest(F.log(F.col("every") / (1 + F.col("total"))), F.lit(0.1))).withColumn("confidence", F.least(F.col("score") / 5, F.lit(1.0)))
+    g = cell.join(total, "entity").groupBy("entity").agg(F.first("domains").alias("domains"), F.sum(-p * F.log(p)).alias("entropy")).join(mentions, "entity").crossJoin(every)
+    idf = F.greatest(F.log(F.col("every") / (1 + F.col("mentions"))), F.lit(0.1))
+    return g.withColumn("score", F.log("domains") * F.col("entropy") * idf).withColumn("confidence", F.least(F.col("score") / 5, F.lit(1.0)))
+
+
+def temporal_drift(memories: DataFrame, now: float, old: float = 90.0, unseen: float = 30.0, most: int = 10) -> DataFrame:
+    """The oldest facts of `old` days or more that nobody looked at for `unseen` days: (rid, urgency)."""
+    rows = memories.where("status = 'active' and type = 'semantic'").where((F.col("created_at") < now - old * DAY) & (F.col("last_access") < now - unseen * DAY))
+    return rows.orderBy("created_at", "rid").limit(most).select("rid", F.least(F.lit(1.0), (now - F.col("created_at")) / DAY / 365).alias("urgency"))
 
 
 def co_occurrence(edges: DataFrame, least: int = 3, block: int = 1024) -> DataFrame:

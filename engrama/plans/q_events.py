@@ -120,15 +120,22 @@ def _(spark, sf_dir):
     return rows.select("user_id", E.ewma(c("x")).alias("s")).select("user_id", F.round("s.mean", 6).alias("mean"), F.round("s.z", 6).alias("z"), (F.abs("s.z") > 2.5).alias("anomaly"))
 
 
-@query(
-    "hawkes_fit",
-    """WITH g AS (SELECT user_id, event_id, t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS gap FROM ev), h AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY gap, event_id) - 1 AS r, count(*) OVER (PARTITION BY user_id) AS n FROM g WHERE gap IS NOT NULL),
-    s AS (SELECT user_id, max(n) AS n, avg(gap) AS m, var_pop(gap) AS v, max(CASE WHEN r = n // 2 THEN gap END) AS med FROM h GROUP BY user_id HAVING max(n) >= 3)
-    SELECT user_id, n, round(1 / m, 9) AS mu, round(greatest(0.05, least(0.85, v / (m * m) / (1 + v / (m * m)))), 6) AS branching, round(1 / med, 9) AS beta FROM s""",
-    ("ev",),
-)
+THEN_ = 1705752000.0  # 2024-01-20 12:00, within the events
+HAWKES = """he AS (SELECT user_id, event_id, t FROM ev WHERE t < 1705752000.0), hg AS (SELECT user_id, event_id, t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS gap FROM he),
+    hq AS (SELECT user_id, gap, row_number() OVER (PARTITION BY user_id ORDER BY gap, event_id) - 1 AS r, count(*) OVER (PARTITION BY user_id) AS n FROM hg WHERE gap > 0), hf AS (SELECT user_id, max(n) AS n, avg(gap) AS m, var_pop(gap) AS v, max(gap) FILTER (r = n // 2) AS med FROM hq GROUP BY user_id),
+    hp AS (SELECT user_id, coalesce(n, 0) AS n, total, last, coalesce(1 / m, 1 / 3600.0::DOUBLE) AS mu, coalesce(greatest(0.05, least(0.85, (v / (m * m)) / (1 + v / (m * m)))), 0.3) AS br, coalesce(1 / med, 1 / 300.0::DOUBLE) AS beta FROM (SELECT user_id, count(*) AS total, max(t) AS last FROM he GROUP BY 1) LEFT JOIN hf USING (user_id)),
+    hk AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC) AS r FROM he), hx AS (SELECT user_id, sum(br * beta * exp(-beta * (1705752000.0 - t))) AS x FROM hk JOIN hp USING (user_id) WHERE r <= 500 AND t >= last - 4.6 / beta GROUP BY 1),
+    hh AS (SELECT user_id, CAST(floor((t % 86400) / 3600) AS BIGINT) AS h, count(*) AS n FROM he GROUP BY 1, 2), hw AS (SELECT user_id, h, 24 * (coalesce(hh.n, 0) + 1) / (total + 24.0::DOUBLE) AS w FROM hp CROSS JOIN (SELECT unnest(range(24)) AS h) LEFT JOIN hh USING (user_id, h)),
+    ht AS (SELECT k, ((1705752000.0 + 60.0 * k) % 86400) / 3600.0 AS fh FROM (SELECT unnest(range(241)) AS k)),
+    hl AS (SELECT p.user_id, k, mu / (1 - br) AS stationary, total, greatest(0, mu * (a.w + (fh - floor(fh)) * (b.w - a.w)) + x * exp(-beta * 60.0 * k)) AS rate FROM hp p JOIN hx USING (user_id) CROSS JOIN ht JOIN hw a ON a.user_id = p.user_id AND a.h = CAST(floor(fh) AS BIGINT) JOIN hw b ON b.user_id = p.user_id AND b.h = (CAST(floor(fh) AS BIGINT) + 1) % 24),
+    hc AS (SELECT *, sum(rate * 60.0) OVER (PARTITION BY user_id ORDER BY k) AS cum FROM hl), hit AS (SELECT user_id, min(k) FILTER (cum >= 1) AS hit FROM hc GROUP BY 1),
+    hn AS (SELECT user_id, any_value(hit) AS hit, any_value(total) AS total, any_value(stationary) AS stationary, max(rate) AS peak, min(k) FILTER (rate = top) AS top_k, max(rate) FILTER (k = 0) AS now_rate FROM (SELECT hc.*, hit, max(rate) OVER (PARTITION BY user_id) AS top FROM hc JOIN hit USING (user_id) WHERE k <= coalesce(hit, 240)) GROUP BY 1)"""
+
+
+@query("hawkes_fit", f"WITH {HAWKES} SELECT user_id, n, total, round(mu, 9) AS mu, round(br, 6) AS branching, round(beta, 9) AS beta FROM hp", ("ev",))
 def _(spark, sf_dir):
-    return E.hawkes_fit(ev(spark, sf_dir), "user_id").select("user_id", "n", F.round("mu", 9).alias("mu"), F.round("branching", 6).alias("branching"), F.round("beta", 9).alias("beta"))
+    fit = E.hawkes_fit(ev(spark, sf_dir).where(c("t") < THEN_), "user_id")
+    return fit.select("user_id", "n", "total", F.round("mu", 9).alias("mu"), F.round("branching", 6).alias("branching"), F.round("beta", 9).alias("beta"))
 
 
 @query("circadian_profile", "WITH h AS (SELECT kind, CAST(floor((t % 86400) / 3600) AS BIGINT) AS hour, count(*) AS n FROM ev GROUP BY 1, 2), k AS (SELECT kind, sum(n) AS total, unnest(range(24)) AS hour FROM h GROUP BY kind) SELECT kind, hour, round(24 * (coalesce(n, 0) + 1) / (total + 24)::DOUBLE, 6) AS weight FROM k LEFT JOIN h USING (kind, hour)", ("ev",))
@@ -136,28 +143,31 @@ def _(spark, sf_dir):
     return E.circadian(ev(spark, sf_dir), "kind").select("kind", "hour", F.round("weight", 6).alias("weight"))
 
 
-@query("hawkes_intensity", "SELECT user_id, round(0.00001 + sum(0.0001 * exp(-0.0001 * (1706745600.0 - t))), 9) AS intensity FROM ev WHERE t < 1706745600.0 GROUP BY user_id", ("ev",))
+@query("hawkes_intensity", f"WITH {HAWKES} SELECT user_id, round(rate, 9) AS intensity, round(stationary, 9) AS stationary FROM hl WHERE k = 0", ("ev",))
 def _(spark, sf_dir):
-    e = ev(spark, sf_dir).where(c("t") < A.NOW)
-    return e.groupBy("user_id").agg(F.round(0.00001 + F.sum(0.0001 * F.exp(-0.0001 * (A.NOW - c("t")))), 9).alias("intensity"))
+    model = E.point_process(ev(spark, sf_dir), THEN_, "user_id")
+    return model.select("user_id", F.round(E.intensity(THEN_, F.lit(0.0)), 9).alias("intensity"), F.round("stationary", 9).alias("stationary"))
 
 
-@query(
-    "intensity_curve",
-    "SELECT user_id, h, round(0.00001 + sum(0.0001 * exp(-0.0001 * (1706745600.0 + 3600.0 * h - t))), 9) AS intensity FROM ev, (SELECT unnest(range(0, 24)) AS h) WHERE t < 1706745600.0 GROUP BY 1, 2",
-    ("ev",),
-)
+@query("intensity_curve", f"WITH {HAWKES} SELECT user_id, k // 30 AS step, round(rate, 9) AS intensity FROM hl WHERE k % 30 = 0", ("ev",))
+def _(spark, sf_dir):
+    model = E.point_process(ev(spark, sf_dir), THEN_, "user_id").withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(8).cast("long"))))
+    return model.select("user_id", "step", F.round(E.intensity(THEN_, 1800.0 * c("step")), 9).alias("intensity"))
+
+
+_PREDICTED = "round(1705752000.0 + 60.0 * coalesce(hit, top_k), 3) AS expected, round(peak, 9) AS peak, round(CASE WHEN hit IS NOT NULL THEN least(1, peak / stationary) ELSE least(0.5, 0.3 * peak / stationary) END, 6) AS confidence"
+
+
+@query("predict_next", f"WITH {HAWKES} SELECT user_id, {_PREDICTED} FROM hn WHERE total >= 3 AND peak > 0", ("ev",))
 def _(spark, sf_dir):
-    # exp(-b (now + h - t)) factors, so each user's events are summed once
-    base = ev(spark, sf_dir).where(c("t") < A.NOW).groupBy("user_id").agg(F.sum(0.0001 * F.exp(-0.0001 * (A.NOW - c("t")))).alias("s"))
-    grid = base.withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long"))))
-    return grid.select("user_id", "h", F.round(0.00001 + c("s") * F.exp(-0.36 * c("h")), 9).alias("intensity"))
+    out = E.predict_next(E.point_process(ev(spark, sf_dir), THEN_, "user_id"), THEN_)
+    return out.select("user_id", F.round("expected", 3).alias("expected"), F.round("peak", 9).alias("peak"), F.round("confidence", 6).alias("confidence"))
 
 
-@query("predict_next", "SELECT user_id, kind, round(max(t) + (max(t) - min(t)) / (count(*) - 1), 3) AS expected FROM ev GROUP BY 1, 2 HAVING count(*) > 1", ("ev",))
+@query("anticipate_all", f"WITH {HAWKES} SELECT user_id, {_PREDICTED} FROM hn WHERE total >= 5 AND now_rate > 1.5 * stationary", ("ev",))
 def _(spark, sf_dir):
-    g = ev(spark, sf_dir).groupBy("user_id", "kind").agg(F.max("t").alias("z"), F.min("t").alias("a"), F.count("*").alias("n")).where("n > 1")
-    return g.select("user_id", "kind", F.round(c("z") + (c("z") - c("a")) / (c("n") - 1), 3).alias("expected"))
+    out = E.anticipate(ev(spark, sf_dir), THEN_, "user_id")
+    return out.select("user_id", F.round("expected", 3).alias("expected"), F.round("peak", 9).alias("peak"), F.round("confidence", 6).alias("confidence"))
 
 
 @query(

@@ -79,7 +79,8 @@ def _(spark, sf_dir):
 
 @query(
     "confidence_fold",
-    """SELECT user_id, round(list_reduce(list(struct_pack(c := CASE WHEN value > 40 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, n := 0.0::DOUBLE) ORDER BY t, event_id), lambda s, x: struct_pack(c := CASE WHEN x.c > 0 THEN least(0.99, s.c + (1 - s.c) * 0.05 / (1 + 0.01 * s.n)) ELSE s.c - s.c * 0.08 / (1 + 0.01 * s.n) END, n := s.n + 1), struct_pack(c := 0.5::DOUBLE, n := 0.0::DOUBLE)).c, 6) AS confidence FROM ev GROUP BY user_id""",
+    """SELECT user_id, round(list_reduce(list(struct_pack(c := CASE WHEN value > 40 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, u := 0.0::DOUBLE, d := 0.0::DOUBLE) ORDER BY t, event_id), lambda s, x: struct_pack(c := CASE WHEN x.c > 0 THEN least(0.99, s.c + (1 - s.c) * 0.05 / (1 + 0.01 * (s.u + 1))) ELSE greatest(0, s.c - s.c * 0.08 / (1 + 0.01 * (s.d + 1))) END,
+    u := s.u + CASE WHEN x.c > 0 THEN 1 ELSE 0 END, d := s.d + CASE WHEN x.c > 0 THEN 0 ELSE 1 END), struct_pack(c := 0.5::DOUBLE, u := 0.0::DOUBLE, d := 0.0::DOUBLE)).c, 6) AS confidence FROM ev GROUP BY user_id""",
     ("ev",),
 )
 def _(spark, sf_dir):
@@ -159,10 +160,18 @@ def net():
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.4 * c("importance") + 0.25 * c("certainty") + 0.2 * (c("valence") + 1) / 2 - 0.15 * c("access_count") / 7.0))
 
 
-@query("surface_modes", f"SELECT rid, round({NET}, 6) AS net, CASE WHEN {NET} >= 0.95 AND due_at < 1706745600.0 + 3600 THEN 'preempt' WHEN {NET} >= 0.8 THEN 'alert' WHEN {NET} >= 0.5 THEN 'nudge' ELSE 'whisper' END AS mode FROM memories WHERE status = 'active'", ("memories",))
+@query(
+    "surface_modes",
+    f"""WITH r AS (SELECT rid, {NET} AS net, CASE WHEN due_at <= 1706745600.0 + 300 THEN 'deadline_imminent' WHEN valence < -0.5 THEN 'conflict_needs_resolution' ELSE 'goal_at_risk' END AS reason, access_count = 0 AS idle FROM memories WHERE status = 'active'),
+    u AS (SELECT *, CASE WHEN reason = 'deadline_imminent' THEN greatest(net, 0.95) ELSE net END AS urgency FROM r)
+    SELECT rid, reason, round(urgency, 6) AS urgency, CASE WHEN urgency >= 0.95 AND reason = 'deadline_imminent' THEN 'preempt' WHEN urgency >= 0.8 THEN 'alert' WHEN urgency >= 0.6 AND reason = 'conflict_needs_resolution' THEN 'alert' WHEN urgency >= 0.5 THEN 'nudge' WHEN idle AND urgency >= 0.4 THEN 'nudge' ELSE 'whisper' END AS mode FROM u""",
+    ("memories",),
+)
 def _(spark, sf_dir):
-    mode = F.when((c("n") >= 0.95) & (c("due_at") < NOW + 3600), "preempt").when(c("n") >= 0.8, "alert").when(c("n") >= 0.5, "nudge").otherwise("whisper")
-    return A.memories(spark, sf_dir).where("status = 'active'").withColumn("n", net()).select("rid", F.round("n", 6).alias("net"), mode.alias("mode"))
+    reason = F.when(c("due_at") <= NOW + 300, "deadline_imminent").when(c("valence") < -0.5, "conflict_needs_resolution").otherwise("goal_at_risk")
+    m = A.memories(spark, sf_dir).where("status = 'active'").withColumn("reason", reason).withColumn("n", net())
+    urgency = F.when(c("reason") == "deadline_imminent", F.greatest(c("n"), F.lit(0.95))).otherwise(c("n"))
+    return m.withColumn("u", urgency).select("rid", "reason", F.round("u", 6).alias("urgency"), B.surface_mode(c("u"), c("reason"), c("access_count") == 0).alias("mode"))
 
 
 @query("surfacing_rate_cap", f"SELECT session_id, rid FROM (SELECT session_id, rid, row_number() OVER (PARTITION BY session_id ORDER BY round({NET}, 9) DESC, rid) AS k FROM memories WHERE status = 'active') WHERE k <= 10", ("memories",))

@@ -182,12 +182,14 @@ def _(spark, sf_dir):
 
 @query(
     "temporal_relevance_composite",
-    f"WITH {SIGNALS} SELECT rid, round((0.5 * recency + 0.2 * prox + 0.3 * CASE WHEN due_at IS NULL THEN 0 WHEN due_at < 1706745600.0 + 86400.0 THEN 1 ELSE 0.1 END) / 1.0, 6) AS relevance FROM s JOIN (SELECT rid, due_at FROM memories) USING (rid)",
+    f"""WITH p AS (SELECT rid, greatest(0.01, pow(2, -(1706745600.0 - last_access) / 86400.0)) AS recent, CASE WHEN rid % 3 = 0 THEN 1 / (1 + greatest(0, 3600.0 * (rid % 40) - 7200) / 3600.0) ELSE 0 END AS again,
+    CASE WHEN due_at IS NULL THEN 0 WHEN due_at - 1706745600.0 < 0 THEN 1.0 WHEN due_at - 1706745600.0 > 604800.0 THEN 0.1 ELSE 0.1 + 0.85 * ({_SIG.format("(1 - (due_at - 1706745600.0) / 604800.0)")} - {_SIG.format("0")}) / ({_SIG.format("1")} - {_SIG.format("0")}) END AS due FROM memories)
+    SELECT rid, round(least(1, greatest(0, 0.4 * recent + 0.3 * again + 0.3 * due)), 6) AS relevance FROM p""",
     ("memories",),
 )
 def _(spark, sf_dir):
-    due = F.when(c("due_at").isNull(), 0.0).when(c("due_at") < NOW + T.DAY, 1.0).otherwise(0.1)
-    return signals(spark, sf_dir).select("rid", F.round(0.5 * c("recency") + 0.2 * c("prox") + 0.3 * due, 6).alias("relevance"))
+    again = F.when(c("rid") % 3 == 0, NOW + 3600.0 * (c("rid") % 40) - 7200)  # some come again, a few of them overdue
+    return A.memories(spark, sf_dir).select("rid", F.round(T.relevance(NOW, c("last_access"), again, c("due_at")), 6).alias("relevance"))
 
 
 @query(

@@ -91,21 +91,39 @@ def _(spark, sf_dir):
     return w.select("word", S.sentiment_stem(c("word")).alias("stem"))
 
 
-@query(
-    "entity_types",
-    r"""SELECT name, CASE WHEN lower(name) IN ('python', 'rust', 'java', 'spark', 'sqlite', 'linux', 'docker', 'kubernetes', 'react', 'postgres', 'redis') OR regexp_matches(name, '[a-z][A-Z]|[A-Za-z]\d') THEN 'tech' WHEN regexp_matches(name, '^[A-Z][a-z]+ [A-Z][a-z]+$') THEN 'person' ELSE 'unknown' END AS kind
-    FROM (SELECT s_name AS name FROM supplier UNION ALL SELECT p_name FROM part UNION ALL SELECT p_brand FROM part UNION ALL SELECT n_name FROM nation)""",
-)
-def _(spark, sf_dir):
+#: Names that the tables don't hold, beside theirs.
+NAMES = ["Priya Sharma", "Project Athena", "Spark Streaming", "FAISS", "K8S", "R2D2", "Redis", "postgres", "Mia Lin Chen", "Bo", "jo Ann", "ÅSA", "X", "Éva Nagy", " Team Blue ", "API", "New York"]
+_NAMES = "(SELECT s_name AS name FROM supplier UNION ALL SELECT p_name FROM part UNION ALL SELECT p_brand FROM part UNION ALL SELECT n_name FROM nation UNION ALL SELECT unnest([" + ", ".join(f"'{n}'" for n in NAMES) + "]))"
+
+
+def _listed(words):
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+def _type_sql(name):
+    """The rule as SQL, from its text: listed or all capitals; else two capitalised words, unless one is a thing or a technology."""
+    w, two = f"string_split_regex(trim({name}), '\\s+')", f"len(string_split_regex(trim({name}), '\\s+')) = 2"
+    upper = lambda x: f"(upper(left({x}, 1)) = left({x}, 1) AND lower(left({x}, 1)) <> left({x}, 1))"
+    named = f"{two} AND {upper(w + '[1]')} AND {upper(w + '[2]')}"
+    return f"""CASE WHEN lower(trim({name})) IN {_listed(T.TECH)} OR (length(trim({name})) > 1 AND upper(trim({name})) = trim({name})) THEN 'tech' WHEN {named} AND lower({w}[1]) IN {_listed(T.NOT_PERSONS)} THEN 'unknown'
+    WHEN {named} AND (lower({w}[1]) IN {_listed(T.TECH)} OR lower({w}[2]) IN {_listed(T.TECH)}) THEN 'tech' WHEN {named} THEN 'person' ELSE 'unknown' END"""
+
+
+def names(spark, sf_dir):
     t = lambda n, k: A.table(spark, sf_dir, n).select(c(k).alias("name"))
-    names = t("supplier", "s_name").union(t("part", "p_name")).union(t("part", "p_brand")).union(t("nation", "n_name"))
-    return names.select("name", T.entity_type(c("name")).alias("kind"))
+    listed = spark.range(1).select(F.explode(F.array(*map(F.lit, NAMES))).alias("name"))
+    return t("supplier", "s_name").union(t("part", "p_name")).union(t("part", "p_brand")).union(t("nation", "n_name")).union(listed)
+
+
+@query("entity_types", f"SELECT name, {_type_sql('name')} AS kind FROM {_NAMES}")
+def _(spark, sf_dir):
+    return names(spark, sf_dir).select("name", T.entity_type(c("name")).alias("kind"))
 
 
-@query("conflict_types", "SELECT dst, CASE WHEN r IN ('is_a', 'works_at', 'lives_in', 'married_to', 'born_in') THEN 'identity_fact' WHEN r IN ('likes', 'prefers', 'favorite', 'dislikes') THEN 'preference' WHEN r IN ('scheduled_for', 'due_on', 'happens_at') THEN 'temporal' ELSE 'minor' END AS kind FROM (SELECT DISTINCT dst, ['is_a', 'likes', 'due_on', 'knows'][1 + CAST(substr(dst, 2) AS BIGINT) % 4] AS r FROM edges)", ("edges",))
+@query("conflict_types", f"SELECT dst, CASE WHEN r IN {_listed(T.IDENTITY)} THEN 'identity_fact' WHEN r IN {_listed(T.PREFERENCE)} THEN 'preference' ELSE 'minor' END AS kind FROM (SELECT DISTINCT dst, ['spouse', 'likes', 'due_on', 'lives_in'][1 + CAST(substr(dst, 2) AS BIGINT) % 4] AS r FROM edges)", ("edges",))
 def _(spark, sf_dir):
-    r = F.element_at(F.array(*map(F.lit, ("is_a", "likes", "due_on", "knows"))), (F.substring("dst", 2, 20).cast("long") % 4 + 1).cast("int"))
-    return A.edges(spark, sf_dir).select("dst").distinct().select("dst", T.conflict_type(r).alias("kind"))
+    rel = F.element_at(F.array(*map(F.lit, ("spouse", "likes", "due_on", "lives_in"))), (F.substring("dst", 2, 20).cast("long") % 4 + 1).cast("int"))
+    return A.edges(spark, sf_dir).select("dst").distinct().select("dst", T.conflict_type(rel).alias("kind"))
 
 
 @query("date_like_tokens", r"SELECT p_name AS token, regexp_matches(p_name, '^\d{4}(-\d{1,2}){0,2}$') AS is_date FROM part UNION ALL SELECT strftime(o_orderdate, '%Y-%m-%d'), true FROM orders")
@@ -163,11 +181,18 @@ def _(spark, sf_dir):
     return t.select("n_nationkey", F.explode(X.relations(c("text"))).alias("x")).select("n_nationkey", "x.*")
 
 
-@query("relation_end_types", "SELECT rel, CASE rel WHEN 'lives_in' THEN 'person' WHEN 'uses' THEN 'project' WHEN 'acquired' THEN 'organization' ELSE 'unknown' END AS src_kind, CASE rel WHEN 'lives_in' THEN 'place' WHEN 'uses' THEN 'tech' WHEN 'acquired' THEN 'organization' ELSE 'unknown' END AS dst_kind, count(*) AS n FROM (SELECT ['lives_in', 'uses', 'acquired', 'hums'][1 + p_partkey % 4] AS rel FROM part) GROUP BY 1, 2, 3")
+RELATIONS = ["lives_in", "uses", "knows", "hums", "Founded", "hosted_on", "works_on", "extends", "spoke_at", "studies"]
+_ENDS = [(X.PERSON_PERSON, "'person'", "person"), (X.PERSON_PLACE, "'person'", "place"), (X.PERSON_ORGANIZATION, "'person'", "organization"), (X.ANY_TECH, "made", "tech"), (X.ANY_INFRASTRUCTURE, "made", "infrastructure"), (X.PERSON_PROJECT, "'person'", "project"), (X.PROJECT_PROJECT, "'project'", "project"), (X.ANY_EVENT, "a", "event"), (X.PERSON_CONCEPT, "'person'", "concept")]
+
+
+@query(
+    "relation_end_types",
+    f"""WITH n AS (SELECT DISTINCT name FROM {_NAMES}), t AS (SELECT name, rel, {_type_sql("name")} AS a FROM n, (SELECT unnest({RELATIONS}) AS rel)), m AS (SELECT *, CASE WHEN a = 'unknown' THEN 'project' ELSE a END AS made FROM t)
+    SELECT name, rel, CASE {" ".join(f"WHEN lower(rel) IN {_listed(r)} THEN {a}" for r, a, _ in _ENDS)} ELSE a END AS src_kind, CASE {" ".join(f"WHEN lower(rel) IN {_listed(r)} THEN '{b}'" for r, _, b in _ENDS)} ELSE 'tech' END AS dst_kind FROM m""",
+)
 def _(spark, sf_dir):
-    rel = F.element_at(F.array(*map(F.lit, ("lives_in", "uses", "acquired", "hums"))), (c("p_partkey") % 4 + 1).cast("int"))
-    p = A.table(spark, sf_dir, "part").select(rel.alias("rel")).withColumn("e", X.end_types(c("rel")))
-    return p.groupBy("rel", c("e.src").alias("src_kind"), c("e.dst").alias("dst_kind")).agg(F.count("*").alias("n"))
+    rows = names(spark, sf_dir).distinct().withColumn("rel", F.explode(F.array(*map(F.lit, RELATIONS))))
+    return rows.withColumn("e", X.end_types(c("rel"), c("name"), F.lit("Redis"))).select("name", "rel", c("e.src").alias("src_kind"), c("e.dst").alias("dst_kind"))
 
 
 @query("encrypt_round_trip", "SELECT item_id, text AS plain, true AS hidden FROM benchmark")

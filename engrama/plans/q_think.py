@@ -31,18 +31,25 @@ def _(spark, sf_dir):
 
 
 def _shift_sql(a, b, t):
-    return f"""WITH g AS (SELECT avg(CASE WHEN age < {a} THEN valence END) AS r, avg(CASE WHEN age >= {a} AND age < {b} THEN valence END) AS o, count(CASE WHEN age < {a} THEN 1 END) AS nr, count(CASE WHEN age >= {a} AND age < {b} THEN 1 END) AS no
-    FROM (SELECT valence, (1706745600.0 - created_at) / 86400 AS age FROM memories WHERE status = 'active')) SELECT nr AS n_recent, no AS n_baseline, round(r - o, 6) AS delta FROM g WHERE nr >= 3 AND no >= 3 AND abs(r - o) > {t}"""
+    return f"""WITH m AS (SELECT greatest(-1, least(1, valence + CASE WHEN created_at > 1706745600.0 - 10 * 86400 THEN 0.8 ELSE 0 END)) AS valence, created_at FROM memories WHERE status = 'active'),
+    g AS (SELECT avg(CASE WHEN age < {a} THEN valence END) AS r, avg(CASE WHEN age >= {a} AND age < {b} THEN valence END) AS o, count(CASE WHEN age < {a} THEN 1 END) AS nr, count(CASE WHEN age >= {a} AND age < {b} THEN 1 END) AS no
+    FROM (SELECT valence, (1706745600.0 - created_at) / 86400 AS age FROM m)) SELECT nr AS n_recent, no AS n_baseline, round(r - o, 6) AS delta FROM g WHERE nr >= 3 AND no >= 3 AND abs(r - o) > {t}"""
 
 
-@query("valence_trend", _shift_sql(14, 35, 0.0), ("memories",))
+def brighter(spark, sf_dir):
+    """Memories whose tone has gone up in the last ten days, to have a shift."""
+    up = F.when(c("created_at") > NOW - 10 * M.DAY, 0.8).otherwise(0.0)
+    return mem(spark, sf_dir).withColumn("valence", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c("valence") + up)))
+
+
+@query("valence_trend", _shift_sql(14, 35, 0.3), ("memories",))
 def _(spark, sf_dir):
-    return P.valence_shift(mem(spark, sf_dir), NOW, 14, 35, threshold=0.0).select("n_recent", "n_baseline", F.round("delta", 6).alias("delta"))
+    return P.valence_shift(brighter(spark, sf_dir), NOW, 14, 35).select("n_recent", "n_baseline", F.round("delta", 6).alias("delta"))
 
 
-@query("valence_trend_trigger", _shift_sql(7, 37, 0.0), ("memories",))
+@query("valence_trend_trigger", _shift_sql(7, 37, 0.3), ("memories",))
 def _(spark, sf_dir):
-    return P.valence_shift(mem(spark, sf_dir), NOW, 7, 37, threshold=0.0).select("n_recent", "n_baseline", F.round("delta", 6).alias("delta"))
+    return P.valence_shift(brighter(spark, sf_dir), NOW, 7, 37).select("n_recent", "n_baseline", F.round("delta", 6).alias("delta"))
 
 
 @query("entity_hubs", "SELECT src AS entity, count(*) AS degree FROM edges GROUP BY src HAVING count(*) >= 100", ("edges",))
@@ -57,17 +64,19 @@ def _(spark, sf_dir):
 
 @query(
     "entity_bridges",
-    """WITH c AS (SELECT entity, domain, count(*) AS n FROM links JOIN memories USING (rid) GROUP BY 1, 2 HAVING count(*) >= 2), t AS (SELECT entity, sum(n) AS total, count(*) AS domains FROM c GROUP BY 1 HAVING count(*) >= 2), e AS (SELECT count(DISTINCT entity) AS every FROM links)
-    SELECT entity, domains, round(ln(domains) * entropy * greatest(ln(every / (1 + total)::DOUBLE), 0.1), 6) AS score FROM (SELECT entity, any_value(domains) AS domains, any_value(total) AS total, sum(-n / total::DOUBLE * ln(n / total::DOUBLE)) AS entropy FROM c JOIN t USING (entity) GROUP BY entity), e""",
+    """WITH m AS (SELECT rid, CASE WHEN domain LIKE '%1' THEN 'general' ELSE domain END AS domain FROM memories WHERE status = 'active'), c AS (SELECT entity, domain, count(*) AS n FROM links JOIN m USING (rid) WHERE domain <> 'general' GROUP BY 1, 2 HAVING count(*) >= 2), t AS (SELECT entity, sum(n) AS total, count(*) AS domains FROM c GROUP BY 1 HAVING count(*) >= 2),
+    e AS (SELECT count(DISTINCT entity) AS every FROM links), a AS (SELECT entity, count(*) AS mentions FROM links GROUP BY 1)
+    SELECT entity, domains, round(ln(domains) * entropy * greatest(ln(every / (1 + mentions)::DOUBLE), 0.1), 6) AS score FROM (SELECT entity, any_value(domains) AS domains, sum(-n / total::DOUBLE * ln(n / total::DOUBLE)) AS entropy FROM c JOIN t USING (entity) GROUP BY entity) JOIN a USING (entity), e""",
     ("links", "memories"),
 )
 def _(spark, sf_dir):
-    return P.bridges(A.links(spark, sf_dir), mem(spark, sf_dir)).select("entity", "domains", F.round("score", 6).alias("score"))
+    m = mem(spark, sf_dir).withColumn("domain", F.when(c("domain").endswith("1"), "general").otherwise(c("domain")))
+    return P.bridges(A.links(spark, sf_dir), m).select("entity", "domains", F.round("score", 6).alias("score"))
 
 
 @query(
     "co_occurrence",
-    "WITH e AS (SELECT DISTINCT src, dst FROM edges WHERE rel = 'supplies'), k AS (SELECT dst FROM e GROUP BY dst HAVING count(*) BETWEEN 2 AND 64), f AS (SELECT * FROM e WHERE dst IN (SELECT dst FROM k)) SELECT a.src AS a, b.src AS b, count(*) AS shared FROM f a JOIN f b ON a.dst = b.dst AND a.src < b.src GROUP BY 1, 2 HAVING count(*) >= 3",
+    "WITH e AS (SELECT DISTINCT src, dst FROM edges WHERE rel = 'supplies'), k AS (SELECT dst FROM e GROUP BY dst HAVING count(*) >= 2), f AS (SELECT * FROM e WHERE dst IN (SELECT dst FROM k)) SELECT a.src AS a, b.src AS b, count(*) AS shared FROM f a JOIN f b ON a.dst = b.dst AND a.src < b.src GROUP BY 1, 2 HAVING count(*) >= 3",
     ("edges",),
 )
 def _(spark, sf_dir):
@@ -91,10 +100,10 @@ def _(spark, sf_dir):
     return m.select("rid", F.round(c("importance") * (1 - c("decay") / c("importance")), 6).alias("urgency"))
 
 
-@query("temporal_drift", "SELECT rid, round(least(1, (1706745600.0 - created_at) / 86400 / 365), 6) AS urgency FROM memories WHERE status = 'active' AND type = 'semantic' AND created_at < 1706745600.0 - 20 * 86400 AND last_access < 1706745600.0 - 15 * 86400 ORDER BY created_at, rid LIMIT 10", ("memories",))
+@query("temporal_drift", "SELECT rid, round(least(1, (1713225600.0 - created_at) / 86400 / 365), 6) AS urgency FROM memories WHERE status = 'active' AND type = 'semantic' AND created_at < 1713225600.0 - 90 * 86400 AND last_access < 1713225600.0 - 30 * 86400 ORDER BY created_at, rid LIMIT 10", ("memories",))
 def _(spark, sf_dir):
-    m = M.active(mem(spark, sf_dir)).where((c("type") == "semantic") & (c("created_at") < NOW - 20 * M.DAY) & (c("last_access") < NOW - 15 * M.DAY)).orderBy("created_at", "rid").limit(10)
-    return m.select("rid", F.round(F.least(F.lit(1.0), (NOW - c("created_at")) / M.DAY / 365), 6).alias("urgency"))
+    later = NOW + 75 * M.DAY  # memories are a month old at most
+    return P.temporal_drift(mem(spark, sf_dir), later).select("rid", F.round("urgency", 6).alias("urgency"))
 
 
 @query("conflict_escalation", "SELECT namespace, count(*) AS open, bool_or(valid_from < 9.2e8) AS old_critical FROM claims WHERE polarity = -1 GROUP BY namespace HAVING count(*) > 5", ("claims",))
@@ -185,7 +194,12 @@ def _(spark, sf_dir):
     return M.active(mem(spark, sf_dir)).where("storage_tier = 'hot' and type in ('episodic', 'semantic')").groupBy("namespace").agg(F.count("*").alias("n"))
 
 
-@query("extractive_summary", "SELECT session_id, left(string_agg(left(text, 20), ' | ' ORDER BY importance DESC, rid), 200) AS summary, count(*) AS n FROM memories WHERE status = 'active' GROUP BY session_id", ("memories",))
+@query(
+    "extractive_summary",
+    r"""WITH g AS (SELECT session_id, list(text ORDER BY importance DESC, rid) FILTER (text IS NOT NULL) AS l, count(*) AS n FROM memories WHERE status = 'active' GROUP BY session_id)
+    SELECT session_id, array_to_string([l[1]] || list_filter(list_transform(l[2:], lambda t: regexp_replace(t, '^\s+|\s+$', '', 'g')), lambda t: t <> '' AND t <> l[1]), ' | ') AS summary, n FROM g""",
+    ("memories",),
+)
 def _(spark, sf_dir):
     return P.extractive_summary(M.active(mem(spark, sf_dir)), "session_id")
 

@@ -82,12 +82,33 @@ def is_date_like(token: Column) -> Column:
     return token.rlike(r"^\d{4}(-\d{1,2}){0,2}$|^\d{1,2}[/.]\d{1,2}([/.]\d{2,4})?$|^(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*$")
 
 
+#: Endings that a stem for prefix search drops, the longest first; three letters at least are left.
+ENDINGS = "ations ation tions ments tion sion ment ence ance ness ible able ful ous ive ary ery ory ing ble ity ish ed er ly al es s".split()
+#: Verbs as base, past and the other forms; base and past stand for all the rest.
+VERBS = (
+    "grow grew grown growing|go went gone going|come came coming|run ran running|eat ate eaten eating|drink drank drunk drinking|write wrote written writing|read read reading|"
+    "speak spoke spoken speaking|think thought thinking|buy bought buying|teach taught teaching|feel felt feeling|keep kept keeping|leave left leaving|meet met meeting|take took taken taking|"
+    "give gave given giving|know knew known knowing|see saw seen seeing|begin began begun beginning|break broke broken breaking|drive drove driven driving|sing sang sung singing|"
+    "swim swam swum swimming|choose chose chosen choosing|lose lost losing|win won winning|sleep slept sleeping|build built building|send sent sending|spend spent spending|fall fell fallen falling"
+).split("|")
+
+
 def stem(word: Column) -> Column:
-    """Without one inflectional suffix, where at least three letters are left; for prefix search."""
-    out = F.when(F.lit(False), word)
-    for s in ("ing", "edly", "ed", "es", "ly", "s"):
+    """The word without its ending, for prefix search; null for words of four letters or fewer, or without a known ending."""
+    out = F.when(F.length(word) <= 4, F.lit(None).cast("string"))
+    for s in ENDINGS:
         out = out.when((F.length(word) >= len(s) + 3) & F.endswith(word, F.lit(s)), F.substring(word, F.lit(1), F.length(word) - len(s)))
-    return out.otherwise(word)
+    return out
+
+
+def verb_forms(word: Column) -> Column:
+    """The other forms of an irregular verb given in its base or past form, else null."""
+    out = F.when(F.lit(False), F.array().cast("array<string>"))
+    for verb in VERBS:
+        forms = verb.split()
+        for form in dict.fromkeys(forms[:2]):
+            out = out.when(word == form, F.array(*[F.lit(f) for f in dict.fromkeys(forms) if f != form]))
+    return out
 
 
 def cooldown_key(kind: Column, rids: Column) -> Column:

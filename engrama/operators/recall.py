@@ -1,13 +1,17 @@
-"""The whole recall: vector pool, fallbacks, keyword and graph boosts, slots, diversity; as frames for a set of queries.
+"""The whole recall: vector pool, fallbacks, keywords, moods, cold memories, graph, slots, diversity; for a set of queries.
 
-Queries are (query_id, text, v): a stated set, answered against all memories. The stages follow one another as unions
-of candidates tagged by where they come from, and one aggregation adds their boosts.
+Queries are (query_id, text, v): a stated set, answered against all memories. `found` grows from stage to stage: rows
+(query_id, rid, similarity, bonus, why, proximity, by_graph), of which each stage adds those that it alone brings. What a
+stage adds for a query is bounded, but for the important memories that are similar enough, which the rule takes all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from engrama.functions import scoring as S
 from engrama.functions import text as T
@@ -16,62 +20,282 @@ from engrama.operators import graph as G
 from engrama.operators import memory as M
 from engrama.operators import retrieval as R
 
-#: Query words that say nothing of the topic.
-STOP = "a an and are as at be but by do does for from had has have how i in is it its me my of on or our she so that the their them they this to was we were what when where which who why will with you your".split()
-KEYWORD_BOOST, GRAPH_CAP = 0.31, 0.25
-#: Graph boost by hops.
-HOP_BOOST = [0.20, 0.15, 0.12, 0.05]
+#: Query words that say nothing of the topic; the cold fallback knows fewer.
+COLD_STOP = (
+    "a an the is are am was were be been what who how when where which why do did does have has had i me my mine we our you your "
+    "to of in on at by for with from about tell and or but not no it its that this there s she her he his they them"
+).split()
+STOP = [*COLD_STOP, *"most each any all every being up out so if than very just also".split()]
+#: Words that ask for the people around somebody.
+GROUP_WORDS = "team group colleagues coworkers friends family staff members people".split()
+KEYWORD_BOOST, GRAPH_CAP, GRAPH_BOOST = 0.31, 0.25, {"person": 0.20, "several": 0.15, "one": 0.12}
+HOPS, REACH, SEEDS = 2, 30, 8
 
 
-def recall(memories: DataFrame, vectors: DataFrame, links: DataFrame, edges: DataFrame, queries: DataFrame, now: float, k: int = 10, w: S.Weights = S.Weights(), diverse: bool = True) -> DataFrame:
-    """(query_id, rid, score, similarity, sources, rank); k rows a query at most, ties by rid.
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once: checkpointed where the session has a folder for it, else kept."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.cache()
 
-    A query without any candidate vector gives nothing, even if words match. Nothing is written: access counts are
-    folded in separately by memory.reinforced.
+
+def _numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    return rows.withColumn("_k", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+
+
+def candidates(rows: DataFrame, queries: DataFrame, k: int, important: float, least: float, block: int = 256) -> DataFrame:
+    """(query_id, rid, similarity, via): the nearest k of rows (rid, v, importance) per query, and beyond them all rows of
+    at least that importance and similarity. One pass over the rows for each bounded block of the stated queries."""
+    blocks = max(1, -(-queries.count() // block))
+    numbered = queries.select("query_id", "v", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_b"))
+    out = None
+    for b in range(blocks):
+        part = numbered.where(F.col("_b") == b).toPandas()
+        if not len(part):
+            continue
+        q = np.array(part["v"].tolist(), np.float64)
+        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        ids = part["query_id"].to_numpy()
+
+        def near(frames, q=q, ids=ids):
+            for pdf in frames:
+                if not len(pdf):
+                    continue
+                x = np.array(pdf["v"].tolist(), np.float64)
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                sim, rids, weighty = np.round(x @ q.T, 12), pdf["rid"].to_numpy(), pdf["importance"].to_numpy(np.float64) >= important
+                for j, i in enumerate(ids):
+                    take = weighty & (sim[:, j] >= least)
+                    take[np.lexsort((rids, -sim[:, j]))[:k]] = True
+                    yield pd.DataFrame({"query_id": i, "rid": rids[take], "similarity": sim[take, j], "weighty": weighty[take]})
+
+        found = rows.select("rid", "v", "importance").mapInPandas(near, "query_id long, rid long, similarity double, weighty boolean")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return queries.where("false").selectExpr("query_id", "query_id as rid", "0d as similarity", "'' as via")
+    out = _numbered(out, [F.desc("similarity"), F.col("rid")])
+    via = F.when(F.col("_k") <= k, "vector").when(F.col("weighty") & (F.col("similarity") >= least), "important")
+    return out.select("query_id", "rid", "similarity", via.alias("via")).where("via is not null")
+
+
+def keywords(queries: DataFrame, entities: DataFrame, stop: list[str], people: bool = True) -> DataFrame:
+    """(query_id, word): the telling words of each query, without names of people in it unless nothing else is left."""
+    words = queries.select("query_id", F.explode(F.array_distinct(T.alnum_tokens(F.col("text")))).alias("word")).where((F.length("word") > 1) & ~F.col("word").isin(*stop))
+    if not people:
+        return words
+    named = named_entities(queries, entities).where("kind = 'person'")
+    parts = named.select("query_id", F.explode(T.alnum_tokens(F.col("entity"))).alias("word")).distinct()
+    rest = words.join(parts, ["query_id", "word"], "left_anti")
+    return rest.unionByName(words.join(rest.select("query_id").distinct(), "query_id", "left_anti"))
+
+
+def named_entities(queries: DataFrame, entities: DataFrame) -> DataFrame:
+    """(query_id, entity, kind, mentions): the entities whose words stand in a row in the query."""
+    tokens = queries.select("query_id", "text", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("first"))
+    first = entities.withColumn("first", F.get(T.tokens(F.col("entity")), F.lit(0)))
+    return first.join(tokens, "first").where(T.contains_sequence(F.col("text"), F.col("entity"))).select("query_id", "entity", "kind", "mentions").distinct()
+
+
+def phrases(words: DataFrame) -> DataFrame:
+    """(query_id, word, phrase): each word itself (=word), its stem as a prefix (stem*), and other forms of its verb."""
+    stem = T.stem(F.col("word"))
+    forms = F.coalesce(T.verb_forms(F.col("word")), F.array().cast("array<string>"))
+    every = F.concat(F.array(F.concat(F.lit("="), "word")), F.when(stem.isNotNull(), F.array(F.concat(stem, F.lit("*")))).otherwise(F.array().cast("array<string>")), F.transform(forms, lambda f: F.concat(F.lit("="), f)))
+    return words.select("query_id", "word", F.explode(every).alias("phrase"))
+
+
+def matches(memories: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, rid, word, bm25) of every memory with a phrase of a query's word.
+
+    Phrases are looked up in the vocabulary, prefixes by their first three letters; how often a memory holds a phrase and
+    how many do is counted once for all queries.
+    """
+    post = R.Postings(memories, "rid")
+    wanted = asked.select("phrase").distinct()
+    vocabulary = post.rows.select("token").distinct().withColumn("lead", F.substring("token", 1, 3))
+    whole = wanted.where("phrase like '=%'").select("phrase", F.expr("substring(phrase, 2)").alias("token"))
+    stems = wanted.where("phrase like '%*'").select("phrase", F.expr("left(phrase, length(phrase) - 1)").alias("stem")).withColumn("lead", F.substring("stem", 1, 3))
+    prefixed = stems.join(vocabulary, "lead").where(F.startswith("token", F.col("stem"))).select("phrase", "token")
+    hit = post.rows.join(whole.unionByName(prefixed), "token").groupBy("phrase", "rid").agg(F.sum("tf").alias("tf"))
+    count = hit.groupBy("phrase").agg(F.count("*").alias("df"))
+    size = post.lengths.agg(F.count("*").alias("n"), F.avg("len").alias("al"))
+    rows = hit.join(count, "phrase").join(post.lengths, "rid").crossJoin(F.broadcast(size))  # size is one row
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    part = idf * F.col("tf") * (R.K1 + 1) / (F.col("tf") + R.K1 * (1 - R.B + R.B * F.col("len") / F.col("al")))
+    rows = rows.select("phrase", "rid", part.alias("bm25"))
+    return asked.join(rows, "phrase").groupBy("query_id", "rid", "word").agg(F.sum("bm25").alias("bm25"))
+
+
+def keyword_hits(hits: DataFrame, words: DataFrame, act: DataFrame, total: int, mean_importance: float) -> DataFrame:
+    """(query_id, rid): by rank and importance, all words first and any word where too few have all; important ones with a
+    word whatever their rank; and the most important ones of each word."""
+    many = words.groupBy("query_id").agg(F.countDistinct("word").alias("words"))
+    rows = hits.join(act.select("rid", "importance"), "rid")
+    each = rows.groupBy("query_id", "rid").agg(F.countDistinct("word").alias("has"), F.sum("bm25").alias("bm25"), F.first("importance").alias("importance")).join(many, "query_id")
+    each = settled(each.withColumn("all", F.col("has") == F.col("words")))
+    ranked, weight = F.desc(F.round(F.col("bm25") * (0.5 + F.col("importance")), 9)), F.desc("importance")
+    limit = min(200, max(30, total // 100))
+
+    def best(which: DataFrame, order: Column, k: int) -> DataFrame:
+        return _numbered(which, [order, F.col("rid")]).where(F.col("_k") <= k).select("query_id", "rid")
+
+    def few(which: DataFrame, least: int) -> DataFrame:
+        """Queries of several words of which fewer than `least` rows have all."""
+        enough = which.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("query_id")
+        return many.where("words > 1").select("query_id").join(enough, "query_id", "left_anti")
+
+    both = best(each.where("all"), ranked, limit)
+    either = few(both, 5)
+    one = both.join(either, "query_id", "left_anti").unionByName(best(each.join(either, "query_id", "left_semi"), ranked, limit))
+    heavy = each.where(F.col("importance") > mean_importance)
+    two = best(heavy.where("all"), weight, 100)
+    two = two.unionByName(best(heavy.join(few(two, 10), "query_id", "left_semi"), weight, 100))
+    anchors = rows.where("importance > 0.5").join(many.where("words > 1").select("query_id"), "query_id", "left_semi")
+    per_word = Window.partitionBy("query_id", "word").orderBy(weight, "rid")
+    three = anchors.withColumn("_k", F.row_number().over(per_word)).where("_k <= 10").select("query_id", "rid")
+    return one.unionByName(two).unionByName(three).distinct()
+
+
+def reach(edges: DataFrame, seeds: DataFrame, hops: int = HOPS, most: int = REACH) -> DataFrame:
+    """(query_id, entity, hops, weight): what seeds (query_id, entity, place) reach breadth first, `most` entities a query.
+
+    Neighbours come in order of the node they are reached from, then heaviest edge first, then by name; only as many of a
+    node's heaviest edges as a query could ever take go along, so no hub is expanded whole.
+    """
+    near = R.top_per(G.undirected(edges).groupBy("src", "dst").agg(F.max("weight").alias("weight")), "src", F.col("weight"), "dst", 2 * most)
+    seen = _numbered(seeds, [F.col("place"), F.col("entity")]).where(F.col("_k") <= most).select("query_id", "entity", F.lit(0).alias("hops"), F.lit(1.0).alias("weight"), F.col("_k").alias("at"))
+    edge = seen
+    for h in range(1, hops + 1):
+        step = edge.select("query_id", F.col("entity").alias("src"), F.col("weight").alias("w"), "at").join(near, "src")
+        step = step.groupBy("query_id", F.col("dst").alias("entity")).agg(F.min(F.struct("at", (-F.col("weight")).alias("e"), (F.col("w") * F.col("weight")).alias("weight"))).alias("s"))
+        step = step.join(seen.select("query_id", "entity"), ["query_id", "entity"], "left_anti").select("query_id", "entity", "s.at", "s.e", "s.weight")
+        room = seen.groupBy("query_id").agg((most - F.count("*")).alias("room"))
+        step = _numbered(step, [F.col("at"), F.col("e"), F.col("entity")]).join(room, "query_id").where(F.col("_k") <= F.col("room"))
+        edge = settled(step.select("query_id", "entity", F.lit(h).alias("hops"), "weight", (F.col("_k") + most * h).alias("at")))
+        seen = seen.unionByName(edge)
+    return seen.select("query_id", "entity", "hops", "weight")
+
+
+def recall(memories: DataFrame, vectors: DataFrame, links: DataFrame, edges: DataFrame, queries: DataFrame, now: float, k: int = 10, w: S.Weights = S.Weights(), diverse: bool = True, expand: bool = True, keyword_boost: float = KEYWORD_BOOST, consolidated: bool = False, pool: int | None = None, **only) -> DataFrame:
+    """(query_id, rid, score, similarity, why, rank); k rows a query at most, ties by rid.
+
+    `only` are the filters of memory.recall_filter, `pool` the nearest vectors to start from (20 k, 500 at most). A query without any vector near it gives nothing, even if words match.
+    Nothing is written: access counts are folded in separately by memory.reinforced.
     """
-    act = M.with_decay(M.active(memories), now)
-    rows = vectors.join(act.select("rid"), "rid").select("rid", "v")
-    pool = R.nearest(rows, queries.select("query_id", "v"), min(20 * k, 500)).select("query_id", "rid", F.lit("vector").alias("via"), F.lit(0.0).alias("boost"))
-
-    # keywords: BM25 over the queries' telling words, weighted by importance
-    words = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token")).where(~F.col("token").isin(*STOP) & (F.length("token") > 2))
-    hits = R.Postings(act, "rid").bm25(words, "query_id").join(act.select("rid", "importance"), "rid")
-    hits = R.top_per(hits, "query_id", F.round(F.col("score") * (0.5 + F.col("importance")), 9), "rid", 200).select("query_id", "rid", F.lit("keyword").alias("via"), F.lit(KEYWORD_BOOST).alias("boost"))
-
-    # important, and emotional in the query's direction
-    moods = queries.select("query_id", S.text_sentiment(F.col("text")).alias("mood")).where("mood <> 0")
-    strong = act.where("abs(valence) >= 0.4 and importance >= 0.5").select("rid", "valence", "importance")
-    mood = moods.join(strong, F.signum("valence") == F.col("mood"))
-    mood = R.top_per(mood, "query_id", F.round(F.abs("valence") * F.col("importance"), 9), "rid", 30).select("query_id", "rid", F.lit("valence").alias("via"), (0.2 * F.abs("valence") * F.col("importance")).alias("boost"))
-
-    # graph: entities named in the query, two hops out, and the memories linked to them
-    named = links.select("entity", F.lower("entity").alias("token")).distinct().join(words, "token").select("query_id", "entity").distinct()
-    reached = G.expand(edges, named.select("entity").distinct(), 2)
-    near = named.withColumnRenamed("entity", "seed").join(reached, "seed").join(links, "entity")
-    lift = F.element_at(F.array(*map(F.lit, HOP_BOOST)), F.col("hops") + 1) * F.col("weight")
-    via_graph = near.groupBy("query_id", "rid").agg(F.least(F.max(lift), F.lit(GRAPH_CAP)).alias("boost")).select("query_id", "rid", F.lit("graph").alias("via"), "boost")
-
-    every = pool.unionByName(hits).unionByName(mood).unionByName(via_graph)
-    every = every.join(pool.select("query_id").distinct(), "query_id", "left_semi")
-    some = every.groupBy("query_id", "rid").agg(F.collect_set("via").alias("sources"), F.sum(F.when(F.col("via") == "keyword", 0.0).otherwise(F.col("boost"))).alias("boost"), F.max(F.when(F.col("via") == "keyword", F.col("boost"))).alias("kw"))
-    scored = some.join(act.select("rid", "decay", "recency", "importance", "valence"), "rid").join(vectors.select("rid", "v"), "rid").join(queries.select("query_id", F.col("v").alias("q"), S.text_sentiment(F.col("text")).alias("mood")), "query_id")
-    sim = F.greatest(F.lit(0.0), 1.0 - V.cosine_distance(F.col("v"), F.col("q")))
-    scored = scored.withColumn("similarity", sim).where("array_contains(sources, 'vector') or similarity >= 0.05")
-    base = S.composite_score(F.col("similarity"), F.col("decay"), F.col("recency"), F.col("importance"), F.col("valence"), F.col("mood"), w)
-    keyword = F.coalesce(F.col("kw") * F.greatest(1 - F.col("similarity"), F.lit(0.2)), F.lit(0.0))
-    scored = scored.withColumn("score", F.round(base + F.col("boost") + keyword, 9))
-    best = R.top_per(scored, "query_id", F.col("score"), "rid", 5 * k if diverse else k)
-    if diverse:
-        picked = R.diversify(best.select("query_id", "rid", "score", "v"), k)
-        return best.join(picked, ["query_id", "rid"]).select("query_id", "rid", "score", "similarity", F.array_sort("sources").alias("sources"), (F.col("pick") + 1).alias("rank"))
-    from pyspark.sql.window import Window
-
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "rid")).cast("long")
-    return best.select("query_id", "rid", "score", "similarity", F.array_sort("sources").alias("sources"), rank.alias("rank"))
+    total, mean = memories.agg(F.count("*"), F.avg("importance")).first()
+    mean = max(0.25, 0.7 * mean) if total else 0.5
+    act = settled(M.with_decay(M.recall_filter(memories, consolidated=consolidated, **only), now).select("rid", "text", "decay", "recency", "importance", "valence", "access_count", "status"))
+    now_active, facts = act.where("status = 'active'"), act.drop("text")
+    ask = settled(queries.select("query_id", "text", "v", S.text_sentiment(F.col("text")).alias("mood")))
+    vec = vectors.select("rid", "v")
+    important, similar = (0.5, 0.15) if total > 5000 else (0.7, 0.20)
+
+    rows = vec.join(now_active.select("rid", "importance"), "rid", "left").fillna(-1.0, ["importance"])
+    near = settled(candidates(rows, ask, pool or min(20 * k, 500), important, similar))
+    asked = near.select("query_id").distinct()
+    blank = [F.lit(0.0).alias("bonus"), F.array().cast("array<string>").alias("why"), F.lit(0.0).alias("proximity"), F.lit(False).alias("by_graph")]
+    found = near.join(act.select("rid"), "rid", "left_semi").select("query_id", "rid", F.greatest(F.lit(0.0), F.col("similarity")).alias("similarity"), *blank)
+
+    def measured(rids: DataFrame) -> DataFrame:
+        """(query_id, rid, ...) that are not found yet, with their similarity."""
+        new = rids.join(asked, "query_id", "left_semi").join(found.select("query_id", "rid"), ["query_id", "rid"], "left_anti")
+        new = new.join(vec, "rid").join(ask.select("query_id", F.col("v").alias("q")), "query_id")
+        return new.withColumn("similarity", F.round(V.cosine_similarity(F.col("v"), F.col("q")), 12)).drop("v", "q")
+
+    def added(rows: DataFrame, bonus: Column, *why: str) -> DataFrame:
+        return found.unionByName(rows.select("query_id", "rid", "similarity", bonus.alias("bonus"), F.array(*map(F.lit, why)).alias("why"), *blank[2:]))
+
+    def scored(rows: DataFrame) -> DataFrame:
+        full = rows.join(facts, "rid").join(ask.select("query_id", "mood"), "query_id")
+        signals = [F.col(x) for x in ("similarity", "decay", "recency", "importance", "valence")]
+        plain = S.composite_score(*signals, F.col("mood"), w)
+        linked = S.graph_composite_score(*signals, F.col("proximity"), F.col("mood"), w)
+        return full.withColumn("score", F.round(F.when(F.col("by_graph"), linked).otherwise(plain) + F.col("bonus"), 9))
+
+    # keywords
+    mentions = links.groupBy("entity").agg(F.count("*").alias("mentions")).withColumn("kind", T.entity_type(F.col("entity")))
+    known = mentions.select("entity", "kind", "mentions")
+    seeds = named_entities(ask, known)
+    groupish = ask.where(F.lower("text").rlike("|".join(GROUP_WORDS))).select("query_id")
+    place = lambda rows: rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("entity")))
+    seeds = settled(place(seeds))
+    around = reach(edges, seeds.join(groupish, "query_id", "left_semi").select("query_id", "entity", "place")).join(known.where("kind = 'person'").select("entity"), "entity").where("hops > 0")
+    around = settled(around.select("query_id", "entity", "hops"))
+    words = keywords(ask, known, STOP)
+    extra = _numbered(around, [F.col("hops"), F.col("entity")]).where("_k <= 15").select("query_id", F.explode(T.alnum_tokens(F.col("entity"))).alias("word")).where("length(word) > 1")
+    words = settled(words.unionByName(extra).distinct())
+    cold_words = keywords(ask, known, COLD_STOP, people=False)
+    hits = settled(matches(now_active.select("rid", "text"), phrases(words.unionByName(cold_words).distinct())))
+    by_word = settled(keyword_hits(hits.join(words, ["query_id", "word"], "left_semi"), words, now_active, total, mean))
+    boost = keyword_boost * F.greatest(1 - F.col("similarity"), F.lit(0.2))
+    fresh = measured(by_word).where("similarity >= 0.05")
+    marked = found.join(by_word.withColumn("hit", F.lit(True)), ["query_id", "rid"], "left")
+    found = marked.withColumn("bonus", F.when(F.col("hit"), boost).otherwise(0.0)).withColumn("why", F.when(F.col("hit"), F.array(F.lit("keyword_match"))).otherwise(F.col("why"))).drop("hit")
+    found = settled(added(fresh, boost, "keyword_match", "fts_sourced"))
+
+    # moods: strong memories are ranked once for each direction; a query takes its best thirty beyond those found
+    held = found.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    strong = now_active.where("abs(valence) >= 0.4 and importance >= 0.5").select("rid", F.signum("valence").alias("mood"), F.round(F.abs("valence") * F.col("importance"), 9).alias("strength"))
+    strong = R.top_per(strong, "mood", F.col("strength"), "rid", 30 + held)
+    moved = ask.where("abs(mood) > 0.5").select("query_id", "mood").join(strong, "mood").join(found.select("query_id", "rid"), ["query_id", "rid"], "left_anti")
+    moved = _numbered(moved, [F.desc("strength"), F.col("rid")]).where("_k <= 30").select("query_id", "rid", "strength")
+    found = settled(added(measured(moved).where("similarity >= 0.02"), 0.2 * F.col("strength"), "valence_match"))
+
+    # cold memories, where the best so far is weak
+    weak = ask.select("query_id").join(scored(found).groupBy("query_id").agg(F.max("score").alias("best")), "query_id", "left").where("best is null or best < 0.55").select("query_id")
+    cold = hits.join(cold_words, ["query_id", "word"], "left_semi").join(weak, "query_id", "left_semi").select("query_id", "rid").distinct()
+    cold = cold.join(now_active.where("access_count = 0").select("rid", "importance"), "rid")
+    cold = _numbered(cold, [F.desc("importance"), F.col("rid")]).where("_k <= 30").select("query_id", "rid", "importance")
+    found = settled(added(measured(cold).where("similarity >= 0.1"), 0.15 * F.col("importance"), "cold_memory"))
+
+    if expand:
+        rarity = 1.0 / (1.0 + F.log(F.greatest(F.col("mentions"), F.lit(1))))
+        base = seeds.groupBy("query_id").agg(F.when(F.bool_or(F.col("kind") == "person"), GRAPH_BOOST["person"]).when(F.count("*") >= 2, GRAPH_BOOST["several"]).otherwise(GRAPH_BOOST["one"]).alias("base"))
+        nobody = groupish.join(seeds.select("query_id"), "query_id", "left_anti")
+        anyone = F.broadcast(known.where("kind = 'person'").orderBy("entity").limit(15).select("entity"))  # fifteen rows
+        every = seeds.select("query_id", "entity", "place").unionByName(around.join(seeds.select("query_id", "entity"), ["query_id", "entity"], "left_anti").select("query_id", "entity", (F.col("hops") + 1000).alias("place")))
+        every = every.unionByName(nobody.crossJoin(anyone).select("query_id", "entity", F.lit(1).alias("place")))
+        base = groupish.distinct().withColumn("_g", F.lit(True)).join(base, "query_id", "full").select("query_id", F.when(F.col("_g"), F.greatest(F.coalesce("base", F.lit(0.0)), F.lit(0.2))).otherwise(F.col("base")).alias("base"))
+        first = _numbered(every, [F.col("place"), F.col("entity")]).where(F.col("_k") <= SEEDS).select("query_id", "entity", F.col("_k").alias("place"))
+        reached = reach(edges, first).join(seeds.select("query_id", "entity", rarity.alias("idf")), ["query_id", "entity"], "left").fillna(1.0, ["idf"])
+        close = reached.join(links, "entity").groupBy("query_id", "rid").agg(F.max(F.col("weight") / F.pow(F.lit(4.0), F.col("hops"))).alias("proximity"), F.max("idf").alias("idf")).join(base, "query_id")
+        close = settled(close)
+        lift = F.least(F.col("base") * F.col("near") * F.col("idf") * F.when(F.col("status") == "consolidated", 0.5).otherwise(1.0), F.lit(GRAPH_CAP))
+        here = found.join(close.withColumnRenamed("proximity", "near"), ["query_id", "rid"], "left").join(facts.select("rid", "status"), "rid")
+        here = here.withColumn("bonus", F.col("bonus") + F.coalesce(lift, F.lit(0.0))).withColumn("why", F.when(F.col("near") > 0, F.array_append("why", F.lit("graph_connected"))).otherwise(F.col("why"))).withColumn("proximity", F.coalesce("near", "proximity"))
+        far = close.join(found.select("query_id", "rid"), ["query_id", "rid"], "left_anti").join(facts.select("rid", "importance"), "rid")
+        far = _numbered(far, [F.desc(F.round(F.col("importance") * (0.3 + 0.7 * F.col("proximity")), 9)), F.col("rid")]).where(F.col("_k") <= 5 * k).select("query_id", "rid", "proximity")
+        far = measured(far).select("query_id", "rid", "similarity", F.lit(0.0).alias("bonus"), F.array(F.lit("graph_connected")).alias("why"), "proximity", F.lit(True).alias("by_graph"))
+        found = settled(here.select(*found.columns).unionByName(far.select(*found.columns)))
+
+    # three slots for word matches below the cut; then the pool that diversity picks from
+    rows = _numbered(scored(found), [F.desc("score"), F.col("rid")])
+    mine = Window.partitionBy("query_id")
+    rows = rows.withColumn("n", F.count("*").over(mine)).withColumn("cut", F.max(F.when(F.col("_k") == F.least(F.lit(k), F.col("n")), F.col("score"))).over(mine))
+    waiting = F.array_contains("why", "keyword_match") & (F.col("similarity") >= 0.25) & (F.col("score") < F.col("cut"))
+    turn = F.row_number().over(mine.orderBy(F.when(waiting, 0).otherwise(1), F.desc("similarity"), "_k"))
+    rows = rows.withColumn("saved", waiting & (turn <= 3))
+    rows = rows.withColumn("score", F.when(F.col("saved"), F.round(F.col("cut") + 0.001, 9)).otherwise(F.col("score"))).withColumn("why", F.when(F.col("saved"), F.array_append("why", F.lit("keyword_reserved"))).otherwise(F.col("why")))
+    rows = settled(_numbered(rows, [F.desc("score"), F.col("rid")]).select("query_id", "rid", "score", "similarity", "why", "n", "_k"))
+    spread = (F.col("n") > k) & (F.col("n") >= max(3 * k, 20)) if diverse else F.lit(False)
+    kept = ["query_id", "rid", "score", "similarity", F.array_sort("why").alias("why")]
+    plain = rows.where(~spread & (F.col("_k") <= k)).select(*kept, F.col("_k").cast("long").alias("rank"))
+    if not diverse:
+        return plain
+    several = rows.where(spread & (F.col("_k") <= 10 * k)).join(vec, "rid")
+    picked = R.diversify(several, k)
+    return plain.unionByName(several.join(picked, ["query_id", "rid"]).select(*kept, (F.col("pick") + 1).alias("rank")))
+
+
+def refine(memories: DataFrame, vectors: DataFrame, links: DataFrame, edges: DataFrame, queries: DataFrame, further: DataFrame, seen: DataFrame, now: float, k: int = 10, share: float = 0.6, **how) -> DataFrame:
+    """Recall anew with each query's vector blended with that of `further` (query_id, v), without what was `seen`."""
+    mixed = queries.join(further.select("query_id", F.col("v").alias("r")), "query_id").select("query_id", "text", V.blend(F.col("v"), F.col("r"), share).alias("v"))
+    most = seen.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
+    hits = recall(memories, vectors, links, edges, mixed, now, k=k + most, **how).join(seen.select("query_id", "rid"), ["query_id", "rid"], "left_anti")
+    return _numbered(hits, [F.col("rank")]).where(F.col("_k") <= k).drop("rank").withColumnRenamed("_k", "rank")
 
 
 def respond(hits: DataFrame) -> DataFrame:
     """Per query: confidence of the answer and whether a hint is due."""
-    g = hits.groupBy("query_id").agg(F.max("similarity").alias("top"), (F.max("score") - F.min("score")).alias("gap"), F.size(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("kinds"), F.count("*").alias("n"), F.max("rank").alias("k"))
+    kinds = F.size(F.array_distinct(F.flatten(F.collect_set("why"))))
+    g = hits.groupBy("query_id").agg(F.max("similarity").alias("top"), (F.max("score") - F.min("score")).alias("gap"), kinds.alias("kinds"), F.count("*").alias("n"), F.max("rank").alias("k"))
     value = 0.35 * F.col("top") + 0.25 * F.least("gap", F.lit(1.0)) + 0.2 * F.least(F.col("kinds") / 4, F.lit(1.0)) + 0.2 * F.col("n") / F.greatest("k", F.lit(10))
     return g.select("query_id", value.alias("confidence"), F.when(value < 0.6, "name a person, place or time").alias("hint"))

@@ -156,15 +156,15 @@ def texts(spark, sf_dir):
 def _(spark, sf_dir):
     from engrama.operators.recall import recall
 
-    hits = recall(A.memories(spark, sf_dir), A.vectors(spark, sf_dir), A.links(spark, sf_dir), A.edges(spark, sf_dir), texts(spark, sf_dir), NOW)
-    return hits.select("query_id", "rid", F.round("score", 5).alias("score"), F.array_join("sources", ",").alias("sources"), "rank")
+    hits = recall(A.memories(spark, sf_dir), A.vectors(spark, sf_dir), A.links(spark, sf_dir), A.word_edges(spark, sf_dir), texts(spark, sf_dir), NOW)
+    return hits.select("query_id", "rid", F.round("score", 5).alias("score"), F.array_join("why", ",").alias("why"), "rank")
 
 
 @query("recall_response")
 def _(spark, sf_dir):
     from engrama.operators.recall import recall, respond
 
-    hits = recall(A.memories(spark, sf_dir), A.vectors(spark, sf_dir), A.links(spark, sf_dir), A.edges(spark, sf_dir), texts(spark, sf_dir), NOW, diverse=False)
+    hits = recall(A.memories(spark, sf_dir), A.vectors(spark, sf_dir), A.links(spark, sf_dir), A.word_edges(spark, sf_dir), texts(spark, sf_dir), NOW, diverse=False)
     return respond(hits).select("query_id", F.round("confidence", 5).alias("confidence"), "hint")
 
 

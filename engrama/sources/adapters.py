@@ -67,6 +67,14 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("rid"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("(?:^|[ \n])([A-Z][a-z]+)")))).alias("entity"))
 
 
+def word_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between capitalised words that follow one another in a text, weighted by how often they do."""
+    d = table(spark, sf_dir, "documents")
+    w = d.select(F.array_distinct(F.regexp_extract_all("text", F.lit("(?:^|[ \n])([A-Z][a-z]+)"))).alias("w")).where(F.size("w") > 1)
+    pairs = w.select(F.explode(F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("src"), F.slice("w", F.lit(2), F.size("w") - 1).alias("dst"))).alias("p")).select("p.src", "p.dst")
+    return pairs.groupBy("src", "dst").agg(F.least(F.lit(1.0), F.count("*") / 10.0).alias("weight")).select("src", F.lit("before").alias("rel"), "dst", "weight")
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), "user_id", F.col("event_type").alias("kind"), "value", F.get_json_object("props", "$.k").cast("int").alias("k"))

@@ -6,7 +6,6 @@ import pytest
 from engrama.functions import extraction as X
 from engrama.functions.security import Clock
 from engrama.operators import network as N
-from engrama.operators.recall import recall, respond
 from engrama.plans.reason import Reason
 from engrama.sources import adapters as A
 from engrama.sources.store import Store, tenants
@@ -90,19 +89,6 @@ def test_analogy_of_equal_structures(spark):
     assert r["mapping"] == ["earth>shell", "sun>core"] and r["similarity"] == pytest.approx(1.0)
 
 
-def test_whole_recall(spark, sf):
-    v = A.vectors(spark, sf)
-    q = v.where("rid in (2, 3)").select(F.col("rid").alias("query_id"), F.lit("the best words").alias("text"), "v")
-    hits = recall(A.memories(spark, sf), v, A.links(spark, sf), A.edges(spark, sf), q, A.NOW, k=5).toPandas()
-    for i in (2, 3):
-        own = hits[hits.query_id == i]
-        assert len(own) == 5 and sorted(own["rank"]) == [1, 2, 3, 4, 5] and own.similarity.max() == pytest.approx(1.0)
-    rows = spark.createDataFrame(hits.assign(sources=hits.sources.map(list))[["query_id", "rid", "score", "similarity", "sources", "rank"]])
-    assert respond(rows).where("confidence between 0 and 1.5").count() == 2
-    none = recall(A.memories(spark, sf), v.where("false"), A.links(spark, sf), A.edges(spark, sf), q, A.NOW)
-    assert none.count() == 0  # an empty vector pool ends the query
-
-
 def test_reasoning_pipeline(spark, sf):
     r = Reason(A.NOW, A.memories(spark, sf), events=A.events(spark, sf)).constrain("importance > 0.5").recall(30).coherence_check(0.5).compare()
     out = r.execute()

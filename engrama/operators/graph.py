@@ -31,6 +31,12 @@ def proximity(reached: DataFrame, links: DataFrame, base: float = 4.0) -> DataFr
     return reached.join(links, "entity").groupBy("seed", "rid").agg(F.max(F.col("weight") / F.pow(F.lit(base), F.col("hops"))).alias("proximity"))
 
 
+def shared_entities(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """(rid_a, rid_b, shared) of the stated pairs that share an entity, however many memories an entity has."""
+    a = pairs.distinct().join(links.select(F.col("rid").alias("rid_a"), "entity"), "rid_a")
+    return a.join(links.select(F.col("rid").alias("rid_b"), "entity"), ["rid_b", "entity"]).groupBy("rid_a", "rid_b").agg(F.count("*").alias("shared"))
+
+
 def spread(edges: DataFrame, seeds: DataFrame, hops: int = 2, decay: float = 0.5, threshold: float = 0.01) -> DataFrame:
     """Spreading activation: each hop adds activation x weight x decay, split over out-edges; weak activation is dropped."""
     out = undirected(edges)
@@ -51,20 +57,19 @@ def resolve_alias(frame: DataFrame, aliases: DataFrame, name: str, namespace: Co
     return out.withColumn("canonical", F.coalesce("_own", "_any", name)).drop("_n", "_own", "_any")
 
 
-def layers(edges: DataFrame, limit: int = 50) -> tuple[DataFrame, DataFrame]:
+def layers(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Topological layers (node, layer) of a directed graph, and the nodes that lie on or behind cycles.
 
-    Kahn's rounds as anti joins; each round's frame is cut off with a checkpoint when the session has a folder for it.
+    Kahn's rounds as anti joins until no node is free, one round a layer; each round's frame is cut off with a checkpoint
+    when the session has a folder for it, and kept otherwise.
     """
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    left, done = nodes, None
-    for k in range(limit):
+    keep = lambda df: df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.cache()
+    left, done, k = keep(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()), None, 0
+    while True:
         live = edges.join(left.select(F.col("node").alias("src")), "src", "left_semi")
-        free = left.join(live.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("layer", F.lit(k))
+        free = keep(left.join(live.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("layer", F.lit(k)))
         if free.isEmpty():
             break
         done = free if done is None else done.unionByName(free)
-        left = left.join(free.select("node"), "node", "left_anti")
-        if edges.sparkSession.conf.get("spark.checkpoint.dir", None):
-            left = left.checkpoint()
-    return (done if done is not None else nodes.where("false").withColumn("layer", F.lit(0))), left
+        left, k = keep(left.join(free.select("node"), "node", "left_anti")), k + 1
+    return (done if done is not None else left.where("false").withColumn("layer", F.lit(0))), left

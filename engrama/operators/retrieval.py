@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from engrama.functions import scoring as S
 from engrama.functions import text as T
 from engrama.functions import vectors as V
 
@@ -74,6 +75,43 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256) ->
     return top_per(out, "query_id", F.round("similarity", 9), "rid", k)
 
 
+def best_scored(rows: DataFrame, queries: DataFrame, k: int, w: S.Weights = S.Weights(), block: int = 256) -> DataFrame:
+    """The best k (query_id, rid, score) by the fused score of rows (rid, v, decay, recency, importance, valence), all of
+    which are compared with a stated query set in blocks; each batch keeps its own best k per query."""
+    total = queries.count()
+    blocks = max(1, -(-total // block))
+    numbered = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    out = None
+    for b in range(blocks):
+        part = numbered.where(F.col("_b") == b).select("query_id", "v").toPandas()
+        if not len(part):
+            continue
+        q = np.array(part["v"].tolist(), np.float64)
+        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        ids = part["query_id"].to_numpy()
+
+        def best(frames, q=q, ids=ids):
+            for pdf in frames:
+                if not len(pdf):
+                    continue
+                x = np.array(pdf["v"].tolist(), np.float64)
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                sim = np.maximum(0.0, x @ q.T)
+                decay, recency, importance, valence = (pdf[n].to_numpy(np.float64)[:, None] for n in ("decay", "recency", "importance", "valence"))
+                gate = 1 / (1 + np.exp(-S.GATE_K * (sim - w.tau)))
+                score = (w.sim * sim + w.decay * decay + w.recency * recency) * (1 + gate * w.alpha * np.minimum(importance, 1)) * (1 + 0.3 * np.abs(valence))
+                rids = pdf["rid"].to_numpy()
+                for j, i in enumerate(ids):
+                    order = np.lexsort((rids, -np.round(score[:, j], 9)))[:k]
+                    yield pd.DataFrame({"query_id": i, "rid": rids[order], "score": score[order, j]})
+
+        found = rows.select("rid", "v", "decay", "recency", "importance", "valence").mapInPandas(best, "query_id long, rid long, score double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return queries.where("false").selectExpr("query_id", "query_id as rid", "0d as score")
+    return top_per(out, "query_id", F.round("score", 9), "rid", k)
+
+
 def similarity_to(vectors: DataFrame, q: list[float]) -> DataFrame:
     """vectors with the similarity max(0, 1 - cosine distance) to one literal vector."""
     literal = F.array(*[F.lit(float(x)) for x in q])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from engrama.plans import (  # noqa: F401  each registers its queries
     q_claims,
+    q_cognition,
     q_conflicts,
     q_events,
     q_graph,

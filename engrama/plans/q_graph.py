@@ -76,14 +76,11 @@ def _(spark, sf_dir):
     return A.links(spark, sf_dir).where(F.lower("entity").isin("the", "of", "and", "les", "der")).select("entity").distinct()
 
 
-@query("shared_entity_counts", "SELECT a.rid AS rid_a, b.rid AS rid_b, count(*) AS shared FROM l a JOIN l b ON a.entity = b.entity AND a.rid < b.rid GROUP BY 1, 2 HAVING count(*) >= 2".replace("SELECT a", "WITH f AS (SELECT entity FROM links GROUP BY entity HAVING count(*) <= 20), l AS (SELECT * FROM links WHERE entity IN (SELECT entity FROM f)) SELECT a", 1), ("links",))
+@query("shared_entity_counts", "SELECT p.rid AS rid_a, p.rid + d AS rid_b, count(*) AS shared FROM memories p, (SELECT unnest([1, 2, 7]) AS d) JOIN links a ON a.rid = p.rid JOIN links b ON b.rid = p.rid + d AND b.entity = a.entity GROUP BY 1, 2", ("memories", "links"))
 def _(spark, sf_dir):
-    # entities of more than 20 memories tell two memories apart no better than stop words do
-    links = A.links(spark, sf_dir)
-    rare = links.groupBy("entity").count().where("count <= 20").select("entity")
-    rows = links.join(rare, "entity", "left_semi")
-    a, b = rows.withColumnRenamed("rid", "rid_a"), rows.withColumnRenamed("rid", "rid_b")
-    return a.join(b, "entity").where("rid_a < rid_b").groupBy("rid_a", "rid_b").agg(F.count("*").alias("shared")).where("shared >= 2")
+    # asked of stated pairs: each memory and three others
+    pairs = A.memories(spark, sf_dir).select(c("rid").alias("rid_a"), F.explode(F.array(c("rid") + 1, c("rid") + 2, c("rid") + 7)).alias("rid_b"))
+    return G.shared_entities(pairs, A.links(spark, sf_dir))
 
 
 @query("unlinked_memories", "SELECT rid FROM memories WHERE status = 'active' AND rid NOT IN (SELECT rid FROM links)", ("memories", "links"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from engrama.functions import scoring as S
 from engrama.functions import vectors as V
@@ -41,47 +40,10 @@ def _(spark, sf_dir):
 
 @query("recall_flagship", f"WITH {FUSED} SELECT query_id, rid, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, rid) AS k FROM s) WHERE k <= 10", ("memories", "vectors"))
 def _(spark, sf_dir):
-    # the fused score of every active memory, best ten per query: similarity to the query set is one bounded broadcast
+    # every active memory is scored where it lies; a batch hands on its best ten per query alone
     m = M.with_decay(M.active(A.memories(spark, sf_dir)).drop("text"), NOW)
     rows = A.vectors(spark, sf_dir).join(m.select("rid", "decay", "recency", "importance", "valence"), "rid")
-    q = query_set(spark, sf_dir).withColumnRenamed("v", "q")
-    s = _blocks(rows, q).withColumn("score", S.composite_score(c("sim"), c("decay"), c("recency"), c("importance"), c("valence")))
-    return R.top_per(s, "query_id", F.round("score", 9), "rid", 10).select("query_id", "rid", F.round("score", 5).alias("score"))
-
-
-def _blocks(rows, queries, block: int = 256):
-    """Similarity of each row to a stated query set, a bounded block of queries at a time, in whole Arrow batches."""
-    import numpy as np
-
-    blocks = max(1, -(-queries.count() // block))
-    numbered = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    keep = [k for k in rows.columns if k != "v"]
-    shape = "query_id long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema) + ", sim double"
-    out = None
-    for b in range(blocks):
-        part = numbered.where(c("_b") == b).toPandas()
-        if not len(part):
-            continue
-        q = np.array(part["q"].tolist(), np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        ids = part["query_id"].to_numpy()
-
-        def compare(frames, q=q, ids=ids):
-            for pdf in frames:
-                x = np.array(pdf["v"].tolist(), np.float64).reshape(len(pdf), -1)
-                if not len(x):
-                    continue
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                sim = np.maximum(0.0, x @ q.T)
-                rest = pdf.drop(columns="v")
-                for j, i in enumerate(ids):
-                    one = rest.assign(sim=sim[:, j])
-                    one.insert(0, "query_id", i)
-                    yield one
-
-        found = rows.mapInPandas(compare, shape)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else rows.where("false").selectExpr("0L as query_id", *keep, "0d as sim")
+    return R.best_scored(rows, query_set(spark, sf_dir), 10).select("query_id", "rid", F.round("score", 5).alias("score"))
 
 
 @query("recall_pool")
@@ -117,14 +79,15 @@ def _(spark, sf_dir):
 
 @query(
     "importance_fallback",
-    f"WITH {FUSED}, p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, rid) AS k FROM c) SELECT query_id, rid, round(sim, 5) AS similarity FROM p WHERE k > 50 AND importance >= 0.7 AND sim >= 0.2",
+    f"WITH {FUSED}, p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, rid) AS k FROM c) SELECT query_id, rid, round(sim, 5) AS similarity FROM p WHERE k > 10 AND importance >= 0.7 AND sim >= 0.2",
     ("memories", "vectors"),
 )
 def _(spark, sf_dir):
+    from engrama.operators import recall as L
+
     m = M.active(A.memories(spark, sf_dir)).select("rid", "importance")
-    rows = _blocks(A.vectors(spark, sf_dir).select("rid", "v").join(m, "rid"), query_set(spark, sf_dir).withColumnRenamed("v", "q"))
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 9)), "rid")
-    return rows.withColumn("k", F.row_number().over(w)).where("k > 50 and importance >= 0.7 and sim >= 0.2").select("query_id", "rid", F.round("sim", 5).alias("similarity"))
+    rows = A.vectors(spark, sf_dir).select("rid", "v").join(m, "rid")
+    return L.candidates(rows, query_set(spark, sf_dir), 10, 0.7, 0.2).where("via = 'important'").select("query_id", "rid", F.round("similarity", 5).alias("similarity"))
 
 
 @query("valence_scan", "SELECT rid, round(0.2 * abs(valence) * importance, 6) AS boost FROM memories WHERE status = 'active' AND valence <= -0.4 AND importance >= 0.5 ORDER BY round(abs(valence) * importance, 9) DESC, rid LIMIT 30", ("memories",))

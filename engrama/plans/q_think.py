@@ -162,29 +162,36 @@ def _(spark, sf_dir):
 
 @query(
     "redundancy_pairs",
-    """WITH n AS (SELECT rid, v, created_at FROM memories JOIN vectors USING (rid) WHERE status = 'active' ORDER BY created_at DESC, rid LIMIT 30)
+    """WITH n AS (SELECT rid, v FROM memories JOIN tight USING (rid) WHERE status = 'active' ORDER BY created_at DESC, rid LIMIT 30)
     SELECT rid_a, rid_b, round(sim, 5) AS sim, CASE WHEN sim > 0.85 THEN 'redundant' ELSE 'similar' END AS kind FROM (SELECT a.rid AS rid_a, b.rid AS rid_b, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS sim FROM n a JOIN n b ON a.rid < b.rid) WHERE sim > 0.65""",
-    ("memories", "vectors"),
+    ("memories", "tight"),
 )
 def _(spark, sf_dir):
     from engrama.functions import vectors as V
 
-    n = M.active(mem(spark, sf_dir)).select("rid", "created_at").join(A.vectors(spark, sf_dir), "rid").orderBy(F.desc("created_at"), "rid").limit(30).select("rid", "v")
+    # dates that lie close for neighbouring ids, as those of one day do
+    n = M.active(mem(spark, sf_dir)).select("rid", "created_at").join(A.tight_vectors(spark, sf_dir), "rid").orderBy(F.desc("created_at"), "rid").limit(30).select("rid", "v")
     a, b = n.toDF("rid_a", "va"), n.toDF("rid_b", "vb")
-    p = a.join(b, c("rid_a") < c("rid_b")).withColumn("sim", V.cosine_similarity(c("va"), c("vb"))).where("sim > 0.65")  # the feature: the newest 30
-    return p.select("rid_a", "rid_b", F.round("sim", 5).alias("sim"), F.when(c("sim") > 0.85, "redundant").otherwise("similar").alias("kind"))
+    pairs = a.join(b, F.col("rid_a") < F.col("rid_b"))  # thirty rows
+    s = pairs.withColumn("sim", V.cosine_similarity(c("va"), c("vb"))).where("sim > 0.65")
+    return s.select("rid_a", "rid_b", F.round("sim", 5).alias("sim"), F.when(c("sim") > 0.85, "redundant").otherwise("similar").alias("kind"))
+
+
+def alike(spark, sf_dir, *names):
+    """Active memories with vectors that have neighbours, in four namespaces of neighbouring ids."""
+    m = M.active(mem(spark, sf_dir)).withColumn("namespace", F.concat(F.lit("g"), F.floor(c("rid") / 4) % 4))
+    return m.select("rid", "namespace", "created_at", *names).join(A.tight_vectors(spark, sf_dir), "rid")
 
 
 @query("topic_clusters")
 def _(spark, sf_dir):
-    m = M.active(mem(spark, sf_dir)).select("rid", "namespace", "created_at").join(A.vectors(spark, sf_dir).select("rid", "v"), "rid")
-    return P.greedy_clusters(m, 0.8, 30.0, 3, 20)
+    return P.greedy_clusters(alike(spark, sf_dir), 0.8, 30.0, 3, 20)
 
 
 @query("consolidate")
 def _(spark, sf_dir):
-    m = M.active(mem(spark, sf_dir)).where("type in ('episodic', 'semantic') and storage_tier = 'hot'")
-    cl = P.greedy_clusters(m.select("rid", "namespace", "created_at").join(A.vectors(spark, sf_dir).select("rid", "v"), "rid"), 0.8, 30.0, 2, 20, entities=A.links(spark, sf_dir))
+    m = alike(spark, sf_dir, "type", "storage_tier", "importance", "valence", "half_life", "text").where("type in ('episodic', 'semantic') and storage_tier = 'hot'")
+    cl = P.greedy_clusters(m.select("rid", "namespace", "created_at", "v"), 0.8, 30.0, 2, 20, entities=A.links(spark, sf_dir))
     out = P.consolidated(cl, m)
     return out.select("cluster", "members", F.round("importance", 6).alias("importance"), F.round("valence", 6).alias("valence"), "half_life", F.length("lead").alias("lead_chars"))
 

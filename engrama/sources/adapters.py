@@ -36,6 +36,14 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("rid"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), "label")
 
 
+def tight_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors drawn towards that of the first of each four ids, so that memories of one kind exist."""
+    v = vectors(spark, sf_dir).select("rid", "v")
+    lead = v.select(F.col("rid").alias("lead"), F.col("v").alias("g"))
+    rows = v.join(lead, F.col("rid") - F.col("rid") % 4 == F.col("lead"))
+    return rows.select("rid", F.zip_with("v", "g", lambda x, y: 0.3 * x + 0.7 * y).alias("v"))
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """supplies and buys edges, one per pair, weighted by how often they occur."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
@@ -112,6 +120,7 @@ CTES = {
         CASE WHEN doc_id % 23 = 0 THEN 'cold' ELSE 'hot' END AS storage_tier, doc_id * 13 % 100 AS session_id,
         CASE WHEN doc_id % 4 = 0 THEN ['joy', 'calm', 'fear'][1 + doc_id % 3] END AS emotion FROM documents)""",
     "vectors": "vectors AS (SELECT vec_id AS rid, embedding::DOUBLE[] AS v, label FROM embeddings)",
+    "tight": "tight AS (SELECT a.vec_id AS rid, list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda p: 0.3::DOUBLE * p[1] + 0.7::DOUBLE * p[2]) AS v FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - a.vec_id % 4)",
     "edges": """edges AS (SELECT src, rel, dst, least(1.0::DOUBLE, count(*) / 10.0::DOUBLE) AS weight, epoch(max(seen_at))::DOUBLE AS created_at FROM (
         SELECT 's' || l_suppkey AS src, 'supplies' AS rel, 'p' || l_partkey AS dst, l_shipdate AS seen_at FROM lineitem
         UNION ALL SELECT 'c' || o_custkey, 'buys', 'p' || l_partkey, l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY src, rel, dst)""",

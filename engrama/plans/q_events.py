@@ -113,7 +113,14 @@ def _(spark, sf_dir):
     return E.bins(ev(spark, sf_dir).where("kind = 'click'"), 86400.0, "user_id")
 
 
-@query("burst_scores")
+@query(
+    "burst_scores",
+    """WITH r AS (SELECT user_id, CAST(floor((t - min(t) OVER (PARTITION BY user_id)) / 86400) AS BIGINT) AS bin FROM ev WHERE kind = 'click'), n AS (SELECT user_id, bin, count(*) AS n FROM r GROUP BY 1, 2), e AS (SELECT user_id, unnest(range(max(bin) + 1)) AS bin FROM n GROUP BY user_id),
+    x AS (SELECT user_id, list({'x': coalesce(n, 0)::DOUBLE, 'mean': 0.0::DOUBLE, 'var': 0.0::DOUBLE, 'n': 0, 'z': 0.0::DOUBLE} ORDER BY bin) AS xs FROM e LEFT JOIN n USING (user_id, bin) GROUP BY 1),
+    s AS (SELECT user_id, list_reduce(xs, lambda s, e: {'x': e.x, 'mean': CASE WHEN s.n = 0 THEN e.x ELSE s.mean + 0.2 * (e.x - s.mean) END, 'var': CASE WHEN s.n = 0 THEN 0.0 ELSE 0.8 * (s.var + 0.2 * (e.x - s.mean) * (e.x - s.mean)) END, 'n': s.n + 1, 'z': CASE WHEN s.n < 3 OR sqrt(s.var) < 1e-10 THEN 0.0 ELSE (e.x - s.mean) / sqrt(s.var) END},
+    {'x': 0.0::DOUBLE, 'mean': 0.0::DOUBLE, 'var': 0.0::DOUBLE, 'n': 0, 'z': 0.0::DOUBLE}) AS s FROM x) SELECT user_id, round(s.mean, 6) AS mean, round(s.z, 6) AS z, abs(s.z) > 2.5 AS anomaly FROM s""",
+    ("ev",),
+)
 def _(spark, sf_dir):
     b = E.bins(ev(spark, sf_dir).where("kind = 'click'"), 86400.0, "user_id")
     rows = b.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "n"))), lambda x: x["n"].cast("double")).alias("x"))

@@ -108,7 +108,16 @@ def _(spark, sf_dir):
     return causes(spark, sf_dir).select("src", "dst", F.round(c("strength") * F.pow(F.lit(0.98), F.lit(30)), 5).alias("strength"))
 
 
-@query("predict_effects")
+def _hop(k, before):
+    return f"h{k} AS (SELECT cause, dst AS node, max_by(s * strength * 0.8, abs(s * strength)) AS s FROM {before} JOIN e ON e.src = {before}.node GROUP BY 1, 2 HAVING abs(max_by(s * strength * 0.8, abs(s * strength))) >= 0.05)"
+
+
+@query(
+    "predict_effects",
+    f"""WITH {CAUSAL}, e AS (SELECT src, dst, 0.3 * greatest(1 - sd / m, 0) + 0.7 * least(n / 20.0, 1) AS strength FROM p), h0 AS (SELECT DISTINCT src AS cause, src AS node, 1.0::DOUBLE AS s FROM e), {_hop(1, "h0")}, {_hop(2, "h1")}, {_hop(3, "h2")}
+    SELECT cause, node, hop, round(s, 5) AS strength FROM (SELECT *, 1 AS hop FROM h1 UNION ALL SELECT *, 2 FROM h2 UNION ALL SELECT *, 3 FROM h3)""",
+    ("ev",),
+)
 def _(spark, sf_dir):
     edges = causes(spark, sf_dir).select("src", "dst", "strength")
     start = edges.select(c("src").alias("cause"), c("src").alias("node")).distinct()

@@ -14,7 +14,7 @@ from engrama.sources import adapters as A
 c = F.col
 NOW = A.NOW
 COS = "list_dot_product(a.v, q.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(q.v, q.v))"
-FUSED = f"""c AS (SELECT q.rid AS query_id, m.rid, greatest(0, {COS}) AS sim, importance * pow(2, -(1706745600.0 - last_access) / half_life) AS decay, exp(-(1706745600.0 - created_at) / 604800.0) AS rec, importance, valence
+FUSED = f"""c AS (SELECT q.rid AS query_id, m.rid, {COS} AS cos, greatest(0, {COS}) AS sim, importance * pow(2, -(1706745600.0 - last_access) / half_life) AS decay, exp(-(1706745600.0 - created_at) / 604800.0) AS rec, importance, valence
     FROM vectors a JOIN memories m USING (rid), vectors q WHERE q.rid % 20 = 0 AND m.status = 'active'),
     s AS (SELECT *, (0.5 * sim + 0.2 * decay + 0.3 * rec) * (1 + 1 / (1 + exp(-12 * (sim - 0.25))) * 0.8 * least(importance, 1)) * (1 + 0.3 * abs(valence)) AS score FROM c)"""
 
@@ -46,7 +46,10 @@ def _(spark, sf_dir):
     return R.best_scored(rows, query_set(spark, sf_dir), 10).select("query_id", "rid", F.round("score", 5).alias("score"))
 
 
-@query("recall_pool")
+POOLED = FUSED + """, p AS (SELECT s.*, m.domain, row_number() OVER (PARTITION BY query_id ORDER BY round(cos, 9) DESC, s.rid) AS near FROM s JOIN memories m USING (rid)), b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, rid) AS k FROM p WHERE near <= 50)"""
+
+
+@query("recall_pool", f"WITH {POOLED} SELECT query_id, rid, round(score, 5) AS score FROM b WHERE k <= 10", ("memories", "vectors"))
 def _(spark, sf_dir):
     s = scored(spark, sf_dir, 50)
     return R.top_per(s, "query_id", F.round("score", 9), "rid", 10).select("query_id", "rid", F.round("score", 5).alias("score"))
@@ -59,7 +62,17 @@ def _(spark, sf_dir):
     return R.diversify(pool, 10)
 
 
-@query("recall_refine")
+_UNIT = "list_transform(x, lambda e: e / sqrt(list_dot_product(x, x)))"
+
+
+@query(
+    "recall_refine",
+    f"""WITH mixed AS (SELECT rid, {_UNIT} AS v FROM (SELECT a.rid, list_transform(list_zip(a.v, b.v), lambda p: 0.4::DOUBLE * p[1] + 0.6::DOUBLE * p[2]) AS x FROM vectors a JOIN vectors b ON b.rid = a.rid + 1 WHERE a.rid % 20 = 0)),
+    seen AS (SELECT q.rid AS query_id, a.rid, row_number() OVER (PARTITION BY q.rid ORDER BY round({COS}, 9) DESC, a.rid) AS k FROM vectors a, vectors q WHERE q.rid % 20 = 0),
+    again AS (SELECT q.rid AS query_id, a.rid, {COS} AS sim, row_number() OVER (PARTITION BY q.rid ORDER BY round({COS}, 9) DESC, a.rid) AS k FROM vectors a, mixed q)
+    SELECT query_id, rid, round(sim, 5) AS similarity FROM again WHERE k <= 10 AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.query_id = again.query_id AND s.rid = again.rid AND s.k <= 5)""",
+    ("vectors",),
+)
 def _(spark, sf_dir):
     v = A.vectors(spark, sf_dir).select("rid", "v")
     q = query_set(spark, sf_dir)
@@ -69,7 +82,12 @@ def _(spark, sf_dir):
     return R.nearest(v, mixed, 10).join(seen, ["query_id", "rid"], "left_anti").select("query_id", "rid", F.round("similarity", 5).alias("similarity"))
 
 
-@query("recall_confidence")
+@query(
+    "recall_confidence",
+    f"""WITH {POOLED}, g AS (SELECT query_id, max(sim) AS top, max(score) - min(score) AS gap, count(DISTINCT domain) AS kinds, count(*) AS n FROM b WHERE k <= 10 GROUP BY 1), h AS (SELECT query_id, 0.35 * top + 0.25 * least(1, gap) + 0.2 * least(1, kinds / 4.0) + 0.2 * n / 10.0 AS v FROM g)
+    SELECT query_id, round(v, 5) AS confidence, v < 0.6 AS hint FROM h""",
+    ("memories", "vectors"),
+)
 def _(spark, sf_dir):
     s = R.top_per(scored(spark, sf_dir, 50), "query_id", F.round("score", 9), "rid", 10)
     g = s.groupBy("query_id").agg(F.max("sim").alias("top"), (F.max("score") - F.min("score")).alias("gap"), F.countDistinct("domain").alias("sources"), F.count("*").alias("n"))

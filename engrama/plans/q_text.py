@@ -10,6 +10,7 @@ from engrama.functions import scoring as S
 from engrama.functions import security as K
 from engrama.functions import text as T
 from engrama.operators import retrieval as R
+from engrama.operators.recall import STOP
 from engrama.plans.registry import query
 from engrama.sources import adapters as A
 
@@ -161,13 +162,13 @@ def _(spark, sf_dir):
 @query(
     "bm25_topk",
     f"""WITH p AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({TOK}) AS token FROM documents) GROUP BY 1, 2), l AS (SELECT doc_id, sum(tf) AS len FROM p GROUP BY 1), g AS (SELECT count(*) AS n, avg(len) AS al FROM l),
-    q AS (SELECT DISTINCT item_id, unnest({TOK}) AS token FROM benchmark), d AS (SELECT token, count(*) AS df FROM p GROUP BY 1),
+    q AS (SELECT * FROM (SELECT DISTINCT item_id, unnest({TOK}) AS token FROM benchmark) WHERE token NOT IN {_listed(STOP)}), d AS (SELECT token, count(*) AS df FROM p GROUP BY 1),
     s AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al))) AS score FROM q JOIN p USING (token) JOIN d USING (token) JOIN l USING (doc_id), g GROUP BY 1, 2)
     SELECT item_id, doc_id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS k FROM s) WHERE k <= 10""",
 )
 def _(spark, sf_dir):
     index = R.Postings(docs(spark, sf_dir), "doc_id")
-    terms = A.table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(T.tokens(c("text")))).alias("token"))
+    terms = A.table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(T.tokens(c("text")))).alias("token")).where(~c("token").isin(*STOP))
     s = index.bm25(terms, "item_id")
     top = R.top_per(s, "item_id", F.round("score", 9), "doc_id", 10)
     return top.select("item_id", "doc_id", F.round("score", 5).alias("score"))

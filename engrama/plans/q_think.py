@@ -211,7 +211,13 @@ def _(spark, sf_dir):
     return P.extractive_summary(M.active(mem(spark, sf_dir)), "session_id")
 
 
-@query("cross_domain_pairs")
+@query(
+    "cross_domain_pairs",
+    """WITH s AS (SELECT q.rid AS query_id, a.rid, list_dot_product(a.v, q.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(q.v, q.v)) AS sim FROM vectors a, vectors q WHERE q.rid % 20 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, rid) AS near FROM s),
+    d AS (SELECT n.query_id, n.rid, sim, a.domain AS domain_a, b.domain AS domain_b FROM n JOIN memories a ON a.rid = n.query_id JOIN memories b ON b.rid = n.rid WHERE near <= 10 AND a.domain <> b.domain)
+    SELECT query_id, rid, domain_a, domain_b, round(sim, 5) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY domain_a, domain_b ORDER BY round(sim, 9) DESC, query_id, rid) AS k FROM d) WHERE k <= 3""",
+    ("memories", "vectors"),
+)
 def _(spark, sf_dir):
     from engrama.operators import retrieval as R
 

@@ -63,16 +63,25 @@ class Reason:
 
         return self._then("compare", step)
 
-    def anticipate(self, horizon: float) -> Reason:
-        """Keep memories whose user is expected to act within the horizon, by the fitted rate."""
+    def anticipate(self, horizon: float, column: str, key: str = "user_id") -> Reason:
+        """Keep memories whose `column` names a key of the events from which one is expected within the horizon: at the
+        first step at which the rate, summed from now on, comes to one event."""
 
         def step(now: DataFrame) -> DataFrame:
-            soon = E.hawkes_fit(self.events, "user_id").where(1 / F.col("mu") <= horizon).select(F.col("user_id").alias("rid"))
-            return now.join(soon, "rid", "left_semi")
+            model = E.point_process(self.events, self.now, key)
+            soon = E.predict_next(model, self.now, horizon=horizon, step=horizon / 240).where(F.col("expected") <= self.now + horizon).select(F.col(key).alias(column)).distinct()
+            return now.join(soon, column, "left_semi")
 
         return self._then("anticipate", step)
 
-    project = anticipate
+    def project(self, ahead: float) -> Reason:
+        """Scores as they will be `ahead` seconds from now, if nothing is looked at until then."""
+
+        def step(now: DataFrame) -> DataFrame:
+            later = M.with_decay(now.drop("decay", "recency"), self.now + ahead)
+            return later.withColumn("score", S.eviction_score(F.col("decay"), F.col("recency")) * (1 + F.col("importance")))
+
+        return self._then("project", step)
 
     def plan(self, steps: int = 3) -> Reason:
         return self._then("plan", lambda now: now.where(F.col("type") == "procedural").orderBy(F.desc(F.round("score", 9)), "rid").limit(steps))

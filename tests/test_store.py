@@ -94,7 +94,7 @@ def test_reasoning_pipeline(spark, sf):
     out = r.execute()
     assert r.explain() == ["constrain", "recall", "coherence", "compare"] and out.count() == 30 and out.where("importance <= 0.5").count() == 0
     evidence = A.events(spark, sf).select(F.col("user_id").alias("rid"), (F.col("value") / 100).alias("weight"), F.col("t").alias("at"))
-    assert Reason(A.NOW, A.memories(spark, sf), events=A.events(spark, sf)).believe(evidence).anticipate(1e9).plan(2).assess().execute().count() <= 2
+    assert Reason(A.NOW, A.memories(spark, sf), events=A.events(spark, sf)).believe(evidence).anticipate(1e7, "session_id").project(3600.0).plan(2).assess().execute().count() <= 2
 
 
 def test_analogies_of_whole_subgraphs_match_all_node_pairs(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from engrama.functions import timing as T
 from engrama.operators import claims as C
+from engrama.operators import moves as V
 from engrama.plans.registry import query
 from engrama.sources import adapters as A
 
@@ -160,38 +161,82 @@ def _(spark, sf_dir):
     return rows.select("claim_id", shown(within(9.5e8, 1e9)).alias("overlaps"), shown(within(9.2e8, None)).alias("overlaps_open"))
 
 
-@query("move_type_profiles", "SELECT o_orderpriority AS move_type, o_orderstatus AS outcome, count(*) AS moves, round(avg(CASE WHEN o_totalprice > 100000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS contradiction_rate FROM orders GROUP BY 1, 2")
+@query(
+    "move_type_profiles",
+    """SELECT move_type, version, regime, count(*) AS uses, count(*) FILTER (done) AS resolved, count(*) FILTER (outcome = 'corroborated') AS corroborated, count(*) FILTER (outcome = 'retracted') AS retracted, count(*) FILTER (outcome = 'harmful_side_effect') AS harmful_side_effect,
+    round(count(*) FILTER (outcome IN ('retracted', 'harmful_side_effect')) / count(*) FILTER (done)::DOUBLE, 6) AS contradiction_rate FROM (SELECT *, outcome IS NOT NULL OR created_at + horizon < 9e8 AS done FROM moves) GROUP BY 1, 2, 3""",
+    ("moves",),
+)
+def _(spark, sf_dir):
+    return V.profiles(A.moves(spark, sf_dir), 9e8).withColumn("contradiction_rate", F.round("contradiction_rate", 6))
+
+
+@query("moves_consuming_claims", "SELECT claim_id, count(DISTINCT move_id) AS moves FROM move_io WHERE role = 'input' GROUP BY 1", ("move_io",))
 def _(spark, sf_dir):
-    o = A.table(spark, sf_dir, "orders")
-    return o.groupBy(c("o_orderpriority").alias("move_type"), c("o_orderstatus").alias("outcome")).agg(F.count("*").alias("moves"), F.round(F.avg(F.when(c("o_totalprice") > 100000, 1.0).otherwise(0.0)), 6).alias("contradiction_rate"))
+    return V.consuming(A.move_io(spark, sf_dir))
 
 
-@query("moves_consuming_claims", "SELECT l_partkey AS claim, count(DISTINCT l_orderkey) AS moves FROM lineitem GROUP BY 1")
+@query("load_bearing", f"SELECT {PROP}, count(DISTINCT move_id) AS load FROM claims LEFT JOIN (SELECT * FROM move_io WHERE role = 'input') USING (claim_id) GROUP BY {PROP}", ("claims", "move_io"))
 def _(spark, sf_dir):
-    return A.table(spark, sf_dir, "lineitem").groupBy(c("l_partkey").alias("claim")).agg(F.countDistinct("l_orderkey").alias("moves"))
+    return V.load(A.move_io(spark, sf_dir), claims(spark, sf_dir))
+
+
+_FIXED = """fixed AS (SELECT move_id, [NULL, 'analogy', 'compression'][1 + (move_id * 3 + seen) % 3] AS move_type, CASE WHEN (move_id + seen) % 2 = 0 THEN 'v9' END AS version, CASE WHEN seen = 2 THEN 'audit' END AS regime, seen FROM moves, (SELECT unnest([1, 2, 3]) AS seen) WHERE move_id % 5 = 0)"""
+
+
+def corrections(spark, sf_dir):
+    m = A.moves(spark, sf_dir).where("move_id % 5 = 0").select("move_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("at"))
+    kind = F.element_at(F.array(F.lit(None).cast("string"), F.lit("analogy"), F.lit("compression")), ((c("move_id") * 3 + c("at")) % 3 + 1).cast("int"))
+    return m.select("move_id", kind.alias("move_type"), F.when((c("move_id") + c("at")) % 2 == 0, "v9").alias("version"), F.when(c("at") == 2, "audit").alias("regime"), "at")
 
 
 @query(
     "move_canonical",
-    "SELECT l_orderkey AS move, max_by(l_returnflag, struct_pack(a := l_shipdate, b := l_linenumber, c := l_partkey)) FILTER (WHERE l_returnflag <> 'N') AS outcome, max_by(l_quantity, struct_pack(a := l_shipdate, b := l_linenumber, c := l_partkey)) AS effort FROM lineitem GROUP BY 1",
+    f"""WITH {_FIXED}, n AS (SELECT move_id, arg_max(move_type, seen) FILTER (move_type IS NOT NULL) AS t, arg_max(version, seen) FILTER (version IS NOT NULL) AS v, arg_max(regime, seen) FILTER (regime IS NOT NULL) AS r FROM fixed GROUP BY 1)
+    SELECT move_id, coalesce(t, move_type) AS move_type, coalesce(v, version) AS version, coalesce(r, regime) AS regime FROM moves LEFT JOIN n USING (move_id)""",
+    ("moves",),
 )
 def _(spark, sf_dir):
-    li = A.table(spark, sf_dir, "lineitem")
-    newest = F.struct("l_shipdate", "l_linenumber", "l_partkey")
-    return li.groupBy(c("l_orderkey").alias("move")).agg(F.max_by("l_returnflag", F.when(c("l_returnflag") != "N", newest)).alias("outcome"), F.max_by("l_quantity", newest).alias("effort"))
+    return V.canonical(A.moves(spark, sf_dir), corrections(spark, sf_dir)).select("move_id", "move_type", "version", "regime")
+
+
+@query("composition_axioms", "SELECT l.move_id AS \"left\", r.move_id AS \"right\", CASE l.move_type WHEN 'decomposition' THEN 'decompose_aggregate_identity' ELSE 'negate_analogize_non_commutative' END AS axiom FROM moves l JOIN moves r ON r.move_id = l.move_id + 1 WHERE (l.move_type = 'decomposition' AND r.move_type = 'aggregate_back') OR (l.move_type = 'negate_and_test' AND r.move_type = 'analogy')", ("moves",))
+def _(spark, sf_dir):
+    m = A.moves(spark, sf_dir)
+    return V.composition_axioms(m.select(c("move_id").alias("left"), (c("move_id") + 1).alias("right")), m)
 
 
 @query(
     "self_gen_ancestry",
-    """WITH p AS (SELECT src, dst, self_generated FROM claims), a AS (SELECT DISTINCT x.src AS claim, y.src AS parent FROM p x JOIN p y ON x.dst = y.dst AND x.src <> y.src), s AS (SELECT src, avg(self_generated::INT) AS share FROM p GROUP BY src)
-    SELECT claim, round(avg(share), 6) AS ancestral FROM a JOIN s ON s.src = a.parent GROUP BY claim""",
+    f"""WITH b AS (SELECT DISTINCT o.claim_id AS made, i.claim_id FROM move_io o JOIN move_io i USING (move_id) WHERE o.role = 'output' AND i.role = 'input'), a AS (SELECT DISTINCT {PROP}, b.claim_id FROM claims c JOIN b ON b.made = c.claim_id),
+    z AS (SELECT DISTINCT {PROP}, b.claim_id FROM a JOIN b ON b.made = a.claim_id), t AS (SELECT * FROM a UNION SELECT * FROM z), s AS (SELECT t.src, t.rel, t.dst, t.namespace, avg(coalesce(c.self_generated, false)::INT) AS ancestral FROM t LEFT JOIN claims c USING (claim_id) GROUP BY 1, 2, 3, 4)
+    SELECT {PROP}, round(coalesce(ancestral, 0), 6) AS ancestral FROM (SELECT DISTINCT {PROP} FROM claims) LEFT JOIN s USING ({PROP})""",
+    ("claims", "move_io"),
+)
+def _(spark, sf_dir):
+    return V.ancestry(A.move_io(spark, sf_dir), claims(spark, sf_dir)).withColumn("ancestral", F.round("ancestral", 6))
+
+
+@query(
+    "move_preconditions",
+    f"""{CONTEST}, k AS (SELECT unnest(['source_audit', 'compression', 'hypothesis_generation', 'analogy']) AS move_type)
+    SELECT {PROP}, move_type, CASE move_type WHEN 'source_audit' THEN 'source_audit_requires_external_ancestry' WHEN 'compression' THEN 'compression_requires_support' ELSE 'hypothesis_generation_skips_present_tense_conflict' END AS axiom FROM f, k WHERE move_type = 'source_audit' OR (move_type = 'compression' AND support <= 0) OR (move_type = 'hypothesis_generation' AND overlapping > 0)""",
     ("claims",),
 )
 def _(spark, sf_dir):
-    p = claims(spark, sf_dir).select("src", "dst").distinct()
-    up = p.withColumnRenamed("src", "claim").join(p.withColumnRenamed("src", "parent"), "dst").where("claim <> parent").select("claim", "parent").distinct()
-    share = claims(spark, sf_dir).groupBy(c("src").alias("parent")).agg(F.avg(c("self_generated").cast("int")).alias("share"))
-    return up.join(share, "parent").groupBy("claim").agg(F.round(F.avg("share"), 6).alias("ancestral"))
+    # no ancestry has been computed here, which an audit of sources doesn't accept
+    kinds = F.array(*map(F.lit, ("source_audit", "compression", "hypothesis_generation", "analogy")))
+    asked = C.contest_state(claims(spark, sf_dir)).select(*KEY, "support", "flags", F.lit(None).cast("double").alias("ancestral"), F.explode(kinds).alias("move_type"))
+    return V.violations(asked).select(*KEY, "move_type", "axiom")
+
+
+@query("adversarial_candidates", f"{CONTEST} SELECT DISTINCT move_id, 'contradiction' AS found_by, 'candidate' AS status FROM move_io JOIN claims USING (claim_id) JOIN f USING ({PROP}) WHERE role = 'output' AND flags & ~2 <> 0 AND move_id % 4 <> 0", ("claims", "move_io"))
+def _(spark, sf_dir):
+    # before: nothing but shared sources was known; some moves are filed already
+    after = C.contest_state(claims(spark, sf_dir)).select(*KEY, "flags")
+    io = A.move_io(spark, sf_dir)
+    filed = io.where("move_id % 4 = 0").select("move_id", F.lit("contradiction").alias("found_by"))
+    return V.auto_file(after.withColumn("flags", F.lit(2).cast("long")), after, claims(spark, sf_dir), io, filed)
 
 
 @query("policy_fallback", "SELECT DISTINCT namespace, CASE namespace WHEN 'ns0' THEN 'strict' ELSE 'lenient' END AS policy FROM claims", ("claims",))

@@ -69,6 +69,23 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One reasoning move per order: its type by priority, its outcome by status and key, open ones with a horizon."""
+    o = table(spark, sf_dir, "orders")
+    i = F.col("o_orderkey")
+    kinds = F.array(*map(F.lit, ("decomposition", "aggregate_back", "source_audit", "compression", "hypothesis_generation", "negate_and_test", "analogy")))
+    outcome = F.when(F.col("o_orderstatus") == "F", F.element_at(F.array(*map(F.lit, ("corroborated", "retracted", "harmful_side_effect", "corroborated"))), (i % 4 + 1).cast("int")))
+    return o.select(i.alias("move_id"), F.element_at(kinds, (i % 7 + 1).cast("int")).alias("move_type"), F.concat(F.lit("v"), i % 2).alias("version"), F.lit("default").alias("regime"), outcome.alias("outcome"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("double").alias("created_at"), F.when(i % 3 == 0, 86400.0 * (i % 3000)).alias("horizon"))
+
+
+def move_io(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which claims an order's moves take and make: its lines name claims, every third line an output."""
+    li = table(spark, sf_dir, "lineitem")
+    polarity = F.when(F.col("l_returnflag") == "R", -1).otherwise(1)
+    claim = F.concat_ws("/", "l_suppkey", F.col("l_partkey") % 60, F.col("l_orderkey") % 3, "l_linestatus", polarity)
+    return li.select((F.col("l_orderkey") - F.col("l_orderkey") % 2).alias("move_id"), claim.alias("claim_id"), F.when(F.col("l_linenumber") % 3 == 0, "output").otherwise("input").alias("role")).distinct()
+
+
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rid, entity): a memory's capitalised words, of two letters or more."""
     d = table(spark, sf_dir, "documents")
@@ -129,6 +146,9 @@ CTES = {
         epoch(f)::DOUBLE AS valid_from, CASE WHEN t > f THEN epoch(t)::DOUBLE END AS valid_to, lineage, line % 6 AS modality, q < 10 AS self_generated, source % 40 + 1 AS source_rid, 0.5::DOUBLE + 5 * d AS weight, epoch(f)::DOUBLE AS created_at
         FROM (SELECT l_suppkey, l_partkey % 60 AS part, l_orderkey % 3 AS batch, l_linestatus AS extractor, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS polarity, min(l_shipdate) AS f, max(l_shipdate) AS t,
         list_sort(list_distinct(list((l_orderkey % 7)::VARCHAR))) AS lineage, min(l_linenumber) AS line, min(l_quantity) AS q, min(l_orderkey) AS source, max(l_discount) AS d FROM lineitem GROUP BY 1, 2, 3, 4, 5))""",
+    "moves": """moves AS (SELECT o_orderkey AS move_id, ['decomposition', 'aggregate_back', 'source_audit', 'compression', 'hypothesis_generation', 'negate_and_test', 'analogy'][1 + o_orderkey % 7] AS move_type, 'v' || (o_orderkey % 2) AS version, 'default' AS regime,
+        CASE WHEN o_orderstatus = 'F' THEN ['corroborated', 'retracted', 'harmful_side_effect', 'corroborated'][1 + o_orderkey % 4] END AS outcome, epoch(o_orderdate)::DOUBLE AS created_at, CASE WHEN o_orderkey % 3 = 0 THEN 86400.0::DOUBLE * (o_orderkey % 3000) END AS horizon FROM orders)""",
+    "move_io": """move_io AS (SELECT DISTINCT l_orderkey - l_orderkey % 2 AS move_id, l_suppkey || '/' || (l_partkey % 60) || '/' || (l_orderkey % 3) || '/' || l_linestatus || '/' || CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS claim_id, CASE WHEN l_linenumber % 3 = 0 THEN 'output' ELSE 'input' END AS role FROM lineitem)""",
     "links": """links AS (SELECT DISTINCT rid, entity FROM (SELECT doc_id AS rid, unnest(regexp_extract_all(text, '(?:^|[ \n])([A-Z][a-z]+)', 1)) AS entity FROM documents))""",
     "ev": "ev AS (SELECT event_id, ts, epoch_us(ts) / 1e6::DOUBLE AS t, user_id, event_type AS kind, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)",
     "sessions": """sessions AS (SELECT session_id, session_id % 4 AS client, 1706745600.0::DOUBLE - 7200.0::DOUBLE * (session_id % 360) AS started_at,

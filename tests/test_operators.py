@@ -11,7 +11,7 @@ from engrama.functions import timing as G
 from engrama.operators import beliefs as B
 from engrama.operators import claims as claims_op
 from engrama.operators import events as E
-from engrama.operators import graph, memory, patterns, retrieval
+from engrama.operators import graph, memory, moves, patterns, retrieval
 from pyspark.sql import functions as F
 
 
@@ -269,3 +269,11 @@ def test_duplicates_and_namespaces_are_flagged(spark):
     apart = [(1, "x", ["a"]), (1, "y", ["b"], {"ns": "other"})]
     assert {r["flags"] for r in claims_op.contest_state(claims_of(spark, apart)).collect()} == {claims_op.HETEROGENEOUS}
     assert claims_op.flagged(claims_of(spark, apart), claims_op.SAME_SOURCE).count() == 0
+
+
+def test_candidates_are_promoted_once_and_with_a_lesson(spark):
+    rows = spark.createDataFrame([(1, "candidate"), (2, "candidate"), (2, "confirmed")], "move_id long, status string")
+    got = {(r["move_id"], r["status"], r["lesson"]) for r in moves.promote(rows, 2, "look twice", "ann").collect()}
+    assert got == {(1, "candidate", None), (2, "confirmed", "look twice"), (2, "confirmed", None)}
+    with pytest.raises(ValueError):
+        moves.promote(rows, 2, " ", "ann")

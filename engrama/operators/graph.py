@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engrama.operators.frames import settled
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
@@ -60,10 +62,9 @@ def resolve_alias(frame: DataFrame, aliases: DataFrame, name: str, namespace: Co
 def layers(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Topological layers (node, layer) of a directed graph, and the nodes that lie on or behind cycles.
 
-    Kahn's rounds as anti joins until no node is free, one round a layer; each round's frame is cut off with a checkpoint
-    when the session has a folder for it, and kept otherwise.
+    Kahn's rounds as anti joins until no node is free, one round a layer; each round's frames are written and read back.
     """
-    keep = lambda df: df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.cache()
+    keep = settled
     left, done, k = keep(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()), None, 0
     while True:
         live = edges.join(left.select(F.col("node").alias("src")), "src", "left_semi")

@@ -19,6 +19,7 @@ from engrama.functions import vectors as V
 from engrama.operators import graph as G
 from engrama.operators import memory as M
 from engrama.operators import retrieval as R
+from engrama.operators.frames import settled
 
 #: Query words that say nothing of the topic; the cold fallback knows fewer.
 COLD_STOP = (
@@ -32,11 +33,6 @@ KEYWORD_BOOST, GRAPH_CAP, GRAPH_BOOST = 0.31, 0.25, {"person": 0.20, "several":
 HOPS, REACH, SEEDS = 2, 30, 8
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once: checkpointed where the session has a folder for it, else kept."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.cache()
-
-
 def _numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
 
@@ -108,16 +104,17 @@ def matches(memories: DataFrame, asked: DataFrame) -> DataFrame:
     Phrases are looked up in the vocabulary, prefixes by their first three letters; how often a memory holds a phrase and
     how many do is counted once for all queries.
     """
-    post = R.Postings(memories, "rid")
+    rows = settled(R.Postings(memories, "rid").rows)
+    lengths = rows.groupBy("rid").agg(F.sum("tf").alias("len"))
     wanted = asked.select("phrase").distinct()
-    vocabulary = post.rows.select("token").distinct().withColumn("lead", F.substring("token", 1, 3))
+    vocabulary = rows.select("token").distinct().withColumn("lead", F.substring("token", 1, 3))
     whole = wanted.where("phrase like '=%'").select("phrase", F.expr("substring(phrase, 2)").alias("token"))
     stems = wanted.where("phrase like '%*'").select("phrase", F.expr("left(phrase, length(phrase) - 1)").alias("stem")).withColumn("lead", F.substring("stem", 1, 3))
     prefixed = stems.join(vocabulary, "lead").where(F.startswith("token", F.col("stem"))).select("phrase", "token")
-    hit = post.rows.join(whole.unionByName(prefixed), "token").groupBy("phrase", "rid").agg(F.sum("tf").alias("tf"))
+    hit = settled(rows.join(whole.unionByName(prefixed), "token").groupBy("phrase", "rid").agg(F.sum("tf").alias("tf")))
     count = hit.groupBy("phrase").agg(F.count("*").alias("df"))
-    size = post.lengths.agg(F.count("*").alias("n"), F.avg("len").alias("al"))
-    rows = hit.join(count, "phrase").join(post.lengths, "rid").crossJoin(F.broadcast(size))  # size is one row
+    size = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("al"))
+    rows = hit.join(count, "phrase").join(lengths, "rid").crossJoin(F.broadcast(size))  # size is one row
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (R.K1 + 1) / (F.col("tf") + R.K1 * (1 - R.B + R.B * F.col("len") / F.col("al")))
     rows = rows.select("phrase", "rid", part.alias("bm25"))
@@ -154,13 +151,17 @@ def keyword_hits(hits: DataFrame, words: DataFrame, act: DataFrame, total: int,
     return one.unionByName(two).unionByName(three).distinct()
 
 
-def reach(edges: DataFrame, seeds: DataFrame, hops: int = HOPS, most: int = REACH) -> DataFrame:
+def neighbours(edges: DataFrame, most: int = REACH) -> DataFrame:
+    """As many of each node's heaviest edges, either way, as one query's reach could ever take."""
+    return R.top_per(G.undirected(edges).groupBy("src", "dst").agg(F.max("weight").alias("weight")), "src", F.col("weight"), "dst", 2 * most)
+
+
+def reach(near: DataFrame, seeds: DataFrame, hops: int = HOPS, most: int = REACH) -> DataFrame:
     """(query_id, entity, hops, weight): what seeds (query_id, entity, place) reach breadth first, `most` entities a query.
 
-    Neighbours come in order of the node they are reached from, then heaviest edge first, then by name; only as many of a
-    node's heaviest edges as a query could ever take go along, so no hub is expanded whole.
+    `near` are the neighbours, which come in order of the node they are reached from, then heaviest edge first, then by
+    name; no hub is expanded whole.
     """
-    near = R.top_per(G.undirected(edges).groupBy("src", "dst").agg(F.max("weight").alias("weight")), "src", F.col("weight"), "dst", 2 * most)
     seen = _numbered(seeds, [F.col("place"), F.col("entity")]).where(F.col("_k") <= most).select("query_id", "entity", F.lit(0).alias("hops"), F.lit(1.0).alias("weight"), F.col("_k").alias("at"))
     edge = seen
     for h in range(1, hops + 1):
@@ -211,13 +212,14 @@ def recall(memories: DataFrame, vectors: DataFrame, links: DataFrame, edges: Dat
         return full.withColumn("score", F.round(F.when(F.col("by_graph"), linked).otherwise(plain) + F.col("bonus"), 9))
 
     # keywords
+    links, linked = settled(links.select("rid", "entity")), settled(neighbours(edges))
     mentions = links.groupBy("entity").agg(F.count("*").alias("mentions")).withColumn("kind", T.entity_type(F.col("entity")))
-    known = mentions.select("entity", "kind", "mentions")
+    known = settled(mentions.select("entity", "kind", "mentions"))
     seeds = named_entities(ask, known)
     groupish = ask.where(F.lower("text").rlike("|".join(GROUP_WORDS))).select("query_id")
     place = lambda rows: rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("entity")))
     seeds = settled(place(seeds))
-    around = reach(edges, seeds.join(groupish, "query_id", "left_semi").select("query_id", "entity", "place")).join(known.where("kind = 'person'").select("entity"), "entity").where("hops > 0")
+    around = reach(linked, seeds.join(groupish, "query_id", "left_semi").select("query_id", "entity", "place")).join(known.where("kind = 'person'").select("entity"), "entity").where("hops > 0")
     around = settled(around.select("query_id", "entity", "hops"))
     words = keywords(ask, known, STOP)
     extra = _numbered(around, [F.col("hops"), F.col("entity")]).where("_k <= 15").select("query_id", F.explode(T.alnum_tokens(F.col("entity"))).alias("word")).where("length(word) > 1")
@@ -255,7 +257,7 @@ def recall(memories: DataFrame, vectors: DataFrame, links: DataFrame, edges: Dat
         every = every.unionByName(nobody.crossJoin(anyone).select("query_id", "entity", F.lit(1).alias("place")))
         base = groupish.distinct().withColumn("_g", F.lit(True)).join(base, "query_id", "full").select("query_id", F.when(F.col("_g"), F.greatest(F.coalesce("base", F.lit(0.0)), F.lit(0.2))).otherwise(F.col("base")).alias("base"))
         first = _numbered(every, [F.col("place"), F.col("entity")]).where(F.col("_k") <= SEEDS).select("query_id", "entity", F.col("_k").alias("place"))
-        reached = reach(edges, first).join(seeds.select("query_id", "entity", rarity.alias("idf")), ["query_id", "entity"], "left").fillna(1.0, ["idf"])
+        reached = reach(linked, first).join(seeds.select("query_id", "entity", rarity.alias("idf")), ["query_id", "entity"], "left").fillna(1.0, ["idf"])
         close = reached.join(links, "entity").groupBy("query_id", "rid").agg(F.max(F.col("weight") / F.pow(F.lit(4.0), F.col("hops"))).alias("proximity"), F.max("idf").alias("idf")).join(base, "query_id")
         close = settled(close)
         lift = F.least(F.col("base") * F.col("near") * F.col("idf") * F.when(F.col("status") == "consolidated", 0.5).otherwise(1.0), F.lit(GRAPH_CAP))

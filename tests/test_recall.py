@@ -186,7 +186,7 @@ def test_reach_is_breadth_first_and_bounded(spark, world):
     for some in (names[:1], names[3:6], names[:12]):
         seeds = spark.createDataFrame([(1, e, n + 1) for n, e in enumerate(some)], "query_id long, entity string, place int")
         for most in (5, 30):
-            got = {r["entity"]: (r["hops"], round(r["weight"], 9)) for r in op.reach(edges, seeds, most=most).collect()}
+            got = {r["entity"]: (r["hops"], round(r["weight"], 9)) for r in op.reach(op.neighbours(edges, most), seeds, most=most).collect()}
             assert got == {e: (h, round(w, 9)) for e, (h, w) in brute.bfs(some, most).items()}
 
 

@@ -137,8 +137,8 @@ def text_sentiment(text: Column) -> Column:
     return F.when(bad > good, -1.0).when(good > bad, 1.0).otherwise(0.0)
 
 
-def query_sentiment(text: str) -> float:
-    """text_sentiment of one literal query, on the driver."""
+def query_sentiment(text: str | None) -> float:
+    """text_sentiment of one query, without its large expression."""
     import re
 
     def stem(w: str) -> str:
@@ -148,6 +148,6 @@ def query_sentiment(text: str) -> float:
         s = stem(t)
         return any(t == w or s == w or len(t) >= 4 and t.startswith(w) or len(s) >= 4 and w.startswith(s) for w in words)
 
-    tokens = re.findall(r"[^\W_]+", text.lower())
+    tokens = re.findall(r"[^\W_]+", (text or "").lower())
     bad, good = (sum(hit(t, words) for t in tokens) for words in (NEGATIVE, POSITIVE))
     return float(good > bad) - float(bad > good)

@@ -181,6 +181,12 @@ def test_stems_and_verbs(spark):
     assert got["reading"][0] == "read" and got["grew"][1] == ["grow", "grown", "growing"] and got["read"][1] == ["reading"]
 
 
+def test_moods_of_queries_and_texts_agree(spark):
+    texts = [None, "", "The happiest_day", "sadness and élan", "lows, lowering", "bad good", "ACHIEVEMENTS", "stress-free 42", "hap hapless worrie", "célébration lovely"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.text_sentiment(F.col("t")).alias("m")).collect()
+    assert [S.query_sentiment(r["t"]) for r in rows] == [r["m"] for r in rows]
+
+
 def test_reach_is_breadth_first_and_bounded(spark, world):
     (_, _, _, edges), brute = world
     names = sorted(brute.near)[:40]
